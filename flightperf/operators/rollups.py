@@ -30,17 +30,23 @@ MEASURES = COUNTERS + ["delayed_flights", "num_flights"]
 @dataclass(frozen=True)
 class Grain:
     name: str
-    dims: list[str]                 # public dimensions (output columns)
-    carry: list[str]                # extra group columns, functionally dependent on dims
-    parent: str | None              # finer grain it is re-aggregated from (None = flights)
+    dims: list[str]                 # group columns = public dimensions
+    parent: str | None              # finer grain it is re-aggregated from when materialized
     key: Callable[[], Column]
     delay_table: str
     count_table: str
     partition_by: list[str] = field(default_factory=list)
+    # columns derived after aggregation (functions of the dims, so they never widen the
+    # shuffle key and the output stays hash-partitioned on the dims)
+    derived: dict[str, Callable[[], Column]] = field(default_factory=dict)
 
-    @property
-    def group_cols(self) -> list[str]:
-        return self.dims + [c for c in self.carry if c not in self.dims]
+
+_FROM_DATE = {
+    "year": lambda: F.year("flight_date"),
+    "quarter": lambda: F.quarter("flight_date"),
+    "month": lambda: F.month("flight_date"),
+}
+_FROM_MONTH = {"quarter": lambda: ((F.col("month") + 2) / 3).cast("int")}
 
 
 def _k(*parts):
@@ -67,23 +73,24 @@ TABLE_NAMES = {
 _YM = lambda: X.year_month_text("year", "month")
 
 GRAINS: dict[str, Grain] = {g.name: g for g in [
-    Grain("flight_date", ["carrier", "flight_num", "flight_date"], ["year", "quarter", "month"], None,
-          lambda: X.key("carrier", "flight_num", X.date_text("flight_date")), *TABLE_NAMES["flight_date"], ["year"]),
-    Grain("flight_year_month", ["carrier", "flight_num", "year", "month"], ["quarter"], "flight_date",
-          lambda: X.key("carrier", "flight_num", _YM()), *TABLE_NAMES["flight_year_month"], ["year"]),
-    Grain("flight_year", ["carrier", "flight_num", "year"], [], "flight_year_month",
+    Grain("flight_date", ["carrier", "flight_num", "flight_date"], None,
+          lambda: X.key("carrier", "flight_num", X.date_text("flight_date")), *TABLE_NAMES["flight_date"], ["year"],
+          _FROM_DATE),
+    Grain("flight_year_month", ["carrier", "flight_num", "year", "month"], "flight_date",
+          lambda: X.key("carrier", "flight_num", _YM()), *TABLE_NAMES["flight_year_month"], ["year"], _FROM_MONTH),
+    Grain("flight_year", ["carrier", "flight_num", "year"], "flight_year_month",
           _k("carrier", "flight_num", "year"), *TABLE_NAMES["flight_year"], ["year"]),
-    Grain("flight_quarter", ["carrier", "flight_num", "year", "quarter"], [], "flight_year_month",
+    Grain("flight_quarter", ["carrier", "flight_num", "year", "quarter"], "flight_year_month",
           _k("carrier", "flight_num", "year", "quarter"), *TABLE_NAMES["flight_quarter"], ["year"]),
-    Grain("flight_month", ["carrier", "flight_num", "month"], [], "flight_year_month",
+    Grain("flight_month", ["carrier", "flight_num", "month"], "flight_year_month",
           _k("carrier", "flight_num", "month"), *TABLE_NAMES["flight_month"], []),
-    Grain("date", ["carrier", "flight_date"], ["year", "quarter", "month"], "flight_date",
-          lambda: X.key("carrier", X.date_text("flight_date")), *TABLE_NAMES["date"], ["year"]),
-    Grain("year_month", ["carrier", "year", "month"], ["quarter"], "date",
-          lambda: X.key("carrier", _YM()), *TABLE_NAMES["year_month"], ["year"]),
-    Grain("year", ["carrier", "year"], [], "year_month",
+    Grain("date", ["carrier", "flight_date"], "flight_date",
+          lambda: X.key("carrier", X.date_text("flight_date")), *TABLE_NAMES["date"], ["year"], _FROM_DATE),
+    Grain("year_month", ["carrier", "year", "month"], "date",
+          lambda: X.key("carrier", _YM()), *TABLE_NAMES["year_month"], ["year"], _FROM_MONTH),
+    Grain("year", ["carrier", "year"], "year_month",
           _k("carrier", "year"), *TABLE_NAMES["year"], ["year"]),
-    Grain("month", ["carrier", "month"], [], "year_month",
+    Grain("month", ["carrier", "month"], "year_month",
           _k("carrier", "month"), *TABLE_NAMES["month"], []),
 ]}
 
@@ -94,24 +101,42 @@ for _g in GRAINS.values():
     TABLES[_g.count_table] = (_g.name, "count")
 
 
-def base_rollup(flights: DataFrame) -> DataFrame:
-    """Combined rollup at (carrier, flight, date) straight from flight rows.
+def operated(flights: DataFrame) -> DataFrame:
+    """Classified operated rows with the ``is_del`` marker: input of every rollup."""
+    return with_delay_marker(filter_operated(classify(flights)))
+
+
+def _derive(df: DataFrame, grain: str) -> DataFrame:
+    g = GRAINS[grain]
+    for name, fn in g.derived.items():
+        df = df.withColumn(name, fn())
+    return df
 
-    One shuffle, keyed on the high-cardinality (carrier, flight, date): no hot key even
-    if one carrier holds a third of all flights.
+
+def aggregate_flights(ops: DataFrame, grain: str) -> DataFrame:
+    """Combined rollup at ``grain`` straight from operated rows (see :func:`operated`).
+
+    One shuffle keyed on the grain's dimensions; partial aggregation runs map-side, so
+    a carrier holding a third of all rows sends at most one partial row per task and key.
     """
-    g = GRAINS["flight_date"]
-    ops = with_delay_marker(filter_operated(classify(flights)))
+    g = GRAINS[grain]
     aggs = [F.sum(F.col(flag) * F.col("is_del")).cast("long").alias(cnt) for flag, cnt in FLAG_TO_COUNTER]
     aggs += [F.sum("is_del").cast("long").alias("delayed_flights"),
              F.count("carrier").alias("num_flights")]
-    return ops.groupBy(*g.group_cols).agg(*aggs)
+    return _derive(ops.groupBy(*g.dims).agg(*aggs), grain)
+
+
+def base_rollup(flights: DataFrame) -> DataFrame:
+    """Combined rollup at the finest grain (carrier, flight, date); the shuffle key is
+    high-cardinality, so no hot key even if one carrier holds a third of all flights."""
+    return aggregate_flights(operated(flights), "flight_date")
 
 
 def reaggregate(finer: DataFrame, grain: str) -> DataFrame:
     """Coarser combined rollup from a finer one (sums of sums)."""
     g = GRAINS[grain]
-    return finer.groupBy(*g.group_cols).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+    out = finer.groupBy(*g.dims).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+    return _derive(out, grain)
 
 
 def with_key(df: DataFrame, grain: str) -> DataFrame:
@@ -132,13 +157,11 @@ def count_view(combined: DataFrame, grain: str) -> DataFrame:
 
 
 def lazy_rollups(flights: DataFrame) -> dict[str, DataFrame]:
-    """All combined grains as lazy DataFrames derived from ``flights`` (no action)."""
-    out: dict[str, DataFrame] = {"flight_date": base_rollup(flights)}
-    order = ["flight_year_month", "flight_year", "flight_quarter", "flight_month",
-             "date", "year_month", "year", "month"]
-    for name in order:
-        out[name] = reaggregate(out[GRAINS[name].parent], name)
-    return out
+    """All combined grains as lazy DataFrames, each aggregated straight from the operated
+    flights: one shuffle per grain instead of a chain of re-aggregations (the chain only
+    pays off when the finer grain is a written table, see ``plans.warehouse.build_all``)."""
+    ops = operated(flights)
+    return {name: aggregate_flights(ops, name) for name in GRAINS}
 
 
 def grouping_sets_rollup(date_grain: DataFrame) -> DataFrame:
