@@ -88,9 +88,11 @@ def _segment_filter(kind: str, s: dt.date, e: dt.date) -> Column:
         return ((F.col("flight_date") >= F.lit(s)) & (F.col("flight_date") < F.lit(e))
                 & (F.col("year") >= s.year) & (F.col("year") <= e.year))
     if kind == "month":
-        ym = F.col("year") * 100 + F.col("month")
-        return ((F.col("year") >= s.year) & (F.col("year") <= e.year)
-                & (ym >= s.year * 100 + s.month) & (ym < e.year * 100 + e.month))
+        # plain column comparisons (no arithmetic) so Parquet can use them as pushed filters
+        y, m = F.col("year"), F.col("month")
+        after_start = (y > s.year) | ((y == s.year) & (m >= s.month))
+        before_end = (y < e.year) | ((y == e.year) & (m < e.month))
+        return (y >= s.year) & (y <= e.year) & after_start & before_end
     if kind == "year":
         return (F.col("year") >= s.year) & (F.col("year") < e.year)
     raise ValueError(kind)

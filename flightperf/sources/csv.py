@@ -153,6 +153,10 @@ def to_ontime_text(flights: DataFrame) -> DataFrame:
 
 def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
                      partition_col: str | None = None, max_records_per_file: int = 0) -> None:
+    sc = flights.sparkSession.sparkContext
+    if flights.rdd.getNumPartitions() < sc.defaultParallelism:
+        # a small input read as one split would format all text in one task
+        flights = flights.repartition(sc.defaultParallelism)
     text = to_ontime_text(flights)
     w = text
     if partition_col:

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The application this engine re-creates is batch only: its jobs load every monthly file,
+build all rollups and store them; the data publisher refreshes quarterly and the jobs
+simply run again (``plans.warehouse.build_all`` overwrites, like a keyed put). It has no
+watermark, window, state or late-data handling to reproduce, so no Structured Streaming
+operator is built here.
+"""
