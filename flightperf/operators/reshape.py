@@ -46,15 +46,19 @@ def unpivot_categories(totals: DataFrame, ids: list[str]) -> DataFrame:
                        F.col("value").cast("long").alias("value"))
 
 
-def category_rows(totals: DataFrame, ids: list[str], drop_empty: bool = True) -> DataFrame:
+def category_rows(totals: DataFrame, ids: list[str], drop_empty: bool = True,
+                  on_time: str = "observed") -> DataFrame:
     """On Time + the six categories, one row each, as a narrow in-row generator (no join).
 
     ``drop_empty`` keeps On Time always and a category only if its count is at least 1.
+    ``on_time="observed"``: flights - sum of the six flags (the application's figure);
+    ``"exact"``: flights - delayed flights (a flight with several flags counted once).
     Output: ids..., num_flights, category_ord, category, value.
     """
     t = with_on_time(totals)
+    ot = F.col("on_time_exact") if on_time == "exact" else F.col("on_time")
     cells = [F.struct(F.lit(0).alias("category_ord"), F.lit("On Time").alias("category"),
-                      F.col("on_time").alias("value"))]
+                      ot.alias("value"))]
     for name, counter in CATEGORY_COLUMNS.items():
         cells.append(F.struct(F.lit(_ORD[name]).alias("category_ord"), F.lit(name).alias("category"),
                               F.col(counter).cast("long").alias("value")))

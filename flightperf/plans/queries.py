@@ -19,6 +19,7 @@ from flightperf.functions import exprs as X
 from flightperf.functions.dims import CARRIER_CODES, COUNTERS
 from flightperf.operators import classify as C
 from flightperf.operators import joins as J
+from flightperf.operators import keyed as K
 from flightperf.operators import reshape as RS
 from flightperf.operators import rollups as R
 from flightperf.plans import cover as CV
@@ -122,7 +123,7 @@ def q_key_point_read(spark, sf_dir):
     path = scratch_path(spark, "quarterly-delays")
     S.write_table(_wh(spark, sf_dir).delay("flight_quarter"), path, ["year"])
     t = S.read_table(spark, path)
-    return t.where(F.col("key").isin(POINT_KEYS)).select("key", "carrier", "flight_num", "year", "quarter", *COUNTERS)
+    return K.read_keys(t, POINT_KEYS).select("key", "carrier", "flight_num", "year", "quarter", *COUNTERS)
 
 
 def q_key_range_read(spark, sf_dir):

@@ -80,8 +80,8 @@ def _ensure_key_row(totals: DataFrame, ids: list[str], values: list) -> DataFram
     return u.groupBy(*ids).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
 
 
-def _category_report(totals: DataFrame, ids: list[str]) -> DataFrame:
-    rows = category_rows(totals, ids, drop_empty=True)
+def _category_report(totals: DataFrame, ids: list[str], on_time: str = "observed") -> DataFrame:
+    rows = category_rows(totals, ids, drop_empty=True, on_time=on_time)
     return rows.select(*ids, F.col("category_ord").cast("int").alias("category_ord"), "category",
                        F.col("value").cast("long").alias("value"),
                        X.guarded_ratio("value", "num_flights").alias("ratio"))
@@ -90,10 +90,12 @@ def _category_report(totals: DataFrame, ids: list[str]) -> DataFrame:
 # --- Q1 delay categorization ---------------------------------------------------
 
 def delay_category(wh, carrier: str | None = DEFAULT_CARRIER, start=DEFAULT_RANGE[0], end=DEFAULT_RANGE[1],
-                   inclusive_end: bool = False, use_cover: bool | None = None) -> DataFrame:
+                   inclusive_end: bool = False, use_cover: bool | None = None,
+                   on_time: str = "observed") -> DataFrame:
     """On Time + six delay categories as shares of operated flights over [start, end).
 
-    ``carrier=None`` answers every carrier with flights in the range."""
+    ``carrier=None`` answers every carrier with flights in the range. ``on_time="exact"``
+    counts a flight with several cause flags once (see ``operators.reshape.category_rows``)."""
     s, e = norm_range(start, end, inclusive_end)
     carrier = norm_carrier(carrier)
     t = range_totals(wh, s, e, "carrier", carrier, None, use_cover)
@@ -101,14 +103,14 @@ def delay_category(wh, carrier: str | None = DEFAULT_CARRIER, start=DEFAULT_RANG
         t = _ensure_key_row(t, ["carrier"], [carrier])
     else:
         t = t.where(F.col("num_flights") > 0)
-    return _category_report(t, ["carrier"])
+    return _category_report(t, ["carrier"], on_time)
 
 
 # --- Q2 delay by flight number ---------------------------------------------------
 
 def flight_delay(wh, carrier: str | None = DEFAULT_CARRIER, flight_num: str | None = None,
                  start=DEFAULT_RANGE[0], end=DEFAULT_RANGE[1], inclusive_end: bool = False,
-                 use_cover: bool | None = None) -> DataFrame:
+                 use_cover: bool | None = None, on_time: str = "observed") -> DataFrame:
     """Q1 for one carrier + flight number, or for every (carrier, flight) when both are None."""
     s, e = norm_range(start, end, inclusive_end)
     carrier = norm_carrier(carrier)
@@ -118,7 +120,7 @@ def flight_delay(wh, carrier: str | None = DEFAULT_CARRIER, flight_num: str | No
         t = _ensure_key_row(t, ids, [carrier, str(flight_num)])
     else:
         t = t.where(F.col("num_flights") > 0)
-    return _category_report(t, ids)
+    return _category_report(t, ids, on_time)
 
 
 # --- Q3 delay by season ----------------------------------------------------------
@@ -274,3 +276,16 @@ def report_json(report: DataFrame, ids: list[str], value: str = "ratio") -> Data
     item = lambda c: F.concat(F.lit('["'), c["category"], F.lit('", '), c[value].cast("string"), F.lit("]"))
     return g.select(*ids, F.concat(F.lit("["), F.array_join(F.transform("cells", item), ", "),
                                    F.lit("]")).alias("payload"))
+
+
+def for_display(report: DataFrame) -> DataFrame:
+    """Presentation order, applied at the edge only: carriers in list order, then the
+    report's own ordinals (season, category) and years ascending."""
+    from flightperf.functions.dims import carriers_df
+    order = carriers_df(report.sparkSession).select("carrier", "carrier_ord")
+    out = report.join(F.broadcast(order), on="carrier", how="left")
+    keys = [F.col("carrier_ord").asc_nulls_last(), F.col("carrier")]
+    for c in ("flight_num", "holiday", "year", "season_ord", "category_ord"):
+        if c in report.columns:
+            keys.append(F.col(c))
+    return out.orderBy(*keys).drop("carrier_ord")

@@ -111,3 +111,22 @@ def test_report_json(wh):
     assert payload.startswith('[["On Time", 0.735063]')
     import json
     assert len(json.loads(payload)) == 7
+
+
+def test_exact_on_time_and_display_order(wh):
+    rows = {r.category: r.value for r in Q.delay_category(wh, "AA", *R1, on_time="exact").collect()}
+    assert rows["On Time"] == 1272 - 279          # operated - delayed (FIXTURES numbers)
+    shown = Q.for_display(Q.delay_category(wh, None, *R1)).collect()
+    assert shown[0].carrier == "9E" and shown[0].category_ord == 0
+    assert [r.category_ord for r in shown[:7]] == sorted(r.category_ord for r in shown[:7])
+
+
+def test_keyed_reads(spark, wh):
+    from flightperf.operators import keyed as K
+    t = wh.count("date")
+    keys = [r.key for r in t.limit(5).collect()]
+    assert sorted(r.key for r in K.read_keys(t, keys + ["ZZ_1900-01-01"]).collect()) == sorted(keys)
+    many = [f"XX_{i}" for i in range(1500)] + keys[:2]
+    assert sorted(r.key for r in K.read_keys(t, many).collect()) == sorted(keys[:2])
+    rng = K.read_key_range(t, "AA_1996-03-15", "AA_1999-11-20")
+    assert rng.agg(F.sum("num_flights")).collect()[0][0] == 1272
