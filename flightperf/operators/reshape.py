@@ -15,11 +15,10 @@ def with_on_time(totals: DataFrame) -> DataFrame:
     (as the application computes it; a flight with several flags is subtracted several
     times, so it can go negative) and ``on_time_exact`` = flights - delayed flights."""
     flag_total = sum((F.col(c) for c in COUNTERS), F.lit(0)).cast("long")
-    out = totals.withColumn("flag_total", flag_total)
-    out = out.withColumn("on_time", (F.col("num_flights") - F.col("flag_total")).cast("long"))
+    extra = [flag_total.alias("flag_total"), (F.col("num_flights") - flag_total).cast("long").alias("on_time")]
     if "delayed_flights" in totals.columns:
-        out = out.withColumn("on_time_exact", (F.col("num_flights") - F.col("delayed_flights")).cast("long"))
-    return out
+        extra.append((F.col("num_flights") - F.col("delayed_flights")).cast("long").alias("on_time_exact"))
+    return totals.select("*", *extra)
 
 
 def _label_of_counter():

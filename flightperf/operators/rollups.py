@@ -108,9 +108,9 @@ def operated(flights: DataFrame) -> DataFrame:
 
 def _derive(df: DataFrame, grain: str) -> DataFrame:
     g = GRAINS[grain]
-    for name, fn in g.derived.items():
-        df = df.withColumn(name, fn())
-    return df
+    if not g.derived:
+        return df
+    return df.select("*", *[fn().alias(name) for name, fn in g.derived.items()])
 
 
 def aggregate_flights(ops: DataFrame, grain: str) -> DataFrame:

@@ -8,6 +8,8 @@ then each coarser grain re-aggregated from the written table one level finer.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,12 @@ SORT_KEYS = {
 
 
 class Warehouse:
-    def __init__(self, grains: dict[str, DataFrame], path: str | None = None):
-        self._grains = grains
+    """Grain name -> combined rollup DataFrame. Grains are built on first access, so a
+    report touching two grains only plans those two."""
+
+    def __init__(self, factory: Callable[[str], DataFrame], path: str | None = None):
+        self._factory = factory
+        self._grains: dict[str, DataFrame] = {}
         self.path = path
 
     @property
@@ -43,20 +49,25 @@ class Warehouse:
 
     @classmethod
     def from_flights(cls, flights: DataFrame) -> "Warehouse":
-        return cls(R.lazy_rollups(flights))
+        ops = R.operated(flights)
+        return cls(lambda g: R.aggregate_flights(ops, g))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Warehouse":
-        return cls({g: spark.read.parquet(f"{path}/{g}") for g in BUILD_ORDER}, path)
+        return cls(lambda g: spark.read.parquet(f"{path}/{g}"), path)
 
     def grain(self, name: str) -> DataFrame:
+        if name not in R.GRAINS:
+            raise KeyError(f"unknown grain {name!r}; known: {sorted(R.GRAINS)}")
+        if name not in self._grains:
+            self._grains[name] = self._factory(name)
         return self._grains[name]
 
     def delay(self, grain: str) -> DataFrame:
-        return R.delay_view(self._grains[grain], grain)
+        return R.delay_view(self.grain(grain), grain)
 
     def count(self, grain: str) -> DataFrame:
-        return R.count_view(self._grains[grain], grain)
+        return R.count_view(self.grain(grain), grain)
 
     def table(self, name: str) -> DataFrame:
         """A table by its application name, e.g. ``delay_date_count`` or ``year_fcount``."""

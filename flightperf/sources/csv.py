@@ -160,7 +160,9 @@ def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
     text = to_ontime_text(flights)
     w = text
     if partition_col:
-        w = text.withColumn("_part", F.substring("FlightDate", 1, 7))
+        # one folder per month; AQE rebalance sizes the files (a big month is split, small
+        # ones are not scattered over every task)
+        w = text.withColumn("_part", F.substring("FlightDate", 1, 7)).hint("rebalance", "_part")
     writer = (w.write.mode("overwrite").options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"})
               .option("header", header).option("quoteAll", False).option("emptyValue", ""))
     if max_records_per_file:
