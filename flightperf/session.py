@@ -20,6 +20,22 @@ ENGINE_CONF = {
 }
 
 
+def cluster_conf(total_cores: int, input_bytes: int) -> dict[str, str]:
+    """Suggested settings for a cluster run, sized from the cores and the raw input size.
+
+    Shuffle partitions start at ~one per 128 MB of input (at least 2 waves of tasks) and
+    AQE coalesces the small ones and splits skewed ones at run time; input splits of
+    256 MB keep file-open overhead low on very large scans.
+    """
+    parts = max(2 * total_cores, input_bytes // (128 << 20))
+    return {
+        "spark.sql.shuffle.partitions": str(int(parts)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "flightperf", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine settings.

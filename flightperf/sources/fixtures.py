@@ -25,6 +25,16 @@ def _round_int(c):
     return F.round(c).cast("int")
 
 
+def _as_utc_date(dtype, c):
+    """Calendar date of a ship timestamp, independent of the session time zone."""
+    if isinstance(dtype, T.TimestampType):
+        # instant semantics: take the UTC day from epoch microseconds
+        return F.date_from_unix_date(F.floor(F.unix_micros(c) / 86_400_000_000).cast("int"))
+    if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
+        return c.cast("date")
+    return F.to_date(c)
+
+
 def flights_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Map lineitem rows to flights. Only 8 lineitem columns are read (column pruning)."""
     li = F.col
@@ -33,7 +43,7 @@ def flights_from_lineitem(lineitem: DataFrame) -> DataFrame:
         li("l_orderkey"), li("l_linenumber"),
         carrier.alias("carrier"),
         (li("l_partkey") % 40 + 1).cast("string").alias("flight_num"),
-        li("l_shipdate").cast("date").alias("flight_date"),
+        _as_utc_date(lineitem.schema["l_shipdate"].dataType, li("l_shipdate")).alias("flight_date"),
         _round_int(li("l_quantity")).alias("q"),
         _round_int(li("l_discount") * 100).alias("d"),
         _round_int(li("l_tax") * 100).alias("t"),
