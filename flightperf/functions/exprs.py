@@ -1,5 +1,11 @@
-"""Column expressions used across the engine. All are built-in Spark functions,
-so they stay inside whole-stage codegen; nothing here runs Python per row."""
+"""Column expressions used across the engine.
+
+All are built-in Spark SQL functions, so they stay inside whole-stage codegen; nothing
+here runs Python per row. Each expression is written once as SQL text (``*_sql``) and
+handed to Spark in a single call (``F.expr``): building a plan then costs one driver round
+trip per expression instead of one per sub-expression. Arguments are column names or SQL
+text of other expressions.
+"""
 
 from __future__ import annotations
 
@@ -9,109 +15,148 @@ from pyspark.sql import functions as F
 from flightperf.functions.dims import CAUSE_TO_FLAG, FIXED_HOLIDAYS, THANKSGIVING
 
 
-def col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def E(sql: str, alias: str | None = None) -> Column:
+    """SQL text -> Column (optionally named)."""
+    c = F.expr(sql)
+    return c.alias(alias) if alias else c
 
 
 # --- typing ----------------------------------------------------------------
 
-def lenient_int(c) -> Column:
-    """Text -> int the way the flight loader types numbers: numeric text such as
-    ``1.00`` or ``-5.00`` becomes 1 / -5 (fraction truncated), anything else NULL.
-    Never raises under ANSI mode."""
-    return col(c).try_cast("double").try_cast("int")
+def lenient_int_sql(c: str) -> str:
+    """Numeric text such as ``1.00`` / ``-5.00`` -> 1 / -5 (fraction truncated), anything
+    else NULL. Never raises under ANSI mode."""
+    return f"try_cast(try_cast({c} AS DOUBLE) AS INT)"
+
+
+def lenient_int(c: str) -> Column:
+    return E(lenient_int_sql(c))
 
 
 # --- classification ----------------------------------------------------------
 
-def cause_flag(c) -> Column:
+def cause_flag_sql(c: str) -> str:
     """0 when the cause minutes are NULL or exactly 0, else 1 (negative counts too)."""
-    c = col(c)
-    return F.when(c.isNull() | (c == 0), F.lit(0)).otherwise(F.lit(1))
+    return f"CASE WHEN {c} IS NULL OR {c} = 0 THEN 0 ELSE 1 END"
 
 
-def other_flag(flag_cols: list[str] | None = None) -> Column:
+def cause_flag(c: str) -> Column:
+    return E(cause_flag_sql(c))
+
+
+def other_flag_sql(flag_cols: list[str] | None = None) -> str:
     """Unclassified: 1 iff none of the five cause flags is set."""
     flags = flag_cols or [f for _, f in CAUSE_TO_FLAG]
-    any_set = F.lit(False)
-    for f in flags:
-        any_set = any_set | (F.col(f) == 1)
-    return F.when(any_set, F.lit(0)).otherwise(F.lit(1))
+    return "CASE WHEN " + " OR ".join(f"{f} = 1" for f in flags) + " THEN 0 ELSE 1 END"
+
+
+def other_flag(flag_cols: list[str] | None = None) -> Column:
+    return E(other_flag_sql(flag_cols))
+
+
+# SQL three-valued logic: a NULL ``cancelled`` is neither operated nor delayed.
+OPERATED_SQL = "cancelled <> 1"
+DELAYED_SQL = "arr_delay IS NOT NULL AND arr_del15 = 1 AND cancelled <> 1"
 
 
 def is_operated() -> Column:
-    """Not cancelled. SQL three-valued logic: a NULL ``cancelled`` is not kept."""
-    return F.col("cancelled") != 1
+    """Not cancelled."""
+    return E(OPERATED_SQL)
 
 
 def is_delayed() -> Column:
     """Arrived 15+ minutes late and operated; a NULL in any test drops the row."""
-    return F.col("arr_delay").isNotNull() & (F.col("arr_del15") == 1) & (F.col("cancelled") != 1)
+    return E(DELAYED_SQL)
 
 
 # --- keys --------------------------------------------------------------------
 
-def key(*parts) -> Column:
-    """``_``-joined composite key; NULL if any part is NULL (never concat_ws)."""
-    cols = []
+def key_sql(*parts: str) -> str:
+    """``_``-joined composite key; NULL if any part is NULL (``concat``, never ``concat_ws``)."""
+    cells = []
     for i, p in enumerate(parts):
         if i:
-            cols.append(F.lit("_"))
-        cols.append(col(p).cast("string"))
-    return F.concat(*cols)
+            cells.append("'_'")
+        cells.append(f"CAST({p} AS STRING)")
+    return "concat(" + ", ".join(cells) + ")"
+
+
+def key(*parts: str) -> Column:
+    return E(key_sql(*parts))
+
+
+def date_text_sql(c: str) -> str:
+    return f"date_format({c}, 'yyyy-MM-dd')"
 
 
-def date_text(c) -> Column:
-    return F.date_format(col(c), "yyyy-MM-dd")
+def date_text(c: str) -> Column:
+    return E(date_text_sql(c))
 
 
-def year_month_text(year, month) -> Column:
+def year_month_text_sql(year: str, month: str) -> str:
     """``2014-06`` from int year and month."""
-    return F.concat(col(year).cast("string"), F.lit("-"), F.lpad(col(month).cast("string"), 2, "0"))
+    return f"concat(CAST({year} AS STRING), '-', lpad(CAST({month} AS STRING), 2, '0'))"
+
+
+def year_month_text(year: str, month: str) -> Column:
+    return E(year_month_text_sql(year, month))
 
 
 # --- ratios ------------------------------------------------------------------
 
-def guarded_ratio(num, den, scale: int = 6) -> Column:
+def guarded_ratio_sql(num: str, den: str, scale: int = 6) -> str:
     """num / den, 0 when den is 0 or NULL, rounded for stable comparison."""
-    return F.round(F.coalesce(F.try_divide(col(num).cast("double"), col(den).cast("double")), F.lit(0.0)), scale)
+    return f"round(coalesce(try_divide(CAST({num} AS DOUBLE), CAST({den} AS DOUBLE)), 0.0D), {scale})"
+
+
+def guarded_ratio(num: str, den: str, scale: int = 6) -> Column:
+    return E(guarded_ratio_sql(num, den, scale))
 
 
-def percent(num, den) -> Column:
+def percent(num: str, den: str) -> Column:
     """Share as a percentage with two decimals (chart label format)."""
-    return F.round(F.coalesce(F.try_divide(col(num).cast("double") * 100.0, col(den).cast("double")),
-                              F.lit(0.0)), 2)
+    return E(f"round(coalesce(try_divide(CAST({num} AS DOUBLE) * 100.0D, CAST({den} AS DOUBLE)), 0.0D), 2)")
 
 
 # --- dates -------------------------------------------------------------------
 
-def mdy_to_iso(c) -> Column:
+def mdy_to_iso_sql(c: str) -> str:
     """``MM/DD/YYYY`` text -> ``YYYY-MM-DD`` text by rearranging the parts; empty stays empty."""
-    c = col(c)
-    parts = F.split(c, "/")
-    iso = F.concat(F.element_at(parts, 3), F.lit("-"), F.element_at(parts, 1), F.lit("-"), F.element_at(parts, 2))
-    return F.when(c == "", F.lit("")).otherwise(iso)
+    part = lambda i: f"element_at(split({c}, '/'), {i})"
+    return f"CASE WHEN {c} = '' THEN '' ELSE concat({part(3)}, '-', {part(1)}, '-', {part(2)}) END"
 
 
-def thanksgiving(year) -> Column:
+def mdy_to_iso(c: str) -> Column:
+    return E(mdy_to_iso_sql(c))
+
+
+def thanksgiving_sql(year: str) -> str:
     """Fourth Thursday of November of ``year``."""
-    return F.date_add(F.next_day(F.make_date(col(year), F.lit(10), F.lit(31)), "THU"), 21)
+    return f"date_add(next_day(make_date({year}, 10, 31), 'THU'), 21)"
+
 
+def thanksgiving(year: str) -> Column:
+    return E(thanksgiving_sql(year))
 
-def holiday_date(name: str, year) -> Column:
-    """Date of a named holiday in ``year`` (int column)."""
+
+def holiday_month(name: str) -> int:
     if name == THANKSGIVING:
-        return thanksgiving(year)
-    for n, m, d in FIXED_HOLIDAYS:
+        return 11
+    for n, m, _ in FIXED_HOLIDAYS:
         if n == name:
-            return F.make_date(col(year), F.lit(m), F.lit(d))
+            return m
     raise ValueError(f"unknown holiday {name!r}")
 
 
-def holiday_date_by_name(name_col, year) -> Column:
-    """Same as :func:`holiday_date` with the name as a column."""
-    name_col = col(name_col)
-    expr = F.when(name_col == THANKSGIVING, thanksgiving(year))
+def holiday_date_sql(name: str, year: str) -> str:
+    """Date of a named holiday in ``year`` (int column or SQL)."""
+    if name == THANKSGIVING:
+        return thanksgiving_sql(year)
     for n, m, d in FIXED_HOLIDAYS:
-        expr = expr.when(name_col == n, F.make_date(col(year), F.lit(m), F.lit(d)))
-    return expr
+        if n == name:
+            return f"make_date({year}, {m}, {d})"
+    raise ValueError(f"unknown holiday {name!r}")
+
+
+def holiday_date(name: str, year: str) -> Column:
+    return E(holiday_date_sql(name, year))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from flightperf.functions import exprs as X
 from flightperf.functions.dims import CAUSE_TO_FLAG
@@ -24,16 +23,17 @@ def project_flights(df: DataFrame, with_causes: bool = True) -> DataFrame:
 def classify_causes(df: DataFrame) -> DataFrame:
     """Replace the five cause-minute columns by 0/1 flags."""
     keep = [c for c in df.columns if c not in CAUSE_COLUMNS]
-    return df.select(*keep, *[X.cause_flag(c).alias(f) for c, f in CAUSE_TO_FLAG])
+    return df.selectExpr(*keep, *[f"{X.cause_flag_sql(c)} AS {f}" for c, f in CAUSE_TO_FLAG])
 
 
 def classify_other(df: DataFrame) -> DataFrame:
     """Add ``other_b`` (unclassified delay) to flagged rows."""
-    return df.withColumn("other_b", X.other_flag())
+    return df.selectExpr("*", f"{X.other_flag_sql()} AS other_b")
 
 
 def classify(df: DataFrame) -> DataFrame:
-    """Both classification steps: five flags + unclassified."""
+    """Both classification steps: five flags + unclassified (Catalyst collapses the
+    projections into one)."""
     return classify_other(classify_causes(project_flights(df)))
 
 
@@ -47,4 +47,4 @@ def filter_delayed(df: DataFrame) -> DataFrame:
 
 def with_delay_marker(df: DataFrame) -> DataFrame:
     """Operated rows keep one int ``is_del`` so delay and count families share one pass."""
-    return df.withColumn("is_del", F.when(X.is_delayed(), F.lit(1)).otherwise(F.lit(0)))
+    return df.selectExpr("*", f"CASE WHEN {X.DELAYED_SQL} THEN 1 ELSE 0 END AS is_del")

@@ -14,35 +14,20 @@ def with_on_time(totals: DataFrame) -> DataFrame:
     """Add ``flag_total`` (sum of the six counters), ``on_time`` = flights - flag_total
     (as the application computes it; a flight with several flags is subtracted several
     times, so it can go negative) and ``on_time_exact`` = flights - delayed flights."""
-    flag_total = sum((F.col(c) for c in COUNTERS), F.lit(0)).cast("long")
-    extra = [flag_total.alias("flag_total"), (F.col("num_flights") - flag_total).cast("long").alias("on_time")]
+    flag_total = "CAST(" + " + ".join(COUNTERS) + " AS BIGINT)"
+    extra = [f"{flag_total} AS flag_total", f"CAST(num_flights - {flag_total} AS BIGINT) AS on_time"]
     if "delayed_flights" in totals.columns:
-        extra.append((F.col("num_flights") - F.col("delayed_flights")).cast("long").alias("on_time_exact"))
-    return totals.select("*", *extra)
-
-
-def _label_of_counter():
-    expr = None
-    for name, counter in CATEGORY_COLUMNS.items():
-        cond = F.col("counter") == counter
-        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
-    return expr
-
-
-def _ord_of_counter():
-    expr = None
-    for name, counter in CATEGORY_COLUMNS.items():
-        cond = F.col("counter") == counter
-        expr = F.when(cond, F.lit(_ORD[name])) if expr is None else expr.when(cond, F.lit(_ORD[name]))
-    return expr
+        extra.append("CAST(num_flights - delayed_flights AS BIGINT) AS on_time_exact")
+    return totals.selectExpr("*", *extra)
 
 
 def unpivot_categories(totals: DataFrame, ids: list[str]) -> DataFrame:
     """Six counter columns -> six rows (ids..., category_ord, category, value)."""
-    long = totals.select(*ids, *[F.col(c).cast("long").alias(c) for c in COUNTERS]).unpivot(
+    long = totals.selectExpr(*ids, *[f"CAST({c} AS BIGINT) AS {c}" for c in COUNTERS]).unpivot(
         ids, COUNTERS, "counter", "value")
-    return long.select(*ids, _ord_of_counter().alias("category_ord"), _label_of_counter().alias("category"),
-                       F.col("value").cast("long").alias("value"))
+    label = "CASE counter " + " ".join(f"WHEN '{c}' THEN '{n}'" for n, c in CATEGORY_COLUMNS.items()) + " END"
+    ordn = "CASE counter " + " ".join(f"WHEN '{c}' THEN {_ORD[n]}" for n, c in CATEGORY_COLUMNS.items()) + " END"
+    return long.selectExpr(*ids, f"{ordn} AS category_ord", f"{label} AS category", "CAST(value AS BIGINT) AS value")
 
 
 def category_rows(totals: DataFrame, ids: list[str], drop_empty: bool = True,
@@ -55,15 +40,14 @@ def category_rows(totals: DataFrame, ids: list[str], drop_empty: bool = True,
     Output: ids..., num_flights, category_ord, category, value.
     """
     t = with_on_time(totals)
-    ot = F.col("on_time_exact") if on_time == "exact" else F.col("on_time")
-    cells = [F.struct(F.lit(0).alias("category_ord"), F.lit("On Time").alias("category"),
-                      ot.alias("value"))]
+    ot = "on_time_exact" if on_time == "exact" else "on_time"
+    cells = [f"named_struct('category_ord', 0, 'category', 'On Time', 'value', {ot})"]
     for name, counter in CATEGORY_COLUMNS.items():
-        cells.append(F.struct(F.lit(_ORD[name]).alias("category_ord"), F.lit(name).alias("category"),
-                              F.col(counter).cast("long").alias("value")))
-    out = t.select(*ids, "num_flights", F.inline(F.array(*cells)))
+        cells.append(f"named_struct('category_ord', {_ORD[name]}, 'category', '{name}', "
+                     f"'value', CAST({counter} AS BIGINT))")
+    out = t.selectExpr(*ids, "num_flights", f"inline(array({', '.join(cells)}))")
     if drop_empty:
-        out = out.where((F.col("category_ord") == 0) | (F.col("value") >= 1))
+        out = out.where("category_ord = 0 OR value >= 1")
     return out
 
 
@@ -74,12 +58,8 @@ def pivot_seasons(flights_by_quarter: DataFrame, ids: list[str], labels: str = "
     Uses ``pivot`` with the value list given, so Spark needs no extra job to find values.
     """
     names = SEASON_LABELS[labels]
-    expr = None
-    for q, name in names.items():
-        cond = F.col("quarter") == q
-        expr = F.when(cond, F.lit(name.lower())) if expr is None else expr.when(cond, F.lit(name.lower()))
-    season = expr
+    season = "CASE quarter " + " ".join(f"WHEN {q} THEN '{n.lower()}'" for q, n in names.items()) + " END"
     order = [names[q].lower() for q in sorted(names)]
-    piv = (flights_by_quarter.withColumn("season", season)
+    piv = (flights_by_quarter.selectExpr("*", f"{season} AS season")
            .groupBy(*ids).pivot("season", order).agg(F.sum(measure)))
-    return piv.select(*ids, *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s) for s in order])
+    return piv.selectExpr(*ids, *[f"CAST(coalesce({s}, 0) AS BIGINT) AS {s}" for s in order])

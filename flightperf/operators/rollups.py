@@ -15,10 +15,7 @@ rollup instead of the raw flights (map-side partial aggregation applies at each
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Callable
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from flightperf.functions import exprs as X
 from flightperf.functions.dims import COUNTERS, FLAG_TO_COUNTER
@@ -32,25 +29,23 @@ class Grain:
     name: str
     dims: list[str]                 # group columns = public dimensions
     parent: str | None              # finer grain it is re-aggregated from when materialized
-    key: Callable[[], Column]
+    key_sql: str                    # SQL text of the composite key
     delay_table: str
     count_table: str
     partition_by: list[str] = field(default_factory=list)
-    # columns derived after aggregation (functions of the dims, so they never widen the
-    # shuffle key and the output stays hash-partitioned on the dims)
-    derived: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    # columns derived after aggregation, as SQL text (functions of the dims, so they never
+    # widen the shuffle key and the output stays hash-partitioned on the dims)
+    derived: dict[str, str] = field(default_factory=dict)
 
+    def key(self) -> Column:
+        return X.E(self.key_sql)
 
-_FROM_DATE = {
-    "year": lambda: F.year("flight_date"),
-    "quarter": lambda: F.quarter("flight_date"),
-    "month": lambda: F.month("flight_date"),
-}
-_FROM_MONTH = {"quarter": lambda: ((F.col("month") + 2) / 3).cast("int")}
+
+_FROM_DATE = {"year": "year(flight_date)", "quarter": "quarter(flight_date)", "month": "month(flight_date)"}
+_FROM_MONTH = {"quarter": "CAST((month + 2) DIV 3 AS INT)"}
 
 
-def _k(*parts):
-    return lambda: X.key(*parts)
+_k = X.key_sql
 
 
 # ---------------------------------------------------------------------------
@@ -70,14 +65,15 @@ TABLE_NAMES = {
 # END FIXED VALUES
 # ---------------------------------------------------------------------------
 
-_YM = lambda: X.year_month_text("year", "month")
+_YM = X.year_month_text_sql("year", "month")
+_DT = X.date_text_sql("flight_date")
 
 GRAINS: dict[str, Grain] = {g.name: g for g in [
     Grain("flight_date", ["carrier", "flight_num", "flight_date"], None,
-          lambda: X.key("carrier", "flight_num", X.date_text("flight_date")), *TABLE_NAMES["flight_date"], ["year"],
+          _k("carrier", "flight_num", _DT), *TABLE_NAMES["flight_date"], ["year"],
           _FROM_DATE),
     Grain("flight_year_month", ["carrier", "flight_num", "year", "month"], "flight_date",
-          lambda: X.key("carrier", "flight_num", _YM()), *TABLE_NAMES["flight_year_month"], ["year"], _FROM_MONTH),
+          _k("carrier", "flight_num", _YM), *TABLE_NAMES["flight_year_month"], ["year"], _FROM_MONTH),
     Grain("flight_year", ["carrier", "flight_num", "year"], "flight_year_month",
           _k("carrier", "flight_num", "year"), *TABLE_NAMES["flight_year"], ["year"]),
     Grain("flight_quarter", ["carrier", "flight_num", "year", "quarter"], "flight_year_month",
@@ -85,9 +81,9 @@ GRAINS: dict[str, Grain] = {g.name: g for g in [
     Grain("flight_month", ["carrier", "flight_num", "month"], "flight_year_month",
           _k("carrier", "flight_num", "month"), *TABLE_NAMES["flight_month"], []),
     Grain("date", ["carrier", "flight_date"], "flight_date",
-          lambda: X.key("carrier", X.date_text("flight_date")), *TABLE_NAMES["date"], ["year"], _FROM_DATE),
+          _k("carrier", _DT), *TABLE_NAMES["date"], ["year"], _FROM_DATE),
     Grain("year_month", ["carrier", "year", "month"], "date",
-          lambda: X.key("carrier", _YM()), *TABLE_NAMES["year_month"], ["year"], _FROM_MONTH),
+          _k("carrier", _YM), *TABLE_NAMES["year_month"], ["year"], _FROM_MONTH),
     Grain("year", ["carrier", "year"], "year_month",
           _k("carrier", "year"), *TABLE_NAMES["year"], ["year"]),
     Grain("month", ["carrier", "month"], "year_month",
@@ -110,7 +106,7 @@ def _derive(df: DataFrame, grain: str) -> DataFrame:
     g = GRAINS[grain]
     if not g.derived:
         return df
-    return df.select("*", *[fn().alias(name) for name, fn in g.derived.items()])
+    return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in g.derived.items()])
 
 
 def aggregate_flights(ops: DataFrame, grain: str) -> DataFrame:
@@ -120,10 +116,9 @@ def aggregate_flights(ops: DataFrame, grain: str) -> DataFrame:
     a carrier holding a third of all rows sends at most one partial row per task and key.
     """
     g = GRAINS[grain]
-    aggs = [F.sum(F.col(flag) * F.col("is_del")).cast("long").alias(cnt) for flag, cnt in FLAG_TO_COUNTER]
-    aggs += [F.sum("is_del").cast("long").alias("delayed_flights"),
-             F.count("carrier").alias("num_flights")]
-    return _derive(ops.groupBy(*g.dims).agg(*aggs), grain)
+    aggs = [f"CAST(sum({flag} * is_del) AS BIGINT) AS {cnt}" for flag, cnt in FLAG_TO_COUNTER]
+    aggs += ["CAST(sum(is_del) AS BIGINT) AS delayed_flights", "count(carrier) AS num_flights"]
+    return _derive(ops.groupBy(*g.dims).agg(*[X.E(a) for a in aggs]), grain)
 
 
 def base_rollup(flights: DataFrame) -> DataFrame:
@@ -135,25 +130,25 @@ def base_rollup(flights: DataFrame) -> DataFrame:
 def reaggregate(finer: DataFrame, grain: str) -> DataFrame:
     """Coarser combined rollup from a finer one (sums of sums)."""
     g = GRAINS[grain]
-    out = finer.groupBy(*g.dims).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+    out = finer.groupBy(*g.dims).agg(*[X.E(f"CAST(sum({m}) AS BIGINT) AS {m}") for m in MEASURES])
     return _derive(out, grain)
 
 
 def with_key(df: DataFrame, grain: str) -> DataFrame:
-    return df.withColumn("key", GRAINS[grain].key())
+    return df.selectExpr("*", f"{GRAINS[grain].key_sql} AS key")
 
 
 def delay_view(combined: DataFrame, grain: str) -> DataFrame:
     """Delay-family table: key, dims, six counters; only groups with a delayed flight."""
     g = GRAINS[grain]
-    return (combined.where(F.col("delayed_flights") > 0)
-            .select(g.key().alias("key"), *g.dims, *COUNTERS))
+    return (combined.where("delayed_flights > 0")
+            .selectExpr(f"{g.key_sql} AS key", *g.dims, *COUNTERS))
 
 
 def count_view(combined: DataFrame, grain: str) -> DataFrame:
     """Count-family table: key, dims, num_flights; every group with an operated row."""
     g = GRAINS[grain]
-    return combined.select(g.key().alias("key"), *g.dims, "num_flights")
+    return combined.selectExpr(f"{g.key_sql} AS key", *g.dims, "num_flights")
 
 
 def lazy_rollups(flights: DataFrame) -> dict[str, DataFrame]:
@@ -172,6 +167,5 @@ def grouping_sets_rollup(date_grain: DataFrame) -> DataFrame:
     sets = [["carrier", "flight_date"], ["carrier", "year"], ["carrier", "year", "month"], ["carrier", "month"]]
     return (date_grain
             .groupingSets(sets, "carrier", "flight_date", "year", "month")
-            .agg(F.grouping_id().cast("int").alias("gid"),
-                 *[F.sum(c).cast("long").alias(c) for c in COUNTERS],
-                 F.sum("num_flights").cast("long").alias("num_flights")))
+            .agg(X.E("CAST(grouping_id() AS INT) AS gid"),
+                 *[X.E(f"CAST(sum({c}) AS BIGINT) AS {c}") for c in COUNTERS + ["num_flights"]]))

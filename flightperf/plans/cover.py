@@ -81,23 +81,25 @@ def cover_segments(start: Column, end: Column) -> Column:
     return F.filter(segs, lambda s: s["seg_start"] < s["seg_end"])
 
 
-def _segment_filter(kind: str, s: dt.date, e: dt.date) -> Column:
-    """Predicate selecting one segment's rows from its rollup. Year bounds are added
-    explicitly so the scan prunes ``year`` partitions of a written rollup."""
+def _segment_filter(kind: str, s: dt.date, e: dt.date) -> str:
+    """Predicate (SQL text) selecting one segment's rows from its rollup: plain column
+    comparisons, so Parquet gets them as pushed filters, plus explicit year bounds so the
+    scan prunes ``year`` partitions of a written rollup."""
     if kind == "day":
-        return ((F.col("flight_date") >= F.lit(s)) & (F.col("flight_date") < F.lit(e))
-                & (F.col("year") >= s.year) & (F.col("year") <= e.year))
+        return (f"flight_date >= DATE'{s.isoformat()}' AND flight_date < DATE'{e.isoformat()}' "
+                f"AND year >= {s.year} AND year <= {e.year}")
     if kind == "month":
-        # plain column comparisons (no arithmetic) so Parquet can use them as pushed filters
-        y, m = F.col("year"), F.col("month")
-        after_start = (y > s.year) | ((y == s.year) & (m >= s.month))
-        before_end = (y < e.year) | ((y == e.year) & (m < e.month))
-        return (y >= s.year) & (y <= e.year) & after_start & before_end
+        return (f"year >= {s.year} AND year <= {e.year} "
+                f"AND (year > {s.year} OR (year = {s.year} AND month >= {s.month})) "
+                f"AND (year < {e.year} OR (year = {e.year} AND month < {e.month}))")
     if kind == "year":
-        return (F.col("year") >= s.year) & (F.col("year") < e.year)
+        return f"year >= {s.year} AND year < {e.year}"
     raise ValueError(kind)
 
 
+_SUMS = [f"CAST(sum({m}) AS BIGINT) AS {m}" for m in MEASURES]
+
+
 def union_segments(wh, start: dt.date, end: dt.date, level: str = "carrier",
                    key_filter: Column | None = None) -> DataFrame:
     """Per-key sums of all measures over [start, end), read through the cover.
@@ -108,26 +110,24 @@ def union_segments(wh, start: dt.date, end: dt.date, level: str = "carrier",
     ids = LEVEL_IDS[level]
     parts = []
     for kind, s, e in date_cover(start, end):
-        g = wh.grain(LEVEL_GRAINS[level][kind])
-        cond = _segment_filter(kind, s, e)
+        g = wh.grain(LEVEL_GRAINS[level][kind]).where(_segment_filter(kind, s, e))
         if key_filter is not None:
-            cond = cond & key_filter
-        parts.append(g.where(cond).select(*ids, *MEASURES))
+            g = g.where(key_filter)
+        parts.append(g.select(*ids, *MEASURES))
     if not parts:  # empty range: keep the schema, no rows
         g = wh.grain(LEVEL_GRAINS[level]["day"])
-        parts.append(g.where(F.lit(False)).select(*ids, *MEASURES))
+        parts.append(g.where("false").select(*ids, *MEASURES))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy(*ids).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+    return u.groupBy(*ids).agg(*[F.expr(a) for a in _SUMS])
 
 
 def direct_range(wh, start: dt.date, end: dt.date, level: str = "carrier",
                  key_filter: Column | None = None) -> DataFrame:
     """Per-key sums over [start, end) from the daily rollup only."""
     ids = LEVEL_IDS[level]
-    g = wh.grain(LEVEL_GRAINS[level]["day"])
-    cond = _segment_filter("day", start, end)
+    g = wh.grain(LEVEL_GRAINS[level]["day"]).where(_segment_filter("day", start, end))
     if key_filter is not None:
-        cond = cond & key_filter
-    return g.where(cond).groupBy(*ids).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
+        g = g.where(key_filter)
+    return g.groupBy(*ids).agg(*[F.expr(a) for a in _SUMS])

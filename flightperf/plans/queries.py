@@ -48,8 +48,8 @@ SCAN_COLUMNS = ["carrier", "flight_num", "flight_date", "arr_delay", "arr_del15"
 
 def text_dates(df: DataFrame) -> DataFrame:
     """DATE columns -> ``yyyy-MM-dd`` text (edge formatting only)."""
-    return df.select(*[X.date_text(f.name).alias(f.name) if isinstance(f.dataType, T.DateType) else F.col(f.name)
-                       for f in df.schema.fields])
+    return df.selectExpr(*[f"{X.date_text_sql(f.name)} AS {f.name}" if isinstance(f.dataType, T.DateType)
+                           else f"`{f.name}`" for f in df.schema.fields])
 
 
 def _wh(spark, sf_dir) -> Warehouse:
@@ -172,12 +172,13 @@ def q_filter_operated(spark, sf_dir):
 
 def q_make_keys(spark, sf_dir):
     op = C.filter_operated(flights(spark, sf_dir))
-    return text_dates(op.select(
+    dt_ = X.date_text_sql("flight_date")
+    return text_dates(op.selectExpr(
         "carrier", "flight_num", "flight_date",
-        X.key("carrier", X.date_text("flight_date")).alias("key2"),
-        X.key("carrier", "flight_num", X.date_text("flight_date")).alias("key3"),
-        X.key("carrier", "flight_num", "year", "quarter").alias("key4"),
-        X.key("carrier", X.year_month_text("year", "month")).alias("key_ym")))
+        f"{X.key_sql('carrier', dt_)} AS key2",
+        f"{X.key_sql('carrier', 'flight_num', dt_)} AS key3",
+        f"{X.key_sql('carrier', 'flight_num', 'year', 'quarter')} AS key4",
+        f"{X.key_sql('carrier', X.year_month_text_sql('year', 'month'))} AS key_ym"))
 
 
 def q_norm_params(spark, sf_dir):
@@ -268,10 +269,9 @@ def q_on_time_count(spark, sf_dir):
 def _carrier_days_all(spark, sf_dir):
     """Every carrier-day of the data, fully cancelled ones included (0 flights)."""
     c = _classified(spark, sf_dir)
-    is_del = X.is_delayed()
     return c.groupBy("carrier", "flight_date").agg(
-        F.sum(F.when(is_del, F.col("nas_b")).otherwise(0)).cast("long").alias("nas_num"),
-        F.count(F.when(X.is_operated(), F.col("carrier"))).alias("num_flights"))
+        X.E(f"CAST(sum(CASE WHEN {X.DELAYED_SQL} THEN nas_b ELSE 0 END) AS BIGINT) AS nas_num"),
+        X.E(f"count(CASE WHEN {X.OPERATED_SQL} THEN carrier END) AS num_flights"))
 
 
 def q_ratio_guarded(spark, sf_dir):

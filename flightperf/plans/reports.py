@@ -82,9 +82,9 @@ def _ensure_key_row(totals: DataFrame, ids: list[str], values: list) -> DataFram
 
 def _category_report(totals: DataFrame, ids: list[str], on_time: str = "observed") -> DataFrame:
     rows = category_rows(totals, ids, drop_empty=True, on_time=on_time)
-    return rows.select(*ids, F.col("category_ord").cast("int").alias("category_ord"), "category",
-                       F.col("value").cast("long").alias("value"),
-                       X.guarded_ratio("value", "num_flights").alias("ratio"))
+    return rows.selectExpr(*ids, "CAST(category_ord AS INT) AS category_ord", "category",
+                           "CAST(value AS BIGINT) AS value",
+                           f"{X.guarded_ratio_sql('value', 'num_flights')} AS ratio")
 
 
 # --- Q1 delay categorization ---------------------------------------------------
@@ -144,20 +144,18 @@ def season_delay(wh, carrier: str | None = DEFAULT_CARRIER, flight_num: str | No
     ids = ["carrier", "flight_num", "year"]
     aggs = []
     for qq in range(1, 5):
-        inq = F.col("quarter") == qq
-        aggs.append(F.sum(F.when(inq, F.col("num_flights")).otherwise(0)).cast("long").alias(f"n{qq}"))
+        aggs.append(f"CAST(sum(CASE WHEN quarter = {qq} THEN num_flights ELSE 0 END) AS BIGINT) AS n{qq}")
         for c in COUNTERS:
-            aggs.append(F.sum(F.when(inq, F.col(c)).otherwise(0)).cast("long").alias(f"{c}{qq}"))
-    g = q.groupBy(*ids).agg(*aggs)
+            aggs.append(f"CAST(sum(CASE WHEN quarter = {qq} THEN {c} ELSE 0 END) AS BIGINT) AS {c}{qq}")
+    g = q.groupBy(*ids).agg(*[X.E(a) for a in aggs])
     cells = []
     for qq in range(1, 5):
-        flags = sum((F.col(f"{c}{qq}") for c in COUNTERS), F.lit(0))
-        values = [F.col(f"n{qq}") - flags] + [F.col(f"{CATEGORY_COLUMNS[n]}{qq}") for n in CATEGORIES[1:]]
+        flags = " + ".join(f"{c}{qq}" for c in COUNTERS)
+        values = [f"n{qq} - ({flags})"] + [f"{CATEGORY_COLUMNS[n]}{qq}" for n in CATEGORIES[1:]]
         for ordn, (name, v) in enumerate(zip(CATEGORIES, values)):
-            cells.append(F.struct(F.lit(qq).alias("season_ord"), F.lit(names[qq]).alias("season"),
-                                  F.lit(ordn).alias("category_ord"), F.lit(name).alias("category"),
-                                  v.cast("long").alias("value")))
-    return g.select("carrier", "flight_num", F.col("year").cast("int").alias("year"), F.inline(F.array(*cells)))
+            cells.append(f"named_struct('season_ord', {qq}, 'season', '{names[qq]}', 'category_ord', {ordn}, "
+                         f"'category', '{name}', 'value', CAST({v} AS BIGINT))")
+    return g.selectExpr("carrier", "flight_num", "CAST(year AS INT) AS year", f"inline(array({', '.join(cells)}))")
 
 
 # --- Q4 airline-attributable delays --------------------------------------------------
@@ -170,20 +168,14 @@ def airline_delays(wh, start=DEFAULT_RANGE[0], end=DEFAULT_RANGE[1], inclusive_e
     t = range_totals(wh, s, e, "carrier", None, None, use_cover)
     t = semi_known_carriers(t, carriers if carriers is not None else CARRIER_CODES)
     t = t.where(F.col("num_flights") > 0)
-    attributable = (F.col("carrier_num") + F.col("late_aircraft_num") + F.col("other_num")).cast("long")
-    return t.select("carrier", attributable.alias("attributable"), "num_flights",
-                    X.guarded_ratio(attributable, "num_flights").alias("ratio"))
+    attributable = "CAST(carrier_num + late_aircraft_num + other_num AS BIGINT)"
+    return t.selectExpr("carrier", f"{attributable} AS attributable", "num_flights",
+                        f"{X.guarded_ratio_sql(attributable, 'num_flights')} AS ratio")
 
 
 # --- Q5 holiday trend ------------------------------------------------------------------
 
-def _holiday_month(name: str) -> int:
-    if name == THANKSGIVING:
-        return 11
-    for n, m, _ in FIXED_HOLIDAYS:
-        if n == name:
-            return m
-    raise ValueError(f"unknown holiday {name!r}; known: {HOLIDAYS}")
+_holiday_month = X.holiday_month
 
 
 def delay_holiday(wh, carrier: str | None = DEFAULT_CARRIER, holiday: str | None = "Christmas",
@@ -207,40 +199,41 @@ def delay_holiday(wh, carrier: str | None = DEFAULT_CARRIER, holiday: str | None
     if years is not None:
         daily = daily.where((F.col("year") >= int(years[0])) & (F.col("year") <= int(years[1])))
     daily = daily.where(F.col("month").isin(sorted({_holiday_month(h) for h in hols})))
-    flags = sum((F.col(c) for c in COUNTERS), F.lit(0)).cast("long")
+    flags = "CAST(" + " + ".join(COUNTERS) + " AS BIGINT)"
     tags = []
     for h in hols:
-        is_h = F.col("flight_date") == X.holiday_date(h, F.col("year"))
-        is_b = (F.col("month") == _holiday_month(h)) & (F.dayofmonth("flight_date") == 15)
-        tags.append(F.when(is_h | is_b, F.struct(F.lit(h).alias("holiday"), is_h.alias("is_holiday"))))
-    hits = (daily.select("carrier", "year", "num_flights", flags.alias("flags"),
-                         F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t"))
-            .select("carrier", F.col("t.holiday").alias("holiday"), "year",
-                    F.when(F.col("t.is_holiday"), F.col("flags")).otherwise(0).alias("h_flags"),
-                    F.when(F.col("t.is_holiday"), F.col("num_flights")).otherwise(0).alias("h_n"),
-                    F.when(~F.col("t.is_holiday"), F.col("flags")).otherwise(0).alias("b_flags"),
-                    F.when(~F.col("t.is_holiday"), F.col("num_flights")).otherwise(0).alias("b_n")))
+        is_h = f"flight_date = {X.holiday_date_sql(h, 'year')}"
+        is_b = f"month = {_holiday_month(h)} AND dayofmonth(flight_date) = 15"
+        tags.append(f"CASE WHEN ({is_h}) OR ({is_b}) THEN named_struct('holiday', '{h}', 'is_holiday', {is_h}) END")
+    hits = daily.selectExpr("carrier", "year", "num_flights", f"{flags} AS flags",
+                            f"explode(filter(array({', '.join(tags)}), t -> t IS NOT NULL)) AS t")
+    if carrier is None:
+        hits = hits.where("carrier IS NOT NULL")
+    hits = hits.selectExpr(
+        "carrier", "t.holiday AS holiday", "CAST(year AS INT) AS year",
+        "CASE WHEN t.is_holiday THEN flags ELSE 0 END AS h_flags",
+        "CASE WHEN t.is_holiday THEN num_flights ELSE 0 END AS h_n",
+        "CASE WHEN NOT t.is_holiday THEN flags ELSE 0 END AS b_flags",
+        "CASE WHEN NOT t.is_holiday THEN num_flights ELSE 0 END AS b_n")
     # skeleton: the years to report, with zero measures
-    hol_arr = F.array(*[F.lit(h) for h in hols])
+    hol_arr = "array(" + ", ".join(f"'{h}'" for h in hols) + ")"
     if years is not None and carrier is not None:
         skel = (wh.grain("year").sparkSession.range(1)
-                .select(F.lit(carrier).alias("carrier"),
-                        F.explode(F.sequence(F.lit(int(years[0])), F.lit(int(years[1])))).alias("year")))
+                .selectExpr(f"'{carrier}' AS carrier", f"explode(sequence({int(years[0])}, {int(years[1])})) AS year"))
     else:
-        ycar = wh.grain("year").where(F.col("num_flights") > 0)
+        ycar = wh.grain("year").where("num_flights > 0")
         if carrier is not None:
             ycar = ycar.where(F.col("carrier") == carrier)
         if years is not None:
             ycar = ycar.where((F.col("year") >= int(years[0])) & (F.col("year") <= int(years[1])))
         skel = ycar.select("carrier", "year")
-    skel = skel.select("carrier", F.explode(hol_arr).alias("holiday"), F.col("year").cast("int").alias("year"),
-                       *[F.lit(0).cast("long").alias(c) for c in ("h_flags", "h_n", "b_flags", "b_n")])
-    allrows = hits.select(*skel.columns).unionByName(skel)
-    agg = allrows.groupBy("carrier", "holiday", "year").agg(
-        *[F.sum(c).cast("long").alias(c) for c in ("h_flags", "h_n", "b_flags", "b_n")])
-    return agg.select("carrier", "holiday", F.col("year").cast("int").alias("year"),
-                      X.guarded_ratio("h_flags", "h_n").alias("ratio_holiday"),
-                      X.guarded_ratio("b_flags", "b_n").alias("ratio_baseline"))
+    skel = skel.selectExpr("carrier", f"explode({hol_arr}) AS holiday", "CAST(year AS INT) AS year",
+                           *[f"CAST(0 AS BIGINT) AS {c}" for c in ("h_flags", "h_n", "b_flags", "b_n")])
+    agg = hits.unionByName(skel).groupBy("carrier", "holiday", "year").agg(
+        *[X.E(f"CAST(sum({c}) AS BIGINT) AS {c}") for c in ("h_flags", "h_n", "b_flags", "b_n")])
+    return agg.selectExpr("carrier", "holiday", "year",
+                          f"{X.guarded_ratio_sql('h_flags', 'h_n')} AS ratio_holiday",
+                          f"{X.guarded_ratio_sql('b_flags', 'b_n')} AS ratio_baseline")
 
 
 # --- Q6 dispatch + payload ---------------------------------------------------------------

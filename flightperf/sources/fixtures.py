@@ -8,7 +8,6 @@ a projected on-time file, so everything downstream is the engine's own code.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightperf.functions.dims import CARRIER_CODES
@@ -20,61 +19,49 @@ FLIGHT_COLUMNS = [
 ]
 
 
-def _round_int(c):
-    # round half away from zero, then int (the mapping rounds before it truncates)
-    return F.round(c).cast("int")
-
-
-def _as_utc_date(dtype, c):
+def _utc_date_sql(dtype, c: str) -> str:
     """Calendar date of a ship timestamp, independent of the session time zone."""
     if isinstance(dtype, T.TimestampType):
         # instant semantics: take the UTC day from epoch microseconds
-        return F.date_from_unix_date(F.floor(F.unix_micros(c) / 86_400_000_000).cast("int"))
+        return f"date_from_unix_date(CAST(floor(unix_micros({c}) / 86400000000) AS INT))"
     if isinstance(dtype, (T.TimestampNTZType, T.DateType)):
-        return c.cast("date")
-    return F.to_date(c)
+        return f"CAST({c} AS DATE)"
+    return f"to_date({c})"
 
 
 def flights_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """Map lineitem rows to flights. Only 8 lineitem columns are read (column pruning)."""
-    li = F.col
-    carrier = F.element_at(F.array(*[F.lit(c) for c in CARRIER_CODES]), (li("l_suppkey") % 26 + 1).cast("int"))
-    b = lineitem.select(
-        li("l_orderkey"), li("l_linenumber"),
-        carrier.alias("carrier"),
-        (li("l_partkey") % 40 + 1).cast("string").alias("flight_num"),
-        _as_utc_date(lineitem.schema["l_shipdate"].dataType, li("l_shipdate")).alias("flight_date"),
-        _round_int(li("l_quantity")).alias("q"),
-        _round_int(li("l_discount") * 100).alias("d"),
-        _round_int(li("l_tax") * 100).alias("t"),
+    """Map lineitem rows to flights. Only 8 lineitem columns are read (column pruning).
+    Doubles are rounded half away from zero before the int cast, as the mapping does."""
+    codes = ", ".join(f"'{c}'" for c in CARRIER_CODES)
+    ship = _utc_date_sql(lineitem.schema["l_shipdate"].dataType, "l_shipdate")
+    b = lineitem.selectExpr(
+        "l_orderkey", "l_linenumber",
+        f"element_at(array({codes}), CAST(l_suppkey % 26 + 1 AS INT)) AS carrier",
+        "CAST(l_partkey % 40 + 1 AS STRING) AS flight_num",
+        f"{ship} AS flight_date",
+        "CAST(round(l_quantity) AS INT) AS q",
+        "CAST(round(l_discount * 100) AS INT) AS d",
+        "CAST(round(l_tax * 100) AS INT) AS t",
     )
-    c = b.select(
+    c = b.selectExpr(
         "*",
-        F.when((li("l_linenumber") == 7) & (li("q") % 5 == 0), F.lit(None).cast("int"))
-         .otherwise(li("q") - 25).alias("arr_delay"),
-        F.when((li("t") == 8) & (li("l_linenumber") == 6), F.lit(None).cast("int"))
-         .when(li("d") == 10, F.lit(1)).otherwise(F.lit(0)).alias("cancelled"),
+        "CASE WHEN l_linenumber = 7 AND q % 5 = 0 THEN CAST(NULL AS INT) ELSE q - 25 END AS arr_delay",
+        "CASE WHEN t = 8 AND l_linenumber = 6 THEN CAST(NULL AS INT) WHEN d = 10 THEN 1 ELSE 0 END AS cancelled",
     )
-    late = li("arr_delay") >= 15
 
-    def cause(mod, rem):
-        return F.when(late, F.when(li("l_orderkey") % mod == rem, li("arr_delay")).otherwise(F.lit(0)))
+    def cause(mod: int, rem: int, name: str) -> str:
+        return (f"CASE WHEN arr_delay >= 15 THEN CASE WHEN l_orderkey % {mod} = {rem} THEN arr_delay ELSE 0 END "
+                f"END AS {name}")
 
-    return c.select(
+    return c.selectExpr(
         "carrier", "flight_num", "flight_date",
-        F.year("flight_date").alias("year"),
-        F.quarter("flight_date").alias("quarter"),
-        F.month("flight_date").alias("month"),
-        F.dayofmonth("flight_date").alias("day_of_month"),
-        (F.weekday("flight_date") + 1).alias("day_of_week"),  # 1 = Monday .. 7 = Sunday
+        "year(flight_date) AS year", "quarter(flight_date) AS quarter", "month(flight_date) AS month",
+        "dayofmonth(flight_date) AS day_of_month",
+        "weekday(flight_date) + 1 AS day_of_week",  # 1 = Monday .. 7 = Sunday
         "arr_delay", "cancelled",
-        F.when(li("arr_delay").isNull(), F.lit(None).cast("int"))
-         .when(late, F.lit(1)).otherwise(F.lit(0)).alias("arr_del15"),
-        cause(3, 0).alias("carrier_delay"),
-        cause(11, 0).alias("weather_delay"),
-        cause(4, 1).alias("nas_delay"),
-        cause(97, 0).alias("security_delay"),
-        cause(5, 2).alias("late_aircraft_delay"),
+        "CASE WHEN arr_delay IS NULL THEN CAST(NULL AS INT) WHEN arr_delay >= 15 THEN 1 ELSE 0 END AS arr_del15",
+        cause(3, 0, "carrier_delay"), cause(11, 0, "weather_delay"), cause(4, 1, "nas_delay"),
+        cause(97, 0, "security_delay"), cause(5, 2, "late_aircraft_delay"),
     )
 
 
