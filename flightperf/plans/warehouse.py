@@ -8,6 +8,7 @@ then each coarser grain re-aggregated from the written table one level finer.
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,17 +87,39 @@ def write_grain(df: DataFrame, grain: str, path: str) -> None:
     writer.parquet(path)
 
 
-def build_all(flights: DataFrame, path: str | None = None) -> Warehouse:
-    """Build every grain from one scan of ``flights``; returns the loaded warehouse."""
+def build_all(flights: DataFrame, path: str | None = None, parallel_jobs: int = 4) -> Warehouse:
+    """Build every grain from one scan of ``flights``; returns the loaded warehouse.
+
+    The finest grain is written first; every other grain is re-aggregated from its
+    written parent as soon as that parent exists. Independent grains (the flight chain
+    and the carrier chain) run as concurrent Spark jobs from a small thread pool, so the
+    cluster is not idle while one small job finishes.
+    """
     spark = flights.sparkSession
     path = path or scratch_path(spark, "warehouse")
-    for grain in BUILD_ORDER:
+
+    def build(grain: str) -> str:
         g = R.GRAINS[grain]
         if g.parent is None:
             df = R.base_rollup(flights)
         else:
             df = R.reaggregate(spark.read.parquet(f"{path}/{g.parent}"), grain)
         write_grain(df, grain, f"{path}/{grain}")
+        return grain
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+        done: dict[str, Future] = {}
+        for grain in BUILD_ORDER:  # parents precede children
+            parent = R.GRAINS[grain].parent
+
+            def run(grain=grain, parent=parent):
+                if parent is not None:
+                    done[parent].result()  # wait for the written parent
+                return build(grain)
+
+            done[grain] = pool.submit(run)
+        for f in done.values():
+            f.result()
     return Warehouse.load(spark, path)
 
 
