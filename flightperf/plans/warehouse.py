@@ -81,7 +81,8 @@ def write_grain(df: DataFrame, grain: str, path: str) -> None:
     partitioned by year where the grain has one."""
     g = R.GRAINS[grain]
     w = df.hint("rebalance", *(g.partition_by or ["carrier"])).sortWithinPartitions(*SORT_KEYS[grain])
-    writer = w.write.mode("overwrite")
+    # a build is a full rebuild of the grain: replace every partition, not only those present
+    writer = w.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if g.partition_by:
         writer = writer.partitionBy(*g.partition_by)
     writer.parquet(path)

@@ -10,7 +10,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     """Overwrite semantics: a re-run replaces the table, equal keys keep one row.
     Rows with a NULL key are dropped (a keyed store cannot hold them)."""
     out = df.where(df["key"].isNotNull()) if "key" in df.columns else df
-    w = out.write.mode("overwrite")
+    w = out.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -38,3 +38,25 @@ def test_reports_have_no_python_and_no_cartesian(spark):
         plan = _plan(df)
         assert "Python" not in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_aggregations_combine_map_side(spark):
+    """A hot key (one carrier with a third of all flights) is pre-aggregated before the
+    shuffle: every report aggregation has a partial step below its exchange."""
+    wh = build_all(flights(spark, SF001))
+    for df in [Q.delay_category(wh, None, dt.date(1996, 3, 15), dt.date(1999, 11, 20)),
+               Q.airline_delays(wh, dt.date(1996, 3, 15), dt.date(1999, 11, 20)),
+               Q.season_delay(wh, None, None, 1997)]:
+        plan = _plan(df)
+        assert "partial_sum" in plan
+        assert plan.index("Exchange hashpartitioning") < plan.index("partial_sum")
+
+
+def test_rebuild_replaces_every_partition(spark):
+    from flightperf.session import scratch_path
+    f = flights(spark, SF001)
+    path = scratch_path(spark, "rebuild")
+    build_all(f, path)
+    wh = build_all(f.where("year = 1997"), path)   # smaller input into the same place
+    years = {r.year for r in wh.grain("year").select("year").distinct().collect()}
+    assert years == {1997}
