@@ -101,11 +101,12 @@ _SUMS = [f"CAST(sum({m}) AS BIGINT) AS {m}" for m in MEASURES]
 
 
 def union_segments(wh, start: dt.date, end: dt.date, level: str = "carrier",
-                   key_filter: Column | None = None) -> DataFrame:
+                   key_filter: Column | None = None, extra: DataFrame | None = None) -> DataFrame:
     """Per-key sums of all measures over [start, end), read through the cover.
 
     Each segment reads its own rollup (days / year-months / years); the segments are
     concatenated with UNION ALL and summed per key. Equal to a direct daily scan.
+    ``extra`` rows (same columns) join the union before the one aggregation.
     """
     ids = LEVEL_IDS[level]
     parts = []
@@ -117,6 +118,8 @@ def union_segments(wh, start: dt.date, end: dt.date, level: str = "carrier",
     if not parts:  # empty range: keep the schema, no rows
         g = wh.grain(LEVEL_GRAINS[level]["day"])
         parts.append(g.where("false").select(*ids, *MEASURES))
+    if extra is not None:
+        parts.append(extra.select(*ids, *MEASURES))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -124,10 +127,14 @@ def union_segments(wh, start: dt.date, end: dt.date, level: str = "carrier",
 
 
 def direct_range(wh, start: dt.date, end: dt.date, level: str = "carrier",
-                 key_filter: Column | None = None) -> DataFrame:
-    """Per-key sums over [start, end) from the daily rollup only."""
+                 key_filter: Column | None = None, extra: DataFrame | None = None) -> DataFrame:
+    """Per-key sums over [start, end) from the daily rollup only (``extra`` rows are
+    unioned in before the aggregation)."""
     ids = LEVEL_IDS[level]
     g = wh.grain(LEVEL_GRAINS[level]["day"]).where(_segment_filter("day", start, end))
     if key_filter is not None:
         g = g.where(key_filter)
+    g = g.select(*ids, *MEASURES)
+    if extra is not None:
+        g = g.unionByName(extra.select(*ids, *MEASURES))
     return g.groupBy(*ids).agg(*[F.expr(a) for a in _SUMS])

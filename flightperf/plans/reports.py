@@ -17,7 +17,7 @@ from flightperf.functions.dims import (CARRIER_CODES, CATEGORIES, CATEGORY_COLUM
 from flightperf.operators.joins import semi_known_carriers
 from flightperf.operators.reshape import category_rows
 from flightperf.operators.rollups import MEASURES
-from flightperf.plans.cover import LEVEL_IDS, direct_range, union_segments
+from flightperf.plans.cover import LEVEL_GRAINS, LEVEL_IDS, direct_range, union_segments
 
 DEFAULT_CARRIER = "AA"
 DEFAULT_RANGE = (dt.date(2014, 6, 1), dt.date(2014, 7, 31))
@@ -61,23 +61,28 @@ def _key_filter(carrier: str | None, flight_num: str | None = None) -> Column |
 
 
 def range_totals(wh, start, end, level: str = "carrier", carrier: str | None = None,
-                 flight_num: str | None = None, use_cover: bool | None = None) -> DataFrame:
+                 flight_num: str | None = None, use_cover: bool | None = None,
+                 ensure_key: bool = False) -> DataFrame:
     """Per-key measure sums over [start, end). Reads through the cover when the warehouse
     is materialized (coarse tables hold fewer rows); a lazy warehouse is summed from its
-    daily grain directly since every grain would be derived from the same scan anyway."""
+    daily grain directly since every grain would be derived from the same scan anyway.
+
+    ``ensure_key``: the single requested key gets a row even without flights (a zero row
+    joins the union before the one aggregation, so no second shuffle)."""
     kf = _key_filter(carrier, flight_num)
     cover = wh.materialized if use_cover is None else use_cover
     fn = union_segments if cover else direct_range
-    return fn(wh, start, end, level, kf)
+    extra = None
+    if ensure_key:
+        ids = LEVEL_IDS[level]
+        values = [carrier] + ([str(flight_num)] if level == "flight" else [])
+        extra = _zero_row(wh.grain(LEVEL_GRAINS[level]["day"]).sparkSession, ids, values)
+    return fn(wh, start, end, level, kf, extra)
 
 
-def _ensure_key_row(totals: DataFrame, ids: list[str], values: list) -> DataFrame:
-    """Guarantee one row for a single requested key (zeros when it had no flights)."""
-    spark = totals.sparkSession
-    zero = spark.createDataFrame([tuple(values) + (0,) * len(MEASURES)],
+def _zero_row(spark, ids: list[str], values: list) -> DataFrame:
+    return spark.createDataFrame([tuple(values) + (0,) * len(MEASURES)],
                                  ", ".join([f"{i} string" for i in ids] + [f"{m} long" for m in MEASURES]))
-    u = totals.unionByName(zero)
-    return u.groupBy(*ids).agg(*[F.sum(m).cast("long").alias(m) for m in MEASURES])
 
 
 def _category_report(totals: DataFrame, ids: list[str], on_time: str = "observed") -> DataFrame:
@@ -98,10 +103,8 @@ def delay_category(wh, carrier: str | None = DEFAULT_CARRIER, start=DEFAULT_RANG
     counts a flight with several cause flags once (see ``operators.reshape.category_rows``)."""
     s, e = norm_range(start, end, inclusive_end)
     carrier = norm_carrier(carrier)
-    t = range_totals(wh, s, e, "carrier", carrier, None, use_cover)
-    if carrier is not None:
-        t = _ensure_key_row(t, ["carrier"], [carrier])
-    else:
+    t = range_totals(wh, s, e, "carrier", carrier, None, use_cover, ensure_key=carrier is not None)
+    if carrier is None:
         t = t.where(F.col("num_flights") > 0)
     return _category_report(t, ["carrier"], on_time)
 
@@ -115,10 +118,9 @@ def flight_delay(wh, carrier: str | None = DEFAULT_CARRIER, flight_num: str | No
     s, e = norm_range(start, end, inclusive_end)
     carrier = norm_carrier(carrier)
     ids = LEVEL_IDS["flight"]
-    t = range_totals(wh, s, e, "flight", carrier, flight_num, use_cover)
-    if carrier is not None and flight_num is not None:
-        t = _ensure_key_row(t, ids, [carrier, str(flight_num)])
-    else:
+    single = carrier is not None and flight_num is not None
+    t = range_totals(wh, s, e, "flight", carrier, flight_num, use_cover, ensure_key=single)
+    if not single:
         t = t.where(F.col("num_flights") > 0)
     return _category_report(t, ids, on_time)
 
