@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightperf.functions import exprs as X
-from flightperf.functions.dims import (CARRIER_CODES, CATEGORIES, CATEGORY_COLUMNS, COUNTERS,
-                                       FIXED_HOLIDAYS, HOLIDAYS, SEASON_LABELS, THANKSGIVING)
+from flightperf.functions.dims import (CARRIER_CODES, CATEGORIES, CATEGORY_COLUMNS, COUNTERS, HOLIDAYS,
+                                       SEASON_LABELS)
 from flightperf.operators.joins import semi_known_carriers
 from flightperf.operators.reshape import category_rows
 from flightperf.operators.rollups import MEASURES

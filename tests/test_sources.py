@@ -1,7 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from flightperf.functions import exprs as X
 from flightperf.session import scratch_path
 from flightperf.sources import csv as CSV
