@@ -140,3 +140,27 @@ def table_row_counts(wh: Warehouse) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# the application's tab-separated export: 9 of the tables
+TSV_EXPORT_TABLES = ["date_fcount", "delay_date_count", "delay_flightNum_date", "year_fcount", "delay_year_count",
+                     "delay_flightNum_year", "month_fcount", "delay_month_count", "delay_flightNum_month"]
+
+
+def export_tables(wh: Warehouse, path: str, names: list[str] | None = None, fmt: str = "tsv") -> list[str]:
+    """Write keyed tables by name under ``path/<name>`` as tab-separated text (no header,
+    dates as ``yyyy-MM-dd``) or Parquet; NULL keys are dropped like in a keyed store."""
+    from flightperf.sources import sinks as S
+    written = []
+    for name in names or TSV_EXPORT_TABLES:
+        t = wh.table(name)
+        t = t.selectExpr(*[f"date_format({c}, 'yyyy-MM-dd') AS {c}" if c == "flight_date" else c
+                           for c in t.columns]).where("key IS NOT NULL")
+        if fmt == "tsv":
+            S.write_tsv(t, f"{path}/{name}")
+        elif fmt == "parquet":
+            S.write_table(t, f"{path}/{name}")
+        else:
+            raise ValueError(f"unknown format {fmt!r}")
+        written.append(name)
+    return written
