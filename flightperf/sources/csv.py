@@ -95,21 +95,25 @@ def _unzip_lines(header: bool):
     return run
 
 
-def read_zip_lines(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def read_zip_lines(spark: SparkSession, path: str, header: bool = True, spread: bool = True) -> DataFrame:
     """CSV lines of every ``*.zip`` archive under ``path``: (archive, line).
 
-    Archives are the unit of parallelism (one archive is never split); a task holds at
-    most one input partition of archive bytes and yields lines in bounded chunks.
+    A zip member can only be inflated front to back, so an archive is never split: a task
+    holds at most one Arrow batch of archive bytes (``spark.sql.execution.arrow.
+    maxBytesPerBatch``) and yields lines in bounded chunks. With ``spread`` the lines are
+    then redistributed round robin (AQE-sized partitions), so parsing and aggregation of
+    one oversized archive - say a third of all rows - run on many tasks instead of one.
     """
     bins = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
             .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    return bins.mapInPandas(_unzip_lines(header), "archive string, line string")
+    lines = bins.mapInPandas(_unzip_lines(header), "archive string, line string")
+    return lines.hint("rebalance") if spread else lines
 
 
-def read_flights_zip(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+def read_flights_zip(spark: SparkSession, path: str, header: bool = True, spread: bool = True) -> DataFrame:
     """Flights from zipped monthly archives: unzip in Python (bounded chunks), parse the
     CSV lines JVM-side with ``from_csv`` and the positional text schema."""
-    lines = read_zip_lines(spark, path, header)
+    lines = read_zip_lines(spark, path, header, spread)
     ddl = ", ".join(f"`{c}` string" for c in ONTIME_COLUMNS)
     opts = {k: v for k, v in CSV_OPTIONS.items() if k != "mode"}
     parsed = lines.select(F.from_csv("line", ddl, opts).alias("r")).select("r.*")

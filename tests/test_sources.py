@@ -71,3 +71,4 @@ def test_zip_reader_has_no_python_in_parse(spark):
     plan = CSV.read_flights_zip(spark, p5)._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan            # the unzip step only
     assert "BatchEvalPython" not in plan    # no row-at-a-time Python
+    assert "RoundRobinPartitioning" in plan  # lines of a big archive are parsed by many tasks
