@@ -358,4 +358,11 @@ FROM t WHERE n > 0 AND carrier IN {_in_list(CARRIER_CODES)}"""
         f"SELECT carrier, year AS y FROM classified WHERE {OP} GROUP BY carrier, year HAVING count(carrier) > 0",
         ["New Year", "Christmas", "Thanksgiving", "Independence Day"])
     sql["run_report"] = sql["report_category"]
+    rep = sql["report_category_all"]
+    body = rep[len(PREFIX):]
+    # the category report as a CTE, then one payload string per carrier
+    head, final = body.rsplit("\nSELECT ", 1)
+    sql["report_json"] = (PREFIX + head + ",\nrep AS (SELECT " + final + """)
+SELECT carrier, '[' || string_agg('["' || category || '", ' || printf('%.6f', ratio) || ']', ', ' ORDER BY category_ord)
+  || ']' AS payload FROM rep GROUP BY carrier""")
     return sql

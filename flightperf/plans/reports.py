@@ -264,13 +264,15 @@ def run_report(wh, name: str = "delay_category", **params) -> DataFrame:
 
 
 def report_json(report: DataFrame, ids: list[str], value: str = "ratio") -> DataFrame:
-    """One row per report instance: ``payload`` = ``[["On Time", 0.74], ["NAS", 0.05], ...]``
-    in category order, built per key from at most seven rows (bounded group)."""
-    cells = F.array_sort(F.collect_list(F.struct("category_ord", "category", value)))
-    g = report.groupBy(*ids).agg(cells.alias("cells"))
-    item = lambda c: F.concat(F.lit('["'), c["category"], F.lit('", '), c[value].cast("string"), F.lit("]"))
-    return g.select(*ids, F.concat(F.lit("["), F.array_join(F.transform("cells", item), ", "),
-                                   F.lit("]")).alias("payload"))
+    """One row per report instance: ``payload`` = ``[["On Time", 0.735063], ["NAS", ...], ...]``
+    in category order, built per key from at most seven rows (bounded group). Shares are
+    printed with six decimals (they are rounded to six), counts as integers."""
+    is_double = dict(report.dtypes)[value] in ("double", "float")
+    shown = f"format_string('%.6f', {value})" if is_double else f"CAST({value} AS STRING)"
+    g = report.groupBy(*ids).agg(X.E(
+        f"array_sort(collect_list(named_struct('o', category_ord, 'c', category, 'v', {shown}))) AS cells"))
+    item = "x -> concat('[\"', x.c, '\", ', x.v, ']')"
+    return g.selectExpr(*ids, f"concat('[', array_join(transform(cells, {item}), ', '), ']') AS payload")
 
 
 def for_display(report: DataFrame) -> DataFrame:

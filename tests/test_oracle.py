@@ -43,8 +43,8 @@ def test_query_matches_oracle(spark, con, name):
     assert got == want
 
 
-def test_every_query_has_oracle_or_is_rows_only():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"report_json"}
+def test_every_query_has_oracle():
+    assert set(E.queries()) == set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
