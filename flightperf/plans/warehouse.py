@@ -76,11 +76,32 @@ class Warehouse:
         return self.delay(grain) if family == "delay" else self.count(grain)
 
 
-def write_grain(df: DataFrame, grain: str, path: str) -> None:
-    """Write one combined grain: balanced files (AQE rebalance), clustered by key,
-    partitioned by year where the grain has one."""
+def _advisory_bytes(spark: SparkSession) -> int:
+    v = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for u in sorted(units, key=len, reverse=True):
+        if v.endswith(u):
+            return int(float(v[: -len(u)]) * units[u])
+    return int(v)
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate of ``df`` (file sizes for a scan); no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def write_grain(df: DataFrame, grain: str, path: str, input_bytes: int | None = None) -> None:
+    """Write one combined grain, partitioned by year where the grain has one, clustered
+    by key inside each file so Parquet row-group statistics skip by carrier / flight.
+
+    Files are balanced with an AQE ``rebalance`` (big years split, small ones merged)
+    unless the input is known to be smaller than one advisory partition: then the
+    aggregation's own (coalesced) shuffle already yields one task, and the extra shuffle
+    is skipped."""
     g = R.GRAINS[grain]
-    w = df.hint("rebalance", *(g.partition_by or ["carrier"])).sortWithinPartitions(*SORT_KEYS[grain])
+    small = input_bytes is not None and input_bytes <= _advisory_bytes(df.sparkSession)
+    w = df if small else df.hint("rebalance", *(g.partition_by or ["carrier"]))
+    w = w.sortWithinPartitions(*SORT_KEYS[grain])
     # a build is a full rebuild of the grain: replace every partition, not only those present
     writer = w.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if g.partition_by:
@@ -102,10 +123,11 @@ def build_all(flights: DataFrame, path: str | None = None, parallel_jobs: int =
     def build(grain: str) -> str:
         g = R.GRAINS[grain]
         if g.parent is None:
-            df = R.base_rollup(flights)
+            df, size = R.base_rollup(flights), None
         else:
-            df = R.reaggregate(spark.read.parquet(f"{path}/{g.parent}"), grain)
-        write_grain(df, grain, f"{path}/{grain}")
+            parent = spark.read.parquet(f"{path}/{g.parent}")
+            df, size = R.reaggregate(parent, grain), plan_bytes(parent)
+        write_grain(df, grain, f"{path}/{grain}", size)
         return grain
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
