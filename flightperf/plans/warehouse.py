@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightperf.operators import rollups as R
-from flightperf.session import scratch_path
+from flightperf.session import advisory_partition_bytes, plan_bytes, scratch_path
 
 # grains in build order (each parent precedes its children)
 BUILD_ORDER = ["flight_date", "flight_year_month", "flight_year", "flight_quarter", "flight_month",
@@ -76,20 +76,6 @@ class Warehouse:
         return self.delay(grain) if family == "delay" else self.count(grain)
 
 
-def _advisory_bytes(spark: SparkSession) -> int:
-    v = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    for u in sorted(units, key=len, reverse=True):
-        if v.endswith(u):
-            return int(float(v[: -len(u)]) * units[u])
-    return int(v)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate of ``df`` (file sizes for a scan); no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def write_grain(df: DataFrame, grain: str, path: str, input_bytes: int | None = None) -> None:
     """Write one combined grain, partitioned by year where the grain has one, clustered
     by key inside each file so Parquet row-group statistics skip by carrier / flight.
@@ -99,7 +85,7 @@ def write_grain(df: DataFrame, grain: str, path: str, input_bytes: int | None =
     aggregation's own (coalesced) shuffle already yields one task, and the extra shuffle
     is skipped."""
     g = R.GRAINS[grain]
-    small = input_bytes is not None and input_bytes <= _advisory_bytes(df.sparkSession)
+    small = input_bytes is not None and input_bytes <= advisory_partition_bytes(df.sparkSession)
     w = df if small else df.hint("rebalance", *(g.partition_by or ["carrier"]))
     w = w.sortWithinPartitions(*SORT_KEYS[grain])
     # a build is a full rebuild of the grain: replace every partition, not only those present

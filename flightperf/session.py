@@ -83,3 +83,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/flightperf/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def advisory_partition_bytes(spark: SparkSession) -> int:
+    """AQE's target partition size in bytes (``spark.sql.adaptive.advisoryPartitionSizeInBytes``)."""
+    v = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for u in sorted(units, key=len, reverse=True):
+        if v.endswith(u):
+            return int(float(v[: -len(u)]) * units[u])
+    return int(v)
+
+
+def plan_bytes(df) -> int:
+    """The optimizer's size estimate of ``df`` (file sizes for a scan); no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
