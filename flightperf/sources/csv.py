@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightperf.functions import exprs as X
-from flightperf.session import advisory_partition_bytes, plan_bytes
 from flightperf.sources.schema import INT_COLUMNS, ONTIME_COLUMNS, RAW_SCHEMA, WORKING_NAMES
 
 # Excel-style quoting: fields in double quotes may hold commas; a doubled quote is a quote.
@@ -96,27 +95,25 @@ def _unzip_lines(header: bool):
     return run
 
 
-def read_zip_lines(spark: SparkSession, path: str, header: bool = True, spread: bool | None = None) -> DataFrame:
+def read_zip_lines(spark: SparkSession, path: str, header: bool = True, spread: bool = True) -> DataFrame:
     """CSV lines of every ``*.zip`` archive under ``path``: (archive, line).
 
     A zip member can only be inflated front to back, so an archive is never split: a task
     holds at most one Arrow batch of archive bytes (``spark.sql.execution.arrow.
     maxBytesPerBatch``; one archive must stay under the 2 GB binary-row limit) and yields
-    lines in bounded chunks. With ``spread`` the lines are then redistributed round robin
-    (AQE-sized partitions), so parsing and aggregation of one oversized archive - say a
-    third of all rows - run on many tasks instead of one. By default lines are spread
-    when the archives hold more than one advisory partition of bytes (a size check on
-    the file listing, no job).
+    lines in bounded chunks. With ``spread`` (default) the lines are then redistributed
+    round robin into AQE-sized partitions, so parsing and aggregation of an oversized
+    archive - say a third of all rows - run on many tasks instead of one; inflating is
+    the only per-archive step left. ``spread=False`` saves that shuffle when archives are
+    known to be many and of even size.
     """
     bins = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
             .option("recursiveFileLookup", True).load(path).select("path", "content"))
     lines = bins.mapInPandas(_unzip_lines(header), "archive string, line string")
-    if spread is None:
-        spread = plan_bytes(bins) > advisory_partition_bytes(spark)
     return lines.hint("rebalance") if spread else lines
 
 
-def read_flights_zip(spark: SparkSession, path: str, header: bool = True, spread: bool | None = None) -> DataFrame:
+def read_flights_zip(spark: SparkSession, path: str, header: bool = True, spread: bool = True) -> DataFrame:
     """Flights from zipped monthly archives: unzip in Python (bounded chunks), parse the
     CSV lines JVM-side with ``from_csv`` and the positional text schema."""
     lines = read_zip_lines(spark, path, header, spread)
