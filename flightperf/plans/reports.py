@@ -29,6 +29,8 @@ def parse_date(v) -> dt.date:
     """Accepts a date, ``YYYY-MM-DD`` or ``MM/DD/YYYY`` text."""
     if isinstance(v, dt.date):
         return v
+    if v is None or not str(v).strip():
+        raise ValueError("a report date is missing")
     s = str(v).strip()
     if "/" in s:
         m, d, y = s.split("/")

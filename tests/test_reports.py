@@ -100,6 +100,8 @@ def test_run_report_dispatch(wh):
         Q.run_report(wh, "delay_season", carrier="AA")
     with pytest.raises(ValueError):
         Q.run_report(wh, "delay_category", carrier="AA", start="2000-01-02", end="2000-01-01")
+    with pytest.raises(ValueError):
+        Q.run_report(wh, "delay_category", carrier="AA", start="", end="2000-01-01")
     a = Q.run_report(wh, "delay_category", carrier="aa", start="03/15/1996", end="11/20/1999").collect()
     b = Q.delay_category(wh, "AA", *R1).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
