@@ -8,13 +8,16 @@ is also an operated row, one conditional aggregation feeds both families:
 * delay family at grain G = combined rows with ``delayed_flights > 0``, six counters
 * count family at grain G = all combined rows, ``num_flights``
 
-All measures are sums, so every coarser grain is re-aggregated from the next finer
-rollup instead of the raw flights (map-side partial aggregation applies at each step).
+All measures are sums. A lazy grain is aggregated straight from the operated flights
+(one shuffle each); a written warehouse re-aggregates every coarser grain from the next
+finer written rollup instead of the raw flights (``plans.warehouse.build_all``).
+Map-side partial aggregation applies at every step.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 
 from flightperf.functions import exprs as X
