@@ -179,32 +179,41 @@ def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
     writer.csv(path)
 
 
-def _zip_files(out_dir: str):
-    import os
+def _filesystem(uri: str):
+    """(pyarrow filesystem, path) for a Spark-style location: ``file:/x``, ``/x``,
+    ``hdfs://…``, ``s3://…`` and the other schemes pyarrow resolves."""
+    from pyarrow import fs as pafs
+    if "://" not in uri:
+        local = uri[len("file:"):] if uri.startswith("file:") else uri
+        return pafs.LocalFileSystem(), local
+    return pafs.FileSystem.from_uri(uri)
+
 
+def _zip_files(out_dir: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filesystem, base = _filesystem(out_dir)
+        filesystem.create_dir(base, recursive=True)
         for pdf in batches:
             names = []
             for path, content in zip(pdf["path"], pdf["content"]):
-                stem = path.rstrip("/").split("/")
-                member = stem[-1]
+                parts = path.rstrip("/").split("/")
+                member = parts[-1]
                 # never start with "_" or ".": Spark's file listing skips such names
-                name = "ontime_" + "_".join(p.strip("_") for p in stem[-2:] if p).replace("=", "-") + ".zip"
-                local = out_dir[len("file:"):] if out_dir.startswith("file:") else out_dir
-                os.makedirs(local, exist_ok=True)
-                with zipfile.ZipFile(os.path.join(local, name), "w", zipfile.ZIP_DEFLATED) as zf:
+                name = "ontime_" + "_".join(p.strip("_") for p in parts[-2:] if p).replace("=", "-") + ".zip"
+                buf = io.BytesIO()
+                with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
                     zf.writestr(member, bytes(content))
+                # same name on a task retry: the archive is simply written again
+                with filesystem.open_output_stream(f"{base}/{name}") as out:
+                    out.write(buf.getvalue())
                 names.append(name)
             yield pd.DataFrame({"archive": names})
     return run
 
 
 def zip_csv_files(spark: SparkSession, csv_dir: str, zip_dir: str) -> int:
-    """Pack every CSV part file under ``csv_dir`` into its own archive in ``zip_dir``.
-    Writes with Python file I/O, so ``zip_dir`` must be a POSIX path visible to all
-    executors (test fixtures); returns the number of archives."""
-    if "://" in zip_dir and not zip_dir.startswith("file:"):
-        raise NotImplementedError("zip fixtures can only be written to a POSIX path")
+    """Pack every CSV part file under ``csv_dir`` into its own archive in ``zip_dir``
+    (one archive per part file, written from the tasks); returns the number of archives."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
              .option("recursiveFileLookup", True).load(csv_dir).select("path", "content"))
     return files.mapInPandas(_zip_files(zip_dir), "archive string").count()
