@@ -277,6 +277,19 @@ def report_json(report: DataFrame, ids: list[str], value: str = "ratio") -> Data
     return g.selectExpr(*ids, f"concat('[', array_join(transform(cells, {item}), ', '), ']') AS payload")
 
 
+def parallel_lists_json(report: DataFrame, ids: list[str], order: str, lists: list[str]) -> DataFrame:
+    """Chart payload of parallel lists, one row per ``ids`` group: e.g. per (carrier,
+    holiday) ``{"year": [1995, ...], "ratio_holiday": [...], "ratio_baseline": [...]}``,
+    or with ``ids=[]`` one row ``{"carrier": [...], "ratio": [...]}`` for the airline
+    report. Each group holds one element per ``order`` value (years of a carrier, known
+    carriers), so it stays small; elements are sorted by ``order``."""
+    cols = [order] + [c for c in lists if c != order]
+    s = "named_struct(" + ", ".join(f"'{c}', {c}" for c in cols) + ")"
+    g = report.groupBy(*ids).agg(X.E(f"array_sort(collect_list({s})) AS items"))
+    obj = "named_struct(" + ", ".join(f"'{c}', transform(items, x -> x.{c})" for c in cols) + ")"
+    return g.selectExpr(*ids, f"to_json({obj}) AS payload")
+
+
 def for_display(report: DataFrame) -> DataFrame:
     """Presentation order, applied at the edge only: carriers in list order, then the
     report's own ordinals (season, category) and years ascending."""

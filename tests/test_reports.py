@@ -132,3 +132,14 @@ def test_keyed_reads(spark, wh):
     assert sorted(r.key for r in K.read_keys(t, many).collect()) == sorted(keys[:2])
     rng = K.read_key_range(t, "AA_1996-03-15", "AA_1999-11-20")
     assert rng.agg(F.sum("num_flights")).collect()[0][0] == 1272
+
+
+def test_parallel_lists_payload(wh):
+    import json
+    rep = Q.delay_holiday(wh, "AA", "Christmas", (1995, 2001))
+    row = Q.parallel_lists_json(rep, ["carrier", "holiday"], "year", ["ratio_holiday", "ratio_baseline"]).collect()[0]
+    p = json.loads(row.payload)
+    assert p["year"] == list(range(1995, 2002))
+    assert len(p["ratio_holiday"]) == len(p["ratio_baseline"]) == 7
+    air = Q.parallel_lists_json(Q.airline_delays(wh, *R1), [], "carrier", ["ratio"]).collect()
+    assert len(air) == 1 and len(json.loads(air[0].payload)["carrier"]) == 26
