@@ -28,7 +28,18 @@ from flightperf.plans.warehouse import Warehouse, build_all, table_row_counts
 from flightperf.session import scratch_path
 from flightperf.sources import csv as CSV
 from flightperf.sources import sinks as S
-from flightperf.sources.fixtures import flights
+from flightperf.sources import fixtures
+
+# One lazy flight relation per (session, folder): a plan, not data. Queries share the
+# definition the way a user defines ``flights`` once; every query still reads the files.
+_FLIGHTS: dict[tuple, DataFrame] = {}
+
+
+def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if k not in _FLIGHTS:
+        _FLIGHTS[k] = fixtures.flights(spark, sf_dir)
+    return _FLIGHTS[k]
 
 # Query parameters shared with the SQL oracle.
 CARRIER = "AA"
