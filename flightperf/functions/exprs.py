@@ -122,7 +122,7 @@ def percent(num: str, den: str) -> Column:
 
 def mdy_to_iso_sql(c: str) -> str:
     """``MM/DD/YYYY`` text -> ``YYYY-MM-DD`` text by rearranging the parts; empty stays empty."""
-    part = lambda i: f"element_at(split({c}, '/'), {i})"
+    part = lambda i: f"try_element_at(split({c}, '/'), {i})"  # noqa: E731  (NULL, not an error, if malformed)
     return f"CASE WHEN {c} = '' THEN '' ELSE concat({part(3)}, '-', {part(1)}, '-', {part(2)}) END"
 
 

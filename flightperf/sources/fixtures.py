@@ -36,7 +36,8 @@ def flights_from_lineitem(lineitem: DataFrame) -> DataFrame:
     ship = _utc_date_sql(lineitem.schema["l_shipdate"].dataType, "l_shipdate")
     b = lineitem.selectExpr(
         "l_orderkey", "l_linenumber",
-        f"element_at(array({codes}), CAST(l_suppkey % 26 + 1 AS INT)) AS carrier",
+        f"CASE WHEN l_suppkey % 26 >= 0 THEN try_element_at(array({codes}), CAST(l_suppkey % 26 + 1 AS INT)) "
+        "END AS carrier",
         "CAST(l_partkey % 40 + 1 AS STRING) AS flight_num",
         f"{ship} AS flight_date",
         "CAST(round(l_quantity) AS INT) AS q",

@@ -72,3 +72,9 @@ def test_zip_reader_has_no_python_in_parse(spark):
     assert "MapInPandas" in plan            # the unzip step only
     assert "BatchEvalPython" not in plan    # no row-at-a-time Python
     assert "RoundRobinPartitioning" in plan  # lines of a big archive are parsed by many tasks
+
+
+def test_mdy_to_iso_is_lenient(spark):
+    df = spark.createDataFrame([("06/01/2014",), ("",), ("2014-06-01",), (None,)], "s string")
+    got = [r.v for r in df.select(X.mdy_to_iso("s").alias("v")).collect()]
+    assert got == ["2014-06-01", "", None, None]
