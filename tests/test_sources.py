@@ -78,3 +78,24 @@ def test_mdy_to_iso_is_lenient(spark):
     df = spark.createDataFrame([("06/01/2014",), ("",), ("2014-06-01",), (None,)], "s string")
     got = [r.v for r in df.select(X.mdy_to_iso("s").alias("v")).collect()]
     assert got == ["2014-06-01", "", None, None]
+
+
+def test_flights_parquet_roundtrip_and_pushdown(spark):
+    import datetime as dt
+    from flightperf.plans import reports as Q
+    from flightperf.plans.warehouse import Warehouse
+    from flightperf.sources import sinks as S
+    f = flights(spark, SF001)
+    p = scratch_path(spark, "flights-pq")
+    S.write_flights_parquet(f, p)
+    back = S.read_flights_parquet(spark, p)
+    assert _rows(back) == _rows(f)
+    rep = Q.delay_category(Warehouse.from_flights(back), None, dt.date(1996, 3, 15), dt.date(1999, 11, 20))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")   # show every pushed filter
+    try:
+        plan = rep._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(flight_date,1996-03-15)" in plan
+    assert sorted(map(tuple, rep.collect())) == sorted(
+        map(tuple, Q.delay_category(Warehouse.from_flights(f), None, dt.date(1996, 3, 15), dt.date(1999, 11, 20)).collect()))
