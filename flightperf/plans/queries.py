@@ -207,7 +207,8 @@ def q_date_cover(spark, sf_dir):
     """Cover of every carrier's operated span, overall and per year."""
     op = C.filter_operated(flights(spark, sf_dir))
     by_year = op.groupBy("carrier", "year").agg(F.min("flight_date").alias("s"), F.max("flight_date").alias("m"))
-    overall = op.groupBy("carrier").agg(F.min("flight_date").alias("s"), F.max("flight_date").alias("m"))
+    # the overall span from the per-year spans: one scan, the yearly aggregate is reused
+    overall = by_year.groupBy("carrier").agg(F.min("s").alias("s"), F.max("m").alias("m"))
     spans = (by_year.select("carrier", F.col("year").cast("string").alias("span"), "s", "m")
              .unionByName(overall.select("carrier", F.lit("all").alias("span"), "s", "m")))
     segs = spans.select("carrier", "span", F.inline(CV.cover_segments(F.col("s"), F.date_add("m", 1))))
