@@ -39,18 +39,17 @@ def read_raw_csv(spark: SparkSession, paths, header: bool = False, recursive: bo
 def type_columns(raw: DataFrame) -> DataFrame:
     """Lenient integer typing of the 17 integer columns; text stays text."""
     ints = set(INT_COLUMNS)
-    return raw.select(*[X.lenient_int(c).alias(c) if c in ints else F.col(c) for c in raw.columns])
+    return raw.selectExpr(*[f"{X.lenient_int_sql(f'`{c}`')} AS `{c}`" if c in ints else f"`{c}`"
+                            for c in raw.columns])
 
 
 def to_working(typed: DataFrame) -> DataFrame:
     """The 16 working columns under their working names; ``flight_date`` as DATE."""
     cols = []
     for src, dst in WORKING_NAMES.items():
-        c = F.col(src)
-        if dst == "flight_date":
-            c = F.try_to_date(c, "yyyy-MM-dd")
-        cols.append(c.alias(dst))
-    return typed.select(*cols)
+        expr = f"try_to_date(`{src}`, 'yyyy-MM-dd')" if dst == "flight_date" else f"`{src}`"
+        cols.append(f"{expr} AS {dst}")
+    return typed.selectExpr(*cols)
 
 
 def read_flights_csv(spark: SparkSession, paths, header: bool = False, recursive: bool = False) -> DataFrame:
