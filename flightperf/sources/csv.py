@@ -124,37 +124,32 @@ def read_flights_zip(spark: SparkSession, path: str, header: bool = True, spread
 
 # --- writing on-time text (fixtures, export) ----------------------------------------
 
-def _num_text(c):
+def _num_text_sql(c: str) -> str:
     """Numbers as the published files write them: ``20.00``, ``-5.00``, empty for NULL."""
-    return F.when(F.col(c).isNull(), F.lit(None).cast("string")).otherwise(F.format_string("%.2f", F.col(c).cast("double")))
+    return f"CASE WHEN {c} IS NULL THEN CAST(NULL AS STRING) ELSE format_string('%.2f', CAST({c} AS DOUBLE)) END"
 
 
 def to_ontime_text(flights: DataFrame) -> DataFrame:
     """Flights (working columns) -> the 109 text columns of an on-time file."""
-    by_src = {src: dst for src, dst in WORKING_NAMES.items()}
     plain_ints = {"Year", "Quarter", "Month", "DayofMonth", "DayOfWeek"}
+    fixed = {
+        "Carrier": "carrier",
+        "OriginCityName": "'Dallas, TX'",       # exercises quoted commas
+        "DestCityName": "'He said \"x\"'",      # exercises doubled quotes
+    }
     cols = []
     for c in ONTIME_COLUMNS:
-        dst = by_src.get(c)
+        dst = WORKING_NAMES.get(c)
         if dst is None:
-            if c == "Carrier":
-                e = F.col("carrier")
-            elif c == "OriginCityName":
-                e = F.lit("Dallas, TX")  # exercises quoted commas
-            elif c == "DestCityName":
-                e = F.lit('He said "x"')  # exercises doubled quotes
-            else:
-                e = F.lit(None).cast("string")
+            e = fixed.get(c, "CAST(NULL AS STRING)")
         elif dst == "flight_date":
-            e = X.date_text("flight_date")
-        elif c in plain_ints:
-            e = F.col(dst).cast("string")
-        elif c in INT_COLUMNS:
-            e = _num_text(dst)
+            e = X.date_text_sql("flight_date")
+        elif c in INT_COLUMNS and c not in plain_ints:
+            e = _num_text_sql(dst)
         else:
-            e = F.col(dst).cast("string")
-        cols.append(e.alias(c))
-    return flights.select(*cols)
+            e = f"CAST({dst} AS STRING)"
+        cols.append(f"{e} AS `{c}`")
+    return flights.selectExpr(*cols)
 
 
 def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
@@ -168,7 +163,7 @@ def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
     if partition_col:
         # one folder per month; AQE rebalance sizes the files (a big month is split, small
         # ones are not scattered over every task)
-        w = text.withColumn("_part", F.substring("FlightDate", 1, 7)).hint("rebalance", "_part")
+        w = text.selectExpr("*", "substring(FlightDate, 1, 7) AS _part").hint("rebalance", "_part")
     writer = (w.write.mode("overwrite").options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"})
               .option("header", header).option("quoteAll", False).option("emptyValue", ""))
     if max_records_per_file:
