@@ -107,6 +107,7 @@ def build_all(flights: DataFrame, path: str | None = None, parallel_jobs: int =
     path = path or scratch_path(spark, "warehouse")
 
     def build(grain: str) -> str:
+        spark.sparkContext.setJobDescription(f"flightperf build_all: grain {grain}")  # per thread
         g = R.GRAINS[grain]
         if g.parent is None:
             df, size = R.base_rollup(flights), None
