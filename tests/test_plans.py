@@ -60,3 +60,18 @@ def test_rebuild_replaces_every_partition(spark):
     wh = build_all(f.where("year = 1997"), path)   # smaller input into the same place
     years = {r.year for r in wh.grain("year").select("year").distinct().collect()}
     assert years == {1997}
+
+
+def test_build_writes_few_files_per_year(spark):
+    """Rebalanced writes: the number of files per year partition stays bounded by the
+    data size, not by shuffle partitions x years."""
+    import glob
+    import os
+    wh = build_all(flights(spark, SF001))
+    base = wh.path[len("file:"):] if wh.path.startswith("file:") else wh.path
+    for grain in ("flight_date", "date", "year_month"):
+        years = [d for d in os.listdir(os.path.join(base, grain)) if d.startswith("year=")]
+        assert years
+        for y in years:
+            files = glob.glob(os.path.join(base, grain, y, "*.parquet"))
+            assert 1 <= len(files) <= 2, (grain, y, len(files))
