@@ -54,3 +54,12 @@ def test_build_reads_raw_flights_once(spark):
     plan = R.base_rollup(f)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1
     assert "Python" not in plan
+
+
+def test_build_parallelism_does_not_change_results(spark):
+    f = flights(spark, SF001)
+    counts = []
+    for jobs in (1, 2, 8):
+        wh = build_all(f, parallel_jobs=jobs)
+        counts.append(sorted(tuple(r) for r in table_row_counts(wh).collect()))
+    assert counts[0] == counts[1] == counts[2]
