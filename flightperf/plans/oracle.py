@@ -138,10 +138,12 @@ SELECT carrier, flight_num, CAST(flight_date AS VARCHAR) AS flight_date, arr_del
   carrier_delay, weather_delay, nas_delay, security_delay, late_aircraft_delay FROM flights"""
 
 
-def _cells(src: str, ids: str, value_of_on_time: str = "num_flights") -> str:
-    """On Time + six category rows from a CTE holding num_flights and the counters."""
+def _cells(src: str, ids: str, exact: bool = False) -> str:
+    """On Time + six category rows from a CTE holding num_flights and the counters
+    (On Time = flights - flags, or flights - delayed flights when ``exact``)."""
     six = " + ".join(c for _, c in FLAG_COUNTER)
-    rows = [f"SELECT {ids}, num_flights, 0 AS category_ord, 'On Time' AS category, {value_of_on_time} - ({six}) AS value FROM {src}"]
+    on_time = "num_flights - delayed_flights" if exact else f"num_flights - ({six})"
+    rows = [f"SELECT {ids}, num_flights, 0 AS category_ord, 'On Time' AS category, {on_time} AS value FROM {src}"]
     names = [("NAS", "nas_num", 1), ("Security", "security_num", 2), ("Weather", "weather_num", 3),
              ("Late Aircraft", "late_aircraft_num", 4), ("Carrier", "carrier_num", 5), ("Unclassified", "other_num", 6)]
     for name, col, o in names:
@@ -149,9 +151,10 @@ def _cells(src: str, ids: str, value_of_on_time: str = "num_flights") -> str:
     return "\nUNION ALL ".join(rows)
 
 
-def _category_report_sql(ids: list[str], where: str, keys_values: str | None) -> str:
+def _category_report_sql(ids: list[str], where: str, keys_values: str | None, exact: bool = False) -> str:
     idl = ", ".join(ids)
-    t = (f",\nt AS (SELECT {idl}, {sums_cond()}, CAST(count(carrier) AS BIGINT) AS num_flights FROM classified "
+    t = (f",\nt AS (SELECT {idl}, {sums_cond()}, CAST(count(carrier) AS BIGINT) AS num_flights, "
+         f"CAST(sum(CASE WHEN {DEL} THEN 1 ELSE 0 END) AS BIGINT) AS delayed_flights FROM classified "
          f"WHERE {OP} AND {where} GROUP BY {idl})")
     if keys_values is not None:
         # a single requested key: one row even without flights (zeros)
@@ -160,24 +163,25 @@ def _category_report_sql(ids: list[str], where: str, keys_values: str | None) ->
         t += (f",\nkk AS (SELECT * FROM (VALUES {keys_values}) v({idl})),\n"
               f"t2 AS (SELECT {cols}, "
               + ", ".join(f"coalesce(t.{c}, 0) AS {c}" for _, c in FLAG_COUNTER)
-              + f", coalesce(t.num_flights, 0) AS num_flights FROM kk LEFT JOIN t ON {on})")
+              + f", coalesce(t.num_flights, 0) AS num_flights, coalesce(t.delayed_flights, 0) AS delayed_flights"
+              f" FROM kk LEFT JOIN t ON {on})")
         src = "t2"
     else:
         t += ",\nt2 AS (SELECT * FROM t WHERE num_flights > 0)"
         src = "t2"
-    cells = f",\ncells AS ({_cells(src, idl)})"
+    cells = f",\ncells AS ({_cells(src, idl, exact=exact)})"
     return (PREFIX + t + cells + f"""
 SELECT {idl}, CAST(category_ord AS INTEGER) AS category_ord, category, CAST(value AS BIGINT) AS value,
   round(CASE WHEN num_flights = 0 THEN 0.0 ELSE CAST(value AS DOUBLE) / CAST(num_flights AS DOUBLE) END, 6) AS ratio
 FROM cells WHERE category_ord = 0 OR value >= 1""")
 
 
-def _season_sql(where: str) -> str:
+def _season_sql(where: str, labels=("Fall", "Winter", "Spring", "Summer")) -> str:
     s = (PREFIX + f""",
 t AS (SELECT carrier, flight_num, year, quarter, CAST(count(carrier) AS BIGINT) AS num_flights, {sums_cond()}
   FROM classified WHERE {OP} AND year = {QS.SEASON_YEAR}{where} GROUP BY carrier, flight_num, year, quarter),
 keys AS (SELECT DISTINCT carrier, flight_num, year FROM t),
-qs AS (SELECT * FROM (VALUES (1, 'Fall'), (2, 'Winter'), (3, 'Spring'), (4, 'Summer')) v(season_ord, season)),
+qs AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(labels, 1)) + """) v(season_ord, season)),
 m AS (SELECT keys.carrier, keys.flight_num, keys.year, qs.season_ord, qs.season,
   coalesce(t.num_flights, 0) AS num_flights, """
          + ", ".join(f"coalesce(t.{c}, 0) AS {c}" for _, c in FLAG_COUNTER)
@@ -343,6 +347,8 @@ FROM classified WHERE {OP} GROUP BY carrier, year"""
     sql["report_flight_all"] = _category_report_sql(["carrier", "flight_num"], _range(r1), None)
     sql["report_season"] = _season_sql(f" AND carrier = '{QS.CARRIER}' AND flight_num = '{QS.FLIGHT}'")
     sql["report_season_all"] = _season_sql("")
+    sql["report_season_calendar"] = _season_sql("", ("Winter", "Spring", "Summer", "Fall"))
+    sql["report_category_exact"] = _category_report_sql(["carrier"], _range(r1), None, exact=True)
     sql["report_airline"] = PREFIX + f""",
 t AS (SELECT carrier, CAST(count(carrier) AS BIGINT) AS n,
   CAST(sum(CASE WHEN {DEL} THEN carrier_b + late_aircraft_b + other_b ELSE 0 END) AS BIGINT) AS a

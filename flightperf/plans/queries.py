@@ -339,6 +339,16 @@ def q_report_season_all(spark, sf_dir):
     return Q.season_delay(_wh(spark, sf_dir), None, None, SEASON_YEAR, labels="as_observed")
 
 
+def q_report_category_exact(spark, sf_dir):
+    """Q1 with On Time = flights - delayed flights (each flight counted once)."""
+    return Q.delay_category(_wh(spark, sf_dir), None, *RANGE1, on_time="exact")
+
+
+def q_report_season_calendar(spark, sf_dir):
+    """Q3 with meteorological season labels (quarter 1 = Winter)."""
+    return Q.season_delay(_wh(spark, sf_dir), None, None, SEASON_YEAR, labels="calendar")
+
+
 def q_report_airline(spark, sf_dir):
     return Q.airline_delays(_wh(spark, sf_dir), *RANGE1)
 
@@ -411,6 +421,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_flight_all": q_report_flight_all,
         "report_season": q_report_season,
         "report_season_all": q_report_season_all,
+        "report_category_exact": q_report_category_exact,
+        "report_season_calendar": q_report_season_calendar,
         "report_airline": q_report_airline,
         "report_holiday": q_report_holiday,
         "report_holiday_all": q_report_holiday_all,
