@@ -99,3 +99,19 @@ def test_flights_parquet_roundtrip_and_pushdown(spark):
     assert "GreaterThanOrEqual(flight_date,1996-03-15)" in plan
     assert sorted(map(tuple, rep.collect())) == sorted(
         map(tuple, Q.delay_category(Warehouse.from_flights(f), None, dt.date(1996, 3, 15), dt.date(1999, 11, 20)).collect()))
+
+
+def test_zip_with_several_members_and_a_readme(spark, tmp_path):
+    import zipfile
+    header = ",".join(ONTIME_COLUMNS)
+    row = {"Year": "2014", "Quarter": "2", "Month": "6", "DayofMonth": "1", "DayOfWeek": "7",
+           "FlightDate": "2014-06-01", "UniqueCarrier": "AA", "FlightNum": "1", "ArrDelay": "20.00",
+           "ArrDel15": "1.00", "Cancelled": "0.00", "CarrierDelay": "20.00"}
+    z = tmp_path / "zips"
+    z.mkdir()
+    with zipfile.ZipFile(z / "month.zip", "w") as zf:
+        zf.writestr("a.csv", header + "\n" + _line(row) + "\n")
+        zf.writestr("b.csv", header + "\r\n" + _line(dict(row, FlightNum="2")) + "\r\n")
+        zf.writestr("readme.html", "<html>not data</html>")
+    got = sorted((r.carrier, r.flight_num, r.arr_delay) for r in CSV.read_flights_zip(spark, str(z)).collect())
+    assert got == [("AA", "1", 20), ("AA", "2", 20)]
