@@ -6,11 +6,6 @@ integer columns leniently, so ``1.00`` / ``-5.00`` / empty / junk become 1 / -5
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,32 +60,54 @@ def read_flights_dir(spark: SparkSession, path: str, header: bool = False) -> Da
 
 # --- zip archives ---------------------------------------------------------------
 
-LINES_PER_CHUNK = 20000
-
-
-def _unzip_lines(header: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as zf:
+BLOCK_BYTES = 8 << 20   # inflate members in 8 MB blocks; one output batch per block
+
+
+# Functions that run inside Python workers are self-contained (stdlib / pyarrow only, helpers
+# nested): cloudpickle then ships them by value, so executors need no copy of this package.
+
+def _unzip_lines(header: bool, block_bytes: int = BLOCK_BYTES):
+    def member_lines(fh):
+        """Lines of one zip member, block by block (a line split across blocks is carried)."""
+        carry, first = b"", True
+        while True:
+            block = fh.read(block_bytes)
+            if not block:
+                break
+            block = carry + block
+            cut = block.rfind(b"\n")
+            if cut < 0:
+                carry = block
+                continue
+            carry = block[cut + 1:]
+            lines = block[:cut].decode("utf-8", errors="replace").split("\n")
+            if first:
+                first = False
+                if header and lines:
+                    lines = lines[1:]
+            yield [ln.rstrip("\r") for ln in lines if ln.strip("\r")]
+        if carry.strip() and not (first and header):
+            yield [carry.decode("utf-8", errors="replace").rstrip("\r")]
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+        for rb in batches:
+            paths = rb.column("path").to_pylist()
+            contents = rb.column("content")
+            for i, path in enumerate(paths):
+                with zipfile.ZipFile(io.BytesIO(contents[i].as_py())) as zf:
                     for member in zf.namelist():
                         if not member.lower().endswith(".csv"):
                             continue
-                        buf, first = [], True
                         with zf.open(member) as fh:
-                            for raw in io.TextIOWrapper(fh, encoding="utf-8", errors="replace", newline=""):
-                                if first:
-                                    first = False
-                                    if header:
-                                        continue
-                                line = raw.rstrip("\r\n")
-                                if line:
-                                    buf.append(line)
-                                if len(buf) >= LINES_PER_CHUNK:
-                                    yield pd.DataFrame({"archive": path, "line": buf})
-                                    buf = []
-                        if buf:
-                            yield pd.DataFrame({"archive": path, "line": buf})
+                            for lines in member_lines(fh):
+                                if lines:
+                                    yield pa.RecordBatch.from_arrays(
+                                        [pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())],
+                                        names=["archive", "line"])
     return run
 
 
@@ -99,8 +116,9 @@ def read_zip_lines(spark: SparkSession, path: str, header: bool = True, spread:
 
     A zip member can only be inflated front to back, so an archive is never split: a task
     holds at most one Arrow batch of archive bytes (``spark.sql.execution.arrow.
-    maxBytesPerBatch``; one archive must stay under the 2 GB binary-row limit) and yields
-    lines in bounded chunks. With ``spread`` (default) the lines are then redistributed
+    maxBytesPerBatch``; one archive must stay under the 2 GB binary-row limit), inflates
+    members in 8 MB blocks and yields one Arrow batch of lines per block (``mapInArrow``,
+    no pandas conversion). With ``spread`` (default) the lines are then redistributed
     round robin into AQE-sized partitions, so parsing and aggregation of an oversized
     archive - say a third of all rows - run on many tasks instead of one; inflating is
     the only per-archive step left. ``spread=False`` saves that shuffle when archives are
@@ -108,7 +126,7 @@ def read_zip_lines(spark: SparkSession, path: str, header: bool = True, spread:
     """
     bins = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
             .option("recursiveFileLookup", True).load(path).select("path", "content"))
-    lines = bins.mapInPandas(_unzip_lines(header), "archive string, line string")
+    lines = bins.mapInArrow(_unzip_lines(header), "archive string, line string")
     return lines.hint("rebalance") if spread else lines
 
 
@@ -173,20 +191,23 @@ def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
     writer.csv(path)
 
 
-def _filesystem(uri: str):
-    """(pyarrow filesystem, path) for a Spark-style location: ``file:/x``, ``/x``,
-    ``hdfs://…``, ``s3://…`` and the other schemes pyarrow resolves."""
-    from pyarrow import fs as pafs
-    if "://" not in uri:
-        local = uri[len("file:"):] if uri.startswith("file:") else uri
-        return pafs.LocalFileSystem(), local
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _zip_files(out_dir: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filesystem, base = _filesystem(out_dir)
-        filesystem.create_dir(base, recursive=True)
+    def filesystem(uri: str):
+        """(pyarrow filesystem, path) for a Spark-style location: ``file:/x``, ``/x``,
+        ``hdfs://…``, ``s3://…`` and the other schemes pyarrow resolves."""
+        from pyarrow import fs as pafs
+        if "://" not in uri:
+            local = uri[len("file:"):] if uri.startswith("file:") else uri
+            return pafs.LocalFileSystem(), local
+        return pafs.FileSystem.from_uri(uri)
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+        fs_, base = filesystem(out_dir)
+        fs_.create_dir(base, recursive=True)
         for pdf in batches:
             names = []
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -198,7 +219,7 @@ def _zip_files(out_dir: str):
                 with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
                     zf.writestr(member, bytes(content))
                 # same name on a task retry: the archive is simply written again
-                with filesystem.open_output_stream(f"{base}/{name}") as out:
+                with fs_.open_output_stream(f"{base}/{name}") as out:
                     out.write(buf.getvalue())
                 names.append(name)
             yield pd.DataFrame({"archive": names})

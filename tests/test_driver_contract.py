@@ -35,3 +35,28 @@ def test_contract_in_plain_session(spark):
     for name in ["report_category", "report_holiday", "rollup_count_date"]:
         want = sorted(map(str, qs[name](spark, "/root/testdata/sf0.001").collect()))
         assert got[name] == want, name
+
+
+FOREIGN = r"""
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as E
+q = E.queries()
+print("RESULT", q["scan_zip_csv"](spark, "/root/testdata/sf0.001").count(),
+      q["report_category_all"](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+def test_python_tasks_need_no_package_on_executors(tmp_path):
+    """Run from a folder outside the repo with no PYTHONPATH: the Python workers cannot
+    import the package, so everything shipped to them must travel by value."""
+    import os
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    r = subprocess.run([sys.executable, "-c", FOREIGN, REPO], capture_output=True, text=True, timeout=600,
+                       cwd=str(tmp_path), env=env)
+    line = [ln for ln in r.stdout.splitlines() if ln.startswith("RESULT")]
+    assert line, r.stderr[-3000:]
+    n_zip, n_rep = map(int, line[0].split()[1:])
+    assert n_zip == 6000 and n_rep > 0
