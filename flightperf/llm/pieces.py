@@ -172,7 +172,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """Rows with an ``ids`` column, each with its ``decoded`` text added (an old one is replaced)."""
     spec = _broadcast(encoded, model_file)
     rows = encoded.drop("decoded")
-    schema = rows.schema.add("decoded", "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
     at = rows.columns.index("ids")
 
     def run(batches):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightperf.llm.common import small_batches, text_bytes
+from flightperf.llm.common import fresh, small_batches, text_bytes
 from flightperf.llm.linear import Logistic, sigmoid
 
 MAX_LABELLED = 12_000
@@ -188,8 +188,8 @@ def scores(docs: DataFrame, model: CoTrained) -> DataFrame:
 def keep_good(docs: DataFrame, model: CoTrained) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, all columns as they were."""
     width = len(docs.columns)
-    views = [text_bytes().alias("bytes"), F.col("lang").cast("string"), F.col("source").cast("string"),
-             F.col("n_chars").cast("long")]
+    views = [c.alias(fresh(docs, f"view_{i}")) for i, c in enumerate((
+        text_bytes(), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")))]
     at = {"bytes": width, "lang": width + 1, "source": width + 2, "n_chars": width + 3}
 
     def run(batches):
