@@ -7,11 +7,12 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightperf.llm import decontam, digests, licenses, line_dedup, pieces, quality, simhash, token_files
-from flightperf.llm.common import documents
+from flightperf.llm import decontam, digests, licenses, line_dedup, neural_lm, pieces, quality, simhash, token_files, toxicity
+from flightperf.llm.common import documents, fold_column
 from flightperf.session import scratch_path
 
 END_ID = 1
+HELD_FOLD = 2     # of four, whose toxicity labels are not learned from
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,12 +46,26 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digests(documents(spark, sf_dir))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-bilinear and unigram scores of every document; learned from nine of ten folds."""
+    docs = documents(spark, sf_dir)
+    return neural_lm.scores(docs, neural_lm.learning_fold()).withColumn(
+        "held_out", fold_column("doc_id", neural_lm.FOLDS) == 0)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) leak."""
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
         "doc_id", "item_id", "n_windows", "item_windows", "n_slots")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score and spans of every document; learned from three of four folds of the labels."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold_column("doc_id", 4) != HELD_FOLD)
+    return toxicity.scores(docs, model).withColumn("held_out", fold_column("doc_id", 4) == HELD_FOLD)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer_file: str | None = None) -> DataFrame:
     """Token files of all documents, written and read back."""
     path = scratch_path(spark, "token-files")
@@ -70,7 +85,9 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_fingerprints": op5_fingerprints,
+    "op6_language_model": op6_language_model,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
 }
