@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 import zlib
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,15 @@ def per_process(name: str, make):
     return getattr(held, name)
 
 
+def share(spark: SparkSession, thing):
+    """A broadcast of an object of this package, its classes by value; ``taken`` gives it in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def taken(shared):
+    return pickle.loads(shared.value)
+
+
 def small_batches(batches):
     """Arrow batches cut to BATCH_ROWS rows."""
     for b in batches:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightperf.llm.common import fold_column, small_batches, text_bytes, written
+from flightperf.llm.common import fold_column, share, small_batches, taken, text_bytes, written
 
 FREQUENT = 447                # classes of one word; class 0 is the end token
 HASHED = 64                   # classes that rarer words share
@@ -206,13 +206,12 @@ def _contexts(klass: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
     """Average of the models that the tasks train on all of ``texts`` (bytes), round after round."""
     model = LogBilinear(vocab.noise)
-    sc = texts.sparkSession.sparkContext
     for r in range(rounds):
-        shared = sc.broadcast((model, vocab))           # CLASSES vectors and COUNTED words: of fixed size
+        shared = share(texts.sparkSession, (model, vocab))           # CLASSES vectors and COUNTED words: of fixed size
 
         def run(batches, shared=shared, r=r):
             import copy
-            base, vocab = shared.value
+            base, vocab = taken(shared)
             model = copy.deepcopy(base)
             held, rng = model.learner(), np.random.default_rng(100 + r)
             seen, gathered, n = 0, [], 0
@@ -263,10 +262,10 @@ _PARTIAL = ("row long, doc_id long, n_tokens long, n_known long, base_score doub
 
 def _partial_scores(rows: DataFrame, model: LogBilinear, vocab: Vocabulary) -> DataFrame:
     """Each row's sums over the frequent words and all classes, and its rarer words with their number."""
-    shared = rows.sparkSession.sparkContext.broadcast((model, vocab))
+    shared = share(rows.sparkSession, (model, vocab))
 
     def run(batches):
-        model, vocab = shared.value
+        model, vocab = taken(shared)
         sums = np.full(CLASSES * CLASSES, np.nan, dtype=np.float32)   # by context, as they are needed
         for b in small_batches(batches):
             out = []

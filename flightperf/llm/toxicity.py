@@ -2,15 +2,15 @@
 
 Tokens are words. The labels say toxic of whole documents, so tokens of the training sample are
 labelled first: a word is toxic inside toxic documents if it is far more frequent in toxic than
-in clean documents (``RATIO`` times the rate, in ``MIN_SHARE`` of the toxic ones at least); near
-copies count once, by the smallest hash of their words. The field has two tags; a token's state
-score sums weights of its own word, the word before and the word after (hashed to ``SLOTS``), and
-tags have transition weights. It is trained by AdaGrad on the exact likelihood.
+in clean documents (``RATIO`` times the rate, with ``MIN_EVIDENCE`` against chance); near copies
+count once, by the smallest hash of their words. The field has two tags; a token's state
+score sums weights of its own word, the word before and the word after (words of two sampled
+documents at least; all others share one slot), and tags have transition weights. It is trained by AdaGrad on the exact likelihood.
 
 Forward-backward gives each token's marginal. A chain is worked in windows of ``CORE`` tokens with
 ``MARGIN`` tokens of context on both sides, so any text length takes bounded memory. A document's
-score is a calibrated logistic function of its largest marginal, its expected toxic words, and its
-mean word weight under a word-frequency model; spans are runs of tokens above ``SPAN_FROM``.
+score is a logistic function of its largest marginal, its expected toxic words, and its mean word
+weight under a word-frequency model, calibrated on documents that did not teach the field; spans are runs of tokens above ``SPAN_FROM``.
 
 The fit reads a bounded sample, ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled rows by a
 hash of doc_id, weighted back to the labels' shares; every document is scored whole.
@@ -31,16 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightperf.llm.common import per_process, small_batches, text_bytes
+from flightperf.llm.common import per_process, share, small_batches, taken, text_bytes
 from flightperf.llm.linear import Logistic, sigmoid
 from flightperf.llm.licenses import words_of
 
 MAX_TOXIC = 2500
 MAX_CLEAN = 2500
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
-RATIO = 20.0
-MIN_SHARE = 0.02
+RATIO = 6.0
+MIN_EVIDENCE = 12.0           # nats; about one in 160,000 by chance
 CORE, MARGIN = 512, 32
 TRAIN_CORE = 64
 EPOCHS = 3
@@ -50,6 +48,7 @@ BATCH_TOKENS = 1_000_000
 CACHE_WORDS = 500_000
 CACHE_LETTERS = 48
 SPAN_FROM = 0.5
+PARTS = 4                      # of the sample, for the calibration
 TOXIC_FROM = 0.3
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -57,26 +56,38 @@ _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 # --- words -------------------------------------------------------------------------
 
+EDGE, OTHER = 0, 1               # slots of a text's edge and of words the sample doesn't hold
+
+
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word) - (1 << 63)
+
+
 class Slots(dict):
-    """word (bytes) -> hashed slot; slot 0 is the edge of a text."""
+    """word (bytes) -> its slot in a sorted table of word hashes; OTHER if it isn't there."""
+
+    def __init__(self, table: np.ndarray):
+        super().__init__()
+        self.table = table
 
     def __missing__(self, word: bytes) -> int:
-        slot = 1 + xxhash.xxh32_intdigest(word) % (SLOTS - 1)
+        h = word_hash(word)
+        i = int(np.searchsorted(self.table, h))
+        slot = i + 2 if i < len(self.table) and self.table[i] == h else OTHER
         if len(self) > CACHE_WORDS:
             self.clear()
         if len(word) <= CACHE_LETTERS:
             self[word] = slot
         return slot
 
-
-def slots_of(raw: bytes, table: Slots) -> np.ndarray:
-    words = words_of(raw)
-    return np.fromiter(map(table.__getitem__, words), dtype=np.int32, count=len(words))
+    def of(self, raw: bytes) -> np.ndarray:
+        words = words_of(raw)
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
 def windows(lengths: np.ndarray, core: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts with these many tokens, laid out one after the other: first token, core start and
-    core end of every window (in the layout), and so on for ever longer texts."""
+    """Of texts with these many tokens, laid out one after the other: (first token, core start, core
+    end, last token) of every window, the text of each window and its number in the text."""
     ends = np.cumsum(lengths)
     n = -(-lengths // core)
     text = np.repeat(np.arange(len(lengths)), n)
@@ -94,8 +105,9 @@ def windows(lengths: np.ndarray, core: int, margin: int) -> tuple[np.ndarray, np
 class Field:
     """Weights of the tag 1 against 0: ``state`` (own, before, after; each by slot), a bias and transitions."""
 
-    def __init__(self):
-        self.state = np.zeros((3, SLOTS), dtype=np.float64)
+    def __init__(self, slots: int):
+        self.slots = slots
+        self.state = np.zeros((3, slots), dtype=np.float64)
         self.bias = -3.0
         self.trans = np.zeros((2, 2))
 
@@ -103,7 +115,7 @@ class Field:
         return self.bias + self.state[0][own] + self.state[1][before] + self.state[2][after]
 
     def marginals(self, e: np.ndarray, mask: np.ndarray):
-        """P(tag 1) of padded chains (steps, chains), the transitions' expected counts, and log Z.
+        """P(tag 1) of padded chains (steps, chains), then the messages it came from.
 
         Messages are kept as the odds of tag 1 against tag 0, so each step is a few products."""
         steps, chains = e.shape
@@ -149,12 +161,11 @@ class Field:
                 p, fwd, bwd, odds, t = self.marginals(self.emission(o, b, a), mask)
                 tag = y[at]
                 miss = np.where(mask, p - tag, 0.0)
-                n = mask.sum()
                 pairs = self.pair_counts(fwd, bwd, odds, t, mask)
                 m = mask[1:]
                 real = np.array([[((tag[:-1] == i) & (tag[1:] == j) & m).sum() for j in (0, 1)] for i in (0, 1)])
                 for k, slots in enumerate((o, b, a)):
-                    g = np.bincount(slots[mask], weights=miss[mask], minlength=SLOTS) + L2 * self.state[k]
+                    g = np.bincount(slots[mask], weights=miss[mask], minlength=self.slots) + L2 * self.state[k]
                     seen[0][k] += g * g
                     self.state[k] -= RATE * g / np.sqrt(seen[0][k])
                 g = (pairs - real) + L2 * self.trans
@@ -163,7 +174,6 @@ class Field:
                 g = miss.sum()
                 seen[2] += g * g
                 self.bias -= RATE * g / np.sqrt(seen[2])
-                del n
         return self
 
 
@@ -192,34 +202,60 @@ class ToxicModel:
     """The field, the words' weights and the calibrated document score."""
 
     def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, n_toxic: int, n_clean: int):
-        """``texts``: slots of sampled documents; ``toxic``: their labels; n: labelled rows in all."""
+        """``texts``: word hashes of sampled documents; ``toxic``: their labels; n: labelled rows in all."""
+        seen, times = np.unique(np.concatenate([np.unique(x) for x in texts] or [np.zeros(0, np.int64)]), return_counts=True)
+        self.table = seen[times > 1]
+        self.slots = len(self.table) + 2
+        texts = [self._slots(x) for x in texts]
         self.share = (n_toxic + 1) / (n_toxic + n_clean + 2)
         self.usable = bool(len(texts)) and 0 < toxic.sum() < len(toxic)
         if not self.usable:
             return
+        facts, y, part = [], [], np.arange(len(texts)) % PARTS
+        for k in range(PARTS):                              # each part is judged by what the others taught
+            if len(np.unique(toxic[part == k])) == len(np.unique(toxic[part != k])) == 2:
+                self.teach([x for x, p in zip(texts, part) if p != k], toxic[part != k])
+                own = [x for x, p in zip(texts, part) if p == k]
+                facts += [self.facts(own[i:i + 256])[0] for i in range(0, len(own), 256)]
+                y.append(toxic[part == k])
+        self.teach(texts, toxic)
+        if not facts:                                       # too few rows to part
+            facts, y = [self.facts(texts)[0]], [toxic]
+        y = np.concatenate(y).astype(np.float64)
+        weight = np.where(y == 1, n_toxic / max(1, y.sum()), n_clean / max(1, (1 - y).sum()))
+        self.calibration = Logistic(1.0).fit(np.concatenate(facts), y, weight * len(y) / weight.sum())
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.table):
+            return np.full(len(hashes), OTHER, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
+        return np.where(self.table[at] == hashes, at + 2, OTHER).astype(np.int32)
+
+    def teach(self, texts: list[np.ndarray], toxic: np.ndarray) -> None:
+        """Label the tokens, weigh the words and fit the field."""
         words = [np.unique(x) for x in texts]
         # near copies share the smallest hash of their words, so a group of copies counts once
         mark = np.array([int((w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).min()) if len(w) else -1
                          for w in words])
-        counts = np.zeros((2, SLOTS))
+        counts = np.zeros((2, self.slots))
         groups = [0, 0]
         for y in (0, 1):
             rows = np.flatnonzero(toxic == y)
             pairs = [np.column_stack([np.full(len(words[i]), mark[i]), words[i]]) for i in rows]
             pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-            counts[y] = np.bincount(pairs[:, 1].astype(np.int64), minlength=SLOTS)
+            counts[y] = np.bincount(pairs[:, 1].astype(np.int64), minlength=self.slots)
             groups[y] = len(np.unique(mark[rows]))
         rate = (counts + 0.5) / (np.array(groups)[:, None] + 1.0)
-        self.toxic_slots = (counts[1] >= max(3, MIN_SHARE * groups[1])) & (rate[1] >= RATIO * rate[0])
+        # by how much a word's toxic share exceeds that of all documents, as evidence in nats
+        n, base = np.maximum(counts.sum(axis=0), 1), groups[1] / max(1, sum(groups))
+        share = np.clip(counts[1] / n, 1e-9, 1 - 1e-9)
+        evidence = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+        self.toxic_slots = (evidence >= MIN_EVIDENCE) & (share > base) & (rate[1] >= RATIO * rate[0])
         self.word_weight = np.log(rate[1] / rate[0])
         self.word_weight[counts.sum(axis=0) < 8] = 0.0
         self.word_weight[self.toxic_slots] = 0.0            # the field tells of those
-        self.word_weight[0] = 0.0
-        tags = [self.toxic_slots[x] & bool(y) for x, y in zip(texts, toxic)]
-        self.field = Field().fit(texts, tags)
-        weight = np.where(toxic == 1, n_toxic / max(1, toxic.sum()), n_clean / max(1, (1 - toxic).sum()))
-        facts = np.concatenate([self.facts(texts[i:i + 256])[0] for i in range(0, len(texts), 256)])
-        self.calibration = Logistic(1.0).fit(facts, toxic.astype(np.float64), weight)
+        self.word_weight[EDGE], self.toxic_slots[[EDGE, OTHER]] = 0.0, False
+        self.field = Field(self.slots).fit(texts, [self.toxic_slots[x] & bool(y) for x, y in zip(texts, toxic)])
 
     def facts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Per document the largest marginal, the expected toxic words and the mean word weight; and
@@ -293,16 +329,15 @@ def train(docs: DataFrame, labels: DataFrame, fold=None, max_toxic: int = MAX_TO
     some = known.where(place < share).select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
 
     def run(batches):
-        table = per_process("toxicity_slots", Slots)
         for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([slots_of(x.as_py(), table) for x in b.column(1)], pa.list_(pa.int32()))],
-                names=["label", "slots"])
+                [b.column(0), pa.array([[word_hash(w) for w in words_of(x.as_py())] for x in b.column(1)],
+                                       pa.list_(pa.int64()))], names=["label", "words"])
 
     # the sample: about max_toxic + max_clean rows, two numbers each on the broadcast side
     rows = (docs.select(F.col("doc_id").cast("long"), text_bytes().alias("bytes")).join(F.broadcast(some), "doc_id")
-            .select("label", "bytes").mapInArrow(run, "label int, slots array<int>").toArrow())
-    texts = [np.array(x.values.to_numpy(), dtype=np.int32) for x in rows.column("slots")]
+            .select("label", "bytes").mapInArrow(run, "label int, words array<bigint>").toArrow())
+    texts = [np.array(x.values.to_numpy(), dtype=np.int64) for x in rows.column("words")]
     toxic = np.array(rows.column("label").to_pylist(), dtype=np.int64)
     order = sorted(range(len(texts)), key=lambda i: (toxic[i], xxhash.xxh64_digest(texts[i].tobytes())))
     return ToxicModel([texts[i] for i in order], toxic[order], n.get(1, 0), n.get(0, 0))
@@ -310,12 +345,13 @@ def train(docs: DataFrame, labels: DataFrame, fold=None, max_toxic: int = MAX_TO
 
 def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, score, predicted, spans (code-point offsets) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # SLOTS weights: of fixed size
+    shared = share(docs.sparkSession, model)      # the sample's words
+    held = f"toxicity_{xxhash.xxh64_hexdigest(model.table.tobytes())}"
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        model = shared.value
-        table = per_process("toxicity_slots", Slots)
+        model = taken(shared)
+        table = per_process(held, lambda: Slots(model.table))
 
         def done(ids, raws, texts):
             score, marg = model.score(texts)
@@ -332,7 +368,7 @@ def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:
                 raw = raw.as_py()
                 ids.append(doc_id)
                 raws.append(raw)
-                texts.append(slots_of(raw, table))
+                texts.append(table.of(raw))
                 n += len(texts[-1])
                 if n >= BATCH_TOKENS or len(ids) >= 8192:
                     yield done(ids, raws, texts)
