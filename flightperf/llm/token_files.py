@@ -165,34 +165,48 @@ class WordIds(dict):
     """word (bytes) -> its ids as little-endian uint32 bytes, filled through the tokenizer.
 
     White space separates words for this tokenizer (it is dropped, no merge crosses it), so the
-    ids of a text are those of its words in turn; ``splits_at_space`` checks the vocabulary file.
+    ids of a text are those of its words in turn. It lower-cases, and letters and punctuation are
+    separate pieces to it, so "The," meets "the" and ","; ``splits_at_space`` checks the vocabulary
+    file. A word of the letters a-z is one piece that goes to the tokenizer's model as it is.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.encode = tokenizer.encode
+        self.encode, self.pieces = tokenizer.encode, tokenizer.model.tokenize
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
         if len(self) > CACHE_WORDS:
             self.clear()
+        # special tokens are found before lower-casing
+        words = (text if b"<|" in text else text.lower()).split()
         return b"".join(map(self.__getitem__, words))
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if word[-1:] in b".," and word[-2:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1:]]
+        elif word.isalpha() and word.islower():
+            ids = np.array([t.id for t in self.pieces(word.decode())], dtype="<u4").tobytes()
+        else:
+            ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= CACHE_LETTERS:
             self[word] = ids
         return ids
 
 
+# Fixed value: the split pattern of the public word-level vocabulary.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def splits_at_space(tokenizer_json: str) -> bool:
-    """Whether the tokenizer drops white space between pieces and does nothing across it."""
+    """Whether the tokenizer lower-cases, drops white space between pieces, parts letters from
+    punctuation and does nothing across words."""
     spec = json.loads(tokenizer_json)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
     split = steps[0]
-    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True \
+        and (split.get("pattern") or {}).get("Regex") == _SPLIT
     norms = (spec.get("normalizer") or {}).get("normalizers") or []
-    known = all(n.get("type") in ("NFC", "Replace", "Lowercase") for n in norms)
+    known = [n.get("type") for n in norms] == ["NFC", "Replace", "Lowercase"]
     added = all(not (a.get("lstrip") or a.get("rstrip") or a.get("single_word") or " " in a["content"])
                 for a in spec.get("added_tokens", []))
     return bool(drops and known and added and not spec.get("post_processor"))
