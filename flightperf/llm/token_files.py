@@ -29,6 +29,7 @@ extra columns are ignored; ids need 32 bits at most.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -44,7 +45,7 @@ MAGIC, VERSION = 0x50464F52, 1
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 19
-CACHE_WORDS = 600_000     # words a worker keeps the ids of; full, it starts anew
+CACHE_WORDS = 900_000     # words a worker keeps the ids of; full, it starts anew
 CACHE_LETTERS = 40        # longer words are not kept
 
 
@@ -161,13 +162,20 @@ class Segment:
 
 # --- encoding ----------------------------------------------------------------------
 
+# Small letters of Latin-1 (UTF-8): already lower-cased and composed, and one piece together.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+# Byte-level models write a byte as a letter: printable Latin-1 as it is, the others from U+0100 on.
+_UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(_UNPRINTED)}
+
+
 class WordIds(dict):
     """word (bytes) -> its ids as little-endian uint32 bytes, filled through the tokenizer.
 
     White space separates words for this tokenizer (it is dropped, no merge crosses it), so the
     ids of a text are those of its words in turn. It lower-cases, and letters and punctuation are
     separate pieces to it, so "The," meets "the" and ","; ``splits_at_space`` checks the vocabulary
-    file. A word of the letters a-z is one piece that goes to the tokenizer's model as it is.
+    file. A word of small Latin-1 letters is one piece: it goes to the tokenizer's model as its bytes.
     """
 
     def __init__(self, tokenizer):
@@ -184,8 +192,8 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         if word[-1:] in b".," and word[-2:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
-        elif word.isalpha() and word.islower():
-            ids = np.array([t.id for t in self.pieces(word.decode())], dtype="<u4").tobytes()
+        elif _PLAIN.fullmatch(word):
+            ids = np.array([t.id for t in self.pieces(word.decode("latin-1").translate(_BYTE_LEVEL))], dtype="<u4").tobytes()
         else:
             ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) <= CACHE_LETTERS:
@@ -203,13 +211,15 @@ def splits_at_space(tokenizer_json: str) -> bool:
     spec = json.loads(tokenizer_json)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
     split = steps[0]
+    byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") \
+        and not steps[1].get("use_regex")
     drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True \
         and (split.get("pattern") or {}).get("Regex") == _SPLIT
     norms = (spec.get("normalizer") or {}).get("normalizers") or []
     known = [n.get("type") for n in norms] == ["NFC", "Replace", "Lowercase"]
     added = all(not (a.get("lstrip") or a.get("rstrip") or a.get("single_word") or " " in a["content"])
                 for a in spec.get("added_tokens", []))
-    return bool(drops and known and added and not spec.get("post_processor"))
+    return bool(drops and byte_level and known and added and not spec.get("post_processor"))
 
 
 def encoder(tokenizer_json: str):
