@@ -2,12 +2,13 @@
 
   python -m flightperf build  --input PATH [--format csv|dir|zip] [--header] --warehouse PATH
   python -m flightperf report NAME --warehouse PATH [--carrier AA] [--flight 2] [--from D] [--to D]
-                              [--year Y] [--holiday H] [--labels calendar|as_observed] [--out PATH]
+                              [--year Y] [--holiday H] [--years FIRST-LAST] [--labels calendar|as_observed] [--out PATH]
   python -m flightperf export --warehouse PATH --out PATH [--tables a,b] [--format tsv|parquet]
 
 Report names: delay_category, delay_flightNum, delay_season, delay_career, delay_holiday.
 Without ``--carrier`` (and ``--flight``) a report answers every key at once. Results are
-written with Spark (``--out``) or the first rows are shown; nothing is collected whole.
+written with Spark (``--out``) or printed row by row, all of them, tab-separated under a header.
+A period needs both ends; without either it is the application's default period.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ def _args(argv):
     r.add_argument("--inclusive-end", action="store_true")
     r.add_argument("--year", type=int)
     r.add_argument("--holiday")
+    r.add_argument("--years", help="first and last year of the holiday report, e.g. 1995-2001")
     r.add_argument("--labels", choices=["calendar", "as_observed"], default="calendar")
     r.add_argument("--out")
     e = sub.add_parser("export")
@@ -61,7 +63,10 @@ def _report(wh, a):
         return Q.season_delay(wh, a.carrier, a.flight, a.year, labels=a.labels)
     if name == "delay_career":
         return Q.airline_delays(wh, a.start, a.end, inclusive_end=a.inclusive_end)
-    return Q.delay_holiday(wh, a.carrier, a.holiday)
+    years = tuple(int(y) for y in a.years.split("-", 1)) if a.years else None
+    if years and (len(years) != 2 or years[0] > years[1]):
+        raise ValueError(f"--years needs FIRST-LAST, got {a.years!r}")
+    return Q.delay_holiday(wh, a.carrier, a.holiday, years)
 
 
 def main(argv=None) -> int:
@@ -77,14 +82,19 @@ def main(argv=None) -> int:
         build_all(flights, a.warehouse)
         print(f"warehouse written to {a.warehouse}")
     elif a.cmd == "report":
-        if a.name in ("delay_category", "delay_flightNum", "delay_career") and not (a.start and a.end):
+        if bool(a.start) != bool(a.end):
+            raise SystemExit("a report period needs both --from and --to")
+        if a.name in ("delay_category", "delay_flightNum", "delay_career") and not a.start:
             a.start, a.end = Q.DEFAULT_RANGE
         df = _report(Warehouse.load(spark, a.warehouse), a)
         if a.out:
             df.write.mode("overwrite").parquet(a.out)
             print(f"report written to {a.out}")
         else:
-            Q.for_display(df).show(50, truncate=False)
+            shown = Q.for_display(df)
+            print("\t".join(shown.columns))
+            for row in shown.toLocalIterator():     # one partition at a time
+                print("\t".join("" if v is None else str(v) for v in row))
     else:
         names = a.tables.split(",") if a.tables else None
         done = export_tables(Warehouse.load(spark, a.warehouse), a.out, names, a.format)

@@ -106,9 +106,3 @@ def carriers_df(spark: SparkSession, codes: list[str] | None = None) -> DataFram
         T.StructField("carrier_ord", T.IntegerType(), False),
     ])
     return spark.createDataFrame(rows, schema)
-
-
-def categories_df(spark: SparkSession) -> DataFrame:
-    rows = [(i, name, CATEGORY_COLUMNS.get(name)) for i, name in enumerate(CATEGORIES)]
-    schema = "category_ord int, category string, counter string"
-    return spark.createDataFrame(rows, schema)

@@ -40,20 +40,12 @@ def cause_flag_sql(c: str) -> str:
     return f"CASE WHEN {c} IS NULL OR {c} = 0 THEN 0 ELSE 1 END"
 
 
-def cause_flag(c: str) -> Column:
-    return E(cause_flag_sql(c))
-
-
 def other_flag_sql(flag_cols: list[str] | None = None) -> str:
     """Unclassified: 1 iff none of the five cause flags is set."""
     flags = flag_cols or [f for _, f in CAUSE_TO_FLAG]
     return "CASE WHEN " + " OR ".join(f"{f} = 1" for f in flags) + " THEN 0 ELSE 1 END"
 
 
-def other_flag(flag_cols: list[str] | None = None) -> Column:
-    return E(other_flag_sql(flag_cols))
-
-
 # SQL three-valued logic: a NULL ``cancelled`` is neither operated nor delayed.
 OPERATED_SQL = "cancelled <> 1"
 DELAYED_SQL = "arr_delay IS NOT NULL AND arr_del15 = 1 AND cancelled <> 1"
@@ -81,27 +73,15 @@ def key_sql(*parts: str) -> str:
     return "concat(" + ", ".join(cells) + ")"
 
 
-def key(*parts: str) -> Column:
-    return E(key_sql(*parts))
-
-
 def date_text_sql(c: str) -> str:
     return f"date_format({c}, 'yyyy-MM-dd')"
 
 
-def date_text(c: str) -> Column:
-    return E(date_text_sql(c))
-
-
 def year_month_text_sql(year: str, month: str) -> str:
     """``2014-06`` from int year and month."""
     return f"concat(CAST({year} AS STRING), '-', lpad(CAST({month} AS STRING), 2, '0'))"
 
 
-def year_month_text(year: str, month: str) -> Column:
-    return E(year_month_text_sql(year, month))
-
-
 # --- ratios ------------------------------------------------------------------
 
 def guarded_ratio_sql(num: str, den: str, scale: int = 6) -> str:
@@ -158,5 +138,3 @@ def holiday_date_sql(name: str, year: str) -> str:
     raise ValueError(f"unknown holiday {name!r}")
 
 
-def holiday_date(name: str, year: str) -> Column:
-    return E(holiday_date_sql(name, year))

@@ -15,9 +15,10 @@ def join_delay_count(counts: DataFrame, delays: DataFrame, dims: list[str]) -> D
     with the data, so the join strategy is left to AQE, which switches to a broadcast
     only when the runtime size of a side is under the threshold.
     """
-    d = delays.select(*dims, *COUNTERS)
-    j = counts.select(*dims, "num_flights").join(d, on=dims, how="left")
-    return j.select(*dims, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS],
+    c, d = counts.select(*dims, "num_flights").alias("c"), delays.select(*dims, *COUNTERS).alias("d")
+    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"d.{x}")) for x in dims]   # NULL parts are a group too
+    j = c.join(d, on=same, how="left")
+    return j.select(*[F.col(f"c.{x}").alias(x) for x in dims], *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in COUNTERS],
                     "num_flights")
 
 

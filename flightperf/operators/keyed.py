@@ -10,18 +10,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many keys are sent as one IN filter (pushed to the Parquet reader); more keys
-# go through a broadcast semi join with a key table whose size is the caller's list.
-MAX_IN_LIST = 1000
 
-
-def read_keys(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose ``key`` is in ``keys`` (missing keys simply produce no row)."""
+def _years(keys: list[str], part: int) -> list[int] | None:
+    """The years that the keys name in one of their parts (of a date its first four digits)."""
+    found = set()
+    for k in keys:
+        cells = k.split("_")
+        year = cells[part][:4] if -len(cells) <= part < len(cells) else ""
+        if not (len(year) == 4 and year.isdigit()):
+            return None
+        found.add(int(year))
+    return sorted(found)
+
+
+def read_keys(table: DataFrame, keys: list[str], year_part: int | None = None) -> DataFrame:
+    """Rows whose ``key`` is in ``keys`` (missing keys simply produce no row): a semi join with
+    the key list. ``year_part`` says which ``_``-part of a key holds the year; a table that is
+    partitioned by ``year`` then reads those years only."""
     keys = list(dict.fromkeys(keys))
-    if len(keys) <= MAX_IN_LIST:
-        return table.where(F.col("key").isin(keys))
-    kdf = table.sparkSession.createDataFrame([(k,) for k in keys], "key string")
-    return table.join(F.broadcast(kdf), on="key", how="left_semi")
+    years = _years(keys, year_part) if year_part is not None and "year" in table.columns else None
+    if years:
+        table = table.where(F.col("year").isin(years))
+    return table.join(table.sparkSession.createDataFrame([(k,) for k in keys], "key string"), on="key", how="left_semi")
 
 
 def read_key_range(table: DataFrame, start_key: str, stop_key: str) -> DataFrame:

@@ -39,6 +39,11 @@ class Grain:
     # columns derived after aggregation, as SQL text (functions of the dims, so they never
     # widen the shuffle key and the output stays hash-partitioned on the dims)
     derived: dict[str, str] = field(default_factory=dict)
+    # the input's own calendar columns, carried in the written table under these names so that
+    # coarser grains group on them (a date may be unreadable or disagree); never public
+    carried: dict[str, str] = field(default_factory=dict)
+    # dimensions that a written parent holds under another name
+    source: dict[str, str] = field(default_factory=dict)
 
     def key(self) -> Column:
         return X.E(self.key_sql)
@@ -74,19 +79,23 @@ _DT = X.date_text_sql("flight_date")
 GRAINS: dict[str, Grain] = {g.name: g for g in [
     Grain("flight_date", ["carrier", "flight_num", "flight_date"], None,
           _k("carrier", "flight_num", _DT), *TABLE_NAMES["flight_date"], ["year"],
-          _FROM_DATE),
+          _FROM_DATE, {"in_year": "year", "in_quarter": "quarter", "in_month": "month"}),
     Grain("flight_year_month", ["carrier", "flight_num", "year", "month"], "flight_date",
-          _k("carrier", "flight_num", _YM), *TABLE_NAMES["flight_year_month"], ["year"], _FROM_MONTH),
+          _k("carrier", "flight_num", _YM), *TABLE_NAMES["flight_year_month"], ["year"], _FROM_MONTH,
+          {"in_quarter": "quarter"}, {"year": "in_year", "month": "in_month"}),
     Grain("flight_year", ["carrier", "flight_num", "year"], "flight_year_month",
           _k("carrier", "flight_num", "year"), *TABLE_NAMES["flight_year"], ["year"]),
     Grain("flight_quarter", ["carrier", "flight_num", "year", "quarter"], "flight_year_month",
-          _k("carrier", "flight_num", "year", "quarter"), *TABLE_NAMES["flight_quarter"], ["year"]),
+          _k("carrier", "flight_num", "year", "quarter"), *TABLE_NAMES["flight_quarter"], ["year"],
+          source={"quarter": "in_quarter"}),
     Grain("flight_month", ["carrier", "flight_num", "month"], "flight_year_month",
           _k("carrier", "flight_num", "month"), *TABLE_NAMES["flight_month"], []),
     Grain("date", ["carrier", "flight_date"], "flight_date",
-          _k("carrier", _DT), *TABLE_NAMES["date"], ["year"], _FROM_DATE),
+          _k("carrier", _DT), *TABLE_NAMES["date"], ["year"], _FROM_DATE,
+          {"in_year": "year", "in_month": "month"}),
     Grain("year_month", ["carrier", "year", "month"], "date",
-          _k("carrier", _YM), *TABLE_NAMES["year_month"], ["year"], _FROM_MONTH),
+          _k("carrier", _YM), *TABLE_NAMES["year_month"], ["year"], _FROM_MONTH,
+          source={"year": "in_year", "month": "in_month"}),
     Grain("year", ["carrier", "year"], "year_month",
           _k("carrier", "year"), *TABLE_NAMES["year"], ["year"]),
     Grain("month", ["carrier", "month"], "year_month",
@@ -112,8 +121,9 @@ def _derive(df: DataFrame, grain: str) -> DataFrame:
     return df.selectExpr("*", *[f"{sql} AS {name}" for name, sql in g.derived.items()])
 
 
-def aggregate_flights(ops: DataFrame, grain: str) -> DataFrame:
-    """Combined rollup at ``grain`` straight from operated rows (see :func:`operated`).
+def aggregate_flights(ops: DataFrame, grain: str, carry: bool = False) -> DataFrame:
+    """Combined rollup at ``grain`` straight from operated rows (see :func:`operated`); with
+    ``carry``, the grain's carried columns are group columns too (the written form).
 
     One shuffle keyed on the grain's dimensions; partial aggregation runs map-side, so
     a carrier holding a third of all rows sends at most one partial row per task and key.
@@ -121,24 +131,33 @@ def aggregate_flights(ops: DataFrame, grain: str) -> DataFrame:
     g = GRAINS[grain]
     aggs = [f"CAST(sum({flag} * is_del) AS BIGINT) AS {cnt}" for flag, cnt in FLAG_TO_COUNTER]
     aggs += ["CAST(sum(is_del) AS BIGINT) AS delayed_flights", "count(carrier) AS num_flights"]
-    return _derive(ops.groupBy(*g.dims).agg(*[X.E(a) for a in aggs]), grain)
+    cols = [*g.dims, *[X.E(src, name) for name, src in g.carried.items()]] if carry else g.dims
+    return _derive(ops.groupBy(*cols).agg(*[X.E(a) for a in aggs]), grain)
 
 
 def base_rollup(flights: DataFrame) -> DataFrame:
-    """Combined rollup at the finest grain (carrier, flight, date); the shuffle key is
-    high-cardinality, so no hot key even if one carrier holds a third of all flights."""
-    return aggregate_flights(operated(flights), "flight_date")
+    """Combined rollup at the finest grain (carrier, flight, date, the input's calendar
+    columns); the shuffle key is high-cardinality, so no hot key even if one carrier holds a
+    third of all flights."""
+    return aggregate_flights(operated(flights), "flight_date", carry=True)
 
 
 def reaggregate(finer: DataFrame, grain: str) -> DataFrame:
-    """Coarser combined rollup from a finer one (sums of sums)."""
+    """Coarser combined rollup from a finer written one (sums of sums), grouped on the input's
+    own year, quarter and month."""
     g = GRAINS[grain]
-    out = finer.groupBy(*g.dims).agg(*[X.E(f"CAST(sum({m}) AS BIGINT) AS {m}") for m in MEASURES])
+    cols = [X.E(g.source.get(d, d), d) for d in g.dims] + list(g.carried)
+    out = finer.groupBy(*cols).agg(*[X.E(f"CAST(sum({m}) AS BIGINT) AS {m}") for m in MEASURES])
     return _derive(out, grain)
 
 
-def with_key(df: DataFrame, grain: str) -> DataFrame:
-    return df.selectExpr("*", f"{GRAINS[grain].key_sql} AS key")
+def merged(combined: DataFrame, grain: str) -> DataFrame:
+    """A written grain with carried columns, summed to one row for each public group."""
+    g = GRAINS[grain]
+    if not any(c in combined.columns for c in g.carried):
+        return combined
+    out = combined.groupBy(*g.dims).agg(*[X.E(f"CAST(sum({m}) AS BIGINT) AS {m}") for m in MEASURES])
+    return _derive(out, grain)
 
 
 def delay_view(combined: DataFrame, grain: str) -> DataFrame:
@@ -154,14 +173,6 @@ def count_view(combined: DataFrame, grain: str) -> DataFrame:
     return combined.selectExpr(f"{g.key_sql} AS key", *g.dims, "num_flights")
 
 
-def lazy_rollups(flights: DataFrame) -> dict[str, DataFrame]:
-    """All combined grains as lazy DataFrames, each aggregated straight from the operated
-    flights: one shuffle per grain instead of a chain of re-aggregations (the chain only
-    pays off when the finer grain is a written table, see ``plans.warehouse.build_all``)."""
-    ops = operated(flights)
-    return {name: aggregate_flights(ops, name) for name in GRAINS}
-
-
 def grouping_sets_rollup(date_grain: DataFrame) -> DataFrame:
     """All carrier grains in one aggregation: (carrier, date), (carrier, year),
     (carrier, year, month), (carrier, month), told apart by ``gid`` (grouping_id bits,

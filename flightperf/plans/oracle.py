@@ -221,6 +221,77 @@ LEFT JOIN dd h ON h.carrier = w.carrier AND h.flight_date = w.hdate
 LEFT JOIN dd b ON b.carrier = w.carrier AND b.flight_date = w.bdate""")
 
 
+# flights whose date can't be read on some days
+DIRTY = (",\ncl AS (SELECT *, CASE WHEN day(flight_date) = 5 AND month IN (1, 7) THEN NULL "
+         "ELSE CAST(flight_date AS VARCHAR) END AS fd FROM classified)")
+
+
+def _built_tables_sql() -> str:
+    from flightperf.operators.rollups import TABLES
+    parts = []
+    for name, (grain, family) in TABLES.items():
+        group = GRAIN_SQL[grain][0]
+        dims = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in group)
+        cols = [c for _, c in FLAG_COUNTER] if family == "delay" else ["num_flights"]
+        measures = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+        body = rollup_body(family, grain).replace("fd AS flight_date", "fd")
+        parts.append(f"SELECT '{name}' AS table_name, key, {dims} AS dims, {measures} AS measures FROM ({body}) t")
+    return PREFIX + DIRTY + "\n" + "\nUNION ALL\n".join(parts)
+
+
+def _export_sql() -> str:
+    from flightperf.operators.rollups import TABLES
+    from flightperf.plans.warehouse import TSV_EXPORT_TABLES
+    parts = []
+    for name in TSV_EXPORT_TABLES:
+        grain, family = TABLES[name]
+        cols = ["key", *GRAIN_SQL[grain][0], *([c for _, c in FLAG_COUNTER] if family == "delay" else ["num_flights"])]
+        line = " || chr(9) || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in cols)
+        body = rollup_body(family, grain).replace("fd AS flight_date", "fd")
+        parts.append(f"SELECT '{name}' AS table_name, {line} AS line FROM ({body}) t")
+    return PREFIX + DIRTY + "\n" + "\nUNION ALL\n".join(parts)
+
+
+def _more_sql(sql: dict[str, str]) -> dict[str, str]:
+    """Written tables, exports, display order and chart payloads."""
+    carrier_ord = "CASE rep.carrier " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CARRIER_CODES)) + " END"
+    y0, y1 = QS.HOLIDAY_YEARS
+    holiday = _holiday_sql(
+        f"SELECT carrier, range AS y FROM (SELECT DISTINCT carrier FROM classified WHERE {OP}), range({y0}, {y1 + 1})",
+        [QS.HOLIDAY])
+
+    def over(name_or_sql: str, select: str) -> str:
+        return f"WITH rep AS ({name_or_sql})\n{select}"
+    return {
+        "key_range_read_text": sql["key_range_read"],
+        "built_tables": _built_tables_sql(),
+        "export_tsv": _export_sql(),
+        "project_flights_narrow": PREFIX + """
+SELECT carrier, year, quarter, month, day_of_month, CAST(isodow(flight_date) AS INTEGER) AS day_of_week,
+  CAST(flight_date AS VARCHAR) AS flight_date, flight_num, arr_delay, arr_del15, cancelled FROM flights""",
+        "range_check": PREFIX + f"""
+SELECT DISTINCT CAST(flight_date AS VARCHAR) AS flight_date, flight_date <= {_d(QS.RANGE1[0])} AS valid FROM flights""",
+        "join_delay_count_null": PREFIX + DIRTY + f"""
+SELECT carrier, fd AS flight_date, {sums_cond()}, CAST(count(carrier) AS BIGINT) AS num_flights
+FROM cl WHERE {OP} GROUP BY carrier, fd""",
+        "display_category": over(sql["report_category_all"], f"""SELECT carrier, {carrier_ord} AS carrier_ord,
+  CAST(row_number() OVER (PARTITION BY carrier ORDER BY category_ord) AS INTEGER) AS position, category FROM rep"""),
+        "display_holiday": over(holiday, f"""SELECT carrier, {carrier_ord} AS carrier_ord,
+  CAST(row_number() OVER (PARTITION BY carrier ORDER BY holiday, year) AS INTEGER) AS position, year FROM rep"""),
+        "payload_holiday": over(holiday, """SELECT carrier, '{"year":[' || string_agg(CAST(year AS VARCHAR), ',' ORDER BY year)
+  || '],"ratio_holiday":[' || string_agg(CAST(ratio_holiday AS VARCHAR), ',' ORDER BY year)
+  || '],"ratio_baseline":[' || string_agg(CAST(ratio_baseline AS VARCHAR), ',' ORDER BY year) || ']}' AS payload
+FROM rep GROUP BY carrier"""),
+        "payload_season": over(sql["report_season_all"], """SELECT carrier, flight_num, season,
+  '[' || string_agg('["' || category || '", ' || CAST(value AS VARCHAR) || ']', ', ' ORDER BY category_ord) || ']' AS payload
+FROM rep GROUP BY carrier, flight_num, season"""),
+        "payload_airline": over(sql["report_airline"], """SELECT '{"carrier":[' || string_agg('"' || carrier || '"', ',' ORDER BY carrier)
+  || '],"ratio":[' || string_agg(CAST(ratio AS VARCHAR), ',' ORDER BY carrier) || ']}' AS payload FROM rep"""),
+        **{f"built_{name}": sql[name] for name in ("report_category_all", "report_flight_all", "report_season_all",
+                                                   "report_airline", "report_holiday_all")},
+    }
+
+
 def all_sql() -> dict[str, str]:
     r1, r2 = QS.RANGE1, QS.RANGE2
     sql: dict[str, str] = {}
@@ -360,10 +431,13 @@ FROM t WHERE n > 0 AND carrier IN {_in_list(CARRIER_CODES)}"""
     sql["report_holiday"] = _holiday_sql(
         f"SELECT '{QS.CARRIER}' AS carrier, range AS y FROM range({y0}, {y1 + 1})", [QS.HOLIDAY],
         f" AND carrier = '{QS.CARRIER}'")
+    # years of the data, the same for every carrier with flights
     sql["report_holiday_all"] = _holiday_sql(
-        f"SELECT carrier, year AS y FROM classified WHERE {OP} GROUP BY carrier, year HAVING count(carrier) > 0",
+        f"SELECT c.carrier, y.y FROM (SELECT DISTINCT carrier FROM classified WHERE {OP} AND carrier IS NOT NULL) c, "
+        f"(SELECT DISTINCT year AS y FROM classified WHERE {OP} AND carrier IS NOT NULL) y",
         ["New Year", "Christmas", "Thanksgiving", "Independence Day"])
     sql["run_report"] = sql["report_category"]
+    sql |= _more_sql(sql)
     rep = sql["report_category_all"]
     body = rep[len(PREFIX):]
     # the category report as a CTE, then one payload string per carrier

@@ -1,8 +1,9 @@
 """Named queries over the test data: one per inventory entry.
 
-Each takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the *whole* flight
-relation derived from ``lineitem``. Queries that exercise a sink or a source write
-their input to a fresh folder under the shared checkpoint folder first, then read it back.
+Each takes ``(spark, sf_dir)`` and returns a DataFrame over the *whole* flight relation
+derived from ``lineitem``. It is lazy but for queries that exercise a sink, a source or the
+built warehouse: those write to a fresh folder under the shared checkpoint folder when they
+are called, then read it back.
 Output dates are ``yyyy-MM-dd`` text so results compare across engines.
 """
 
@@ -24,22 +25,20 @@ from flightperf.operators import reshape as RS
 from flightperf.operators import rollups as R
 from flightperf.plans import cover as CV
 from flightperf.plans import reports as Q
-from flightperf.plans.warehouse import Warehouse, build_all, table_row_counts
+from flightperf.plans.warehouse import Warehouse, build_all, export_tables, table_row_counts
 from flightperf.session import scratch_path
 from flightperf.sources import csv as CSV
 from flightperf.sources import sinks as S
 from flightperf.sources import fixtures
 
-# One lazy flight relation per (session, folder): a plan, not data. Queries share the
-# definition the way a user defines ``flights`` once; every query still reads the files.
-_FLIGHTS: dict[tuple, DataFrame] = {}
+flights = fixtures.flights
 
 
-def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if k not in _FLIGHTS:
-        _FLIGHTS[k] = fixtures.flights(spark, sf_dir)
-    return _FLIGHTS[k]
+def dirty_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights whose date can't be read on some days; year, quarter and month stay as given."""
+    return flights(spark, sf_dir).withColumn(
+        "flight_date", F.expr("CASE WHEN day_of_month = 5 AND month IN (1, 7) THEN CAST(NULL AS DATE) ELSE flight_date END"))
+
 
 # Query parameters shared with the SQL oracle.
 CARRIER = "AA"
@@ -76,8 +75,7 @@ def _classified(spark, sf_dir) -> DataFrame:
 def q_scan_csv(spark, sf_dir):
     path = scratch_path(spark, "ontime-csv")
     CSV.write_ontime_csv(flights(spark, sf_dir), path)
-    files = spark.read.text(path).inputFiles()  # file names only (driver-side metadata)
-    return text_dates(CSV.read_flights_csv(spark, sorted(files)).select(*SCAN_COLUMNS))
+    return text_dates(CSV.read_flights_csv(spark, path).select(*SCAN_COLUMNS))
 
 
 def q_scan_csv_dir(spark, sf_dir):
@@ -134,7 +132,7 @@ def q_key_point_read(spark, sf_dir):
     path = scratch_path(spark, "quarterly-delays")
     S.write_table(_wh(spark, sf_dir).delay("flight_quarter"), path, ["year"])
     t = S.read_table(spark, path)
-    return K.read_keys(t, POINT_KEYS).select("key", "carrier", "flight_num", "year", "quarter", *COUNTERS)
+    return K.read_keys(t, POINT_KEYS, year_part=-2).select("key", "carrier", "flight_num", "year", "quarter", *COUNTERS)
 
 
 def q_key_range_read(spark, sf_dir):
@@ -149,6 +147,46 @@ def q_key_range_read(spark, sf_dir):
     return text_dates(t.select("key", "carrier", "flight_date", "num_flights"))
 
 
+def q_key_range_read_text(spark, sf_dir):
+    """The same rows by a half-open range of text keys."""
+    path = scratch_path(spark, "date-fcount")
+    S.write_table(_wh(spark, sf_dir).count("date"), path)
+    start, stop = (f"{CARRIER}_{d.isoformat()}" for d in RANGE1)
+    return text_dates(K.read_key_range(S.read_table(spark, path), start, stop).select(
+        "key", "carrier", "flight_date", "num_flights"))
+
+
+def q_built_tables(spark, sf_dir):
+    """All 18 written tables by content, from flights with unreadable dates."""
+    wh = build_all(dirty_flights(spark, sf_dir))
+    out = None
+    for name, (grain, family) in R.TABLES.items():
+        dims = R.GRAINS[grain].dims
+        measures = COUNTERS if family == "delay" else ["num_flights"]
+        t = text_dates(wh.table(name)).select(
+            F.lit(name).alias("table_name"), "key",
+            F.concat_ws("|", *[F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dims]).alias("dims"),
+            F.concat_ws("|", *[F.col(m).cast("string") for m in measures]).alias("measures"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _built_report(report) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, sf_dir):
+        return report(build_all(flights(spark, sf_dir)))
+    return run
+
+
+def q_export_tsv(spark, sf_dir):
+    """The nine tab-separated outputs, line by line, rows without a key included."""
+    path = scratch_path(spark, "export")
+    out = None
+    for name in export_tables(Warehouse.from_flights(dirty_flights(spark, sf_dir)), path):
+        t = spark.read.text(f"{path}/{name}").select(F.lit(name).alias("table_name"), F.col("value").alias("line"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def q_build_all(spark, sf_dir):
     return table_row_counts(build_all(flights(spark, sf_dir)))
 
@@ -159,6 +197,17 @@ def q_project_flights(spark, sf_dir):
     return text_dates(C.project_flights(flights(spark, sf_dir)))
 
 
+def q_project_flights_narrow(spark, sf_dir):
+    """The projection without the five causes."""
+    return text_dates(C.project_flights(flights(spark, sf_dir), with_causes=False))
+
+
+def q_range_check(spark, sf_dir):
+    """Whether each flight day can start a period that ends at RANGE1's start."""
+    days = flights(spark, sf_dir).select("flight_date").distinct()
+    return text_dates(days.select("flight_date", (F.col("flight_date") <= F.lit(RANGE1[0])).alias("valid")))
+
+
 def q_classify_causes(spark, sf_dir):
     df = C.classify_causes(C.project_flights(flights(spark, sf_dir)))
     return text_dates(df.select("carrier", "flight_num", "flight_date", "arr_delay", "arr_del15", "cancelled",
@@ -256,6 +305,12 @@ def q_join_delay_count(spark, sf_dir):
     return text_dates(J.join_delay_count(wh.count("date"), wh.delay("date"), ["carrier", "flight_date"]))
 
 
+def q_join_delay_count_null(spark, sf_dir):
+    """The same match where some groups have no readable date."""
+    wh = Warehouse.from_flights(dirty_flights(spark, sf_dir))
+    return text_dates(J.join_delay_count(wh.count("date"), wh.delay("date"), ["carrier", "flight_date"]))
+
+
 def q_join_carrier_name(spark, sf_dir):
     per_carrier = _wh(spark, sf_dir).grain("year").groupBy("carrier").agg(
         F.sum("num_flights").cast("long").alias("num_flights"))
@@ -371,6 +426,42 @@ def q_report_json(spark, sf_dir):
     return Q.report_json(rep, ["carrier"])
 
 
+def q_display_category(spark, sf_dir):
+    return Q.display_rank(Q.delay_category(_wh(spark, sf_dir), None, *RANGE1)).select(
+        "carrier", F.col("carrier_ord").cast("int").alias("carrier_ord"), "position", "category")
+
+
+def q_display_holiday(spark, sf_dir):
+    return Q.display_rank(Q.delay_holiday(_wh(spark, sf_dir), None, HOLIDAY, HOLIDAY_YEARS)).select(
+        "carrier", F.col("carrier_ord").cast("int").alias("carrier_ord"), "position", "year")
+
+
+def q_payload_holiday(spark, sf_dir):
+    """Years ascending and both ratios as parallel lists, one payload a carrier."""
+    rep = Q.delay_holiday(_wh(spark, sf_dir), None, HOLIDAY, HOLIDAY_YEARS)
+    return Q.parallel_lists_json(rep, ["carrier"], "year", ["ratio_holiday", "ratio_baseline"])
+
+
+def q_payload_season(spark, sf_dir):
+    """Seven category counts of each of the four seasons, one payload a flight and season."""
+    rep = Q.season_delay(_wh(spark, sf_dir), None, None, SEASON_YEAR, labels="as_observed")
+    return Q.report_json(rep, ["carrier", "flight_num", "season"], "value")
+
+
+def q_payload_airline(spark, sf_dir):
+    """Known carriers and their attributable shares as two lists (26 carriers at most)."""
+    return Q.parallel_lists_json(Q.airline_delays(_wh(spark, sf_dir), *RANGE1), [], "carrier", ["ratio"])
+
+
+BUILT_REPORTS = {
+    "built_report_category_all": _built_report(lambda wh: Q.delay_category(wh, None, *RANGE1)),
+    "built_report_flight_all": _built_report(lambda wh: Q.flight_delay(wh, None, None, *RANGE1)),
+    "built_report_season_all": _built_report(
+        lambda wh: Q.season_delay(wh, None, None, SEASON_YEAR, labels="as_observed")),
+    "built_report_airline": _built_report(lambda wh: Q.airline_delays(wh, *RANGE1)),
+    "built_report_holiday_all": _built_report(lambda wh: Q.delay_holiday(wh, None, None, None)),
+}
+
 ROLLUP_GRAINS = ["date", "year", "month", "flight_date", "flight_year", "flight_month", "flight_quarter",
                  "year_month", "flight_year_month"]
 
@@ -428,5 +519,17 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_holiday_all": q_report_holiday_all,
         "run_report": q_run_report,
         "report_json": q_report_json,
+        "key_range_read_text": q_key_range_read_text,
+        "built_tables": q_built_tables,
+        "export_tsv": q_export_tsv,
+        "project_flights_narrow": q_project_flights_narrow,
+        "range_check": q_range_check,
+        "join_delay_count_null": q_join_delay_count_null,
+        "display_category": q_display_category,
+        "display_holiday": q_display_holiday,
+        "payload_holiday": q_payload_holiday,
+        "payload_season": q_payload_season,
+        "payload_airline": q_payload_airline,
+        **BUILT_REPORTS,
     })
     return q

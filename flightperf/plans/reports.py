@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flightperf.functions import exprs as X
 from flightperf.functions.dims import (CARRIER_CODES, CATEGORIES, CATEGORY_COLUMNS, COUNTERS, HOLIDAYS,
@@ -190,8 +191,8 @@ def delay_holiday(wh, carrier: str | None = DEFAULT_CARRIER, holiday: str | None
     Daily rows that fall on a holiday or its baseline day are tagged in place (no join);
     a skeleton of (carrier, holiday, year) rows with zeros is unioned in so that every year
     of the range appears, then one aggregation per (carrier, holiday, year).
-    ``carrier=None`` / ``holiday=None``: every carrier / holiday; years then default to
-    the years each carrier flew.
+    ``carrier=None`` / ``holiday=None``: every carrier with flights / every holiday. ``years``
+    (first, last) default to the years of the data, the same for every carrier.
     """
     carrier = norm_carrier(carrier)
     hols = HOLIDAYS if holiday is None else [holiday]
@@ -221,16 +222,16 @@ def delay_holiday(wh, carrier: str | None = DEFAULT_CARRIER, holiday: str | None
         "CASE WHEN NOT t.is_holiday THEN num_flights ELSE 0 END AS b_n")
     # skeleton: the years to report, with zero measures
     hol_arr = "array(" + ", ".join(f"'{h}'" for h in hols) + ")"
-    if years is not None and carrier is not None:
-        skel = (wh.grain("year").sparkSession.range(1)
-                .selectExpr(f"'{carrier}' AS carrier", f"explode(sequence({int(years[0])}, {int(years[1])})) AS year"))
+    flown = wh.grain("year").where("num_flights > 0 AND carrier IS NOT NULL AND year IS NOT NULL")
+    if years is not None:
+        span = F.sequence(F.lit(int(years[0])), F.lit(int(years[1])))
+    else:   # the distinct years: a handful of numbers, one scalar subquery
+        span = flown.agg(F.array_sort(F.collect_set(F.col("year").cast("int")))).scalar()
+    if carrier is not None:
+        who = wh.grain("year").sparkSession.range(1).select(F.lit(carrier).alias("carrier"))
     else:
-        ycar = wh.grain("year").where("num_flights > 0")
-        if carrier is not None:
-            ycar = ycar.where(F.col("carrier") == carrier)
-        if years is not None:
-            ycar = ycar.where((F.col("year") >= int(years[0])) & (F.col("year") <= int(years[1])))
-        skel = ycar.select("carrier", "year")
+        who = flown.select("carrier").distinct()
+    skel = who.select("carrier", F.explode(span).alias("year"))
     skel = skel.selectExpr("carrier", f"explode({hol_arr}) AS holiday", "CAST(year AS INT) AS year",
                            *[f"CAST(0 AS BIGINT) AS {c}" for c in ("h_flags", "h_n", "b_flags", "b_n")])
     agg = hits.unionByName(skel).groupBy("carrier", "holiday", "year").agg(
@@ -242,6 +243,7 @@ def delay_holiday(wh, carrier: str | None = DEFAULT_CARRIER, holiday: str | None
 
 # --- Q6 dispatch + payload ---------------------------------------------------------------
 
+# FIXED VALUES: report names of the application.
 REPORTS = {
     "delay_category": (delay_category, {"carrier", "start", "end"}),
     "delay_flightNum": (flight_delay, {"carrier", "flight_num", "start", "end"}),
@@ -249,6 +251,7 @@ REPORTS = {
     "delay_career": (airline_delays, {"start", "end"}),
     "delay_holiday": (delay_holiday, {"carrier", "holiday"}),
 }
+# END FIXED VALUES
 
 
 def run_report(wh, name: str = "delay_category", **params) -> DataFrame:
@@ -290,9 +293,7 @@ def parallel_lists_json(report: DataFrame, ids: list[str], order: str, lists: li
     return g.selectExpr(*ids, f"to_json({obj}) AS payload")
 
 
-def for_display(report: DataFrame) -> DataFrame:
-    """Presentation order, applied at the edge only: carriers in list order, then the
-    report's own ordinals (season, category) and years ascending."""
+def _display_order(report: DataFrame) -> tuple[DataFrame, list[Column]]:
     from flightperf.functions.dims import carriers_df
     order = carriers_df(report.sparkSession).select("carrier", "carrier_ord")
     out = report.join(F.broadcast(order), on="carrier", how="left")
@@ -300,4 +301,18 @@ def for_display(report: DataFrame) -> DataFrame:
     for c in ("flight_num", "holiday", "year", "season_ord", "category_ord"):
         if c in report.columns:
             keys.append(F.col(c))
+    return out, keys
+
+
+def for_display(report: DataFrame) -> DataFrame:
+    """Presentation order, applied at the edge only: carriers in list order, then the
+    report's own ordinals (season, category) and years ascending."""
+    out, keys = _display_order(report)
     return out.orderBy(*keys).drop("carrier_ord")
+
+
+def display_rank(report: DataFrame) -> DataFrame:
+    """The report with ``position``: each row's place (from 1) in its carrier's presentation
+    order, next to the carrier's own ordinal. Ranked by carrier, so no single task sorts all."""
+    out, keys = _display_order(report)
+    return out.withColumn("position", F.row_number().over(Window.partitionBy("carrier").orderBy(*keys)))

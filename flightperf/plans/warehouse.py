@@ -8,6 +8,8 @@ then each coarser grain re-aggregated from the written table one level finer.
 
 from __future__ import annotations
 
+import time
+import uuid
 from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Callable
 
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightperf.operators import rollups as R
-from flightperf.session import advisory_partition_bytes, plan_bytes, scratch_path
+from flightperf.session import scratch_path
 
 # grains in build order (each parent precedes its children)
 BUILD_ORDER = ["flight_date", "flight_year_month", "flight_year", "flight_quarter", "flight_month",
@@ -35,6 +37,9 @@ SORT_KEYS = {
 }
 
 
+PUBLISHED = "build string, at double"
+
+
 class Warehouse:
     """Grain name -> combined rollup DataFrame. Grains are built on first access, so a
     report touching two grains only plans those two."""
@@ -55,7 +60,11 @@ class Warehouse:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Warehouse":
-        return cls(lambda g: spark.read.parquet(f"{path}/{g}"), path)
+        """The build that ``path`` published last; a build that failed half way is never seen."""
+        build = spark.read.schema(PUBLISHED).json(f"{path}/published").agg(F.max_by("build", "at")).first()[0]
+        if build is None:
+            raise ValueError(f"no published build under {path}")
+        return cls(lambda g: spark.read.parquet(f"{path}/{build}/{g}"), f"{path}/{build}")
 
     def grain(self, name: str) -> DataFrame:
         if name not in R.GRAINS:
@@ -64,11 +73,15 @@ class Warehouse:
             self._grains[name] = self._factory(name)
         return self._grains[name]
 
+    def groups(self, grain: str) -> DataFrame:
+        """One row for each public group (a written day grain holds one a calendar entry)."""
+        return R.merged(self.grain(grain), grain)
+
     def delay(self, grain: str) -> DataFrame:
-        return R.delay_view(self.grain(grain), grain)
+        return R.delay_view(self.groups(grain), grain)
 
     def count(self, grain: str) -> DataFrame:
-        return R.count_view(self.grain(grain), grain)
+        return R.count_view(self.groups(grain), grain)
 
     def table(self, name: str) -> DataFrame:
         """A table by its application name, e.g. ``delay_date_count`` or ``year_fcount``."""
@@ -76,18 +89,16 @@ class Warehouse:
         return self.delay(grain) if family == "delay" else self.count(grain)
 
 
-def write_grain(df: DataFrame, grain: str, path: str, input_bytes: int | None = None) -> None:
+def write_grain(df: DataFrame, grain: str, path: str) -> None:
     """Write one combined grain, partitioned by year where the grain has one, clustered
     by key inside each file so Parquet row-group statistics skip by carrier / flight.
 
-    Files are balanced with an AQE ``rebalance`` (big years split, small ones merged)
-    unless the input is known to be smaller than one advisory partition: then the
-    aggregation's own (coalesced) shuffle already yields one task, and the extra shuffle
-    is skipped."""
+    Files are balanced with an AQE ``rebalance`` (big years split, small ones merged). The
+    partition column leads the sort, so the writer needs no sort of its own and keeps the
+    order of the keys inside each file."""
     g = R.GRAINS[grain]
-    small = input_bytes is not None and input_bytes <= advisory_partition_bytes(df.sparkSession)
-    w = df if small else df.hint("rebalance", *(g.partition_by or ["carrier"]))
-    w = w.sortWithinPartitions(*SORT_KEYS[grain])
+    w = df.hint("rebalance", *(g.partition_by or ["carrier"]))
+    w = w.sortWithinPartitions(*g.partition_by, *SORT_KEYS[grain])
     # a build is a full rebuild of the grain: replace every partition, not only those present
     writer = w.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if g.partition_by:
@@ -104,17 +115,18 @@ def build_all(flights: DataFrame, path: str | None = None, parallel_jobs: int =
     cluster is not idle while one small job finishes.
     """
     spark = flights.sparkSession
-    path = path or scratch_path(spark, "warehouse")
+    home = path or scratch_path(spark, "warehouse")
+    name = f"build-{uuid.uuid4().hex[:12]}"
+    path = f"{home}/{name}"
 
     def build(grain: str) -> str:
         spark.sparkContext.setJobDescription(f"flightperf build_all: grain {grain}")  # per thread
         g = R.GRAINS[grain]
         if g.parent is None:
-            df, size = R.base_rollup(flights), None
+            df = R.base_rollup(flights)
         else:
-            parent = spark.read.parquet(f"{path}/{g.parent}")
-            df, size = R.reaggregate(parent, grain), plan_bytes(parent)
-        write_grain(df, grain, f"{path}/{grain}", size)
+            df = R.reaggregate(spark.read.parquet(f"{path}/{g.parent}"), grain)
+        write_grain(df, grain, f"{path}/{grain}")
         return grain
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
@@ -130,7 +142,9 @@ def build_all(flights: DataFrame, path: str | None = None, parallel_jobs: int =
             done[grain] = pool.submit(run)
         for f in done.values():
             f.result()
-    return Warehouse.load(spark, path)
+    # every grain is written: publish the build (readers take the newest entry)
+    spark.createDataFrame([(name, time.time())], PUBLISHED).coalesce(1).write.mode("append").json(f"{home}/published")
+    return Warehouse.load(spark, home)
 
 
 def table_row_counts(wh: Warehouse) -> DataFrame:
@@ -139,7 +153,7 @@ def table_row_counts(wh: Warehouse) -> DataFrame:
     parts = []
     for grain in BUILD_ORDER:
         g = R.GRAINS[grain]
-        c = wh.grain(grain).agg(
+        c = wh.groups(grain).agg(
             F.count(F.lit(1)).alias("n_count"),
             F.count(F.when(F.col("delayed_flights") > 0, F.lit(1))).alias("n_delay"))
         parts.append(c.select(F.inline(F.array(
@@ -157,14 +171,14 @@ TSV_EXPORT_TABLES = ["date_fcount", "delay_date_count", "delay_flightNum_date",
 
 
 def export_tables(wh: Warehouse, path: str, names: list[str] | None = None, fmt: str = "tsv") -> list[str]:
-    """Write keyed tables by name under ``path/<name>`` as tab-separated text (no header,
-    dates as ``yyyy-MM-dd``) or Parquet; NULL keys are dropped like in a keyed store."""
+    """Write keyed tables by name under ``path/<name>`` as tab-separated text (no header, dates
+    as ``yyyy-MM-dd``, every row) or Parquet (rows without a key dropped, like in a keyed store)."""
     from flightperf.sources import sinks as S
     written = []
     for name in names or TSV_EXPORT_TABLES:
         t = wh.table(name)
         t = t.selectExpr(*[f"date_format({c}, 'yyyy-MM-dd') AS {c}" if c == "flight_date" else c
-                           for c in t.columns]).where("key IS NOT NULL")
+                           for c in t.columns])
         if fmt == "tsv":
             S.write_tsv(t, f"{path}/{name}")
         elif fmt == "parquet":

@@ -69,36 +69,41 @@ BLOCK_BYTES = 8 << 20   # inflate members in 8 MB blocks; one output batch per b
 def _unzip_lines(header: bool, block_bytes: int = BLOCK_BYTES):
     def member_lines(fh):
         """Lines of one zip member, block by block (a line split across blocks is carried)."""
-        carry, first = b"", True
+        held, first = [], True          # pieces of a line that is not ended yet
         while True:
             block = fh.read(block_bytes)
             if not block:
                 break
-            block = carry + block
             cut = block.rfind(b"\n")
             if cut < 0:
-                carry = block
+                held.append(block)
                 continue
-            carry = block[cut + 1:]
-            lines = block[:cut].decode("utf-8", errors="replace").split("\n")
+            whole, held = b"".join([*held, block[:cut]]), [block[cut + 1:]]
+            lines = whole.decode("utf-8", errors="replace").split("\n")
             if first:
                 first = False
                 if header and lines:
                     lines = lines[1:]
             yield [ln.rstrip("\r") for ln in lines if ln.strip("\r")]
-        if carry.strip() and not (first and header):
-            yield [carry.decode("utf-8", errors="replace").rstrip("\r")]
+        last = b"".join(held)
+        if last.strip() and not (first and header):
+            yield [last.decode("utf-8", errors="replace").rstrip("\r")]
+
+    def opened(uri: str):
+        """The archive as a seekable stream from the store it lies in."""
+        from pyarrow import fs as pafs
+        if "://" not in uri:
+            return pafs.LocalFileSystem().open_input_file(uri[len("file:"):] if uri.startswith("file:") else uri)
+        store, place = pafs.FileSystem.from_uri(uri)
+        return store.open_input_file(place)
 
     def run(batches):
-        import io
         import zipfile
 
         import pyarrow as pa
         for rb in batches:
-            paths = rb.column("path").to_pylist()
-            contents = rb.column("content")
-            for i, path in enumerate(paths):
-                with zipfile.ZipFile(io.BytesIO(contents[i].as_py())) as zf:
+            for path in rb.column("path").to_pylist():
+                with opened(path) as stream, zipfile.ZipFile(stream) as zf:
                     for member in zf.namelist():
                         if not member.lower().endswith(".csv"):
                             continue
@@ -114,18 +119,17 @@ def _unzip_lines(header: bool, block_bytes: int = BLOCK_BYTES):
 def read_zip_lines(spark: SparkSession, path: str, header: bool = True, spread: bool = True) -> DataFrame:
     """CSV lines of every ``*.zip`` archive under ``path``: (archive, line).
 
-    A zip member can only be inflated front to back, so an archive is never split: a task
-    holds at most one Arrow batch of archive bytes (``spark.sql.execution.arrow.
-    maxBytesPerBatch``; one archive must stay under the 2 GB binary-row limit), inflates
-    members in 8 MB blocks and yields one Arrow batch of lines per block (``mapInArrow``,
-    no pandas conversion). With ``spread`` (default) the lines are then redistributed
+    A zip member can only be inflated front to back, so an archive is never split. Spark lists
+    the archives (their bytes are not read into rows); a task opens its archive in the shared
+    store, inflates members in 8 MB blocks and yields one Arrow batch of lines per block
+    (``mapInArrow``, no pandas conversion), so an archive of any size takes bounded memory. With ``spread`` (default) the lines are then redistributed
     round robin into AQE-sized partitions, so parsing and aggregation of an oversized
     archive - say a third of all rows - run on many tasks instead of one; inflating is
     the only per-archive step left. ``spread=False`` saves that shuffle when archives are
     known to be many and of even size.
     """
     bins = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
-            .option("recursiveFileLookup", True).load(path).select("path", "content"))
+            .option("recursiveFileLookup", True).load(path).select("path"))
     lines = bins.mapInArrow(_unzip_lines(header), "archive string, line string")
     return lines.hint("rebalance") if spread else lines
 
@@ -172,12 +176,8 @@ def to_ontime_text(flights: DataFrame) -> DataFrame:
 
 def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
                      partition_col: str | None = None, max_records_per_file: int = 0) -> None:
-    sc = flights.sparkSession.sparkContext
-    if flights.rdd.getNumPartitions() < sc.defaultParallelism:
-        # a small input read as one split would format all text in one task
-        flights = flights.repartition(sc.defaultParallelism)
     text = to_ontime_text(flights)
-    w = text
+    w = text if partition_col else text.hint("rebalance")
     if partition_col:
         # one folder per month; AQE rebalance sizes the files (a big month is split, small
         # ones are not scattered over every task)
@@ -202,6 +202,7 @@ def _zip_files(out_dir: str):
         return pafs.FileSystem.from_uri(uri)
 
     def run(batches):
+        import hashlib
         import io
         import zipfile
 
@@ -213,8 +214,10 @@ def _zip_files(out_dir: str):
             for path, content in zip(pdf["path"], pdf["content"]):
                 parts = path.rstrip("/").split("/")
                 member = parts[-1]
-                # never start with "_" or ".": Spark's file listing skips such names
-                name = "ontime_" + "_".join(p.strip("_") for p in parts[-2:] if p).replace("=", "-") + ".zip"
+                # never start with "_" or ".": Spark's file listing skips such names; the whole
+                # path tells apart files of the same name in different folders
+                name = ("ontime_" + "_".join(p.strip("_") for p in parts[-2:] if p).replace("=", "-")
+                        + "_" + hashlib.md5(path.encode()).hexdigest()[:12] + ".zip")
                 buf = io.BytesIO()
                 with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
                     zf.writestr(member, bytes(content))
