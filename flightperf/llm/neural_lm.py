@@ -13,8 +13,8 @@ sum over all classes. A rare word's probability is that of its class times its s
 words by their counts, one unseen event with the share of words seen once. So the probabilities
 of all classes' words and unseen events sum to 1.
 
-Counts cover all training documents. The ``COUNTED`` most frequent words go to the tasks (a
-bounded table); the rest meet their counts in a join on the word.
+Counts cover all training documents. The most frequent words, ``COUNTED`` at most, go to the tasks
+(a bounded table); the rest meet their counts in a join on the word.
 
 Defined cases: null texts count as empty (the end token alone); with no training document every
 word is unseen and scores come from the smoothed empty model; repeated rows are scored each; a
@@ -112,9 +112,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """``counts`` (token, c), written; the driver sees COUNTED words and HASHED sums."""
+    """``counts`` (token, c), written; the driver sees COUNTED words at most and a few hundred sums.
+
+    How many words are how frequent (in steps of a sixteenth of an octave) tells from which count
+    on they are no more than COUNTED, so no task sends the driver more than its share of those."""
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(COUNTED).collect()
+    step = F.floor(F.log2("c") * 16)
+    floor, words = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        words += r["n"]
+        if words > COUNTED:
+            break
+        floor = r["step"]
+    top = [] if floor is None else sorted(counts.where(step >= floor).collect(), key=lambda r: (-r["c"], bytes(r["token"])))
     tails = (counts.where(F.col("token") != F.lit(END))
              .groupBy((F.crc32(F.expr("substring(token, -2, 2)")) % HASHED).alias("h"))
              .agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect())

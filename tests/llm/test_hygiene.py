@@ -7,7 +7,7 @@ import flightperf.llm
 
 LLM = pathlib.Path(flightperf.llm.__file__).parent
 ALLOWED = {     # file: calls whose result is bounded (ranges, classes, parameters, samples)
-    "digests.py": 1, "decontam.py": 1, "neural_lm.py": 3, "quality.py": 1, "toxicity.py": 1,
+    "digests.py": 1, "decontam.py": 1, "neural_lm.py": 4, "quality.py": 1, "toxicity.py": 1,
 }
 
 
