@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from flightperf.plans.oracle import all_sql
+from flightperf.plans.queries import all_queries
 
 from conftest import SF001
 
@@ -33,7 +35,7 @@ def _rows(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
@@ -44,7 +46,8 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(all_queries()) == set(all_sql())
+    assert set(all_queries()) <= set(E.queries()) and set(all_sql()) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
