@@ -179,25 +179,43 @@ def _bucketed(rows: DataFrame, n: int) -> DataFrame:
     first rows of each range come a second time, marked ahead, in the range before (round the end).
 
     The driver sees one row a range, no more."""
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
-    bounds = sorted(set(bounds or []))
-    depth = len(bounds).bit_length()
-    padded = bounds + [(1 << 63) - 1] * ((1 << depth) - 1 - len(bounds))
-    steps = ",".join(f"{1 << i}" for i in reversed(range(depth)))
-    held = ",".join(f"{b}L" for b in padded)
-    search = (f"aggregate(array({steps}), 0, (lo, s) -> IF(element_at(array({held}), lo + s) < doc_id, lo + s, lo))"
-              if depth else "0")
-    placed = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.expr(search) + 1))
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n)).first()[0] if n > 1 else None
+    bounds = np.array(sorted(set(bounds or [])), dtype=np.int64)
+
+    @F.arrow_udf("int")
+    def bucket_of(ids: pa.Array) -> pa.Array:
+        return pa.array(_bucket(ids, bounds))
+
+    placed = rows.withColumn("bucket", bucket_of("doc_id"))
     firsts = {r["bucket"]: r["low"] for r in placed.groupBy("bucket").agg(F.min("doc_id").alias("low")).collect()}
     used = sorted(firsts)
-    before = dict(zip(used, [used[-1], *used[:-1]])) if used else {}
-    size = max(used, default=0) + 1
-    low = "array(" + ",".join("CAST(NULL AS BIGINT)" if firsts.get(i) is None else f"{firsts[i]}L" for i in range(size)) + ")"
-    prev = "array(" + ",".join(str(before.get(i, 0)) for i in range(size)) + ")"
-    return placed.withColumn("at", F.explode(F.expr(
-        f"IF(element_at({low}, bucket + 1) <=> doc_id, "
-        f"array(struct(bucket AS bucket, false AS ahead), struct(element_at({prev}, bucket + 1) AS bucket, true AS ahead)), "
-        f"array(struct(bucket AS bucket, false AS ahead)))"))).drop("bucket").select("*", "at.bucket", "at.ahead").drop("at")
+    low = np.full(len(bounds) + 2, np.iinfo(np.int64).min)
+    low[used] = [np.iinfo(np.int64).min if firsts[k] is None else firsts[k] for k in used]
+    before = np.zeros(len(bounds) + 2, dtype=np.int32)
+    before[used] = [used[-1], *used[:-1]] if used else []
+
+    @F.arrow_udf("int")
+    def ahead_in(ids: pa.Array) -> pa.Array:
+        """The range that a first row of a range is looked at from; null for other rows."""
+        own = _bucket(ids, bounds)
+        first = ids.is_null().to_numpy(zero_copy_only=False) | (_numbers(ids) == low[own])
+        return pa.array(before[own], mask=~first)
+
+    spots = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ahead")),
+                    F.when(F.col("again").isNotNull(), F.struct(F.col("again").alias("bucket"), F.lit(True).alias("ahead"))))
+    spread = placed.withColumn("again", ahead_in("doc_id")).withColumn("spot", F.explode(F.filter(spots, lambda x: x.isNotNull())))
+    return spread.select(*rows.columns, "spot.bucket", "spot.ahead")
+
+
+def _numbers(ids: pa.Array) -> np.ndarray:
+    return ids.fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _bucket(ids: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """0 for null ids, else 1 + the number of bounds below the id."""
+    out = 1 + np.searchsorted(bounds, _numbers(ids)).astype(np.int32)
+    out[ids.is_null().to_numpy(zero_copy_only=False)] = 0
+    return out
 
 
 SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "

@@ -13,7 +13,7 @@ score is a logistic function of its largest marginal, its expected toxic words,
 weight under a word-frequency model, calibrated on documents that did not teach the field; spans are runs of tokens above ``SPAN_FROM``.
 
 The fit reads a bounded sample, ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled rows by a
-hash of doc_id, weighted back to the labels' shares; every document is scored whole.
+hash of doc_id (of ``MAX_WORDS`` words at most), weighted back to the labels' shares; every document is scored whole.
 
 Defined cases: null and empty texts have no token and the score of an untoxic text without words;
 null labels are ignored, several labels of one doc_id are toxic if any is; without labels of both
@@ -37,6 +37,7 @@ from flightperf.llm.licenses import words_of
 
 MAX_TOXIC = 2500
 MAX_CLEAN = 2500
+MAX_WORDS = 10_000             # longer documents don't teach: the sample's size stays bounded
 RATIO = 6.0
 MIN_EVIDENCE = 12.0           # nats; about one in 160,000 by chance
 CORE, MARGIN = 512, 32
@@ -330,9 +331,11 @@ def train(docs: DataFrame, labels: DataFrame, fold=None, max_toxic: int = MAX_TO
 
     def run(batches):
         for b in small_batches(batches):
+            texts = [words_of(x.as_py()) for x in b.column(1)]
+            kept = [i for i, t in enumerate(texts) if len(t) <= MAX_WORDS]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([[word_hash(w) for w in words_of(x.as_py())] for x in b.column(1)],
-                                       pa.list_(pa.int64()))], names=["label", "words"])
+                [b.column(0).take(pa.array(kept, pa.int64())),
+                 pa.array([[word_hash(w) for w in texts[i]] for i in kept], pa.list_(pa.int64()))], names=["label", "words"])
 
     # the sample: about max_toxic + max_clean rows, two numbers each on the broadcast side
     rows = (docs.select(F.col("doc_id").cast("long"), text_bytes().alias("bytes")).join(F.broadcast(some), "doc_id")
