@@ -32,11 +32,29 @@ from pyspark.sql import types as T
 from flightperf.llm.common import per_process, small_batches
 
 MARK = "▁"
+_MARK = MARK.encode()
 UNKNOWN_BELOW = 10.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_LETTERS = 48
 
 
+class _Held(dict):
+    """key of a word -> its ids, solved when first asked for; only short words are kept."""
+
+    def __init__(self, model: "PieceModel"):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, key: bytes) -> bytes:
+        word = key[1:].decode() if key[:1] == b" " else MARK + key.decode()
+        ids = np.array(self.model.best(word)[0], dtype="<i4").tobytes()
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if len(key) <= CACHE_LETTERS:
+            self[key] = ids
+        return ids
+
+
 class PieceModel:
     """Pieces, scores and normaliser of a SentencePiece model file (its bytes)."""
 
@@ -60,7 +78,11 @@ class PieceModel:
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.auto.keys())
         byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.table = [byte_of.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(self.pieces)]
-        self.held: dict[str, tuple[bytes, float]] = {}
+        self.held = _Held(self)
+        self.worth = np.array([sp.get_score(i) for i in range(len(sp))])
+        self.worth[self.unknown] = self.unknown_score
+        for b, i in self.byte_id.items():
+            self.worth[i] = 0.0 if 0x80 <= b < 0xC0 else self.unknown_score
 
     # --- encode
 
@@ -99,37 +121,32 @@ class PieceModel:
             score[i + 1] = new
             back[i + 1] = (i, self.unknown)
 
-    def words(self, text: str) -> list[str]:
-        """The normalised text cut before each run of marks that follows a letter."""
+    def words(self, text: str) -> list[bytes]:
+        """The normalised text cut before each run of marks that follows a letter, as keys: the bytes
+        of a word with one mark, or a space and the whole word (a space is never left in a text)."""
         t = self.normalize(text)
         if not self.by_word or not t:
-            return [t] if t else []
-        parts = t.split(MARK)
-        out, marks = ([parts[0]] if parts[0] else []), 0
+            return [b" " + t.encode()] if t else []
+        parts = t.encode().split(_MARK)
+        if all(parts[1:]):                              # single marks only
+            return parts[1:] if not parts[0] else [b" " + parts[0], *parts[1:]]
+        out, marks = ([b" " + parts[0]] if parts[0] else []), 0
         for p in parts[1:]:
             marks += 1
             if p:
-                out.append(MARK * marks + p)
+                out.append(p if marks == 1 else b" " + _MARK * marks + p)
                 marks = 0
         if marks:
-            out.append(MARK * marks)
+            out.append(b" " + _MARK * marks)
         return out
 
-    def encode(self, text: str) -> tuple[bytes, float]:
-        """Ids as little-endian int32 bytes, and the score of the text."""
-        held, out, total = self.held, [], 0.0
-        if len(held) > CACHE_WORDS:
-            held.clear()
-        for w in self.words(text):
-            got = held.get(w)
-            if got is None:
-                ids, s = self.best(w)
-                got = (np.array(ids, dtype="<i4").tobytes(), s)
-                if len(w) <= CACHE_LETTERS:
-                    held[w] = got
-            out.append(got[0])
-            total += got[1]
-        return b"".join(out), total
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian int32 bytes."""
+        return b"".join(map(self.held.__getitem__, self.words(text)))
+
+    def score(self, ids: np.ndarray) -> float:
+        """The score of encoded ids: a letter outside the vocabulary counts at its first byte."""
+        return float(self.worth[ids].sum())
 
     # --- decode
 
@@ -157,7 +174,8 @@ def encode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)
     def run(batches):
         model = _model(spec)
         for b in small_batches(batches):
-            ids, scores = zip(*(model.encode(x.as_py()) for x in b.column(b.num_columns - 1)))
+            ids = [model.encode(x.as_py()) for x in b.column(b.num_columns - 1)]
+            scores = [model.score(np.frombuffer(x, "<i4")) for x in ids]
             lens = np.array([len(x) // 4 for x in ids], dtype=np.int32)
             cut = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
             flat = np.frombuffer(b"".join(ids), "<i4")

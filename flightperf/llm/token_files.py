@@ -183,8 +183,6 @@ class WordIds(dict):
         self.encode, self.pieces = tokenizer.encode, tokenizer.model.tokenize
 
     def ids(self, text: bytes) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
         # special tokens are found before lower-casing
         words = (text if b"<|" in text else text.lower()).split()
         return b"".join(map(self.__getitem__, words))
@@ -196,6 +194,8 @@ class WordIds(dict):
             ids = np.array([t.id for t in self.pieces(word.decode("latin-1").translate(_BYTE_LEVEL))], dtype="<u4").tobytes()
         else:
             ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) > CACHE_WORDS:
+            self.clear()
         if len(word) <= CACHE_LETTERS:
             self[word] = ids
         return ids

@@ -34,6 +34,13 @@ def test_scores_are_the_best(model):
         assert model.best(word)[1] == pytest.approx(brute_best(model, word))
 
 
+def test_cut_texts_score_like_whole_ones(model):
+    for text in ["a b  c   d", "  lead and trail  ", "x", " ", "one ☃☃ two \n three", "tab\there"]:
+        ids = memoryview(model.encode(text)).cast("i").tolist() if text else []
+        assert model.score(ids) == pytest.approx(brute_best(model, model.normalize(text)))
+        assert model.decode(ids) == text
+
+
 def test_ids_equal_the_library_s_unigram_search(model):
     """The same pieces and scores, declared a unigram model, give the library's own Viterbi ids."""
     import sentencepiece
@@ -43,7 +50,7 @@ def test_ids_equal_the_library_s_unigram_search(model):
     proto.trainer_spec.model_type = 1
     lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     for text in ["Hello world", "  two  spaces ", "naïve café 42", "x☃y", "The quick brown fox"]:
-        ids, _ = model.encode(text)
+        ids = model.encode(text)
         got = memoryview(ids).cast("i").tolist()
         assert model.decode(got) == lib.decode(lib.encode(text))
         total = sum(lib.get_score(i) if not lib.is_byte(i) else 0 for i in got)
@@ -69,6 +76,6 @@ def test_edges(edge_docs, no_docs):
 
 def test_long_word_is_solved_whole(model):
     word = "antidisestablishment" * 500
-    ids, score = model.encode(word)
-    assert model.decode(memoryview(ids).cast("i").tolist()) == word
-    assert score == pytest.approx(brute_best(model, "▁" + word))
+    ids = memoryview(model.encode(word)).cast("i").tolist()
+    assert model.decode(ids) == word
+    assert model.score(ids) == pytest.approx(brute_best(model, "▁" + word))
