@@ -2,8 +2,13 @@
 
 A text is read as tokens: numbers and runs of letters. Numbers become the placeholder num, a
 unit word right after a number becomes unit, a capitalised word inside a sentence becomes name;
-other words are lower-cased. A re-parameterised question ("Ann has 7 lb" for "Tom has 12 kg") has
-the template of the original. Windows of ``WINDOW`` template tokens of the documents are
+other words are lower-cased. A re-parameterised question ("then Ann has 7 lb left" for "then Tom
+has 12 kg left") has the template of the original. A capitalised word elsewhere (where a sentence,
+line, quote or bracket starts) may be a name or not, so texts have a second reading in which it is
+one too, unless it is one of ``STARTERS``; a pair that doesn't leak as first read leaks if it does
+with windows of either reading. ``sql`` gives the first reading alone.
+
+Windows of ``WINDOW`` template tokens of the documents are
 hash-joined with those of the benchmark items (a shorter item is one window). Matched windows
 with the same alignment (document place less item place) are one occurrence of the item. Its
 slots must be consistent: every slot value of the item stands for one value in the document.
@@ -35,22 +40,50 @@ UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles met
          "liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week "
          "weeks month months year years dollar dollars euro euros cent cents percent degrees mph kph kmh")
 
+# capitalised where a sentence starts, and no names
+STARTERS = ("a an the this that these those there here it its he she they we you i his her their our your my each every "
+            "all some any many most more both few several no none one two three four five six seven eight nine ten "
+            "who whom whose what which when where why how if then than so but and or nor for of in on at by to from with "
+            "without within into onto over under after before during since until while because although though as about "
+            "between among is are was were be been am do does did has have had can could will would shall should may "
+            "might must not only also just let given suppose assume consider find compute calculate determine evaluate "
+            "solve show prove write choose select explain describe name list yesterday today tomorrow now later first "
+            "second third next last finally another other however therefore thus hence question answer")
+
 # placeholders: private-use letters, so that they stay one token
 NUM, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+START = "\ue003"                # before a word that is a name in the second reading only
 _LETTER = r"[\p{L}\p{M}]"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _TOKEN = rf"{_NUMBER}|{_LETTER}+|[{NUM}-{NAME}]"
 _NAMES = r"(?<=[\p{L}\p{M}0-9,][ \t])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
-_UNITS = rf"{NUM}( *)(?:{'|'.join(UNITS.split())})(?!{_LETTER})"
+_STARTS = (rf"(?<![\p{{L}}\p{{M}}0-9])(?!(?i:{'|'.join(STARTERS.split())})(?!{_LETTER}))"
+           rf"\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?!{_LETTER})")
+_UNITS = rf"{NUM}( *){START}?(?:{'|'.join(UNITS.split())})(?!{_LETTER})"
 
 
-def template(text: str):
-    """Column of template tokens of a text column (null or empty: no tokens)."""
-    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), _NAMES, NAME)
+def marked(text: str):
+    """Column of template tokens of a text column (null or empty: no tokens); START stands before
+    the words that are names in the second reading only."""
+    t = F.translate(F.coalesce(F.col(text), F.lit("")), START, "\ue004")
+    t = F.regexp_replace(F.regexp_replace(t, _NAMES, NAME), _STARTS, f"{START}$0")
     t = F.regexp_replace(F.lower(t), _NUMBER, NUM)
     t = F.regexp_replace(t, _UNITS, f"{NUM}$1{UNIT}")
     t = F.regexp_replace(t, rf"([{NUM}-{NAME}])", " $1 ")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{M}}{NUM}-{NAME}]+"), lambda w: w != "")
+    return F.filter(F.split(t, rf"[^\p{{L}}\p{{M}}{NUM}-{START}]+"), lambda w: w != "")
+
+
+def template(text: str):
+    """Column of template tokens of a text column in the first reading."""
+    return first_reading(marked(text))
+
+
+def first_reading(tokens):
+    return F.transform(tokens, lambda w: F.ltrim(w, F.lit(START)))
+
+
+def second_reading(tokens):
+    return F.transform(tokens, lambda w: F.when(w.startswith(START), F.lit(NAME)).otherwise(w))
 
 
 def raw_tokens(text: str):
@@ -59,18 +92,26 @@ def raw_tokens(text: str):
                        lambda w: F.lower(w))
 
 
-def windows(rows: DataFrame, tokens: str, width: int) -> DataFrame:
-    """``rows`` without ``tokens``, one row a window: its hash and place (from 0)."""
-    n = F.size(tokens) - F.lit(width)
-    hashes = F.expr(f"transform(sequence(0, size({tokens}) - {width}), i -> xxhash64(slice({tokens}, i + 1, {width})))")
-    return (rows.where(n >= 0).select(*[c for c in rows.columns if c != tokens], F.posexplode(hashes).alias("at", "window")))
+def windows(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` without ``tpl`` and ``named`` (the two readings), one row a window: its place (from 0),
+    hash and reading (``second``; windows that both readings share are of the first alone)."""
+    places = f"sequence(0, size(tpl) - {width})"
+
+    def hashed(tokens):
+        return f"xxhash64(slice({tokens}, i + 1, {width}))"
+    both = F.expr(f"""if(size(tpl) < {width}, array(), concat(
+        transform({places}, i -> struct(i AS at, {hashed('tpl')} AS window, false AS second)),
+        transform(filter({places}, i -> slice(tpl, i + 1, {width}) <> slice(named, i + 1, {width})),
+                  i -> struct(i AS at, {hashed('named')} AS window, true AS second))))""")
+    return rows.select(*[c for c in rows.columns if c not in ("tpl", "named")], F.inline(both))
 
 
 def _items(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct items: item_key, item_id, tpl, raw, n (tokens), width, n_windows."""
+    """Distinct items: item_id, item_digest, both readings, raw, n (tokens), width, n_windows."""
     items = benchmark.select("item_id", "text").distinct().select(
-        "item_id", F.xxhash64("text").alias("item_digest"), template("text").alias("item_tpl"),
-        raw_tokens("text").alias("item_raw"))
+        "item_id", F.xxhash64("text").alias("item_digest"), marked("text").alias("tokens"), raw_tokens("text").alias("item_raw"))
+    items = items.select("item_id", "item_digest", first_reading("tokens").alias("item_tpl"),
+                         second_reading("tokens").alias("item_named"), "item_raw")
     items = items.withColumn("n_tokens", F.size("item_tpl")).where("n_tokens > 0")
     return (items.withColumn("width", F.least("n_tokens", F.lit(width)))
             .withColumn("item_windows", F.col("n_tokens") - F.col("width") + 1))
@@ -82,23 +123,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage:
     items = written(_items(benchmark, width), "decontam-items")
     sizes = [r["width"] for r in items.groupBy("width").agg(F.sum("item_windows").alias("n")).collect()]
     n_windows = items.agg(F.sum("item_windows")).first()[0] or 0
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_digest"), template("text").alias("tpl"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_digest"), marked("text").alias("tokens")).select(
+        "doc_id", "text_digest", first_reading("tokens").alias("tpl"), second_reading("tokens").alias("named"))
     found = None
     for w in sorted(sizes) or [width]:                  # at most ``width`` different sizes
-        mine = windows(items.where(F.col("width") == w).select("item_id", "item_digest", "item_tpl"), "item_tpl", w)
-        mine = mine.withColumnRenamed("at", "item_at")
-        if n_windows <= broadcast_windows:
+        mine = windows(items.where(F.col("width") == w).select(
+            "item_id", "item_digest", F.col("item_tpl").alias("tpl"), F.col("item_named").alias("named")), w)
+        mine = mine.withColumnsRenamed({"at": "item_at", "second": "item_second"})
+        if 2 * n_windows <= broadcast_windows:          # a window has two readings at most
             mine = F.broadcast(mine)
-        part = windows(tokens, "tpl", w).join(mine, "window").select(
-            "doc_id", "text_digest", "item_id", "item_digest", (F.col("at") - F.col("item_at")).alias("shift"), "item_at")
+        part = windows(tokens, w).join(mine, "window").select(
+            "doc_id", "text_digest", "item_id", "item_digest", (F.col("at") - F.col("item_at")).alias("shift"), "item_at",
+            (F.col("second") | F.col("item_second")).alias("second"))
         found = part if found is None else found.unionByName(part)
     pair = ["doc_id", "text_digest", "item_id", "item_digest"]
-    runs = found.groupBy(*pair, "shift").agg(F.collect_set("item_at").alias("places"))
-    sized = items.select("item_id", "item_digest", "width", "item_windows", "n_tokens", "item_tpl", "item_raw")
+    runs = found.groupBy(*pair, "shift").agg(F.collect_set(F.when(~F.col("second"), F.col("item_at"))).alias("first_places"),
+                                             F.collect_set("item_at").alias("places"))
     # pairs that could reach the coverage, before the documents' slots are looked at
-    counted = runs.groupBy(*pair).agg(F.collect_list(F.struct("shift", "places")).alias("runs"))
-    counted = counted.alias("l").join(sized.alias("r"), _same("item_id", "item_digest")).select("l.*", "r.width", "r.item_windows", "r.n_tokens",
-                                                                         "r.item_tpl", "r.item_raw")
+    counted = runs.groupBy(*pair).agg(F.collect_list(F.struct("shift", "first_places", "places")).alias("runs"))
+    counted = counted.alias("l").join(items.alias("r"), _same("item_id", "item_digest")).select(
+        "l.*", "r.width", "r.item_windows", "r.n_tokens", "r.item_tpl", "r.item_named", "r.item_raw")
     total = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: r["places"]))))
     pairs = written(counted.where(total >= F.lit(coverage) * F.col("item_windows")), "decontam-pairs")
     keys = written(pairs.select("doc_id", "text_digest").distinct(), "decontam-keys")
@@ -107,18 +151,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage:
              .dropDuplicates(["doc_id", "text_digest"])
              .select("doc_id", "text_digest", raw_tokens("text").alias("doc_raw")))
     joined = pairs.alias("l").join(texts.alias("r"), _same("doc_id", "text_digest")).select("l.*", "r.doc_raw")
+    joined = _judged(joined, "first", "item_tpl", "first_places", width)
+    joined = _judged(joined, "either", "item_named", "places", width)
+    enough = {k: F.col(f"{k}_windows") >= F.lit(coverage) * F.col("item_windows") for k in ("first", "either")}
+
+    def of(what):
+        return F.when(enough["first"], F.col(f"first_{what}")).otherwise(F.col(f"either_{what}"))
+    return joined.where(enough["first"] | enough["either"]).select(
+        "doc_id", "text_digest", "item_id", of("windows").alias("n_windows"), "item_windows", of("slots").alias("n_slots"))
+
+
+def _judged(pairs: DataFrame, name: str, tpl: str, places: str, width: int) -> DataFrame:
+    """``pairs`` with the windows and slots of their consistent occurrences, as ``name``_windows and
+    ``name``_slots; ``tpl``: the item's template, ``places``: the field of ``runs`` with the matched windows."""
     # slots of an occurrence: placeholders of the item under its matched windows
-    slots = F.expr(f"""transform(runs, r -> struct(r.places AS places, transform(
-        filter(sequence(0, n_tokens - 1), p -> item_tpl[p] >= '{NUM}' AND item_tpl[p] <= '{NAME}'
-               AND exists(r.places, q -> q <= p AND p < q + width)),
+    slots = F.expr(f"""transform(filter(runs, r -> size(r.{places}) > 0), r -> struct(r.{places} AS places, transform(
+        filter(sequence(0, n_tokens - 1), p -> {tpl}[p] >= '{NUM}' AND {tpl}[p] <= '{NAME}'
+               AND exists(r.{places}, q -> q <= p AND p < q + width)),
         p -> struct(item_raw[p] AS item, doc_raw[p + r.shift] AS doc)) AS slots))""")
     ok = (f"size(array_distinct(r.slots)) = size(array_distinct(transform(r.slots, s -> s.item))) "
           f"AND (n_tokens >= {width} OR NOT exists(r.slots, s -> s.item <> s.doc))")
-    passed = joined.withColumn("occurrences", slots).withColumn("passed", F.expr(f"filter(occurrences, r -> {ok})"))
-    matched = F.size(F.array_distinct(F.flatten(F.transform("passed", lambda r: r["places"]))))
-    return (passed.withColumn("n_windows", matched).where(F.col("n_windows") >= F.lit(coverage) * F.col("item_windows"))
-            .select("doc_id", "text_digest", "item_id", "n_windows", "item_windows",
-                    F.expr("aggregate(passed, 0, (n, r) -> greatest(n, size(r.slots)))").alias("n_slots")))
+    passed = pairs.withColumn("occurrences", slots).withColumn("passed", F.expr(f"filter(occurrences, r -> {ok})"))
+    return (passed.withColumn(f"{name}_windows", F.size(F.array_distinct(F.flatten(F.transform("passed", lambda r: r["places"])))))
+            .withColumn(f"{name}_slots", F.expr("aggregate(passed, 0, (n, r) -> greatest(n, size(r.slots)))"))
+            .drop("occurrences", "passed"))
 
 
 def _same(a: str, b: str):

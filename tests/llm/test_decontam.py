@@ -65,3 +65,24 @@ def test_plan_has_no_python(spark, table):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     plan = D.drop_leaks(table([doc(1, ITEM)]), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_that_start_sentences_are_slots(spark, table):
+    item = "Tom has 12 apples. Ann has 5 apples.\nBob gives 3 apples to Tom."
+    docs = table([
+        doc(1, "Eve has 7 apples. Joe has 9 apples.\nMax gives 2 apples to Eve."),
+        doc(2, "Eve has 7 apples. Joe has 9 apples.\nMax gives 2 apples to Joe."),     # Tom is Eve and Joe
+        doc(3, "It says: \"Eve has 7 apples. (Joe) has 9 apples.\nMax gives 2 apples to Eve.\""),
+        doc(4, "Once Eve has 7 apples. Joe has 9 apples.\nMax gives 2 apples to Eve."),
+        doc(5, item)])
+    got = leaks(spark, docs, [(1, item)])
+    assert set(got) == {(1, 1), (3, 1), (4, 1), (5, 1)}
+    assert all(r["n_windows"] == r["item_windows"] == 10 for r in got.values())
+
+
+def test_sentence_starts_in_other_case_still_match(spark, table):
+    """Reading a sentence's first word as a name loses no match of the word itself."""
+    item = "Baking bread takes flour.\nBaking bread takes water."
+    docs = table([doc(1, "we know that baking bread takes flour; baking bread takes water."),
+                  doc(2, "The pond is blue.\nWe saw ducks and fish there.")])
+    assert set(leaks(spark, docs, [(1, item)])) == {(1, 1)}
