@@ -8,12 +8,15 @@ line, quote or bracket starts) may be a name or not, so texts have a second read
 one too, unless it is one of ``STARTERS``; a pair that doesn't leak as first read leaks if it does
 with windows of either reading. ``sql`` gives the first reading alone.
 
-Windows of ``WINDOW`` template tokens of the documents are
-hash-joined with those of the benchmark items (a shorter item is one window). Matched windows
-with the same alignment (document place less item place) are one occurrence of the item. Its
-slots must be consistent: every slot value of the item stands for one value in the document.
-Consistent occurrences that together cover ``COVERAGE`` of the item's windows are a leak; an item
-shorter than a window must agree in its slot values too.
+Windows of ``WINDOW`` template tokens of the documents are hash-joined with those of the benchmark
+items (a shorter item is one window). A window of placeholders alone says little, so it is joined
+by its slot values instead; with other values it counts only in an unbroken row with a matched
+window that holds a word. Matched windows with the same alignment (document place less item place)
+are one occurrence of the item. Its slots must be consistent: every slot value of the item stands
+for one value in the document. Consistent occurrences whose alignments differ by no more than the
+item's length, and that together cover ``COVERAGE`` of the item's windows, are a leak; an item
+shorter than a window must agree in its slot values too. (``sql`` counts placeholder windows like
+others and unites the occurrences of the whole document.)
 
 All of it is DataFrame functions. The benchmark's windows are counted first and broadcast up to
 ``BROADCAST_WINDOWS`` (about 40 bytes each); beyond that both sides are shuffled by the hash.
@@ -92,29 +95,46 @@ def raw_tokens(text: str):
                        lambda w: F.lower(w))
 
 
+def _slot(x: str) -> str:
+    return f"({x} >= '{NUM}' AND {x} <= '{NAME}')"
+
+
+def _bare(tokens: str, i: str, width) -> str:
+    """SQL: is the window of ``tokens`` at place ``i`` made of placeholders alone?"""
+    return f"({_slot(f'{tokens}[{i}]')} AND forall(slice({tokens}, {i} + 1, {width}), x -> {_slot('x')}))"
+
+
 def windows(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` without ``tpl`` and ``named`` (the two readings), one row a window: its place (from 0),
-    hash and reading (``second``; windows that both readings share are of the first alone)."""
+    """``rows`` without ``tpl``, ``named`` (the two readings) and ``text``, one row a window: its place
+    (from 0), hash and reading (``second``; windows that both readings share are of the first alone).
+    Windows of placeholders alone are hashed by their slot values."""
     places = f"sequence(0, size(tpl) - {width})"
+    any_bare = F.expr(f"size(tpl) >= {width} AND exists({places}, i -> {_bare('named', 'i', width)})")
+    rows = rows.withColumn("raw", F.when(any_bare, raw_tokens("text")))
 
     def hashed(tokens):
-        return f"xxhash64(slice({tokens}, i + 1, {width}))"
+        return (f"if({_bare(tokens, 'i', width)}, xxhash64(slice(raw, i + 1, {width}), true), "
+                f"xxhash64(slice({tokens}, i + 1, {width})))")
     both = F.expr(f"""if(size(tpl) < {width}, array(), concat(
         transform({places}, i -> struct(i AS at, {hashed('tpl')} AS window, false AS second)),
         transform(filter({places}, i -> slice(tpl, i + 1, {width}) <> slice(named, i + 1, {width})),
                   i -> struct(i AS at, {hashed('named')} AS window, true AS second))))""")
-    return rows.select(*[c for c in rows.columns if c not in ("tpl", "named")], F.inline(both))
+    return rows.select(*[c for c in rows.columns if c not in ("tpl", "named", "text", "raw")], F.inline(both))
 
 
 def _items(benchmark: DataFrame, width: int) -> DataFrame:
-    """Distinct items: item_id, item_digest, both readings, raw, n (tokens), width, n_windows."""
+    """Distinct items: item_id, item_digest, text, both readings, raw, n (tokens), width, n_windows."""
     items = benchmark.select("item_id", "text").distinct().select(
-        "item_id", F.xxhash64("text").alias("item_digest"), marked("text").alias("tokens"), raw_tokens("text").alias("item_raw"))
-    items = items.select("item_id", "item_digest", first_reading("tokens").alias("item_tpl"),
+        "item_id", F.xxhash64("text").alias("item_digest"), "text", marked("text").alias("tokens"), raw_tokens("text").alias("item_raw"))
+    items = items.select("item_id", "item_digest", "text", first_reading("tokens").alias("item_tpl"),
                          second_reading("tokens").alias("item_named"), "item_raw")
     items = items.withColumn("n_tokens", F.size("item_tpl")).where("n_tokens > 0")
-    return (items.withColumn("width", F.least("n_tokens", F.lit(width)))
-            .withColumn("item_windows", F.col("n_tokens") - F.col("width") + 1))
+    items = (items.withColumn("width", F.least("n_tokens", F.lit(width)))
+             .withColumn("item_windows", F.col("n_tokens") - F.col("width") + 1))
+    for name in ("tpl", "named"):                       # places of windows of placeholders alone
+        items = items.withColumn(f"bare_{name}", F.expr(
+            f"filter(sequence(0, item_windows - 1), p -> {_bare(f'item_{name}', 'p', 'width')})"))
+    return items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage: float = COVERAGE,
@@ -123,12 +143,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage:
     items = written(_items(benchmark, width), "decontam-items")
     sizes = [r["width"] for r in items.groupBy("width").agg(F.sum("item_windows").alias("n")).collect()]
     n_windows = items.agg(F.sum("item_windows")).first()[0] or 0
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_digest"), marked("text").alias("tokens")).select(
-        "doc_id", "text_digest", first_reading("tokens").alias("tpl"), second_reading("tokens").alias("named"))
+    tokens = docs.select("doc_id", F.xxhash64("text").alias("text_digest"), "text", marked("text").alias("tokens")).select(
+        "doc_id", "text_digest", "text", first_reading("tokens").alias("tpl"), second_reading("tokens").alias("named"))
     found = None
     for w in sorted(sizes) or [width]:                  # at most ``width`` different sizes
         mine = windows(items.where(F.col("width") == w).select(
-            "item_id", "item_digest", F.col("item_tpl").alias("tpl"), F.col("item_named").alias("named")), w)
+            "item_id", "item_digest", "text", F.col("item_tpl").alias("tpl"), F.col("item_named").alias("named")), w)
         mine = mine.withColumnsRenamed({"at": "item_at", "second": "item_second"})
         if 2 * n_windows <= broadcast_windows:          # a window has two readings at most
             mine = F.broadcast(mine)
@@ -142,17 +162,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage:
     # pairs that could reach the coverage, before the documents' slots are looked at
     counted = runs.groupBy(*pair).agg(F.collect_list(F.struct("shift", "first_places", "places")).alias("runs"))
     counted = counted.alias("l").join(items.alias("r"), _same("item_id", "item_digest")).select(
-        "l.*", "r.width", "r.item_windows", "r.n_tokens", "r.item_tpl", "r.item_named", "r.item_raw")
+        "l.*", "r.width", "r.item_windows", "r.n_tokens", "r.item_tpl", "r.item_named", "r.item_raw",
+        "r.bare_tpl", "r.bare_named")
     total = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: r["places"]))))
-    pairs = written(counted.where(total >= F.lit(coverage) * F.col("item_windows")), "decontam-pairs")
+    pairs = written(counted.where(total + F.size("bare_named") >= F.lit(coverage) * F.col("item_windows")), "decontam-pairs")
     keys = written(pairs.select("doc_id", "text_digest").distinct(), "decontam-keys")
     texts = (docs.select("doc_id", F.xxhash64("text").alias("text_digest"), "text").alias("l")
              .join(keys.alias("r"), _same("doc_id", "text_digest"), "left_semi")
              .dropDuplicates(["doc_id", "text_digest"])
-             .select("doc_id", "text_digest", raw_tokens("text").alias("doc_raw")))
-    joined = pairs.alias("l").join(texts.alias("r"), _same("doc_id", "text_digest")).select("l.*", "r.doc_raw")
-    joined = _judged(joined, "first", "item_tpl", "first_places", width)
-    joined = _judged(joined, "either", "item_named", "places", width)
+             .select("doc_id", "text_digest", raw_tokens("text").alias("doc_raw"), marked("text").alias("tokens"))
+             .select("doc_id", "text_digest", "doc_raw", first_reading("tokens").alias("doc_tpl"),
+                     second_reading("tokens").alias("doc_named")))
+    joined = pairs.alias("l").join(texts.alias("r"), _same("doc_id", "text_digest")).select(
+        "l.*", "r.doc_raw", "r.doc_tpl", "r.doc_named")
+    joined = _judged(joined, "first", "tpl", "first_places", ("tpl",), width)
+    joined = _judged(joined, "either", "named", "places", ("tpl", "named"), width)
     enough = {k: F.col(f"{k}_windows") >= F.lit(coverage) * F.col("item_windows") for k in ("first", "either")}
 
     def of(what):
@@ -161,18 +185,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, coverage:
         "doc_id", "text_digest", "item_id", of("windows").alias("n_windows"), "item_windows", of("slots").alias("n_slots"))
 
 
-def _judged(pairs: DataFrame, name: str, tpl: str, places: str, width: int) -> DataFrame:
+def _judged(pairs: DataFrame, name: str, reading: str, places: str, doc_readings, width: int) -> DataFrame:
     """``pairs`` with the windows and slots of their consistent occurrences, as ``name``_windows and
-    ``name``_slots; ``tpl``: the item's template, ``places``: the field of ``runs`` with the matched windows."""
+    ``name``_slots; ``places``: the field of ``runs`` with the windows matched in this reading."""
+    tpl, bare = f"item_{reading}", f"bare_{reading}"
+    alike = " OR ".join(f"slice(doc_{d}, p + r.shift + 1, width) = slice({tpl}, p + 1, width)" for d in doc_readings)
+    # windows of placeholders alone, of the item's template but other values; and those of them in a
+    # row with a matched window that holds a word
+    runs = F.expr(f"""transform(filter(runs, r -> size(r.{places}) > 0), r -> struct(r.shift AS shift, r.{places} AS places,
+        filter({bare}, p -> NOT array_contains(r.{places}, p) AND p + r.shift >= 0 AND ({alike})) AS more))""")
+    grown = F.expr(f"""transform(occurrences, r -> struct(r.shift AS shift, concat(r.places, filter(r.more, p ->
+        exists(r.places, q -> NOT array_contains({bare}, q)
+               AND forall(sequence(p, q), m -> array_contains(r.places, m) OR array_contains(r.more, m))))) AS places))""")
     # slots of an occurrence: placeholders of the item under its matched windows
-    slots = F.expr(f"""transform(filter(runs, r -> size(r.{places}) > 0), r -> struct(r.{places} AS places, transform(
-        filter(sequence(0, n_tokens - 1), p -> {tpl}[p] >= '{NUM}' AND {tpl}[p] <= '{NAME}'
-               AND exists(r.{places}, q -> q <= p AND p < q + width)),
+    slots = F.expr(f"""transform(occurrences, r -> struct(r.shift AS shift, r.places AS places, transform(
+        filter(sequence(0, n_tokens - 1), p -> {_slot(f'{tpl}[p]')} AND exists(r.places, q -> q <= p AND p < q + width)),
         p -> struct(item_raw[p] AS item, doc_raw[p + r.shift] AS doc)) AS slots))""")
     ok = (f"size(array_distinct(r.slots)) = size(array_distinct(transform(r.slots, s -> s.item))) "
           f"AND (n_tokens >= {width} OR NOT exists(r.slots, s -> s.item <> s.doc))")
-    passed = pairs.withColumn("occurrences", slots).withColumn("passed", F.expr(f"filter(occurrences, r -> {ok})"))
-    return (passed.withColumn(f"{name}_windows", F.size(F.array_distinct(F.flatten(F.transform("passed", lambda r: r["places"])))))
+    passed = (pairs.withColumn("occurrences", runs).withColumn("occurrences", grown).withColumn("occurrences", slots)
+              .withColumn("passed", F.expr(f"array_sort(filter(occurrences, r -> {ok}))")))
+    # the most windows of alignments that differ by no more than the item's length: along the
+    # alignments, the last one that each window was matched at
+    most = F.expr("""aggregate(passed, struct(0 AS n, array_repeat(CAST(NULL AS INT), item_windows) AS last), (s, r) ->
+        transform(array(transform(s.last, (x, p) -> if(array_contains(r.places, p), r.shift, x))), l ->
+                  struct(greatest(s.n, size(filter(l, x -> x >= r.shift - n_tokens))) AS n, l AS last))[0], s -> s.n)""")
+    return (passed.withColumn(f"{name}_windows", most)
             .withColumn(f"{name}_slots", F.expr("aggregate(passed, 0, (n, r) -> greatest(n, size(r.slots)))"))
             .drop("occurrences", "passed"))
 

@@ -86,3 +86,26 @@ def test_sentence_starts_in_other_case_still_match(spark, table):
     docs = table([doc(1, "we know that baking bread takes flour; baking bread takes water."),
                   doc(2, "The pond is blue.\nWe saw ducks and fish there.")])
     assert set(leaks(spark, docs, [(1, item)])) == {(1, 1)}
+
+
+def test_placeholders_alone_are_no_evidence(spark, table):
+    sums = "Compute 3 + 4 * 5 - 6 / 2"
+    names = "we saw Tom, Ann, Bob, Eve, Joe, Max and"
+    docs = table([
+        doc(1, "Results by year: 10 11 12 13 14 15 16 17"),
+        doc(2, "compute 7 + 8 * 9 - 1 / 5"),                    # the same sum of other numbers
+        doc(3, "so 3 4 5 6 2 it was"),                          # the same numbers
+        doc(4, "with Una, Pia, Lea, Ida, Kim, Ben, Jon, Sam or"),
+        doc(5, "then we saw Una, Pia, Lea, Ida, Kim, Ben and")])
+    got = leaks(spark, docs, [(1, sums), (2, names)])
+    assert set(got) == {(2, 1), (3, 1), (5, 2)}
+    assert got[(2, 1)]["n_windows"] == 2 and got[(5, 2)]["n_windows"] == got[(5, 2)]["item_windows"] == 5
+
+
+def test_scattered_windows_do_not_add_up(spark, table):
+    item = "the old grey mill stands by a slow cold river near our quiet town"
+    words = item.split()
+    filler = " ".join(f"{a}{b}" for a in "abcdefgh" for b in ("pa", "ko", "mi", "ru", "te"))
+    scattered = f" {filler} ".join(" ".join(words[i:i + 5]) for i in range(10))
+    near = " ".join(words[:7]) + " indeed so " + " ".join(words[7:])
+    assert set(leaks(spark, table([doc(1, scattered), doc(2, near), doc(3, f"{filler} {item} {filler}")]), [(1, item)])) == {(2, 1), (3, 1)}
