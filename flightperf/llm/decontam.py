@@ -60,7 +60,7 @@ _LETTER = r"[\p{L}\p{M}]"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _TOKEN = rf"{_NUMBER}|{_LETTER}+|[{NUM}-{NAME}]"
 _NAMES = r"(?<=[\p{L}\p{M}0-9,][ \t])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
-_STARTS = (rf"(?<![\p{{L}}\p{{M}}0-9])(?!(?i:{'|'.join(STARTERS.split())})(?!{_LETTER}))"
+_STARTS = (rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}0-9])(?!(?i:{'|'.join(STARTERS.split())})(?!{_LETTER}))"
            rf"\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?!{_LETTER})")
 _UNITS = rf"{NUM}( *){START}?(?:{'|'.join(UNITS.split())})(?!{_LETTER})"
 
@@ -108,18 +108,21 @@ def windows(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` without ``tpl``, ``named`` (the two readings) and ``text``, one row a window: its place
     (from 0), hash and reading (``second``; windows that both readings share are of the first alone).
     Windows of placeholders alone are hashed by their slot values."""
-    places = f"sequence(0, size(tpl) - {width})"
-    any_bare = F.expr(f"size(tpl) >= {width} AND exists({places}, i -> {_bare('named', 'i', width)})")
-    rows = rows.withColumn("raw", F.when(any_bare, raw_tokens("text")))
-
-    def hashed(tokens):
-        return (f"if({_bare(tokens, 'i', width)}, xxhash64(slice(raw, i + 1, {width}), true), "
-                f"xxhash64(slice({tokens}, i + 1, {width})))")
-    both = F.expr(f"""if(size(tpl) < {width}, array(), concat(
-        transform({places}, i -> struct(i AS at, {hashed('tpl')} AS window, false AS second)),
-        transform(filter({places}, i -> slice(tpl, i + 1, {width}) <> slice(named, i + 1, {width})),
-                  i -> struct(i AS at, {hashed('named')} AS window, true AS second))))""")
-    return rows.select(*[c for c in rows.columns if c not in ("tpl", "named", "text", "raw")], F.inline(both))
+    def hashed(tokens, i, bare):
+        plain = f"xxhash64(slice({tokens}, {i} + 1, {width}))"
+        return f"if({_bare(tokens, i, width)}, xxhash64(slice(raw, {i} + 1, {width}), true), {plain})" if bare else plain
+
+    def both(bare):
+        # windows of the second reading: those over a word that it reads otherwise
+        other = (f"array_distinct(flatten(transform(filter(sequence(0, size(tpl) - 1), p -> tpl[p] <> named[p]), "
+                 f"p -> sequence(greatest(0, p - {width - 1}), least(p, size(tpl) - {width})))))")
+        return f"""concat(
+            transform(sequence(0, size(tpl) - {width}), i -> struct(i AS at, {hashed('tpl', 'i', bare)} AS window, false AS second)),
+            transform({other}, i -> struct(i AS at, {hashed('named', 'i', bare)} AS window, true AS second)))"""
+    some_bare = F.concat(F.array_join("named", " "), F.lit(" ")).rlike(f"(?:[{NUM}-{NAME}] ){{{width}}}")
+    rows = rows.withColumn("raw", F.when(some_bare, raw_tokens("text")))
+    found = F.expr(f"CASE WHEN size(tpl) < {width} THEN array() WHEN raw IS NULL THEN {both(False)} ELSE {both(True)} END")
+    return rows.select(*[c for c in rows.columns if c not in ("tpl", "named", "text", "raw")], F.inline(found))
 
 
 def _items(benchmark: DataFrame, width: int) -> DataFrame:
