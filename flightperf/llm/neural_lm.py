@@ -79,14 +79,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
 class Vocabulary:
     """What the tasks know of the counts: totals, the most frequent words, the hashed classes."""
 
-    def __init__(self, total: int, distinct: int, frequent: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]]):
-        """``frequent``: words by falling count; ``tails``: hash -> (tokens, words seen once) of all words."""
+    def __init__(self, total: int, distinct: int, frequent: list[tuple[bytes, int]], tails: dict[int, tuple[int, int]],
+                 ends: int | None = None):
+        """``frequent``: words by falling count; ``tails``: hash -> (tokens, words seen once) of all words;
+        ``ends``: count of the end token (default: from ``frequent``)."""
         self.total, self.distinct = total, distinct
         self.floor = total + 0.1 * (distinct + 1)
         words = [w for w, _ in frequent if w != END]
         own = words[:FREQUENT]
         self.index = {w: i for i, w in enumerate(words)}
         count = dict(frequent)
+        ends = count.get(END, 0) if ends is None else ends
         self.count = np.array([count[w] for w in words], dtype=np.float64)
         self.klass = np.array([1 + i if i < FREQUENT else hashed_class(w) for i, w in enumerate(words)], dtype=np.int32)
         mass, once = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -98,7 +101,7 @@ class Vocabulary:
             once[k] -= count[w] == 1
         for i, w in enumerate(own):
             mass[1 + i] = count[w]
-        mass[0] = count.get(END, 0)
+        mass[0] = ends
         self.mass = mass
         unseen = (once + 0.5) / (mass + 1.0)
         self.unseen = np.log10(unseen)
@@ -107,7 +110,7 @@ class Vocabulary:
             if len(words) else np.zeros(0)
         self.share = share                                                    # log10 P(word | class)
         self.base = np.log10((self.count + 0.1) / self.floor) if len(words) else np.zeros(0)
-        self.base_end = math.log10((count.get(END, 0) + 0.1) / self.floor) if self.floor else 0.0
+        self.base_end = math.log10((ends + 0.1) / self.floor) if self.floor else 0.0
         self.noise = (mass + 1.0) / (mass + 1.0).sum()
 
 
@@ -116,7 +119,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
     How many words are how frequent (in steps of a sixteenth of an octave) tells from which count
     on they are no more than COUNTED, so no task sends the driver more than its share of those."""
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"),
+                        F.sum(F.when(F.col("token") == F.lit(END), F.col("c"))).alias("ends")).first()
     step = F.floor(F.log2("c") * 16)
     floor, words = None, 0
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
@@ -129,7 +133,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
              .groupBy((F.crc32(F.expr("substring(token, -2, 2)")) % HASHED).alias("h"))
              .agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect())
     return Vocabulary(totals["n"] or 0, totals["v"], [(bytes(r["token"]), r["c"]) for r in top],
-                      {r["h"]: (r["n"], r["once"]) for r in tails})
+                      {r["h"]: (r["n"], r["once"]) for r in tails}, totals["ends"] or 0)   # END may be too rare for ``top``
 
 
 # --- the model ---------------------------------------------------------------------

@@ -106,6 +106,17 @@ def test_rare_words_meet_their_counts_in_the_join(spark, monkeypatch):
     check(op6_language_model(spark, sf).collect(), docs)
 
 
+def test_the_end_token_is_counted_when_it_is_rare(spark, table, monkeypatch):
+    """One long text with more distinct words than COUNTED: its end token is as rare as its words."""
+    from flightperf.llm.common import fold_column
+    monkeypatch.setattr(L, "COUNTED", 500)
+    for often in (1, 3):
+        rows = [(1, " ".join(f"w{i}" for i in range(600) for _ in range(often))), (6, "w1 w2 nothing"), (6, None)]   # 6 is held out
+        docs = table([(i, t, "en", "a", 1) for i, t in rows])
+        got = L.scores(docs, L.learning_fold()).withColumn("held_out", fold_column("doc_id", 10) == 0).collect()
+        check_base(got, rows)
+
+
 def test_edges(spark, edge_docs, no_docs):
     from pyspark.sql import functions as F
     from flightperf.llm.common import fold_column
