@@ -116,7 +116,7 @@ bsd-3-clause | text | endorse or promote | neither the names? of(?: \w+){1,12} m
 bsd-4-clause | text | advertising materials | all advertising materials mentioning features or use of this software must display the following acknowledgement
 bsd | text | this software is provided by | this software is provided by(?: \w+){1,8} as is and any express or implied warranties
 bsd-3-clause | name | bsd | (?:new|revised|modified) bsd license
-bsd-2-clause | name | bsd | (?:simplified|freebsd) (?:bsd )?license
+bsd-2-clause | name | license | (?:simplified|freebsd) (?:bsd )?license
 bsd-4-clause | name | bsd | (?:original|old) bsd license
 bsd | notice | bsd | (?:licensed|released|distributed|available) under (?:the |a )?bsd(?: style)?(?: license)?
 bsd | name | bsd | bsd(?: style)? licenses?
@@ -225,9 +225,9 @@ wtfpl | name | do what the | do what the f\w+ you want to public license
 beerware | name | beer ware license | beer ware license
 python-2.0 | name | python software foundation license | python software foundation license(?: version 2)?
 psf | name | psf license | psf license
-postgresql | name | postgresql license | postgresql licen[cs]e
+postgresql | name | postgresql licen | postgresql licen[cs]e
 php-3.01 | name | php license | php license(?: version)?(?: 3 0\d?)?
-ruby | name | ruby license | ruby(?: s)? license
+ruby | name | ruby | ruby(?: s)? license
 openssl | name | openssl license | openssl license
 openssl | text | openssl toolkit | software developed by the openssl project for use in the openssl toolkit
 ssleay | text | cryptographic software written by | this product includes cryptographic software written by eric young

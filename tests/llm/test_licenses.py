@@ -28,6 +28,38 @@ def test_there_are_hundreds_of_rules_and_each_has_its_keyword():
         re.compile(pattern)
 
 
+def wordings(pattern):
+    """Texts that a pattern matches: every alternative and letter, repeats at their least and once more."""
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                some = [chr(arg)]
+            elif name == "IN":
+                some = [chr(a) if str(o) == "LITERAL" else "1" if "DIGIT" in str(a) else "x" for o, a in arg]
+            elif name == "BRANCH":
+                some = [x for branch in arg[1] for x in of(branch)]
+            elif name == "SUBPATTERN":
+                some = of(arg[-1])
+            else:
+                assert name == "MAX_REPEAT", name
+                least, most, body = arg
+                some = [x * n for n in {least, min(most, least + 1)} for x in of(body)]
+            out = [a + b for a in out for b in dict.fromkeys(some)]
+        return out
+    return of(re._parser.parse(pattern))
+
+
+def test_every_wording_of_a_pattern_holds_its_keyword():
+    for label, _, keyword, pattern in R.parse_rules():
+        for text in wordings(pattern):
+            assert re.fullmatch(pattern, text), (pattern, text)
+            assert keyword in text, (label, keyword, text)
+    scan = L.Scanner().scan
+    assert scan(b"PostgreSQL Licence")["labels"] == "postgresql" and scan(b"Simplified License")["labels"] == "bsd-2-clause"
+
+
 @pytest.mark.parametrize("text,labels", [
     ("Released under the MIT License.", "mit"),
     ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc-4.0"),
