@@ -13,7 +13,9 @@ score is a logistic function of its largest marginal, its expected toxic words,
 weight under a word-frequency model, calibrated on documents that did not teach the field; spans are runs of tokens above ``SPAN_FROM``.
 
 The fit reads a bounded sample, ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled rows by a
-hash of doc_id (of ``MAX_WORDS`` words at most), weighted back to the labels' shares; every document is scored whole.
+hash of doc_id, weighted back to the labels' shares. A sampled text of more than ``MAX_WORDS`` words
+teaches by ``PASSAGES`` passages spread over it and chosen by hash, about ``MAX_WORDS`` words; its
+expected toxic words are scaled to its length for the calibration. Every document is scored whole.
 
 Defined cases: null and empty texts have no token and the score of an untoxic text without words;
 null labels are ignored, several labels of one doc_id are toxic if any is; without labels of both
@@ -37,7 +39,8 @@ from flightperf.llm.licenses import words_of
 
 MAX_TOXIC = 2500
 MAX_CLEAN = 2500
-MAX_WORDS = 10_000             # longer documents don't teach: the sample's size stays bounded
+MAX_WORDS = 10_000             # longer documents teach by passages: the sample's size stays bounded
+PASSAGES = 20
 RATIO = 6.0
 MIN_EVIDENCE = 12.0           # nats; about one in 160,000 by chance
 CORE, MARGIN = 512, 32
@@ -86,6 +89,19 @@ class Slots(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
 
 
+def passages(words: list[bytes], most: int | None = None, n: int = PASSAGES) -> list[bytes]:
+    """``words``, or of more than ``most`` (default ``MAX_WORDS``) the ``n`` passages of ``most / n`` words
+    that have the smallest hash in each of ``n`` equal stretches of the text."""
+    most = MAX_WORDS if most is None else most
+    if len(words) <= most:
+        return words
+    size = most // n
+    pieces = [words[at:at + size] for at in range(0, len(words), size)]
+    cuts = [len(pieces) * k // n for k in range(n + 1)]
+    return [w for a, b in zip(cuts, cuts[1:])
+            for w in min(pieces[a:b], key=lambda p: xxhash.xxh64_digest(b" ".join(p), seed=5))]
+
+
 def windows(lengths: np.ndarray, core: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts with these many tokens, laid out one after the other: (first token, core start, core
     end, last token) of every window, the text of each window and its number in the text."""
@@ -202,8 +218,10 @@ def padded(spans: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 class ToxicModel:
     """The field, the words' weights and the calibrated document score."""
 
-    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, n_toxic: int, n_clean: int):
-        """``texts``: word hashes of sampled documents; ``toxic``: their labels; n: labelled rows in all."""
+    def __init__(self, texts: list[np.ndarray], toxic: np.ndarray, n_toxic: int, n_clean: int, lengths: np.ndarray | None = None):
+        """``texts``: word hashes of sampled documents (or of their passages); ``toxic``: their labels;
+        n: labelled rows in all; ``lengths``: words of the whole documents (default: of ``texts``)."""
+        scale = np.ones(len(texts)) if lengths is None else lengths / np.maximum(1, [len(x) for x in texts])
         seen, times = np.unique(np.concatenate([np.unique(x) for x in texts] or [np.zeros(0, np.int64)]), return_counts=True)
         self.table = seen[times > 1]
         self.slots = len(self.table) + 2
@@ -217,11 +235,11 @@ class ToxicModel:
             if len(np.unique(toxic[part == k])) == len(np.unique(toxic[part != k])) == 2:
                 self.teach([x for x, p in zip(texts, part) if p != k], toxic[part != k])
                 own = [x for x, p in zip(texts, part) if p == k]
-                facts += [self.facts(own[i:i + 256])[0] for i in range(0, len(own), 256)]
+                facts += [self.facts(own[i:i + 256], scale[part == k][i:i + 256])[0] for i in range(0, len(own), 256)]
                 y.append(toxic[part == k])
         self.teach(texts, toxic)
         if not facts:                                       # too few rows to part
-            facts, y = [self.facts(texts)[0]], [toxic]
+            facts, y = [self.facts(texts, scale)[0]], [toxic]
         y = np.concatenate(y).astype(np.float64)
         weight = np.where(y == 1, n_toxic / max(1, y.sum()), n_clean / max(1, (1 - y).sum()))
         self.calibration = Logistic(1.0).fit(np.concatenate(facts), y, weight * len(y) / weight.sum())
@@ -258,9 +276,9 @@ class ToxicModel:
         self.word_weight[EDGE], self.toxic_slots[[EDGE, OTHER]] = 0.0, False
         self.field = Field(self.slots).fit(texts, [self.toxic_slots[x] & bool(y) for x, y in zip(texts, toxic)])
 
-    def facts(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Per document the largest marginal, the expected toxic words and the mean word weight; and
-        the marginals of all tokens, one text after the other."""
+    def facts(self, texts: list[np.ndarray], scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Per document the largest marginal, the expected toxic words (times ``scale``, for passages of a
+        longer document) and the mean word weight; and the marginals of all tokens, one text after the other."""
         lengths = np.array([len(x) for x in texts], dtype=np.int64)
         out = np.zeros((len(texts), 5))
         marg = np.zeros(int(lengths.sum()))
@@ -279,7 +297,7 @@ class ToxicModel:
             top = np.maximum.reduceat(marg, cuts)
             out[full, 0] = top
             out[full, 1] = np.clip(np.log(top / np.maximum(1 - top, 1e-12) + 1e-12), -12, 12)
-            out[full, 2] = np.log1p(np.add.reduceat(marg, cuts))
+            out[full, 2] = np.log1p(np.add.reduceat(marg, cuts) * (1.0 if scale is None else scale[full]))
             out[full, 3] = np.add.reduceat(self.word_weight[own], cuts) / lengths[full]
         out[lengths == 0, 1] = -12
         out[:, 4] = lengths == 0
@@ -329,21 +347,24 @@ def train(docs: DataFrame, labels: DataFrame, fold=None, max_toxic: int = MAX_TO
         F.lit(min(1 << 30, (1 << 30) * max_clean // max(1, n.get(0, 0)))))
     some = known.where(place < share).select("doc_id", (F.col("label") > 0).cast("int").alias("label"))
 
+    most = MAX_WORDS
+
     def run(batches):
         for b in small_batches(batches):
             texts = [words_of(x.as_py()) for x in b.column(1)]
-            kept = [i for i, t in enumerate(texts) if len(t) <= MAX_WORDS]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(kept, pa.int64())),
-                 pa.array([[word_hash(w) for w in texts[i]] for i in kept], pa.list_(pa.int64()))], names=["label", "words"])
+                [b.column(0), pa.array([len(t) for t in texts], pa.int64()),
+                 pa.array([[word_hash(w) for w in passages(t, most)] for t in texts], pa.list_(pa.int64()))],
+                names=["label", "n_words", "words"])
 
     # the sample: about max_toxic + max_clean rows, two numbers each on the broadcast side
     rows = (docs.select(F.col("doc_id").cast("long"), text_bytes().alias("bytes")).join(F.broadcast(some), "doc_id")
-            .select("label", "bytes").mapInArrow(run, "label int, words array<bigint>").toArrow())
+            .select("label", "bytes").mapInArrow(run, "label int, n_words long, words array<bigint>").toArrow())
     texts = [np.array(x.values.to_numpy(), dtype=np.int64) for x in rows.column("words")]
     toxic = np.array(rows.column("label").to_pylist(), dtype=np.int64)
     order = sorted(range(len(texts)), key=lambda i: (toxic[i], xxhash.xxh64_digest(texts[i].tobytes())))
-    return ToxicModel([texts[i] for i in order], toxic[order], n.get(1, 0), n.get(0, 0))
+    lengths = rows.column("n_words").to_numpy()
+    return ToxicModel([texts[i] for i in order], toxic[order], n.get(1, 0), n.get(0, 0), lengths[order])
 
 
 def scores(docs: DataFrame, model: ToxicModel) -> DataFrame:

@@ -71,6 +71,35 @@ def test_held_out_recall_and_precision(spark):
             assert 0 <= s["first"] < s["end"] <= len(texts[r["doc_id"]])
 
 
+def test_passages_are_spread_over_a_long_text():
+    words = [b"%d" % i for i in range(25_000)]
+    kept = [int(w) for w in T.passages(words)]
+    assert T.passages(words[:10_000]) == words[:10_000] and len(kept) <= T.MAX_WORDS and kept == sorted(set(kept))
+    assert all(any(1250 * k <= i < 1250 * (k + 2) for i in kept) for k in range(19))
+
+
+def test_long_documents_teach_and_calibrate(spark):
+    """All labelled rows are long: they teach, the score is fitted on them, and it tells new ones apart."""
+    rng = np.random.default_rng(9)
+
+    def text(i, toxic, n=12_000):
+        words = rng.integers(0, 60, n)                      # words of its own and of a neighbour
+        out = [f"w{i + 2 * k}x{w}" for w, k in zip(words, rng.integers(0, 2, n))]
+        if toxic:
+            for at in range(0, n, 40):
+                out[at] = "zounds"
+        return " ".join(out)
+    rows = [(i, text(i, i % 2)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = T.train(docs, labels)
+    assert model.usable
+    got = {r["doc_id"]: r for r in T.scores(docs, model).collect()}
+    assert len(got) == 80
+    for i in range(60, 80):
+        assert got[i]["predicted"] == i % 2
+
+
 def test_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 0, 0), (5, 1, 1), (6, 0, None), (None, 0, 1)],
                                    "doc_id long, quality int, toxic int")
