@@ -3,7 +3,7 @@
 Tokens are words. The labels say toxic of whole documents, so tokens of the training sample are
 labelled first: a word is toxic inside toxic documents if it is far more frequent in toxic than
 in clean documents (``RATIO`` times the rate, with ``MIN_EVIDENCE`` against chance); near copies
-count once, by the smallest hash of their words. The field has two tags; a token's state
+count once, by two smallest hashes of their runs of three words. The field has two tags; a token's state
 score sums weights of its own word, the word before and the word after (words of two sampled
 documents at least; all others share one slot), and tags have transition weights. It is trained by AdaGrad on the exact likelihood.
 
@@ -215,6 +215,19 @@ def padded(spans: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 # --- training ----------------------------------------------------------------------
 
+def copy_mark(words: np.ndarray) -> int:
+    """What near copies share: the two smallest hashes, by two functions, of runs of three words (hashes)."""
+    if not len(words):
+        return -1
+    w = np.concatenate([words, [0, 0]]).astype(np.uint64)
+    runs = (w[:-2] * np.uint64(0x9E3779B97F4A7C15) + w[1:-1]) * np.uint64(0xC2B2AE3D27D4EB4F) + w[2:]
+    mark = 0
+    for k in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F):
+        h = (runs ^ (runs >> np.uint64(32))) * np.uint64(k)
+        mark = mark * 0x1000193 + int((h ^ (h >> np.uint64(29))).min())
+    return mark % (1 << 63)
+
+
 class ToxicModel:
     """The field, the words' weights and the calibrated document score."""
 
@@ -225,6 +238,7 @@ class ToxicModel:
         seen, times = np.unique(np.concatenate([np.unique(x) for x in texts] or [np.zeros(0, np.int64)]), return_counts=True)
         self.table = seen[times > 1]
         self.slots = len(self.table) + 2
+        marks = np.array([copy_mark(x) for x in texts], dtype=np.int64)
         texts = [self._slots(x) for x in texts]
         self.share = (n_toxic + 1) / (n_toxic + n_clean + 2)
         self.usable = bool(len(texts)) and 0 < toxic.sum() < len(toxic)
@@ -233,11 +247,11 @@ class ToxicModel:
         facts, y, part = [], [], np.arange(len(texts)) % PARTS
         for k in range(PARTS):                              # each part is judged by what the others taught
             if len(np.unique(toxic[part == k])) == len(np.unique(toxic[part != k])) == 2:
-                self.teach([x for x, p in zip(texts, part) if p != k], toxic[part != k])
+                self.teach([x for x, p in zip(texts, part) if p != k], toxic[part != k], marks[part != k])
                 own = [x for x, p in zip(texts, part) if p == k]
                 facts += [self.facts(own[i:i + 256], scale[part == k][i:i + 256])[0] for i in range(0, len(own), 256)]
                 y.append(toxic[part == k])
-        self.teach(texts, toxic)
+        self.teach(texts, toxic, marks)
         if not facts:                                       # too few rows to part
             facts, y = [self.facts(texts, scale)[0]], [toxic]
         y = np.concatenate(y).astype(np.float64)
@@ -250,12 +264,9 @@ class ToxicModel:
         at = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
         return np.where(self.table[at] == hashes, at + 2, OTHER).astype(np.int32)
 
-    def teach(self, texts: list[np.ndarray], toxic: np.ndarray) -> None:
-        """Label the tokens, weigh the words and fit the field."""
+    def teach(self, texts: list[np.ndarray], toxic: np.ndarray, mark: np.ndarray) -> None:
+        """Label the tokens, weigh the words and fit the field; texts of the same ``mark`` count once."""
         words = [np.unique(x) for x in texts]
-        # near copies share the smallest hash of their words, so a group of copies counts once
-        mark = np.array([int((w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).min()) if len(w) else -1
-                         for w in words])
         counts = np.zeros((2, self.slots))
         groups = [0, 0]
         for y in (0, 1):

@@ -100,6 +100,27 @@ def test_long_documents_teach_and_calibrate(spark):
         assert got[i]["predicted"] == i % 2
 
 
+def test_only_near_copies_count_once():
+    """Documents of the same few words in other order are separate evidence; copies are one."""
+    rng = np.random.default_rng(5)
+    h = lambda w: T.word_hash(w.encode())
+    vocab = np.array([h(f"w{i}") for i in range(40)], dtype=np.int64)
+    toxic = np.arange(60) % 2
+
+    def text(y):
+        words = rng.permutation(np.repeat(vocab, 3))
+        words[:120:20] = h("zounds") if y else vocab[0]
+        return words
+    apart = [text(y) for y in toxic]
+    found = T.ToxicModel(apart, toxic, 30, 30)
+    assert found.table[np.flatnonzero(found.toxic_slots) - 2].tolist() == [h("zounds")]
+    copies = [apart[y].copy() for y in toxic]
+    assert not T.ToxicModel(copies, toxic, 30, 30).toxic_slots.any()
+    long = rng.integers(-2**62, 2**62, 400)
+    edited = [np.concatenate([long[:at], [at], long[at + 1:]]) for at in range(0, 400, 10)]
+    assert np.mean([T.copy_mark(x) == T.copy_mark(long) for x in edited]) > 0.9
+
+
 def test_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 0, 0), (5, 1, 1), (6, 0, None), (None, 0, 1)],
                                    "doc_id long, quality int, toxic int")
