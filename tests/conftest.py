@@ -5,8 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
+from tests.paths import EDGE_SCHEMA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,10 +16,6 @@ def spark():
     s.stop()
 
 
-EDGE_SCHEMA = ("carrier string, flight_num string, flight_date date, arr_delay int, arr_del15 int, cancelled int, "
-               "carrier_delay int, weather_delay int, nas_delay int, security_delay int, late_aircraft_delay int")
-
-
 @pytest.fixture(scope="session")
 def edge_flights(spark):
     """Hand-made edge rows (FIXTURES.md section 6) with calendar columns added."""

@@ -12,7 +12,7 @@ from flightperf.operators import rollups as R
 from flightperf.plans import reports as Q
 from flightperf.plans.warehouse import Warehouse
 
-from conftest import EDGE_SCHEMA
+from tests.paths import EDGE_SCHEMA
 
 
 def _random_rows(n=3000, seed=5):

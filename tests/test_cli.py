@@ -6,7 +6,7 @@ from flightperf.sources import csv as CSV
 from flightperf.sources.fixtures import flights
 from flightperf.plans.warehouse import Warehouse
 
-from conftest import SF001
+from tests.paths import SF001
 
 
 def test_build_report_export(spark, capsys):

@@ -9,7 +9,7 @@ from flightperf.plans.cover import cover_segments, date_cover, direct_range, uni
 from flightperf.plans.warehouse import Warehouse
 from flightperf.sources.fixtures import flights
 
-from conftest import SF001
+from tests.paths import SF001
 
 dates = st.dates(min_value=dt.date(1985, 1, 1), max_value=dt.date(2016, 12, 31))
 

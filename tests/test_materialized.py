@@ -9,7 +9,7 @@ from flightperf.plans import reports as Q
 from flightperf.plans.warehouse import Warehouse, build_all
 from flightperf.sources.fixtures import flights
 
-from conftest import SF01
+from tests.paths import SF01
 
 RANGES = [(dt.date(1996, 3, 15), dt.date(1999, 11, 20)), (dt.date(1995, 11, 5), dt.date(1996, 2, 3)),
           (dt.date(1995, 12, 15), dt.date(1996, 1, 15)), (dt.date(1995, 1, 1), dt.date(2002, 1, 1))]

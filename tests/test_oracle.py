@@ -9,7 +9,7 @@ import __spark_entry__ as E
 from flightperf.plans.oracle import all_sql
 from flightperf.plans.queries import all_queries
 
-from conftest import SF001
+from tests.paths import SF001
 
 TABLES = ["lineitem"]
 

@@ -6,7 +6,7 @@ from flightperf.plans import reports as Q
 from flightperf.plans.warehouse import Warehouse, build_all
 from flightperf.sources.fixtures import flights
 
-from conftest import SF001
+from tests.paths import SF001
 
 
 def _plan(df) -> str:

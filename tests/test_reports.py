@@ -8,7 +8,7 @@ from flightperf.plans import reports as Q
 from flightperf.plans.warehouse import Warehouse
 from flightperf.sources.fixtures import flights
 
-from conftest import SF01
+from tests.paths import SF01
 
 R1 = (dt.date(1996, 3, 15), dt.date(1999, 11, 20))
 R2 = (dt.date(1995, 11, 5), dt.date(1996, 2, 3))

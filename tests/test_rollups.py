@@ -5,7 +5,7 @@ from flightperf.operators import rollups as R
 from flightperf.plans.warehouse import Warehouse, build_all, table_row_counts
 from flightperf.sources.fixtures import flights
 
-from conftest import SF001
+from tests.paths import SF001
 
 
 def _sums(df, cols):

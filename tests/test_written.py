@@ -20,7 +20,7 @@ from flightperf.sources import csv as CSV
 from flightperf.sources import sinks as S
 from flightperf.sources.fixtures import flights
 
-from conftest import SF001
+from tests.paths import SF001
 
 
 def _files(path):
