@@ -81,7 +81,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_edges(spark, edge_docs, no_docs):
-    from tests.llm.conftest import EDGE_ROWS
+    from tests.llm.rows import EDGE_ROWS
     assert Counter(map(tuple, D.digests(edge_docs).collect())) == want_rows([(r[0], r[1]) for r in EDGE_ROWS])
     assert D.digests(no_docs).count() == 0
     one = D.digests(edge_docs.where(F.col("doc_id") == 1)).collect()

@@ -103,7 +103,7 @@ def test_query_equals_brute_force(spark):
 
 
 def test_edges(edge_docs, no_docs):
-    from tests.llm.conftest import EDGE_ROWS
+    from tests.llm.rows import EDGE_ROWS
     rows = L.scan(edge_docs).collect()
     key = lambda x: (x[0] is not None, x[0] or 0, x[1:])
     assert sorted(((r["doc_id"], r["n_words"], r["n_base"]) for r in rows), key=key) == sorted(

@@ -32,7 +32,7 @@ def test_boilerplate_is_relative_to_the_host(spark, table):
 
 
 def test_edges(edge_docs, no_docs):
-    from tests.llm.conftest import EDGE_ROWS
+    from tests.llm.rows import EDGE_ROWS
     assert rows_of(L.drop_boilerplate(edge_docs)) == Counter((r[0], r[1]) for r in EDGE_ROWS)
     assert L.drop_boilerplate(no_docs, counts=True).count() == 0
 

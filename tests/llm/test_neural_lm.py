@@ -120,7 +120,7 @@ def test_the_end_token_is_counted_when_it_is_rare(spark, table, monkeypatch):
 def test_edges(spark, edge_docs, no_docs):
     from pyspark.sql import functions as F
     from flightperf.llm.common import fold_column
-    from tests.llm.conftest import EDGE_ROWS
+    from tests.llm.rows import EDGE_ROWS
     got = L.scores(edge_docs, L.learning_fold()).withColumn("held_out", fold_column("doc_id", 10) == 0).collect()
     check_base(got, [(r[0], r[1]) for r in EDGE_ROWS])
     assert L.scores(no_docs).count() == 0

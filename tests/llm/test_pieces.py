@@ -67,7 +67,7 @@ def test_round_trip_of_the_query(spark):
 
 
 def test_edges(edge_docs, no_docs):
-    from tests.llm.conftest import EDGE_ROWS
+    from tests.llm.rows import EDGE_ROWS
     rows = P.encode_and_decode(edge_docs, MODEL).collect()
     assert sorted(r["decoded"] for r in rows) == sorted((r[1] or "") for r in EDGE_ROWS)
     assert all(r["n_ids"] == 0 and r["score"] == 0 for r in rows if not r["decoded"])

@@ -78,7 +78,7 @@ def test_long_lists_connect_by_midpoints(spark):
 
 
 def test_components_and_keep_one_on_edges(spark, edge_docs, no_docs):
-    from tests.llm.conftest import EDGE_ROWS
+    from tests.llm.rows import EDGE_ROWS
     rows = [(r[0], r[1]) for r in EDGE_ROWS]
     got = Counter(map(tuple, S.components(edge_docs).collect()))
     assert got == brute_components(rows)

@@ -70,7 +70,7 @@ def test_query_equals_plain_encoding(spark):
 
 
 def test_edges_and_small_segments(spark, edge_docs, no_docs):
-    from tests.llm.conftest import EDGE_ROWS
+    from tests.llm.rows import EDGE_ROWS
     path = scratch_path(spark, "t")
     T.write_token_files(edge_docs, path, WORD_BPE, 1, block=32, segment_ids=40)
     assert as_rows(T.read_digests(spark, path)) == want_rows([(r[0], r[1]) for r in EDGE_ROWS])
