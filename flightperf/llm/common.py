@@ -21,11 +21,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back (cuts the lineage)."""
+def written(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder (a folder for each value of ``folders``)
+    and read it back (cuts the lineage)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

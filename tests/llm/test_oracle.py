@@ -10,7 +10,7 @@ from flightperf.llm.queries import QUERIES, SQL
 def test_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cur = con.execute(SQL[name])
     cols = [c[0] for c in cur.description]
