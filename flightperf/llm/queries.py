@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightperf.llm import decontam, digests, hard_negatives, licenses, line_dedup, neural_lm, pieces, quality, simhash, token_files, toxicity
+from flightperf.llm import decontam, digests, hard_negatives, licenses, line_dedup, neural_lm, phrases, pieces, quality, simhash, token_files, toxicity
 from flightperf.llm.common import documents, fold_column
 from flightperf.session import scratch_path
 
@@ -79,6 +79,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector, a window of scores for each of its positives."""
     return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=hard_negatives.moved_label())
@@ -95,9 +100,10 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
+    "op12_phrases": op12_phrases,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
 # Queries that SQL can express; the others are tested against brute force in tests/llm.
 SQL = {"op3_line_dedup": line_dedup.sql(), "op7_decontamination": decontam.sql(),
-       "op13_hard_negatives": hard_negatives.sql()}
+       "op12_phrases": phrases.sql(), "op13_hard_negatives": hard_negatives.sql()}
