@@ -34,7 +34,7 @@ DEPTH = 4                   # words of the longest phrase
 LEAST = 30                  # places that make a candidate
 COVERED = 80                # percent of its places inside one longer phrase that drop a phrase
 TOP = 2000                  # phrases a language
-SHARD_BYTES = 16 << 20      # UTF-8 bytes of a shard
+SHARD_BYTES = 8 << 20      # UTF-8 bytes of a shard
 FILTER_BITS = 1 << 28       # most bits of a Bloom filter (32 MB)
 BITS_EACH = 16              # bits a frequent phrase, while that makes at most FILTER_BITS
 PROBES = 4
@@ -70,8 +70,8 @@ def encoded(texts: list[bytes]):
     coded = words.dictionary_encode()
     ids = coded.indices.to_numpy().astype(np.int32) + 1
     # a piece ends between two words if a stop lies between them, and after the last word
-    stops = np.r_[0, np.cumsum(kind == STOP)]
-    last = np.r_[stops[starts[1:]] > stops[ends[:-1]], True]
+    stops = np.flatnonzero(kind == STOP)
+    last = np.r_[np.searchsorted(stops, starts[1:]) > np.searchsorted(stops, ends[:-1]), True]
     out = np.zeros(len(ids) + int(last.sum()), np.int32)
     out[np.arange(len(ids)) + np.r_[0, np.cumsum(last)[:-1]]] = ids
     return coded.dictionary.cast(pa.string()), out
@@ -113,18 +113,21 @@ def levels(bwt: np.ndarray, n_words: int, depth: int, allowed=None):
     if not m:
         return
     # LF's inverse: row r comes from row back[r] (a stable sort of the transform, number in the low bits)
-    back = np.sort((bwt.astype(np.int64) << 32) | np.arange(m)) & 0xFFFFFFFF
+    back = bwt.astype(np.int64) << 32
+    back |= np.arange(m)
+    back.sort()
+    back = back.astype(np.uint32)                       # the low half
     symbol = bwt[back]                                  # first id of each row
     # level 1: an interval a word; rows that start with 0 belong to none
     first = np.searchsorted(symbol, np.arange(1, n_words + 1))
     count = np.bincount(bwt, minlength=n_words + 1)[1:]
-    here = Level(first, count, [np.arange(1, n_words + 1)], None, None)
+    here = Level(first, count, [np.arange(1, n_words + 1, dtype=np.int32)], None, None)
     yield here
-    of = symbol.astype(np.int64) - 1                    # interval of each row, -1: none
+    of = symbol - 1                                     # interval of each row, -1: none
     for k in range(2, depth + 1):
         if allowed is not None:
             ok = np.r_[allowed(here, k - 1), False]     # the last entry stands for "none"
-            of = np.where(ok[of], of, -1)
+            of = np.where(ok[of], of, np.int32(-1))
         # row r starts with symbol[r], then with the phrase of row back[r]
         rest = of[back]
         valid = (rest >= 0) & (of >= 0) & (symbol > 0)
@@ -132,12 +135,11 @@ def levels(bwt: np.ndarray, n_words: int, depth: int, allowed=None):
         starts = np.flatnonzero(edge)
         sizes = np.diff(np.r_[starts, m])
         keep = valid[starts]
-        number = np.where(keep, np.cumsum(keep) - 1, -1)
+        here_of = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32), sizes)
         starts, sizes = starts[keep], sizes[keep]
-        head, tail = of[starts], rest[starts]
+        head, tail, of = of[starts], rest[starts], here_of
         here = Level(starts, sizes, [symbol[starts], *(w[tail] for w in here.words)], head, tail)
         yield here
-        of = np.repeat(number, np.diff(np.r_[np.flatnonzero(edge), m]))
 
 
 def _shards(shard_bytes: int):
