@@ -7,12 +7,13 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightperf.llm import decontam, digests, hard_negatives, licenses, line_dedup, neural_lm, phrases, pieces, quality, simhash, token_files, toxicity
+from flightperf.llm import (decontam, digests, hard_negatives, languages, licenses, line_dedup, neural_lm, phrases, pieces, quality,
+                            simhash, token_files, toxicity)
 from flightperf.llm.common import documents, fold_column
 from flightperf.session import scratch_path
 
 END_ID = 1
-HELD_FOLD = 2     # of four, whose toxicity labels are not learned from
+HELD_FOLD = 2     # of four, that toxicity and languages are not learned from
 
 
 def tokenizer_path(name: str) -> str:
@@ -79,6 +80,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned from three of four folds."""
+    docs = documents(spark, sf_dir)
+    known = languages.train(docs, fold_column("doc_id", 4) != HELD_FOLD)
+    return languages.identify(docs, known).withColumn("held_out", fold_column("doc_id", 4) == HELD_FOLD)
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of every language."""
     return phrases.collocations(documents(spark, sf_dir))
@@ -100,6 +108,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_simhash": op10_simhash,
+    "op11_language_id": op11_language_id,
     "op12_phrases": op12_phrases,
     "op13_hard_negatives": op13_hard_negatives,
 }
