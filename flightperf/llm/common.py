@@ -6,6 +6,7 @@ import pickle
 import sys
 import types
 import zlib
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,18 @@ def written(df: DataFrame, name: str, folders: list[str] | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Jobs run inside hand rows to Python this many at a time (for rows of many MB)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have yet."""
     taken = {c.lower() for c in df.columns}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flightperf.llm.common import share, taken, text_bytes, written
+from flightperf.llm.common import arrow_rows, share, taken, text_bytes, written
 
 DEPTH = 4                   # words of the longest phrase
 LEAST = 30                  # places that make a candidate
@@ -294,7 +294,8 @@ def frequent_phrases(index: DataFrame, least: int = LEAST, depth: int = DEPTH, m
         counts = words if k == 1 else index.select("lang", "words", "bwt").mapInArrow(
             _phrases(filters, k), "lang string, phrase string, count long")
         summed = counts.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-        here = written(summed.select("lang", "phrase", F.lit(k).alias("k"), "f"), f"phrases-{k}")
+        with arrow_rows(index.sparkSession, 1):     # one shard at a time
+            here = written(summed.select("lang", "phrase", F.lit(k).alias("k"), "f"), f"phrases-{k}")
         found = here if found is None else found.unionByName(here)
         if k < depth:
             filters.append(frequent_filter(here, most_bits))
