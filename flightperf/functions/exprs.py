@@ -98,6 +98,18 @@ def percent(num: str, den: str) -> Column:
     return E(f"round(coalesce(try_divide(CAST({num} AS DOUBLE) * 100.0D, CAST({den} AS DOUBLE)), 0.0D), 2)")
 
 
+# --- parameters --------------------------------------------------------------
+
+def range_valid(start, end):
+    """A period may not start after its end. One rule for dates and for date columns."""
+    return start <= end
+
+
+def carrier_code(c):
+    """A carrier code as given by a user, without blanks around it and in capitals; text or column."""
+    return F.upper(F.trim(c)) if isinstance(c, Column) else str(c).strip().upper()
+
+
 # --- dates -------------------------------------------------------------------
 
 def mdy_to_iso_sql(c: str) -> str:

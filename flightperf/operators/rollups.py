@@ -151,6 +151,24 @@ def reaggregate(finer: DataFrame, grain: str) -> DataFrame:
     return _derive(out, grain)
 
 
+def added(old: DataFrame, new: DataFrame, grain: str) -> DataFrame:
+    """Two written parts of one grain (the same groups may be in both), summed group by group."""
+    g = GRAINS[grain]
+    cols = [*g.dims, *g.carried]
+    both = old.select(*cols, *MEASURES).unionByName(new.select(*cols, *MEASURES))
+    return _derive(both.groupBy(*cols).agg(*[X.E(f"CAST(sum({m}) AS BIGINT) AS {m}") for m in MEASURES]), grain)
+
+
+def written_schema(grain: str) -> str:
+    """Columns of a written grain, the partition column last."""
+    g = GRAINS[grain]
+    kinds = {"carrier": "string", "flight_num": "string", "flight_date": "date"}
+    cols = [*g.dims, *g.carried, *MEASURES, *[d for d in g.derived if d not in g.dims]]
+    typed = [(c, "bigint" if c in MEASURES else kinds.get(c, "int")) for c in dict.fromkeys(cols)]
+    typed.sort(key=lambda c: c[0] in g.partition_by)
+    return ", ".join(f"{c} {t}" for c, t in typed)
+
+
 def merged(combined: DataFrame, grain: str) -> DataFrame:
     """A written grain with carried columns, summed to one row for each public group."""
     g = GRAINS[grain]

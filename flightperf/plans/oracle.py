@@ -264,7 +264,18 @@ def _more_sql(sql: dict[str, str]) -> dict[str, str]:
         return f"WITH rep AS ({name_or_sql})\n{select}"
     return {
         "key_range_read_text": sql["key_range_read"],
+        "merge_by_key": PREFIX + CL + f""",
+first AS ({rollup_body("count", "flight_year", f"year <= {QS.MERGE_YEAR}")}),
+later AS ({rollup_body("count", "flight_year", f"year >= {QS.MERGE_YEAR} AND day_of_month <= 15")})
+SELECT * FROM later WHERE key IS NOT NULL
+UNION ALL SELECT * FROM first WHERE key IS NOT NULL AND key NOT IN (SELECT key FROM later WHERE key IS NOT NULL)""",
+        "merge_deliveries": PREFIX + CL + f""",
+t AS ({rollup_body("delay", "date")}),
+d AS (SELECT t.* REPLACE (CAST(nas_num + n AS BIGINT) AS nas_num), CAST(n AS INTEGER) AS delivery
+  FROM t, range(0, 5) r(n) WHERE n = 0 OR (month(CAST(flight_date AS DATE)) = 6 AND day(CAST(flight_date AS DATE)) % n = 0))
+SELECT * EXCLUDE (carrier) FROM d WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY delivery DESC) = 1""",
         "built_tables": _built_tables_sql(),
+        "delta_tables": _built_tables_sql(),
         "export_tsv": _export_sql(),
         "project_flights_narrow": PREFIX + """
 SELECT carrier, year, quarter, month, day_of_month, CAST(isodow(flight_date) AS INTEGER) AS day_of_week,

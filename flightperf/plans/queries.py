@@ -20,16 +20,16 @@ from flightperf.functions import exprs as X
 from flightperf.functions.dims import CARRIER_CODES, COUNTERS
 from flightperf.operators import classify as C
 from flightperf.operators import joins as J
-from flightperf.operators import keyed as K
 from flightperf.operators import reshape as RS
 from flightperf.operators import rollups as R
 from flightperf.plans import cover as CV
 from flightperf.plans import reports as Q
-from flightperf.plans.warehouse import Warehouse, build_all, export_tables, table_row_counts
+from flightperf.plans.warehouse import Warehouse, add_flights, build_all, export_tables, table_row_counts
 from flightperf.session import scratch_path
 from flightperf.sources import csv as CSV
 from flightperf.sources import sinks as S
 from flightperf.sources import fixtures
+from flightperf.sources.keyed_table import KeyedTable
 
 flights = fixtures.flights
 
@@ -46,6 +46,7 @@ FLIGHT = "2"
 RANGE1 = (dt.date(1996, 3, 15), dt.date(1999, 11, 20))
 RANGE2 = (dt.date(1995, 11, 5), dt.date(1996, 2, 3))
 SEASON_YEAR = 1997
+MERGE_YEAR = 1996
 HOLIDAY = "Christmas"
 HOLIDAY_YEARS = (1995, 2001)
 POINT_KEYS = [f"{CARRIER}_{FLIGHT}_{SEASON_YEAR}_{q}" for q in range(1, 5)]
@@ -129,10 +130,9 @@ def q_sink_tsv(spark, sf_dir):
 
 
 def q_key_point_read(spark, sf_dir):
-    path = scratch_path(spark, "quarterly-delays")
-    S.write_table(_wh(spark, sf_dir).delay("flight_quarter"), path, ["year"])
-    t = S.read_table(spark, path)
-    return K.read_keys(t, POINT_KEYS, year_part=-2).select("key", "carrier", "flight_num", "year", "quarter", *COUNTERS)
+    """Rows of four keys, from the files whose key interval holds one."""
+    table = KeyedTable.write(_wh(spark, sf_dir).delay("flight_quarter"), scratch_path(spark, "quarterly-delays"))
+    return table.read_keys(POINT_KEYS).select("key", "carrier", "flight_num", "year", "quarter", *COUNTERS)
 
 
 def q_key_range_read(spark, sf_dir):
@@ -148,17 +148,37 @@ def q_key_range_read(spark, sf_dir):
 
 
 def q_key_range_read_text(spark, sf_dir):
-    """The same rows by a half-open range of text keys."""
-    path = scratch_path(spark, "date-fcount")
-    S.write_table(_wh(spark, sf_dir).count("date"), path)
+    """The same rows by a half-open range of text keys, from the files that the range meets."""
+    table = KeyedTable.write(_wh(spark, sf_dir).count("date"), scratch_path(spark, "date-fcount"))
     start, stop = (f"{CARRIER}_{d.isoformat()}" for d in RANGE1)
-    return text_dates(K.read_key_range(S.read_table(spark, path), start, stop).select(
-        "key", "carrier", "flight_date", "num_flights"))
+    return text_dates(table.read_range(start, stop).select("key", "carrier", "flight_date", "num_flights"))
 
 
-def q_built_tables(spark, sf_dir):
-    """All 18 written tables by content, from flights with unreadable dates."""
-    wh = build_all(dirty_flights(spark, sf_dir))
+def q_merge_by_key(spark, sf_dir):
+    """A keyed table written for the years up to MERGE_YEAR, then merged with counts of the days up to the 15th
+    from that year on: keys in both have their newest row, all others stay."""
+    f = flights(spark, sf_dir)
+    path = scratch_path(spark, "merged")
+    KeyedTable.write(Warehouse.from_flights(f.where(F.col("year") <= MERGE_YEAR)).count("flight_year"), path)
+    updates = Warehouse.from_flights(f.where((F.col("year") >= MERGE_YEAR) & (F.col("day_of_month") <= 15))).count("flight_year")
+    return KeyedTable.load(spark, path).merge(updates).scan()
+
+
+def q_merge_deliveries(spark, sf_dir):
+    """Two merges into the daily delay table, each with two deliveries of the days of June: of several rows of
+    a key the one with the greatest delivery number counts."""
+    day = _wh(spark, sf_dir).delay("date").select("key", "flight_date", *COUNTERS)
+    table = KeyedTable.write(day.withColumn("delivery", F.lit(0)), scratch_path(spark, "merged"))
+    june = day.where(F.month("flight_date") == 6)
+    for first in (1, 3):
+        both = june.withColumn("delivery", F.explode(F.array(F.lit(first), F.lit(first + 1))))
+        both = both.where(F.dayofmonth("flight_date") % F.col("delivery") == 0)
+        table = table.merge(both.withColumn("nas_num", F.col("nas_num") + F.col("delivery")), newest="delivery")
+    return text_dates(table.scan())
+
+
+def _all_tables(wh: Warehouse) -> DataFrame:
+    """All 18 tables by content."""
     out = None
     for name, (grain, family) in R.TABLES.items():
         dims = R.GRAINS[grain].dims
@@ -171,6 +191,21 @@ def q_built_tables(spark, sf_dir):
     return out
 
 
+def q_built_tables(spark, sf_dir):
+    """All 18 written tables by content, from flights with unreadable dates."""
+    return _all_tables(build_all(dirty_flights(spark, sf_dir)))
+
+
+def q_delta_tables(spark, sf_dir):
+    """The same tables from a first build and two deliveries: the second half of a year, then all later years."""
+    f = dirty_flights(spark, sf_dir)
+    home = scratch_path(spark, "warehouse")
+    first = f"year < {MERGE_YEAR} OR (year = {MERGE_YEAR} AND quarter < 3)"
+    build_all(f.where(first), home)
+    add_flights(f.where(f"year = {MERGE_YEAR} AND quarter >= 3"), home)
+    return _all_tables(add_flights(f.where(f"year > {MERGE_YEAR} OR ({first}) IS NULL"), home))
+
+
 def _built_report(report) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, sf_dir):
         return report(build_all(flights(spark, sf_dir)))
@@ -205,7 +240,7 @@ def q_project_flights_narrow(spark, sf_dir):
 def q_range_check(spark, sf_dir):
     """Whether each flight day can start a period that ends at RANGE1's start."""
     days = flights(spark, sf_dir).select("flight_date").distinct()
-    return text_dates(days.select("flight_date", (F.col("flight_date") <= F.lit(RANGE1[0])).alias("valid")))
+    return text_dates(days.select("flight_date", X.range_valid(F.col("flight_date"), F.lit(RANGE1[0])).alias("valid")))
 
 
 def q_classify_causes(spark, sf_dir):
@@ -243,7 +278,7 @@ def q_make_keys(spark, sf_dir):
 
 def q_norm_params(spark, sf_dir):
     lower = flights(spark, sf_dir).select(F.lower("carrier").alias("carrier_in")).distinct()
-    return lower.select("carrier_in", F.upper("carrier_in").alias("carrier"))
+    return lower.select("carrier_in", X.carrier_code(F.col("carrier_in")).alias("carrier"))
 
 
 def q_date_transform(spark, sf_dir):
@@ -520,7 +555,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "run_report": q_run_report,
         "report_json": q_report_json,
         "key_range_read_text": q_key_range_read_text,
+        "merge_by_key": q_merge_by_key,
+        "merge_deliveries": q_merge_deliveries,
         "built_tables": q_built_tables,
+        "delta_tables": q_delta_tables,
         "export_tsv": q_export_tsv,
         "project_flights_narrow": q_project_flights_narrow,
         "range_check": q_range_check,

@@ -42,7 +42,7 @@ def parse_date(v) -> dt.date:
 
 def norm_range(start, end, inclusive_end: bool = False) -> tuple[dt.date, dt.date]:
     s, e = parse_date(start), parse_date(end)
-    if s > e:
+    if not X.range_valid(s, e):
         raise ValueError(f"range start {s} is after its end {e}")
     if inclusive_end:
         e = e + dt.timedelta(days=1)
@@ -50,7 +50,7 @@ def norm_range(start, end, inclusive_end: bool = False) -> tuple[dt.date, dt.dat
 
 
 def norm_carrier(c: str | None) -> str | None:
-    return None if c is None else str(c).strip().upper()
+    return None if c is None else X.carrier_code(c)
 
 
 def _key_filter(carrier: str | None, flight_num: str | None = None) -> Column | None:
