@@ -34,7 +34,7 @@ DEPTH = 4                   # words of the longest phrase
 LEAST = 30                  # places that make a candidate
 COVERED = 80                # percent of its places inside one longer phrase that drop a phrase
 TOP = 2000                  # phrases a language
-SHARD_BYTES = 8 << 20      # UTF-8 bytes of a shard
+SHARD_BYTES = 3 << 20      # UTF-8 bytes of a shard
 FILTER_BITS = 1 << 28       # most bits of a Bloom filter (32 MB)
 BITS_EACH = 16              # bits a frequent phrase, while that makes at most FILTER_BITS
 PROBES = 4
@@ -273,8 +273,8 @@ def _phrases(filters: list, k: int):
                 *_, last = levels(np.frombuffer(b.column("bwt")[at].as_py(), "<i4"), len(words), k, allowed)
                 if not len(last.count):
                     continue
-                for cut in range(0, len(last.count), 200_000):
-                    part = slice(cut, cut + 200_000)
+                for cut in range(0, len(last.count), 50_000):
+                    part = slice(cut, cut + 50_000)
                     text = pc.binary_join_element_wise(*(words.take(pa.array(w[part] - 1)) for w in last.words), " ")
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(text), pa.string()), text, pa.array(last.count[part], pa.int64())],
