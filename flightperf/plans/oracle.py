@@ -263,6 +263,10 @@ def _more_sql(sql: dict[str, str]) -> dict[str, str]:
     def over(name_or_sql: str, select: str) -> str:
         return f"WITH rep AS ({name_or_sql})\n{select}"
     return {
+        "redelivered_month": PREFIX + f"""
+SELECT carrier, flight_num, CAST(flight_date AS VARCHAR) AS flight_date,
+  CASE WHEN year = {QS.MERGE_YEAR} AND month = 6 THEN arr_delay + 1 ELSE arr_delay END AS arr_delay, arr_del15, cancelled,
+  carrier_delay, weather_delay, nas_delay, security_delay, late_aircraft_delay FROM flights""",
         "key_range_read_text": sql["key_range_read"],
         "merge_by_key": PREFIX + CL + f""",
 first AS ({rollup_body("count", "flight_year", f"year <= {QS.MERGE_YEAR}")}),

@@ -29,6 +29,7 @@ from flightperf.session import scratch_path
 from flightperf.sources import csv as CSV
 from flightperf.sources import sinks as S
 from flightperf.sources import fixtures
+from flightperf.sources.deliveries import FlightStore
 from flightperf.sources.keyed_table import KeyedTable
 
 flights = fixtures.flights
@@ -99,6 +100,20 @@ def q_scan_zip_csv(spark, sf_dir):
     return text_dates(CSV.read_flights_zip(spark, zip_path, header=True).select(*SCAN_COLUMNS))
 
 
+def q_redelivered_month(spark, sf_dir):
+    """A folder of monthly files taken in twice, then one month delivered again with all delays a minute longer:
+    its rows replace those of the first delivery, and the old file is not read again."""
+    f = flights(spark, sf_dir)
+    first, again = scratch_path(spark, "delivery"), scratch_path(spark, "delivery")
+    CSV.write_ontime_csv(f, first, header=True, partition_col="month")
+    month = f.where((F.col("year") == MERGE_YEAR) & (F.col("month") == 6))
+    CSV.write_ontime_csv(month.withColumn("arr_delay", F.col("arr_delay") + 1), again, header=True, partition_col="month")
+    store = FlightStore(spark, scratch_path(spark, "flight-store"), "_part=([0-9]{4}-[0-9]{2})")
+    for folder in (first, first, again, first):
+        store.ingest(folder)
+    return text_dates(store.flights().select(*SCAN_COLUMNS))
+
+
 def q_cast_lenient_int(spark, sf_dir):
     f = flights(spark, sf_dir)
     txt = F.when(F.col("flight_num") == "1", F.lit("x")).otherwise(
@@ -507,6 +522,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scan_csv_dir": q_scan_csv_dir,
         "scan_csv_header": q_scan_csv_header,
         "scan_zip_csv": q_scan_zip_csv,
+        "redelivered_month": q_redelivered_month,
         "cast_lenient_int": q_cast_lenient_int,
         "sink_delay_parquet": q_sink_delay_parquet,
         "sink_count_parquet": q_sink_count_parquet,

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightperf.functions import exprs as X
+from flightperf.session import scratch_path
 from flightperf.sources.schema import INT_COLUMNS, ONTIME_COLUMNS, RAW_SCHEMA, WORKING_NAMES
 
 # Excel-style quoting: fields in double quotes may hold commas; a doubled quote is a quote.
@@ -38,9 +39,9 @@ def type_columns(raw: DataFrame) -> DataFrame:
                             for c in raw.columns])
 
 
-def to_working(typed: DataFrame) -> DataFrame:
-    """The 16 working columns under their working names; ``flight_date`` as DATE."""
-    cols = []
+def to_working(typed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 16 working columns under their working names; ``flight_date`` as DATE. Columns to ``keep`` come first."""
+    cols = list(keep)
     for src, dst in WORKING_NAMES.items():
         expr = f"try_to_date(`{src}`, 'yyyy-MM-dd')" if dst == "flight_date" else f"`{src}`"
         cols.append(f"{expr} AS {dst}")
@@ -61,12 +62,47 @@ def read_flights_dir(spark: SparkSession, path: str, header: bool = False) -> Da
 # --- zip archives ---------------------------------------------------------------
 
 BLOCK_BYTES = 8 << 20   # inflate members in 8 MB blocks; one output batch per block
+MAX_MEMBER_TASKS = 100_000
 
 
 # Functions that run inside Python workers are self-contained (stdlib / pyarrow only, helpers
 # nested): cloudpickle then ships them by value, so executors need no copy of this package.
 
-def _unzip_lines(header: bool, block_bytes: int = BLOCK_BYTES):
+def _opener():
+    def opened(uri: str):
+        """The archive as a seekable stream from the store it lies in."""
+        import io
+
+        from pyarrow import fs as pafs
+        if "://" in uri:
+            store, place = pafs.FileSystem.from_uri(uri)
+        else:
+            store, place = pafs.LocalFileSystem(), uri[len("file:"):] if uri.startswith("file:") else uri
+        stream = store.open_input_file(place)
+        # the zip reader looks for records before the start of a very short (empty) archive
+        return io.BytesIO(stream.read()) if stream.size() < 1024 else stream
+    return opened
+
+
+def _list_members(opened):
+    """(path) -> (archive, place, member, bytes) of every CSV member, from the central directory alone."""
+    def run(batches):
+        import zipfile
+
+        import pyarrow as pa
+        for rb in batches:
+            for path in rb.column("path").to_pylist():
+                with opened(path) as stream, zipfile.ZipFile(stream) as zf:
+                    found = [(i, m.filename, m.file_size) for i, m in enumerate(zf.infolist()) if m.filename.lower().endswith(".csv")]
+                if found:
+                    place, member, size = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path] * len(found), pa.string()), pa.array(place, pa.int32()), pa.array(member, pa.string()),
+                         pa.array(size, pa.int64())], names=["archive", "place", "member", "bytes"])
+    return run
+
+
+def _unzip_lines(opened, header: bool, block_bytes: int = BLOCK_BYTES):
     def member_lines(fh):
         """Lines of one zip member, block by block (a line split across blocks is carried)."""
         held, first = [], True          # pieces of a line that is not ended yet
@@ -89,59 +125,61 @@ def _unzip_lines(header: bool, block_bytes: int = BLOCK_BYTES):
         if last.strip() and not (first and header):
             yield [last.decode("utf-8", errors="replace").rstrip("\r")]
 
-    def opened(uri: str):
-        """The archive as a seekable stream from the store it lies in."""
-        from pyarrow import fs as pafs
-        if "://" not in uri:
-            return pafs.LocalFileSystem().open_input_file(uri[len("file:"):] if uri.startswith("file:") else uri)
-        store, place = pafs.FileSystem.from_uri(uri)
-        return store.open_input_file(place)
-
     def run(batches):
         import zipfile
 
         import pyarrow as pa
         for rb in batches:
-            for path in rb.column("path").to_pylist():
-                with opened(path) as stream, zipfile.ZipFile(stream) as zf:
-                    for member in zf.namelist():
-                        if not member.lower().endswith(".csv"):
-                            continue
-                        with zf.open(member) as fh:
-                            for lines in member_lines(fh):
-                                if lines:
-                                    yield pa.RecordBatch.from_arrays(
-                                        [pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())],
-                                        names=["archive", "line"])
+            for path, place in zip(rb.column("archive").to_pylist(), rb.column("place").to_pylist()):
+                with opened(path) as stream, zipfile.ZipFile(stream) as zf, zf.open(zf.infolist()[place]) as fh:
+                    for lines in member_lines(fh):
+                        if lines:
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([path] * len(lines), pa.string()), pa.array(lines, pa.string())],
+                                names=["archive", "line"])
     return run
 
 
-def read_zip_lines(spark: SparkSession, path: str, header: bool = True, spread: bool = True) -> DataFrame:
+def zip_members(spark: SparkSession, path) -> DataFrame:
+    """The CSV members of every ``*.zip`` archive under ``path`` (one or several): archive, place (in
+    the archive's directory), member, bytes (inflated). Only central directories are read."""
+    archives = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
+                .option("recursiveFileLookup", True).load(path).select("path"))
+    return archives.mapInArrow(_list_members(_opener()), "archive string, place int, member string, bytes long")
+
+
+def read_zip_lines(spark: SparkSession, path, header: bool = True, spread: bool = True) -> DataFrame:
     """CSV lines of every ``*.zip`` archive under ``path``: (archive, line).
 
-    A zip member can only be inflated front to back, so an archive is never split. Spark lists
-    the archives (their bytes are not read into rows); a task opens its archive in the shared
-    store, inflates members in 8 MB blocks and yields one Arrow batch of lines per block
-    (``mapInArrow``, no pandas conversion), so an archive of any size takes bounded memory. With ``spread`` (default) the lines are then redistributed
-    round robin into AQE-sized partitions, so parsing and aggregation of an oversized
-    archive - say a third of all rows - run on many tasks instead of one; inflating is
-    the only per-archive step left. ``spread=False`` saves that shuffle when archives are
-    known to be many and of even size.
+    A zip member can only be inflated front to back, but a central directory says where each one
+    starts: so a first small job lists the members (kept as a table in the shared scratch folder), and
+    each is a task of its own, whatever archive it lies in. Such a task opens the archive in the shared
+    store and inflates its member in 8 MB blocks, one Arrow batch of lines per block
+    (``mapInArrow``, no pandas conversion), so a member of any size takes bounded memory. With ``spread``
+    (default) the lines are then redistributed round robin into AQE-sized partitions, so parsing and
+    aggregation of an oversized member - say a third of all rows - run on many tasks instead of one;
+    inflating is the only per-member step left. ``spread=False`` saves that shuffle when members
+    are known to be many and of even size.
     """
-    bins = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
-            .option("recursiveFileLookup", True).load(path).select("path"))
-    lines = bins.mapInArrow(_unzip_lines(header), "archive string, line string")
+    listed = scratch_path(spark, "zip-members")
+    zip_members(spark, path).write.parquet(listed)
+    members = spark.read.schema("archive string, place int").parquet(listed)
+    # dealt one by one from a single short list, so each task has one member (MAX_MEMBER_TASKS: several)
+    dealt = members.coalesce(1).repartition(max(1, min(MAX_MEMBER_TASKS, members.count())))
+    lines = dealt.mapInArrow(_unzip_lines(_opener(), header), "archive string, line string")
     return lines.hint("rebalance") if spread else lines
 
 
-def read_flights_zip(spark: SparkSession, path: str, header: bool = True, spread: bool = True) -> DataFrame:
+def read_flights_zip(spark: SparkSession, path, header: bool = True, spread: bool = True,
+                     keep_archive: bool = False) -> DataFrame:
     """Flights from zipped monthly archives: unzip in Python (bounded chunks), parse the
-    CSV lines JVM-side with ``from_csv`` and the positional text schema."""
+    CSV lines JVM-side with ``from_csv`` and the positional text schema. ``keep_archive`` adds
+    the archive of each row as the first column."""
     lines = read_zip_lines(spark, path, header, spread)
     ddl = ", ".join(f"`{c}` string" for c in ONTIME_COLUMNS)
     opts = {k: v for k, v in CSV_OPTIONS.items() if k != "mode"}
-    parsed = lines.select(F.from_csv("line", ddl, opts).alias("r")).select("r.*")
-    return to_working(type_columns(parsed))
+    parsed = lines.select("archive", F.from_csv("line", ddl, opts).alias("r")).select("archive", "r.*")
+    return to_working(type_columns(parsed), ("archive",) if keep_archive else ())
 
 
 # --- writing on-time text (fixtures, export) ----------------------------------------

@@ -115,3 +115,28 @@ def test_zip_with_several_members_and_a_readme(spark, tmp_path):
         zf.writestr("readme.html", "<html>not data</html>")
     got = sorted((r.carrier, r.flight_num, r.arr_delay) for r in CSV.read_flights_zip(spark, str(z)).collect())
     assert got == [("AA", "1", 20), ("AA", "2", 20)]
+
+
+def test_each_member_is_a_task_of_its_own(spark, tmp_path):
+    """One archive of twelve members (two of one name) and an empty one: twelve tasks inflate, same rows."""
+    import zipfile
+
+    from pyspark.sql import functions as F
+    header = ",".join(ONTIME_COLUMNS)
+    row = {"Year": "2014", "Month": "6", "FlightDate": "2014-06-01", "UniqueCarrier": "AA", "Cancelled": "0.00"}
+    z = tmp_path / "zips"
+    z.mkdir()
+    names = [f"m{i:02d}.csv" for i in range(11)] + ["m00.csv"]
+    with zipfile.ZipFile(z / "year.zip", "w") as zf:
+        for i, name in enumerate(names):
+            zf.writestr(name, header + "\n" + (_line(dict(row, FlightNum=str(i))) + "\n") * (i + 1))
+        zf.writestr("notes.txt", "no data")
+    zipfile.ZipFile(z / "empty.zip", "w").close()
+    assert CSV.zip_members(spark, str(z)).count() == 12
+    lines = CSV.read_zip_lines(spark, str(z), spread=False)
+    tasks = lines.select(F.spark_partition_id().alias("task"), F.substring_index(F.substring_index("line", ",", 11), ",", -1).alias("f"))
+    per_task = tasks.groupBy("task").agg(F.countDistinct("f").alias("n")).collect()
+    assert len(per_task) == 12 and all(r.n == 1 for r in per_task)
+    got = CSV.read_flights_zip(spark, str(z), keep_archive=True).groupBy("archive", "flight_num").count().collect()
+    assert sorted((int(r.flight_num), r["count"]) for r in got) == [(i, i + 1) for i in range(12)]
+    assert all(r.archive.endswith("year.zip") for r in got)

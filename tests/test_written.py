@@ -120,8 +120,8 @@ def test_a_line_longer_than_a_block(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("a.csv", f"h\n{long}\nb\r\n\nlast")
     import pyarrow as pa
-    batch = pa.RecordBatch.from_arrays([pa.array([str(tmp_path / "a.zip")])], names=["path"])
-    got = [ln for b in CSV._unzip_lines(True, 64)([batch]) for ln in b.column("line").to_pylist()]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(tmp_path / "a.zip")]), pa.array([0])], names=["archive", "place"])
+    got = [ln for b in CSV._unzip_lines(CSV._opener(), True, 64)([batch]) for ln in b.column("line").to_pylist()]
     assert got == [long, "b", "last"] and io
 
 
