@@ -11,10 +11,15 @@ at once to those of k + 1 by their left extension; the interval of k words in wh
 lies is its other parent, the same phrase without its last word (:func:`levels`). So each phrase
 carries its count and the phrases that it extends to the right and to the left.
 
-Counts are summed across shards level by level. A phrase can only reach ``least`` if both of its parents
-do, so a shard reports the phrases of k + 1 words whose two parents may be frequent in the whole corpus.
-"May be": the frequent phrases of k words are broadcast as a Bloom filter of at most ``FILTER_BITS``
-bits. A false positive costs a row in the shuffle, and the sums that follow are exact.
+Counts are summed across shards level by level, and two summaries of at most ``FILTER_BITS`` bits keep out of
+the shuffle what can't become frequent:
+
+* a phrase can only reach ``least`` if both of its parents do: the frequent phrases of k words are
+  broadcast as a Bloom filter, and only phrases of k + 1 words with both parents in it are looked at;
+* their counts are first added up, in all shards, in one of about as many counters as the corpus has words (a
+  counter for many phrases); only phrases whose counter reaches ``least`` are reported with their words.
+
+Either can let a phrase pass that is not frequent, never the reverse, and the sums that follow are exact.
 
 Defined cases: a null text is empty, a null language counts as ``und``; repeated documents count as
 often as they occur; no length is too long (a piece longer than a shard makes a longer shard); ties
@@ -256,29 +261,98 @@ def frequent_filter(frequent: DataFrame, most_bits: int | None = None):
 
 # --- counts -----------------------------------------------------------------------------
 
-def _phrases(filters: list, k: int):
-    """Index rows -> (lang, phrase, count) of the phrases of k words whose parents may be frequent."""
+COUNTERS = 1 << 18          # counters a block
+
+
+def _counter(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The counter of each key (``bits`` is a power of two)."""
+    return ((keys * np.uint64(MIX[1])) >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
+def _last_levels(batches, filters: list, k: int):
+    """Index rows -> (lang, words, level k, keys of its phrases), with parents that may be frequent."""
+    bits = [taken(f) for f in filters]
+    for b in batches:
+        for at in range(b.num_rows):
+            lang, words = b.column("lang")[at].as_py(), b.column("words")[at].values
+            hashes = np.r_[np.uint64(0), _hashes(lang, words.to_pylist())]
+
+            def allowed(level, depth):
+                return _has(bits[depth - 1], _joined([hashes[w] for w in level.words]))
+
+            *_, last = levels(np.frombuffer(b.column("bwt")[at].as_py(), "<i4"), len(words), k, allowed)
+            if len(last.count):
+                yield lang, words, last, _joined([hashes[w] for w in last.words])
+
+
+def _added_counts(filters: list, k: int, bits: int):
+    """Index rows -> (block, at, n): the counts of a shard's phrases, by counter."""
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
-        bits = [taken(f) for f in filters]
+        for _, _, last, keys in _last_levels(batches, filters, k):
+            at, back = np.unique(_counter(keys, bits), return_inverse=True)
+            n = np.bincount(back, last.count).astype("<i8")
+            block = at // COUNTERS
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            ends = [*first[1:], len(at)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(block[first], pa.int32()),
+                pa.array([(at[a:z] % COUNTERS).astype("<i4").tobytes() for a, z in zip(first, ends)], pa.binary()),
+                pa.array([n[a:z].tobytes() for a, z in zip(first, ends)], pa.binary())], names=["block", "at", "n"])
+    return run
+
+
+def _full_counters(least: int):
+    """(block, at, n) in order of block -> (block, full): a bit for each counter that reaches ``least``."""
+    def run(batches):
+        import pyarrow as pa
+        held, counts = None, None
+
+        def bits():
+            return pa.RecordBatch.from_arrays([
+                pa.array([held], pa.int32()), pa.array([np.packbits(counts >= least, bitorder="little").tobytes()], pa.binary())],
+                names=["block", "full"])
+
         for b in batches:
-            for at in range(b.num_rows):
-                lang, words = b.column("lang")[at].as_py(), b.column("words")[at].values
-                hashes = np.r_[np.uint64(0), _hashes(lang, words.to_pylist())]
+            for block, at, n in zip(b.column("block").to_pylist(), b.column("at"), b.column("n")):
+                if block != held:
+                    if held is not None:
+                        yield bits()
+                    held, counts = block, np.zeros(COUNTERS, np.int64)
+                counts[np.frombuffer(at.as_py(), "<i4")] += np.frombuffer(n.as_py(), "<i8")     # no counter twice
+        if held is not None:
+            yield bits()
+    return run
 
-                def allowed(level, depth):
-                    return _has(bits[depth - 1], _joined([hashes[w] for w in level.words]))
 
-                *_, last = levels(np.frombuffer(b.column("bwt")[at].as_py(), "<i4"), len(words), k, allowed)
-                if not len(last.count):
-                    continue
-                for cut in range(0, len(last.count), 50_000):
-                    part = slice(cut, cut + 50_000)
-                    text = pc.binary_join_element_wise(*(words.take(pa.array(w[part] - 1)) for w in last.words), " ")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(text), pa.string()), text, pa.array(last.count[part], pa.int64())],
-                        names=["lang", "phrase", "count"])
+def full_counters(index: DataFrame, filters: list, k: int, least: int, bits: int):
+    """A broadcast bit for each of ``bits`` counters: whether the phrases of k words that share it have
+    ``least`` places together. A block of counters comes from every shard; the blocks are dealt out and
+    summed one at a time, and their bits (``bits`` / 8 bytes in all) come to the driver."""
+    counts = index.select("lang", "words", "bwt").mapInArrow(_added_counts(filters, k, bits), "block int, at binary, n binary")
+    full = (counts.repartition("block").sortWithinPartitions("block")
+            .mapInArrow(_full_counters(least), "block int, full binary").toArrow())
+    out = np.zeros(max(bits, COUNTERS) // 8, np.uint8)
+    for block, cells in zip(full.column("block").to_pylist(), full.column("full").to_pylist()):
+        out[block * (COUNTERS // 8):(block + 1) * (COUNTERS // 8)] = np.frombuffer(cells, np.uint8)
+    return share(index.sparkSession, out)
+
+
+def _phrases(filters: list, counters, k: int, bits: int):
+    """Index rows -> (lang, phrase, count) of the phrases of k words that may be frequent."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        full = taken(counters)
+        for lang, words, last, keys in _last_levels(batches, filters, k):
+            at = _counter(keys, bits)
+            keep = np.flatnonzero((full[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            for cut in range(0, len(keep), 50_000):
+                part = keep[cut:cut + 50_000]
+                text = pc.binary_join_element_wise(*(words.take(pa.array(w[part] - 1)) for w in last.words), " ")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(text), pa.string()), text, pa.array(last.count[part], pa.int64())],
+                    names=["lang", "phrase", "count"])
     return run
 
 
@@ -289,12 +363,16 @@ def frequent_phrases(index: DataFrame, least: int = LEAST, depth: int = DEPTH, m
         "lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("count"))
     totals = written(index.select("lang", F.expr("aggregate(counts, 0L, (s, c) -> s + c)").alias("n"))
                      .groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    n = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
+    bits = 1 << 10
+    while bits < min(n, most_bits or FILTER_BITS):
+        bits *= 2
     found, filters = None, []
     for k in range(1, depth + 1):
-        counts = words if k == 1 else index.select("lang", "words", "bwt").mapInArrow(
-            _phrases(filters, k), "lang string, phrase string, count long")
-        summed = counts.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-        with arrow_rows(index.sparkSession, 1):     # one shard at a time
+        with arrow_rows(index.sparkSession, 8):     # a few shards at a time
+            counts = words if k == 1 else index.select("lang", "words", "bwt").mapInArrow(
+                _phrases(filters, full_counters(index, filters, k, least, bits), k, bits), "lang string, phrase string, count long")
+            summed = counts.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
             here = written(summed.select("lang", "phrase", F.lit(k).alias("k"), "f"), f"phrases-{k}")
         found = here if found is None else found.unionByName(here)
         if k < depth:
