@@ -138,3 +138,34 @@ def direct_range(wh, start: dt.date, end: dt.date, level: str = "carrier",
     if extra is not None:
         g = g.unionByName(extra.select(*ids, *MEASURES))
     return g.groupBy(*ids).agg(*[F.expr(a) for a in _SUMS])
+
+
+def many_ranges(wh, requests: DataFrame, level: str = "carrier", start: str = "range_start", end: str = "range_end") -> DataFrame:
+    """Sums over many ranges at once: every row of ``requests`` (the level's ids, a start and an end date, any
+    other columns) with the measures of its half-open range, 0 where nothing flew or the range is empty.
+
+    Each range is taken apart into the days, months and years of its cover (at most 60 days, 22 months and
+    its years), which find their sums by one equality join on (ids, kind, first day of the period)."""
+    ids = LEVEL_IDS[level]
+    taken = {c.lower() for c in requests.columns}
+    if taken & {m.lower() for m in MEASURES}:
+        raise ValueError(f"requests may not have the columns {MEASURES}")
+    request = F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("__request")
+    # equal requests are answered once
+    asked = requests.groupBy(request).agg(F.count(F.lit(1)).alias("__times")).select("__request", "__times", "__request.*")
+    segs = asked.select("__request", "__times", *ids, F.inline_outer(cover_segments(F.col(start), F.col(end))))
+    periods = segs.select(
+        "__request", "__times", *ids, F.col("grain").alias("__kind"),
+        F.explode_outer(F.expr("""CASE grain
+            WHEN 'day' THEN sequence(seg_start, date_sub(seg_end, 1), INTERVAL 1 DAY)
+            WHEN 'month' THEN sequence(seg_start, add_months(seg_end, -1), INTERVAL 1 MONTH)
+            WHEN 'year' THEN sequence(seg_start, add_months(seg_end, -12), INTERVAL 1 YEAR) END""")).alias("__period"))
+    first = {"day": "flight_date", "month": "make_date(year, month, 1)", "year": "make_date(year, 1, 1)"}
+    sums = None
+    for kind, grain in LEVEL_GRAINS[level].items():
+        g = wh.groups(grain).selectExpr(*[f"{i} AS __{i}" for i in ids], f"'{kind}' AS __k", f"{first[kind]} AS __p", *MEASURES)
+        sums = g if sums is None else sums.unionByName(g)
+    same = [F.col(i) == F.col(f"__{i}") for i in ids] + [F.col("__kind") == F.col("__k"), F.col("__period") == F.col("__p")]
+    found = periods.join(sums, same, "left").groupBy("__request", "__times").agg(
+        *[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in MEASURES])
+    return found.select("__request.*", *MEASURES, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).drop("__n")

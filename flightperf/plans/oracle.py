@@ -7,6 +7,8 @@ rollups, no cover), so it checks the engine's plans rather than repeating them.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from flightperf.functions.dims import CARRIERS, CARRIER_CODES
 from flightperf.plans import queries as QS
 
@@ -256,6 +258,7 @@ def _more_sql(sql: dict[str, str]) -> dict[str, str]:
     """Written tables, exports, display order and chart payloads."""
     carrier_ord = "CASE rep.carrier " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CARRIER_CODES)) + " END"
     y0, y1 = QS.HOLIDAY_YEARS
+    r1 = QS.RANGE1
     holiday = _holiday_sql(
         f"SELECT carrier, range AS y FROM (SELECT DISTINCT carrier FROM classified WHERE {OP}), range({y0}, {y1 + 1})",
         [QS.HOLIDAY])
@@ -268,6 +271,20 @@ SELECT carrier, flight_num, CAST(flight_date AS VARCHAR) AS flight_date,
   CASE WHEN year = {QS.MERGE_YEAR} AND month = 6 THEN arr_delay + 1 ELSE arr_delay END AS arr_delay, arr_del15, cancelled,
   carrier_delay, weather_delay, nas_delay, security_delay, late_aircraft_delay FROM flights""",
         "key_range_read_text": sql["key_range_read"],
+        "many_ranges": PREFIX + CL + f""",
+r AS (SELECT carrier, min(flight_date) AS s, min(flight_date) + CAST(any_value(month * month * 10 - 15) AS INTEGER) AS e
+  FROM cl WHERE {OP} GROUP BY carrier, year, month)
+SELECT r.carrier, CAST(s AS VARCHAR) AS range_start, CAST(e AS VARCHAR) AS range_end,
+  {", ".join(f"CAST(coalesce(sum(CASE WHEN {DEL} THEN {f} ELSE 0 END), 0) AS BIGINT) AS {c}" for f, c in FLAG_COUNTER)},
+  CAST(count(CASE WHEN {DEL} THEN 1 END) AS BIGINT) AS delayed_flights, CAST(count(cl.carrier) AS BIGINT) AS num_flights
+FROM r LEFT JOIN cl ON cl.carrier = r.carrier AND flight_date >= s AND flight_date < e AND {OP} GROUP BY r.carrier, s, e""",
+        "match_bucketed": PREFIX + DIRTY + f"""
+SELECT carrier, fd AS flight_date, {sums_cond()}, CAST(count(carrier) AS BIGINT) AS num_flights
+FROM cl WHERE {OP} GROUP BY carrier, fd""",
+        "key_bloom_read": PREFIX + CL + f"""
+SELECT * FROM ({rollup_body("count", "flight_date")}) x WHERE key >= '{QS.CARRIER}_{QS.FLIGHT}_{r1[0]}'
+  AND key < '{QS.CARRIER}_{QS.FLIGHT}_{r1[0] + dt.timedelta(days=7)}'""",
+        **{f"running_{name}": sql[name] for name in ("report_category_all", "report_flight_all", "report_airline")},
         "merge_by_key": PREFIX + CL + f""",
 first AS ({rollup_body("count", "flight_year", f"year <= {QS.MERGE_YEAR}")}),
 later AS ({rollup_body("count", "flight_year", f"year >= {QS.MERGE_YEAR} AND day_of_month <= 15")})

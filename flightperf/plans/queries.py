@@ -24,6 +24,7 @@ from flightperf.operators import reshape as RS
 from flightperf.operators import rollups as R
 from flightperf.plans import cover as CV
 from flightperf.plans import reports as Q
+from flightperf.plans.running import RunningTotals
 from flightperf.plans.warehouse import Warehouse, add_flights, build_all, export_tables, table_row_counts
 from flightperf.session import scratch_path
 from flightperf.sources import csv as CSV
@@ -48,6 +49,7 @@ RANGE1 = (dt.date(1996, 3, 15), dt.date(1999, 11, 20))
 RANGE2 = (dt.date(1995, 11, 5), dt.date(1996, 2, 3))
 SEASON_YEAR = 1997
 MERGE_YEAR = 1996
+MATCH_BUCKETS = 16
 HOLIDAY = "Christmas"
 HOLIDAY_YEARS = (1995, 2001)
 POINT_KEYS = [f"{CARRIER}_{FLIGHT}_{SEASON_YEAR}_{q}" for q in range(1, 5)]
@@ -169,6 +171,15 @@ def q_key_range_read_text(spark, sf_dir):
     return text_dates(table.read_range(start, stop).select("key", "carrier", "flight_date", "num_flights"))
 
 
+def q_key_bloom_read(spark, sf_dir):
+    """A week of one flight from daily flight counts that lie in date order: Bloom filters on the key tell which row
+    groups can hold it."""
+    path = scratch_path(spark, "flight-date-fcount")
+    S.write_table(_wh(spark, sf_dir).count("flight_date"), path, order_by=["flight_date"], bloom={"key": 100_000})
+    keys = [f"{CARRIER}_{FLIGHT}_{RANGE1[0] + dt.timedelta(days=i)}" for i in range(7)]
+    return text_dates(S.read_table(spark, path).where(F.col("key").isin(keys)))
+
+
 def q_merge_by_key(spark, sf_dir):
     """A keyed table written for the years up to MERGE_YEAR, then merged with counts of the days up to the 15th
     from that year on: keys in both have their newest row, all others stay."""
@@ -324,6 +335,15 @@ def q_union_segments(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+def q_many_ranges(spark, sf_dir):
+    """Some thousand ranges taken from the data, answered together: one a carrier and month, from its first flight
+    day on and longer with every month of the year."""
+    op = C.filter_operated(flights(spark, sf_dir))
+    asked = op.groupBy("carrier", "year", "month").agg(F.min("flight_date").alias("range_start")).select(
+        "carrier", "range_start", F.expr("date_add(range_start, month * month * 10 - 15)").alias("range_end"))
+    return text_dates(CV.many_ranges(_wh(spark, sf_dir), asked))
+
+
 def q_range_delay_totals(spark, sf_dir):
     s, e = RANGE1
     d = _wh(spark, sf_dir).delay("date").where((F.col("flight_date") >= F.lit(s)) & (F.col("flight_date") < F.lit(e)))
@@ -361,6 +381,15 @@ def q_join_delay_count_null(spark, sf_dir):
     return text_dates(J.join_delay_count(wh.count("date"), wh.delay("date"), ["carrier", "flight_date"]))
 
 
+def q_match_bucketed(spark, sf_dir):
+    """The same match on two written tables with equal buckets: no shuffle below the join."""
+    wh = Warehouse.from_flights(dirty_flights(spark, sf_dir))
+    path = scratch_path(spark, "families")
+    name = "families_" + path.rsplit("-", 1)[1]
+    J.write_families(wh.count("date"), wh.delay("date"), name, path, buckets=MATCH_BUCKETS)
+    return text_dates(J.match_families(spark, name, ["carrier", "flight_date"]))
+
+
 def q_join_carrier_name(spark, sf_dir):
     per_carrier = _wh(spark, sf_dir).grain("year").groupBy("carrier").agg(
         F.sum("num_flights").cast("long").alias("num_flights"))
@@ -512,6 +541,21 @@ BUILT_REPORTS = {
     "built_report_holiday_all": _built_report(lambda wh: Q.delay_holiday(wh, None, None, None)),
 }
 
+def _running_report(report) -> Callable[[SparkSession, str], DataFrame]:
+    """A report whose range is read as the difference of two written running totals."""
+    def run(spark, sf_dir):
+        wh = _wh(spark, sf_dir)
+        wh.running = RunningTotals.write(wh, scratch_path(spark, "running"))
+        return report(wh)
+    return run
+
+
+RUNNING_REPORTS = {
+    "running_report_category_all": _running_report(lambda wh: Q.delay_category(wh, None, *RANGE1)),
+    "running_report_flight_all": _running_report(lambda wh: Q.flight_delay(wh, None, None, *RANGE1)),
+    "running_report_airline": _running_report(lambda wh: Q.airline_delays(wh, *RANGE1)),
+}
+
 ROLLUP_GRAINS = ["date", "year", "month", "flight_date", "flight_year", "flight_month", "flight_quarter",
                  "year_month", "flight_year_month"]
 
@@ -584,6 +628,10 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "payload_holiday": q_payload_holiday,
         "payload_season": q_payload_season,
         "payload_airline": q_payload_airline,
+        "many_ranges": q_many_ranges,
+        "match_bucketed": q_match_bucketed,
+        "key_bloom_read": q_key_bloom_read,
         **BUILT_REPORTS,
+        **RUNNING_REPORTS,
     })
     return q

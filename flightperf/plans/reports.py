@@ -66,7 +66,8 @@ def _key_filter(carrier: str | None, flight_num: str | None = None) -> Column |
 def range_totals(wh, start, end, level: str = "carrier", carrier: str | None = None,
                  flight_num: str | None = None, use_cover: bool | None = None,
                  ensure_key: bool = False) -> DataFrame:
-    """Per-key measure sums over [start, end). Reads through the cover when the warehouse
+    """Per-key measure sums over [start, end). Read as the difference of two running totals when the
+    warehouse has them (``wh.running``), else through the cover when the warehouse
     is materialized (coarse tables hold fewer rows); a lazy warehouse is summed from its
     daily grain directly since every grain would be derived from the same scan anyway.
 
@@ -74,13 +75,14 @@ def range_totals(wh, start, end, level: str = "carrier", carrier: str | None = N
     joins the union before the one aggregation, so no second shuffle)."""
     kf = _key_filter(carrier, flight_num)
     cover = wh.materialized if use_cover is None else use_cover
-    fn = union_segments if cover else direct_range
     extra = None
     if ensure_key:
         ids = LEVEL_IDS[level]
         values = [carrier] + ([str(flight_num)] if level == "flight" else [])
         extra = _zero_row(wh.grain(LEVEL_GRAINS[level]["day"]).sparkSession, ids, values)
-    return fn(wh, start, end, level, kf, extra)
+    if use_cover is None and wh.running is not None:
+        return wh.running.range_totals(start, end, level, kf, extra)
+    return (union_segments if cover else direct_range)(wh, start, end, level, kf, extra)
 
 
 def _zero_row(spark, ids: list[str], values: list) -> DataFrame:

@@ -63,6 +63,7 @@ class Warehouse:
         self._factory = factory
         self._grains: dict[str, DataFrame] = {}
         self.path = path
+        self.running = None      # plans.running.RunningTotals, if written
 
     @property
     def materialized(self) -> bool:

@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, order_by: list[str] | None = None,
+                bloom: dict[str, int] | None = None) -> None:
     """Overwrite semantics: a re-run replaces the table, equal keys keep one row.
-    Rows with a NULL key are dropped (a keyed store cannot hold them)."""
+    Rows with a NULL key are dropped (a keyed store cannot hold them).
+
+    Files are in key order unless ``order_by`` says otherwise. ``bloom`` names columns (with the distinct
+    values expected in a row group) that get a Bloom filter: an equality on a column that the file is not
+    ordered by, such as the flight keys of a table ordered by date, then skips row groups that cannot hold it."""
     out = df.where(df["key"].isNotNull()) if "key" in df.columns else df
     lead = list(partition_by or [])
-    order = lead + [c for c in ("key",) if c in out.columns]
+    order = lead + (order_by or [c for c in ("key",) if c in out.columns])
     if lead:
         out = out.hint("rebalance", *lead)      # files by data size, not tasks x partitions
     if order:
         out = out.sortWithinPartitions(*order)  # keys in order inside each file
     w = out.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    for column, distinct in (bloom or {}).items():
+        w = (w.option(f"parquet.bloom.filter.enabled#{column}", "true")
+             .option(f"parquet.bloom.filter.expected.ndv#{column}", str(distinct)))
     if lead:
         w = w.partitionBy(*lead)
     w.parquet(path)
