@@ -261,7 +261,7 @@ def frequent_filter(frequent: DataFrame, most_bits: int | None = None):
 
 # --- counts -----------------------------------------------------------------------------
 
-COUNTERS = 1 << 18          # counters a block
+BLOCKS = 64                 # parts that the counters are summed in
 
 
 def _counter(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -292,17 +292,17 @@ def _added_counts(filters: list, k: int, bits: int):
         for _, _, last, keys in _last_levels(batches, filters, k):
             at, back = np.unique(_counter(keys, bits), return_inverse=True)
             n = np.bincount(back, last.count).astype("<i8")
-            block = at // COUNTERS
+            block = at // (bits // BLOCKS)
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             ends = [*first[1:], len(at)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(block[first], pa.int32()),
-                pa.array([(at[a:z] % COUNTERS).astype("<i4").tobytes() for a, z in zip(first, ends)], pa.binary()),
+                pa.array([(at[a:z] % (bits // BLOCKS)).astype("<i4").tobytes() for a, z in zip(first, ends)], pa.binary()),
                 pa.array([n[a:z].tobytes() for a, z in zip(first, ends)], pa.binary())], names=["block", "at", "n"])
     return run
 
 
-def _full_counters(least: int):
+def _full_counters(least: int, counters: int):
     """(block, at, n) in order of block -> (block, full): a bit for each counter that reaches ``least``."""
     def run(batches):
         import pyarrow as pa
@@ -318,7 +318,7 @@ def _full_counters(least: int):
                 if block != held:
                     if held is not None:
                         yield bits()
-                    held, counts = block, np.zeros(COUNTERS, np.int64)
+                    held, counts = block, np.zeros(counters, np.int64)
                 counts[np.frombuffer(at.as_py(), "<i4")] += np.frombuffer(n.as_py(), "<i8")     # no counter twice
         if held is not None:
             yield bits()
@@ -327,14 +327,14 @@ def _full_counters(least: int):
 
 def full_counters(index: DataFrame, filters: list, k: int, least: int, bits: int):
     """A broadcast bit for each of ``bits`` counters: whether the phrases of k words that share it have
-    ``least`` places together. A block of counters comes from every shard; the blocks are dealt out and
+    ``least`` places together. Every shard has a row for each of BLOCKS blocks; the blocks are dealt out and
     summed one at a time, and their bits (``bits`` / 8 bytes in all) come to the driver."""
     counts = index.select("lang", "words", "bwt").mapInArrow(_added_counts(filters, k, bits), "block int, at binary, n binary")
     full = (counts.repartition("block").sortWithinPartitions("block")
-            .mapInArrow(_full_counters(least), "block int, full binary").toArrow())
-    out = np.zeros(max(bits, COUNTERS) // 8, np.uint8)
+            .mapInArrow(_full_counters(least, bits // BLOCKS), "block int, full binary").toArrow())
+    out, size = np.zeros(bits // 8, np.uint8), bits // BLOCKS // 8
     for block, cells in zip(full.column("block").to_pylist(), full.column("full").to_pylist()):
-        out[block * (COUNTERS // 8):(block + 1) * (COUNTERS // 8)] = np.frombuffer(cells, np.uint8)
+        out[block * size:(block + 1) * size] = np.frombuffer(cells, np.uint8)
     return share(index.sparkSession, out)
 
 

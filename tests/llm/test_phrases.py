@@ -89,7 +89,7 @@ def corpus():
     return rows + [("en", None), (None, ""), ("de", " .,\n"), ("es", "solo")] + [("en", "copy of the same line. ") for _ in range(9)]
 
 
-@pytest.mark.parametrize("shard_bytes,bits", [(300, 1 << 28), (1 << 20, 64)])
+@pytest.mark.parametrize("shard_bytes,bits", [(300, 1 << 28), (1 << 20, 1 << 10)])
 def test_ranked_phrases(spark, corpus, shard_bytes, bits):
     """Many small shards; and a filter of so few bits that it lets everything pass."""
     df = spark.createDataFrame([(i, t, g, 1, "x") for i, (g, t) in enumerate(corpus)],
