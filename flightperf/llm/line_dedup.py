@@ -34,7 +34,7 @@ def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: in
                          F.col(host).isNull().alias("no_host"), "text")
     keyed = keyed.select(F.struct("no_host", "host_key").alias("host_key"), "text")
     lines = keyed.select("host_key", F.explode(F.expr(
-        "array_distinct(transform(filter(split(text, '\\n'), l -> trim(l) <> ''), l -> " + _DIGEST + "))")).alias("line"))
+        "transform(array_distinct(transform(filter(split(text, '\\n'), l -> trim(l) <> ''), l -> trim(l))), l -> " + _DIGEST + ")")).alias("line"))
     counts = lines.groupBy("host_key", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = keyed.groupBy("host_key").agg(F.count("*").alias("pages"))
     return (counts.join(totals, "host_key").where(F.col("n") > F.lit(ratio) * F.col("pages"))
@@ -43,7 +43,8 @@ def boilerplate(pages: DataFrame, host: str, ratio: float = RATIO, min_pages: in
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATIO,
                      min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
-    """``pages`` with boilerplate lines taken out of ``text``; with ``counts``, n_lines and n_dropped follow."""
+    """``pages`` with boilerplate lines taken out of ``text``; with ``counts``, n_lines and n_dropped follow (with
+    an underscore more where ``pages`` has such a column)."""
     found = written(boilerplate(pages, host, ratio, min_pages), "boilerplate")
     lines, mine, kept = (fresh(pages, c) for c in ("boilerplate_lines", "page_lines", "kept_lines"))
     key = F.struct(F.col(host).isNull().alias("no_host"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host_key"))
@@ -55,8 +56,8 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", ratio: float = RATI
     out = split.withColumn(kept, kept_lines)
     columns = [F.array_join(kept, "\n").alias("text") if c == "text" else F.col(f"`{c}`") for c in pages.columns]
     if counts:
-        columns += [F.coalesce(F.size(mine), F.lit(0)).alias("n_lines"),
-                    F.coalesce(F.size(mine) - F.size(kept), F.lit(0)).alias("n_dropped")]
+        columns += [F.coalesce(F.size(mine), F.lit(0)).alias(fresh(pages, "n_lines")),
+                    F.coalesce(F.size(mine) - F.size(kept), F.lit(0)).alias(fresh(pages, "n_dropped"))]
     return out.select(*columns)
 
 

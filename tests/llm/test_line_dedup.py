@@ -47,3 +47,18 @@ def test_hot_host_and_one_line_everywhere(spark):
                                     F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("source"))
     got = L.drop_boilerplate(docs).collect()
     assert len(got) == 4000 and all(r["text"] == f"line {r['doc_id']}" for r in got)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"menu\nown {i}", "a", 7, "x") for i in range(40)],
+                                 "doc_id long, text string, source string, n_lines int, N_Dropped string")
+    got = L.drop_boilerplate(docs, counts=True)
+    assert got.columns == [*docs.columns, "n_lines_", "n_dropped_"]
+    assert {(r.n_lines, r.N_Dropped, r.n_lines_, r.n_dropped_) for r in got.collect()} == {(7, "x", 2, 1)}
+
+
+def test_a_very_long_text(spark):
+    long = "\n".join(["menu"] + [f"line {i}" for i in range(300_000)])
+    docs = spark.createDataFrame([(0, long, "a")] + [(i, f"menu\nown {i}", "a") for i in range(1, 40)], "doc_id long, text string, source string")
+    got = L.drop_boilerplate(docs, counts=True).where("doc_id = 0").first()
+    assert (got.n_lines, got.n_dropped) == (300_001, 1) and got.text == long[5:]
