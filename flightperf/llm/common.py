@@ -18,6 +18,14 @@ from flightperf.session import scratch_path
 BATCH_ROWS = 512
 
 
+def few_rows_a_batch(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on jobs of this session hand at most so many rows to Python at once. Spark's default of
+    10,000 rows takes some 100 MB outside the heap for each task that reads texts of a few KB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -71,10 +79,13 @@ def fold_column(col: str, folds: int) -> Column:
 
 
 def per_process(name: str, make):
-    """An object kept for the life of this Python worker (task code travels by value, so module
-    globals would be rebuilt for every task)."""
+    """An object kept in this Python worker until another one is asked for (task code travels by
+    value, so module globals would be rebuilt for every task). One at a time: a worker lives through
+    many stages, and their models would add up."""
     held = sys.modules.setdefault("_flightperf_llm_held", types.ModuleType("_flightperf_llm_held"))
     if not hasattr(held, name):
+        for other in [x for x in vars(held) if not x.startswith("__")]:
+            delattr(held, other)
         setattr(held, name, make())
     return getattr(held, name)
 

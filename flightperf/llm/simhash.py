@@ -277,8 +277,8 @@ def components(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_
 def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id (null ids last; of several rows
     with that id, the one with the smallest row digest)."""
-    digest = fresh(docs, "row_digest")
-    keyed = docs.withColumn(digest, rows_digest(docs))
+    digest, name = fresh(docs, "row_digest"), fresh(docs, "row_id")
+    keyed = docs.withColumn(digest, rows_digest(docs)).withColumn(name, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = written(with_fingerprint(keyed.select(
         "doc_id", F.col(digest).alias("digest"), text_bytes().alias("bytes")), width), "simhash-rows")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low_id"),
@@ -287,8 +287,8 @@ def keep_one(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     roots = stars(links(nodes, max_bits))
     kept = (nodes.join(roots, nodes.fp == roots.node, "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first_row").alias("r"))
-            .select(F.col("r.doc_id").alias("kept_id"), F.col("r.digest").alias("kept_digest")))
+            .select(F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")).alias(name), F.col("r.digest").alias(digest)))
     kept = written(kept, "simhash-kept")
-    out = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["kept_id"]) & (keyed[digest] == kept["kept_digest"]),
-                     "left_semi")
-    return out.dropDuplicates(["doc_id", digest]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # texts move once: the rows lie by the joined columns, which are those that tell repeated rows
+    out = keyed.join(kept, [name, digest], "left_semi")
+    return out.dropDuplicates([name, digest]).select(*[F.col(f"`{c}`") for c in docs.columns])

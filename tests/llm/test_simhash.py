@@ -102,3 +102,14 @@ def test_large_group_of_copies_is_one_component(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one text that all rows share with each other").alias("text"))
     assert S.components(docs).select("component_id").distinct().count() == 1
     assert [r["doc_id"] for r in S.keep_one(docs).collect()] == [0]
+
+
+def test_keep_one_moves_texts_once(spark, edge_docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.keep_one(edge_docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = plan.splitlines()
+    assert sum("Exchange" in ln for ln in moved) == 2          # the documents and the kept keys
