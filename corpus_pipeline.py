@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from flightperf.llm import decontam, line_dedup, pieces, quality, simhash
-from flightperf.llm.common import documents, written
+from flightperf.llm.common import documents, few_rows_a_batch, written
 from flightperf.llm.queries import tokenizer_path
 
 PIECES = "piece_bpe_32k.model"
@@ -18,6 +18,7 @@ PIECES = "piece_bpe_32k.model"
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps."""
+    few_rows_a_batch(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep_good(docs, quality.train(docs, labels))
 
@@ -29,6 +30,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the smallest doc_id."""
+    few_rows_a_batch(spark)
     return simhash.keep_one(docs)
 
 
@@ -39,6 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids, score and decoded text of every document that is left."""
+    few_rows_a_batch(spark)
     return pieces.encode_and_decode(docs, tokenizer_path(PIECES), ("doc_id", "lang", "source"))
 
 
