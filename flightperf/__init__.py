@@ -16,9 +16,9 @@ Typical use::
 """
 
 from flightperf.plans import reports
-from flightperf.plans.warehouse import Warehouse, build_all, export_tables
+from flightperf.plans.warehouse import Warehouse, add_flights, build_all, export_tables
 from flightperf.session import cluster_conf, get_session, scratch_path
 from flightperf.sources.csv import read_flights_csv, read_flights_dir, read_flights_zip
 
-__all__ = ["Warehouse", "build_all", "cluster_conf", "export_tables", "get_session", "read_flights_csv",
+__all__ = ["Warehouse", "add_flights", "build_all", "cluster_conf", "export_tables", "get_session", "read_flights_csv",
            "read_flights_dir", "read_flights_zip", "reports", "scratch_path"]

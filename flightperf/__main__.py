@@ -1,6 +1,7 @@
-"""Command line: build the warehouse, run a report, export tables.
+"""Command line: build the warehouse, add a delivery to it, run a report, export tables.
 
   python -m flightperf build  --input PATH [--format csv|dir|zip] [--header] --warehouse PATH
+  python -m flightperf add    --input PATH [--format csv|dir|zip] [--header] --warehouse PATH   (new flights only)
   python -m flightperf report NAME --warehouse PATH [--carrier AA] [--flight 2] [--from D] [--to D]
                               [--year Y] [--holiday H] [--years FIRST-LAST] [--labels calendar|as_observed] [--out PATH]
   python -m flightperf export --warehouse PATH --out PATH [--tables a,b] [--format tsv|parquet]
@@ -17,7 +18,7 @@ import argparse
 import sys
 
 from flightperf.plans import reports as Q
-from flightperf.plans.warehouse import Warehouse, build_all, export_tables
+from flightperf.plans.warehouse import Warehouse, add_flights, build_all, export_tables
 from flightperf.session import get_session
 from flightperf.sources import csv as CSV
 
@@ -25,11 +26,12 @@ from flightperf.sources import csv as CSV
 def _args(argv):
     p = argparse.ArgumentParser(prog="flightperf")
     sub = p.add_subparsers(dest="cmd", required=True)
-    b = sub.add_parser("build")
-    b.add_argument("--input", required=True)
-    b.add_argument("--format", choices=["csv", "dir", "zip"], default="dir")
-    b.add_argument("--header", action="store_true")
-    b.add_argument("--warehouse", required=True)
+    b, n = sub.add_parser("build"), sub.add_parser("add")
+    for sp in (b, n):
+        sp.add_argument("--input", required=True)
+        sp.add_argument("--format", choices=["csv", "dir", "zip"], default="dir")
+        sp.add_argument("--header", action="store_true")
+        sp.add_argument("--warehouse", required=True)
     r = sub.add_parser("report")
     r.add_argument("name", choices=sorted(Q.REPORTS))
     r.add_argument("--warehouse", required=True)
@@ -48,7 +50,7 @@ def _args(argv):
     e.add_argument("--out", required=True)
     e.add_argument("--tables")
     e.add_argument("--format", choices=["tsv", "parquet"], default="tsv")
-    for sp in (b, r, e):
+    for sp in (b, n, r, e):
         sp.add_argument("--master", help="only for local runs, e.g. local[8]")
     return p.parse_args(argv)
 
@@ -72,14 +74,14 @@ def _report(wh, a):
 def main(argv=None) -> int:
     a = _args(argv if argv is not None else sys.argv[1:])
     spark = get_session(a.master)
-    if a.cmd == "build":
+    if a.cmd in ("build", "add"):
         if a.format == "zip":
             flights = CSV.read_flights_zip(spark, a.input, header=a.header)
         elif a.format == "dir":
             flights = CSV.read_flights_dir(spark, a.input, header=a.header)
         else:
             flights = CSV.read_flights_csv(spark, a.input, header=a.header)
-        build_all(flights, a.warehouse)
+        (build_all if a.cmd == "build" else add_flights)(flights, a.warehouse)
         print(f"warehouse written to {a.warehouse}")
     elif a.cmd == "report":
         if bool(a.start) != bool(a.end):

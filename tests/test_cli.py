@@ -29,3 +29,14 @@ def test_build_report_export(spark, capsys):
     assert sorted(os.listdir(local)) == ["date_fcount", "delay_month_count"]
     back = spark.read.option("sep", "\t").csv(f"{exp}/date_fcount")
     assert back.count() == wh.count("date").count()
+
+
+def test_add_a_delivery(spark, capsys):
+    f = flights(spark, SF001)
+    old, new, wh_path = (scratch_path(spark, "cli-add") for _ in range(3))
+    CSV.write_ontime_csv(f.where("year < 1998"), old, header=True)
+    CSV.write_ontime_csv(f.where("year >= 1998"), new, header=True)
+    main(["build", "--input", old, "--header", "--warehouse", wh_path])
+    main(["add", "--input", new, "--header", "--warehouse", wh_path])
+    got, want = Warehouse.load(spark, wh_path).count("year"), Warehouse.from_flights(f).count("year")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
