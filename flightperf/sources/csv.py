@@ -184,13 +184,15 @@ def read_flights_zip(spark: SparkSession, path, header: bool = True, spread: boo
 
 # --- writing on-time text (fixtures, export) ----------------------------------------
 
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
+
 def _num_text_sql(c: str) -> str:
     """Numbers as the published files write them: ``20.00``, ``-5.00``, empty for NULL."""
     return f"CASE WHEN {c} IS NULL THEN CAST(NULL AS STRING) ELSE format_string('%.2f', CAST({c} AS DOUBLE)) END"
 
 
-def to_ontime_text(flights: DataFrame) -> DataFrame:
-    """Flights (working columns) -> the 109 text columns of an on-time file."""
+def to_ontime_text(flights: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Flights (working columns) -> the 109 text columns of an on-time file. Columns to ``keep`` come last."""
     plain_ints = {"Year", "Quarter", "Month", "DayofMonth", "DayOfWeek"}
     fixed = {
         "Carrier": "carrier",
@@ -209,18 +211,27 @@ def to_ontime_text(flights: DataFrame) -> DataFrame:
         else:
             e = f"CAST({dst} AS STRING)"
         cols.append(f"{e} AS `{c}`")
-    return flights.selectExpr(*cols)
+    return flights.selectExpr(*cols, *keep)
+
+
+def _to_write(flights: DataFrame, partition_col: str | None) -> DataFrame:
+    """The text of ``flights``, dealt as it is to be written.
+
+    The 109 text columns only exist in the task that writes them. For a folder a month, rows are dealt to months
+    and sorted as working columns, and the month is never null (rows of no date go to Hive's default
+    partition), so that the writer takes this order and doesn't sort the text."""
+    if not partition_col:
+        return to_ontime_text(flights)
+    # AQE rebalance sizes the files (a big month is split, small ones are not scattered over every task)
+    month = f"coalesce(substring({X.date_text_sql('flight_date')}, 1, 7), '{NO_MONTH}') AS _part"
+    dealt = flights.selectExpr("*", month).hint("rebalance", "_part").sortWithinPartitions("_part")
+    return to_ontime_text(dealt, ("_part",))
 
 
 def write_ontime_csv(flights: DataFrame, path: str, header: bool = False,
                      partition_col: str | None = None, max_records_per_file: int = 0) -> None:
-    text = to_ontime_text(flights)
-    w = text if partition_col else text.hint("rebalance")
-    if partition_col:
-        # one folder per month; AQE rebalance sizes the files (a big month is split, small
-        # ones are not scattered over every task)
-        w = text.selectExpr("*", "substring(FlightDate, 1, 7) AS _part").hint("rebalance", "_part")
-    writer = (w.write.mode("overwrite").options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"})
+    text = _to_write(flights, partition_col)
+    writer = (text.write.mode("overwrite").options(**{k: v for k, v in CSV_OPTIONS.items() if k != "mode"})
               .option("header", header).option("quoteAll", False).option("emptyValue", ""))
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from flightperf.functions import exprs as X
 from flightperf.session import scratch_path
 from flightperf.sources import csv as CSV
@@ -64,6 +66,25 @@ def test_roundtrips_match_flights(spark):
     assert _rows(CSV.read_flights_zip(spark, p5, header=True)) == want
 
 
+def test_written_text_is_not_shuffled(spark):
+    f = flights(spark, SF001)
+    plan = CSV._to_write(f, None)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Rebalance" not in plan and "AS FlightDate#" in plan
+    plan = CSV._to_write(f, "month")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("AS FlightDate#") < plan.index("Sort [_part") < plan.index("RebalancePartitions")   # text comes last
+
+
+def test_rows_of_no_date_are_written(spark):
+    f = flights(spark, SF001).limit(40).withColumn(
+        "flight_date", F.when(F.col("flight_num") != "1", F.col("flight_date"))).unionByName(
+        flights(spark, SF001).limit(3).withColumn("flight_date", F.lit(None).cast("date"))).localCheckpoint()
+    path = scratch_path(spark, "t-no-date")
+    CSV.write_ontime_csv(f, path, partition_col="month")
+    assert _rows(CSV.read_flights_dir(spark, path)) == _rows(f)
+    parts = {r._part for r in spark.read.text(path).select(F.col("_part").cast("string")).distinct().collect()}
+    assert None in parts and len(parts) > 1
+
+
 def test_zip_reader_has_no_python_in_parse(spark):
     p4, p5 = scratch_path(spark, "t-unz2"), scratch_path(spark, "t-zip2")
     CSV.write_ontime_csv(flights(spark, SF001).limit(50), p4, header=True)
