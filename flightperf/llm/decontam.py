@@ -59,7 +59,8 @@ START = "\ue003"                # before a word that is a name in the second rea
 _LETTER = r"[\p{L}\p{M}]"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _TOKEN = rf"{_NUMBER}|{_LETTER}+|[{NUM}-{NAME}]"
-_NAMES = r"(?<=[\p{L}\p{M}0-9,][ \t])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
+# (the look-ahead comes first: most characters fail there)
+_NAMES = r"(?=\p{Lu})(?<=[\p{L}\p{M}0-9,][ \t])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
 _STARTS = (rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}0-9])(?!(?i:{'|'.join(STARTERS.split())})(?!{_LETTER}))"
            rf"\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?!{_LETTER})")
 _UNITS = rf"{NUM}( *){START}?(?:{'|'.join(UNITS.split())})(?!{_LETTER})"
@@ -68,12 +69,15 @@ _UNITS = rf"{NUM}( *){START}?(?:{'|'.join(UNITS.split())})(?!{_LETTER})"
 def marked(text: str):
     """Column of template tokens of a text column (null or empty: no tokens); START stands before
     the words that are names in the second reading only."""
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), START, "\ue004")
-    t = F.regexp_replace(F.regexp_replace(t, _NAMES, NAME), _STARTS, f"{START}$0")
-    t = F.regexp_replace(F.lower(t), _NUMBER, NUM)
-    t = F.regexp_replace(t, _UNITS, f"{NUM}$1{UNIT}")
-    t = F.regexp_replace(t, rf"([{NUM}-{NAME}])", " $1 ")
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{M}}{NUM}-{START}]+"), lambda w: w != "")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    t = F.replace(whole, F.lit(START), F.lit("\ue004"))
+    t = F.regexp_replace(F.regexp_replace(t, _NAMES, f"{NAME} "), _STARTS, f"{START}$0")
+    t = F.regexp_replace(F.lower(t), _NUMBER, f" {NUM} ")
+    t = F.regexp_replace(t, _UNITS, f"{NUM} {UNIT} ")
+    # placeholders stand apart as they are put in; those that the text has itself do not
+    own = F.contains(whole, F.lit(NUM)) | F.contains(whole, F.lit(UNIT)) | F.contains(whole, F.lit(NAME))
+    t = F.when(own, F.regexp_replace(t, rf"([{NUM}-{NAME}])", " $1 ")).otherwise(t)
+    return F.filter(F.split(t, rf"[^a-z\p{{L}}\p{{M}}{NUM}-{START}]+"), lambda w: w != "")
 
 
 def template(text: str):
@@ -108,21 +112,23 @@ def windows(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` without ``tpl``, ``named`` (the two readings) and ``text``, one row a window: its place
     (from 0), hash and reading (``second``; windows that both readings share are of the first alone).
     Windows of placeholders alone are hashed by their slot values."""
+    # each token is hashed once, a window from the hashes of its tokens
     def hashed(tokens, i, bare):
-        plain = f"xxhash64(slice({tokens}, {i} + 1, {width}))"
+        plain = f"xxhash64({', '.join(f'{tokens}_hash[{i} + {k}]' for k in range(width))})"
         return f"if({_bare(tokens, i, width)}, xxhash64(slice(raw, {i} + 1, {width}), true), {plain})" if bare else plain
 
     def both(bare):
         # windows of the second reading: those over a word that it reads otherwise
-        other = (f"array_distinct(flatten(transform(filter(sequence(0, size(tpl) - 1), p -> tpl[p] <> named[p]), "
+        other = (f"array_distinct(flatten(transform(filter(sequence(0, size(tpl) - 1), p -> tpl_hash[p] <> named_hash[p]), "
                  f"p -> sequence(greatest(0, p - {width - 1}), least(p, size(tpl) - {width})))))")
         return f"""concat(
             transform(sequence(0, size(tpl) - {width}), i -> struct(i AS at, {hashed('tpl', 'i', bare)} AS window, false AS second)),
             transform({other}, i -> struct(i AS at, {hashed('named', 'i', bare)} AS window, true AS second)))"""
+    rows = rows.withColumns({f"{c}_hash": F.transform(c, lambda w: F.xxhash64(w)) for c in ("tpl", "named")})
     some_bare = F.concat(F.array_join("named", " "), F.lit(" ")).rlike(f"(?:[{NUM}-{NAME}] ){{{width}}}")
     rows = rows.withColumn("raw", F.when(some_bare, raw_tokens("text")))
     found = F.expr(f"CASE WHEN size(tpl) < {width} THEN array() WHEN raw IS NULL THEN {both(False)} ELSE {both(True)} END")
-    return rows.select(*[c for c in rows.columns if c not in ("tpl", "named", "text", "raw")], F.inline(found))
+    return rows.select(*[c for c in rows.columns if c not in ("tpl", "named", "text", "raw", "tpl_hash", "named_hash")], F.inline(found))
 
 
 def _items(benchmark: DataFrame, width: int) -> DataFrame:

@@ -109,3 +109,21 @@ def test_scattered_windows_do_not_add_up(spark, table):
     scattered = f" {filler} ".join(" ".join(words[i:i + 5]) for i in range(10))
     near = " ".join(words[:7]) + " indeed so " + " ".join(words[7:])
     assert set(leaks(spark, table([doc(1, scattered), doc(2, near), doc(3, f"{filler} {item} {filler}")]), [(1, item)])) == {(2, 1), (3, 1)}
+
+
+def test_placeholders_of_the_text_itself_stand_apart(spark):
+    rows = [(f"a{D.NUM}b 7kg of {D.UNIT}{D.NAME} x",), ("7kg, 8 Kg and 1.5  miles",), (f"see Ann{D.START}5 or",)]
+    got = [r.t for r in spark.createDataFrame(rows, "text string").select(D.template("text").alias("t")).collect()]
+    assert got[0] == ["a", D.NUM, "b", D.NUM, D.UNIT, "of", D.UNIT, D.NAME, "x"]
+    assert got[1] == [D.NUM, D.UNIT, D.NUM, D.NAME, "and", D.NUM, D.UNIT]
+
+
+def test_each_token_of_a_window_is_hashed_once(spark):
+    text = "one plain text of words that holds no slots " * 3
+    rows = spark.createDataFrame([(text,)], "text string").select(
+        "text", D.template("text").alias("tpl"), D.template("text").alias("named"))
+    found = D.windows(rows, 5)
+    words = text.split()
+    assert found.count() == len(words) - 4 and found.select("window").distinct().count() == len({tuple(words[i:i + 5]) for i in range(len(words) - 4)})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(slice(tpl" not in plan
