@@ -19,7 +19,10 @@ the shuffle what can't become frequent:
 * their counts are first added up, in all shards, in one of about as many counters as the corpus has words (a
   counter for many phrases); only phrases whose counter reaches ``least`` are reported with their words.
 
-Either can let a phrase pass that is not frequent, never the reverse, and the sums that follow are exact.
+A shard reports them in rows of a block of phrases each, as many rows at every size; each block of a language is
+summed in one pass over its rows.
+
+Either summary can let a phrase pass that is not frequent, never the reverse, and the sums that follow are exact.
 
 Defined cases: a null text is empty, a null language counts as ``und``; repeated documents count as
 often as they occur; no length is too long (a piece longer than a shard makes a longer shard); ties
@@ -261,7 +264,9 @@ def frequent_filter(frequent: DataFrame, most_bits: int | None = None):
 
 # --- counts -----------------------------------------------------------------------------
 
-BLOCKS = 64                 # parts that the counters are summed in
+BLOCKS = 64                 # parts that the counters, and the phrases of a language, are summed in
+HELD = 200_000              # phrases of a block that are held before equal ones are added up
+COUNTS = "lang string, block int, phrases array<string>, counts array<long>"
 
 
 def _counter(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -339,7 +344,8 @@ def full_counters(index: DataFrame, filters: list, k: int, least: int, bits: int
 
 
 def _phrases(filters: list, counters, k: int, bits: int):
-    """Index rows -> (lang, phrase, count) of the phrases of k words that may be frequent."""
+    """Index rows -> (lang, block, phrases, counts): the phrases of k words of a shard that may be frequent, in at
+    most one row for each of BLOCKS blocks, however many they are."""
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -347,12 +353,53 @@ def _phrases(filters: list, counters, k: int, bits: int):
         for lang, words, last, keys in _last_levels(batches, filters, k):
             at = _counter(keys, bits)
             keep = np.flatnonzero((full[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
-            for cut in range(0, len(keep), 50_000):
-                part = keep[cut:cut + 50_000]
-                text = pc.binary_join_element_wise(*(words.take(pa.array(w[part] - 1)) for w in last.words), " ")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(text), pa.string()), text, pa.array(last.count[part], pa.int64())],
-                    names=["lang", "phrase", "count"])
+            if not len(keep):
+                continue
+            block = at[keep] // (bits // BLOCKS)
+            order = np.argsort(block, kind="stable")
+            keep, block = keep[order], block[order]
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            text = pc.binary_join_element_wise(*(words.take(pa.array(w[keep] - 1)) for w in last.words), " ")
+            ends = pa.array([*first, len(keep)], pa.int32())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(first), pa.string()), pa.array(block[first], pa.int32()),
+                pa.ListArray.from_arrays(ends, text), pa.ListArray.from_arrays(ends, pa.array(last.count[keep], pa.int64()))],
+                names=["lang", "block", "phrases", "counts"])
+    return run
+
+
+def _summed(least: int):
+    """(lang, block, phrases, counts) in order of lang and block -> (lang, phrase, f) of the phrases of all shards that
+    have ``least`` places. Holds the distinct phrases of one block and about as many more."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        held, parts, size, limit = None, [], 0, HELD
+
+        def added():
+            sums = pa.concat_tables(parts).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+            return pa.table([sums.column("phrase"), sums.column("f_sum")], names=["phrase", "f"])
+
+        def frequent():
+            for b in added().filter(pc.field("f") >= least).to_batches(max_chunksize=50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([held[0]] * b.num_rows, pa.string()), b.column("phrase"), b.column("f")],
+                                                 names=["lang", "phrase", "f"])
+
+        for b in batches:
+            for lang, block, texts, counts in zip(b.column("lang").to_pylist(), b.column("block").to_pylist(),
+                                                  b.column("phrases"), b.column("counts")):
+                if (lang, block) != held:
+                    if held is not None:
+                        yield from frequent()
+                    held, parts, size, limit = (lang, block), [], 0, HELD
+                parts.append(pa.table([texts.values, counts.values], names=["phrase", "f"]))
+                size += len(texts.values)
+                if size > limit:
+                    parts = [added()]
+                    size = parts[0].num_rows
+                    limit = HELD + 2 * size
+        if held is not None:
+            yield from frequent()
     return run
 
 
@@ -370,9 +417,13 @@ def frequent_phrases(index: DataFrame, least: int = LEAST, depth: int = DEPTH, m
     found, filters = None, []
     for k in range(1, depth + 1):
         with arrow_rows(index.sparkSession, 8):     # a few shards at a time
-            counts = words if k == 1 else index.select("lang", "words", "bwt").mapInArrow(
-                _phrases(filters, full_counters(index, filters, k, least, bits), k, bits), "lang string, phrase string, count long")
-            summed = counts.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+            if k == 1:
+                summed = words.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+            else:
+                counts = index.select("lang", "words", "bwt").mapInArrow(
+                    _phrases(filters, full_counters(index, filters, k, least, bits), k, bits), COUNTS)
+                summed = (counts.repartition("lang", "block").sortWithinPartitions("lang", "block")
+                          .mapInArrow(_summed(least), "lang string, phrase string, f long"))
             here = written(summed.select("lang", "phrase", F.lit(k).alias("k"), "f"), f"phrases-{k}")
         found = here if found is None else found.unionByName(here)
         if k < depth:

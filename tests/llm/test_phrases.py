@@ -100,6 +100,34 @@ def test_ranked_phrases(spark, corpus, shard_bytes, bits):
     assert sorted(map(tuple, got.collect())) == brute(corpus, 5, 40)
 
 
+def reported(spark, rows):
+    """Shards, rows and phrases in them that are reported for two-word phrases, and their summed counts."""
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    index = P.write_index(df, 2000)
+    found, _ = P.frequent_phrases(index, least=30, depth=1)
+    filters, bits = [P.frequent_filter(found)], 1 << 20
+    full = P.full_counters(index, filters, 2, 30, bits)
+    parts = index.select("lang", "words", "bwt").mapInArrow(P._phrases(filters, full, 2, bits), P.COUNTS).cache()
+    sums = parts.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(
+        P._summed(30), "lang string, phrase string, f long")
+    return (index.count(), parts.count(), parts.agg(F.sum(F.size("phrases"))).first()[0] or 0,
+            {(r.lang, r.phrase): r.f for r in sums.collect()})
+
+
+def test_rows_of_a_shard_do_not_grow_with_its_frequent_phrases(spark, monkeypatch):
+    """With more texts more phrases become frequent; a shard has as many rows as before."""
+    monkeypatch.setattr(P, "HELD", 50)      # equal phrases are added up many times
+    rng = np.random.default_rng(6)
+    rows = [("en" if i % 3 else "fr", " ".join(f"w{int(x)}" for x in rng.integers(0, 30, 100))) for i in range(1500)]
+    few, many = reported(spark, rows[:300]), reported(spark, rows)
+    for (shards, made, phrases, sums), part in ((few, rows[:300]), (many, rows)):
+        assert made <= shards * P.BLOCKS
+        count = Counter((lang, " ".join(g)) for lang, t in part for ws in [t.split()] for g in zip(ws, ws[1:]))
+        assert sums == {g: f for g, f in count.items() if f >= 30}
+    assert many[2] > 10 * few[2] and many[2] > many[1]
+    assert many[1] <= 6 * max(few[1], few[0] * P.BLOCKS)
+
+
 def test_edge_documents(spark, edge_docs, no_docs):
     rows = [(r.lang, r.text) for r in edge_docs.collect()]
     got = P.collocations(edge_docs, least=2)
