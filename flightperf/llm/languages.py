@@ -17,10 +17,11 @@ their letters shuffled (both to be rejected) calibrate a logistic score of the m
 language, the excess over the language's usual entropy and the length. Below ``REJECT`` the text counts
 as rejected. The models that answer are those of all passages, the calibrating ones included.
 
-Learned from a sample of passages: texts are cut every ``PASSAGE`` characters, and the hash of a passage
-decides whether it is taken, at a rate that gives about ``LANGUAGE_CHARS`` characters a language (or
-``SAMPLE_CHARS`` / languages, if less). Every labelled text is read for that; equal passages count once.
-``MAX_CELLS`` bounds the model: with very many languages the highest levels are left out.
+Learned from every labelled text, by one rule at every size: texts are cut every ``PASSAGE`` characters, equal passages
+of a language count once, and all windows of ``ORDER`` characters of them are counted. The hash of a passage says whether it
+calibrates (one in ``CALIBRATE``). The medians and the logistic score are found in passes over what the calibrating
+passages give; only sums come to the driver. The driver and the tasks hold the distinct windows, with a number for each
+language.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing could be
 learned; texts are read whole, in segments of ``SEGMENT`` characters that each start without a context;
@@ -34,14 +35,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightperf.llm.common import per_process, share, taken, written
+from flightperf.llm.common import arrow_rows, per_process, share, taken, written
 from flightperf.llm.linear import Logistic, sigmoid
 
 ORDER = 5
 PASSAGE = 1000              # characters
-LANGUAGE_CHARS = 1_000_000
-SAMPLE_CHARS = 8_000_000
-MAX_CELLS = 24_000_000      # (hash, language) cells of the model
+MAX_CELLS = 24_000_000      # (place, language) cells that are looked up at once
+WINDOW_CHARS = 2_000_000    # characters whose windows are counted at once
+BINS = 1024                 # parts that a range is cut into where a median is sought
 SEGMENT = 1_000_000
 CALIBRATE = 5               # one passage in so many calibrates
 LENGTHS = (15, 40, 120, 400, PASSAGE)
@@ -96,6 +97,27 @@ def _spread(keys: np.ndarray) -> np.ndarray:
     return keys * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _packed(rows: np.ndarray, alphabet: np.ndarray) -> np.ndarray | None:
+    """Each row of code points as one number that sorts alike; None if 64 bits are too few."""
+    bits = len(alphabet).bit_length()
+    if bits * rows.shape[1] > 64:
+        return None
+    out = np.zeros(len(rows), np.uint64)
+    for column in rows.T:
+        out = (out << np.uint64(bits)) | np.searchsorted(alphabet, column).astype(np.uint64)
+    return out
+
+
+def _unique_rows(rows: np.ndarray):
+    """Distinct rows in order, and the place of each row among them."""
+    packed = _packed(rows, np.unique(rows))
+    if packed is None:
+        distinct, back = np.unique(rows, axis=0, return_inverse=True)
+        return distinct, back.ravel()
+    _, first, back = np.unique(packed, return_index=True, return_inverse=True)
+    return rows[first], back.ravel()
+
+
 # --- model ------------------------------------------------------------------------------
 
 class CharModels:
@@ -107,32 +129,28 @@ class CharModels:
         self.languages = languages
         n_lang = len(languages)
         self.keys, self.logp, self.contexts, self.logw = [], [], [], []
+        self.heads, self.context_heads = [], []
         # distinct grams of each level with its counts: raw at the top, left neighbours below
         tables = [None] * (ORDER + 1)
         tables[ORDER] = (grams, counts.astype(np.float64))
         for n in range(ORDER - 1, 0, -1):
             upper, c = tables[n + 1]
-            lower, back = np.unique(upper[:, 1:], axis=0, return_inverse=True)
+            lower, back = _unique_rows(upper[:, 1:])
             left = np.zeros((len(lower), n_lang))
-            np.add.at(left, back.ravel(), c > 0)
+            np.add.at(left, back, c > 0)
             tables[n] = (lower, left)
-        top, cells = 0, 0
-        while top < ORDER and cells + len(tables[top + 1][0]) * n_lang <= max(MAX_CELLS, len(tables[1][0]) * n_lang):
-            top += 1
-            cells += len(tables[top][0]) * n_lang
-        self.order = top
+        self.order = ORDER
         floor = 1.0 / (len(tables[1][0]) + 1)
         self.unseen = np.full(n_lang, np.log(floor))
         below = None
-        for n in range(1, top + 1):
+        for n in range(1, ORDER + 1):
             g, c = tables[n]
             ones, twos = (c == 1).sum(0), (c == 2).sum(0)
             cut = np.where((ones > 0) & (twos > 0), ones / np.maximum(ones + 2.0 * twos, 1), 0.75)
             if n == 1:
                 contexts, of = g[:1, :0], np.zeros(len(g), np.int64)
             else:
-                contexts, of = np.unique(g[:, :-1], axis=0, return_inverse=True)
-                of = of.ravel()
+                contexts, of = _unique_rows(g[:, :-1])
             total, kinds = np.zeros((len(contexts), n_lang)), np.zeros((len(contexts), n_lang))
             np.add.at(total, of, c)
             np.add.at(kinds, of, c > 0)
@@ -140,7 +158,7 @@ class CharModels:
             if n == 1:
                 rest = np.full((len(g), n_lang), floor)
             else:
-                rest = np.exp(below[self._find(self.keys[-1], self._hash(g[:, 1:]))[0]])
+                rest = np.exp(below[self._find(self.keys[-1], self.heads[-1], self._hash(g[:, 1:]))[0]])
             p = np.maximum(c - cut, 0) / np.maximum(total, 1)[of] + weight[of] * rest
             keys = self._hash(g)
             order = np.argsort(keys)
@@ -150,8 +168,10 @@ class CharModels:
                 held = self._hash(contexts)
                 by_hash = np.argsort(held)
                 self.contexts.append(held[by_hash])
+                self.context_heads.append(self._heads(self.contexts[-1]))
                 self.logw.append(np.log(weight[by_hash]).astype(np.float32))
             self.keys.append(keys[order])
+            self.heads.append(self._heads(self.keys[-1]))
             below = np.log(p)[order]
             self.logp.append(below.astype(np.float32))
 
@@ -160,24 +180,39 @@ class CharModels:
         return _spread(_hash_levels([g[:, i] for i in range(g.shape[1] - 1, -1, -1)])[-1])
 
     @staticmethod
-    def _find(keys: np.ndarray, wanted: np.ndarray):
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    def _heads(keys: np.ndarray) -> np.ndarray:
+        """Place of the first of the sorted keys that starts with each number of a few bits (about four numbers a key)."""
+        bits = max(1, len(keys).bit_length() + 1)
+        return np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+
+    @staticmethod
+    def _find(keys: np.ndarray, heads: np.ndarray, wanted: np.ndarray):
+        at = heads[wanted >> np.uint64(65 - len(heads).bit_length())]
+        np.minimum(at, len(keys) - 1, out=at)
+        todo = np.flatnonzero(keys[at] < wanted)
+        while len(todo):        # a few keys share their first bits
+            todo = todo[at[todo] < len(keys) - 1]
+            at[todo] += 1
+            todo = todo[keys[at[todo]] < wanted[todo]]
         return at, keys[at] == wanted
 
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability of the character at each place in every language."""
+        step = max(1, MAX_CELLS // len(self.languages))
+        if len(at) > step:
+            return np.concatenate([self.log_probabilities(codes, at[i:i + step]) for i in range(0, len(at), step)])
         hashes = [_spread(h) for h in _hash_levels([codes[at - i] for i in range(self.order)])]
         before = _hash_levels([codes[at - i] for i in range(1, self.order)]) if self.order > 1 else []
         out = np.zeros((len(at), len(self.languages)), np.float32)
         todo = np.arange(len(at))
         for n in range(self.order, 0, -1):
-            place, known = self._find(self.keys[n - 1], hashes[n - 1][todo])
+            place, known = self._find(self.keys[n - 1], self.heads[n - 1], hashes[n - 1][todo])
             out[todo[known]] += self.logp[n - 1][place[known]]
             todo = todo[~known]
             if not len(todo):
                 return out
             if n > 1:       # the context hands over, where it is known
-                place, known = self._find(self.contexts[n - 2], _spread(before[n - 2][todo]))
+                place, known = self._find(self.contexts[n - 2], self.context_heads[n - 2], _spread(before[n - 2][todo]))
                 out[todo[known]] += self.logw[n - 2][place[known]]
             else:
                 out[todo] += self.start + self.unseen
@@ -245,20 +280,21 @@ class Identifier:
 
 # --- training ---------------------------------------------------------------------------
 
-def _passages(rates: dict):
-    """(lang, text) -> the sampled passages (lang, passage, part): ``part`` 0 calibrates."""
+def _passages(calibrating: bool):
+    """(lang, text) -> all passages (lang, passage, part), or those that calibrate (``part`` 0)."""
     def run(batches):
         import pyarrow as pa
         import xxhash
         for b in batches:
             for lang, cell in zip(b.column("lang").to_pylist(), b.column("text")):
-                text, limit = cell.as_py(), rates[lang] * 2.0 ** 64
+                text = cell.as_py()
                 rows = []
                 for cut in range(0, len(text), PASSAGE):
                     passage = text[cut:cut + PASSAGE]
                     h = xxhash.xxh64_intdigest(passage.encode("utf-8", "surrogatepass"))
-                    if h <= limit:
-                        rows.append((lang, passage, int(xxhash.xxh64_intdigest(h.to_bytes(8, "little")) % CALIBRATE)))
+                    part = int(xxhash.xxh64_intdigest(h.to_bytes(8, "little")) % CALIBRATE)
+                    if part == 0 or not calibrating:
+                        rows.append((lang, passage, part))
                 if rows:
                     lang_, passage_, part_ = zip(*rows)
                     yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(passage_, pa.string()),
@@ -266,52 +302,83 @@ def _passages(rates: dict):
     return run
 
 
+def _distinct_windows(codes: np.ndarray, at: np.ndarray):
+    """Distinct windows that end at these places, one row of big-endian code points each, and how often they occur."""
+    grams = np.stack([codes[at - i] for i in range(ORDER - 1, -1, -1)], axis=1)
+    alphabet = np.unique(codes)
+    packed = _packed(grams, alphabet)
+    if packed is None:
+        raw = np.ascontiguousarray(grams.astype(">u4")).view(f"S{4 * ORDER}").ravel()
+        distinct, count = np.unique(raw, return_counts=True)
+        return np.frombuffer(distinct.tobytes(), ">u4").reshape(-1, ORDER), count
+    distinct, count = np.unique(packed, return_counts=True)
+    bits = len(alphabet).bit_length()
+    low = np.uint64((1 << bits) - 1)
+    return np.stack([alphabet[(distinct >> np.uint64(bits * i)) & low] for i in range(ORDER - 1, -1, -1)], axis=1).astype(">u4"), count
+
+
 def _windows(batches):
     """(lang, passage, part) -> (lang, gram, count, taught): windows of ORDER code points, as bytes, with
     their places in all passages and in those that don't calibrate."""
     import pyarrow as pa
     letters = per_process("letters", _letters)
-    for b in batches:
-        groups = {}
-        for lang, text, part in zip(b.column("lang").to_pylist(), b.column("passage").to_pylist(), b.column("part").to_pylist()):
-            groups.setdefault((lang, part > 0), []).append(text)
-        for (lang, teaches), texts in groups.items():
-            codes, at, _ = _sequence(texts, letters)
-            if not len(at):
-                continue
-            grams = np.stack([codes[at - i] for i in range(ORDER - 1, -1, -1)], axis=1).astype(">u4")
-            packed = np.ascontiguousarray(grams).view(f"S{4 * ORDER}").ravel()
-            distinct, count = np.unique(packed, return_counts=True)
-            raw = np.frombuffer(distinct.tobytes(), np.uint8).reshape(len(distinct), 4 * ORDER)
+    held, size = {}, {}
+
+    def counted(key):
+        codes, at, _ = _sequence(held.pop(key), letters)
+        size.pop(key)
+        if len(at):
+            grams, count = _distinct_windows(codes, at)
+            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(grams), [None, pa.py_buffer(grams.tobytes())])
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(distinct), pa.string()),
-                pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(count), pa.array(count * teaches)],
+                pa.array([key[0]] * len(grams), pa.string()), raw.cast(pa.binary()), pa.array(count), pa.array(count * key[1])],
                 names=["lang", "gram", "count", "taught"])
 
+    for b in batches:
+        for lang, text, part in zip(b.column("lang").to_pylist(), b.column("passage").to_pylist(), b.column("part").to_pylist()):
+            key = lang, part > 0
+            held.setdefault(key, []).append(text)
+            size[key] = size.get(key, 0) + len(text)
+            if size[key] >= WINDOW_CHARS:
+                yield from counted(key)
+        while sum(size.values()) > 2 * WINDOW_CHARS:
+            yield from counted(max(size, key=size.get))
+    for key in list(held):
+        yield from counted(key)
+
+
+ENTROPIES = "own int, kind int, n long, e double, h array<double>"
+
 
 def _entropy_rows(shared):
     """Calibration passages, cut at every one of LENGTHS and with their letters shuffled ->
-    (lang, kind, n, h): kind 0 as they are, 1 shuffled."""
+    (own, kind, n, e, h): the number of their language, kind 0 as they are, 1 shuffled, the entropy in
+    their language and in all."""
     def run(batches):
         import zlib
 
         import pyarrow as pa
         models = taken(shared)
         letters = per_process("letters", _letters)
+        number = {lang: i for i, lang in enumerate(models.languages)}
         for b in batches:
-            langs, texts, kinds = [], [], []
+            owns, texts, kinds = [], [], []
             for lang, passage in zip(b.column("lang").to_pylist(), b.column("passage").to_pylist()):
+                if lang not in number:
+                    continue
                 rng = np.random.default_rng(zlib.crc32(passage.encode("utf-8", "surrogatepass")))
                 for size in LENGTHS:
                     if size < len(passage) or size == LENGTHS[-1]:
                         texts += [passage[:size], "".join(rng.permutation(list(passage[:size])))]
-                        langs += [lang, lang]
+                        owns += [number[lang]] * 2
                         kinds += [0, 1]
             n, h = models.entropies(texts, letters)
             seen = np.flatnonzero(n > 0)
+            own, h = np.array(owns, np.int32)[seen], h[seen]
             yield pa.RecordBatch.from_arrays([
-                pa.array([langs[i] for i in seen], pa.string()), pa.array(np.array(kinds, np.int32)[seen]), pa.array(n[seen]),
-                pa.array(list(h[seen]), pa.list_(pa.float64()))], names=["lang", "kind", "n", "h"])
+                pa.array(own), pa.array(np.array(kinds, np.int32)[seen]), pa.array(n[seen]), pa.array(h[np.arange(len(h)), own]),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * h.shape[1]), pa.array(h.ravel()))],
+                names=["own", "kind", "n", "e", "h"])
     return run
 
 
@@ -321,23 +388,22 @@ def train(docs: DataFrame, rows: Column | None = None) -> Identifier:
     known = docs.where(rows) if rows is not None else docs
     known = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).toArrow()     # a row a language
-    if not sizes.num_rows:
-        return Identifier(None)
-    wanted = min(LANGUAGE_CHARS, SAMPLE_CHARS / sizes.num_rows)
-    rates = {lang: min(1.0, wanted / chars) for lang, chars in zip(sizes.column("lang").to_pylist(), sizes.column("chars").to_pylist())}
-    sample = written(known.mapInArrow(_passages(rates), "lang string, passage string, part int").distinct(), "language-sample")
-    grams = (sample.mapInArrow(_windows, "lang string, gram binary, count long, taught long")
+
+    def passages(calibrating):
+        return known.mapInArrow(_passages(calibrating), "lang string, passage string, part int").distinct()
+
+    # (a row a distinct window and language)
+    grams = (passages(False).mapInArrow(_windows, "lang string, gram binary, count long, taught long")
              .groupBy("lang", "gram").agg(F.sum("count").alias("count"), F.sum("taught").alias("taught")).toArrow())
-    if not grams.num_rows:          # (the grams are bounded by the sample)
+    if not grams.num_rows:
         return Identifier(None)
     taught, models = _models(grams, "taught"), _models(grams, "count")
     if taught is None:
         return Identifier(models, *_usual(models, {}), None)
-    seen = (sample.where("part = 0").select("lang", "passage")
-            .mapInArrow(_entropy_rows(share(spark, taught)), "lang string, kind int, n long, h array<double>")
-            .where(F.col("lang").isin(taught.languages)).orderBy("lang", "kind", "n", "h").toArrow())
-    return _calibrated(taught, models, seen)
+    seen = written(passages(True).select("lang", "passage").mapInArrow(_entropy_rows(share(spark, taught)), ENTROPIES),
+                   "language-entropies")
+    with arrow_rows(spark, 10_000):
+        return _calibrated(taught.languages, models, seen)
 
 
 def _models(grams, counted: str) -> CharModels | None:
@@ -345,11 +411,13 @@ def _models(grams, counted: str) -> CharModels | None:
     grams = grams.filter(np.asarray(grams.column(counted)) > 0)
     if not grams.num_rows:
         return None
-    languages, column = np.unique(np.array(grams.column("lang").to_pylist(), object), return_inverse=True)
+    coded = grams.column("lang").combine_chunks().dictionary_encode()
+    languages, place = np.unique(np.array(coded.dictionary.to_pylist(), object), return_inverse=True)
+    column = place[coded.indices.to_numpy()]
     raw = np.frombuffer(b"".join(grams.column("gram").to_pylist()), ">u4").reshape(-1, ORDER).astype(np.uint32)
-    distinct, back = np.unique(raw, axis=0, return_inverse=True)
+    distinct, back = _unique_rows(raw)
     counts = np.zeros((len(distinct), len(languages)))
-    counts[back.ravel(), column] = grams.column(counted).to_numpy()
+    counts[back, column] = grams.column(counted).to_numpy()
     return CharModels(languages.tolist(), distinct, counts)
 
 
@@ -359,29 +427,104 @@ def _usual(models: CharModels, known: dict):
     return np.array([known.get(x, middle) for x in models.languages]).T
 
 
-def _calibrated(taught: CharModels, models: CharModels, seen) -> Identifier:
-    """``models`` with the calibration of ``taught`` on passages that it hasn't seen."""
-    own = np.array([taught.languages.index(x) for x in seen.column("lang").to_pylist()], np.int64)
-    kind, n = seen.column("kind").to_numpy(), seen.column("n").to_numpy()
-    h = np.array(seen.column("h").to_pylist(), float).reshape(len(n), len(taught.languages))
-    known = {}
-    for i, lang in enumerate(taught.languages):
-        e = h[(own == i) & (kind == 0), i]
-        if len(e):
-            known[lang] = (np.median(e), max(1e-3, 1.4826 * np.median(np.abs(e - np.median(e)))))
-    before = Identifier(taught, *_usual(taught, known))
+def _medians(seen: DataFrame, n_lang: int, centre: np.ndarray | None = None) -> dict:
+    """Number of a language -> exact median of e (of its distance from ``centre``) of its rows of kind 0. The range
+    that holds the median is cut into BINS parts, pass by pass; counts and bounds of the parts come to the driver."""
+    plain = seen.where("kind = 0").select("own", "e")
+
+    def parts(low, width):
+        def run(batches):
+            import pyarrow as pa
+            for b in batches:
+                own, e = b.column("own").to_numpy(), b.column("e").to_numpy()
+                if centre is not None:
+                    e = np.abs(e - centre[own])
+                inside = (e >= low[own]) & (e <= low[own] + width[own]) if width is not None else np.ones(len(e), bool)
+                own, e = own[inside].astype(np.int64), e[inside]
+                part = own * BINS
+                if width is not None:
+                    part += np.minimum((e - low[own]) / width[own] * BINS, BINS - 1).astype(np.int64)
+                order = np.lexsort((e, part))
+                part, e = part[order], e[order]
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][:len(part)])
+                last = np.r_[first[1:], len(part)][:len(first)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array((last - first).astype(np.int64)),
+                                                  pa.array(e[first]), pa.array(e[last - 1])], names=["part", "n", "low", "high"])
+
+        found = plain.mapInArrow(run, "part long, n long, low double, high double").groupBy("part").agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("part").toArrow()
+        return [found.column(c).to_numpy() for c in ("part", "n", "low", "high")]
+
+    part, count, low, high = parts(None, None)
+    # a language's open range, and the two ranks within it whose values the median lies between
+    state = {int(p // BINS): (lo, hi, int((n - 1) // 2), int(n // 2)) for p, n, lo, hi in zip(part, count, low, high)}
+    medians = {}
+    while state:
+        for i, (lo, hi, *_) in list(state.items()):
+            if lo == hi:
+                medians[i] = lo
+                del state[i]
+        if not state:
+            break
+        start, width = np.full(n_lang, np.inf), np.ones(n_lang)
+        for i, (lo, hi, *_) in state.items():
+            start[i], width[i] = lo, np.nextafter(hi - lo, np.inf)
+        part, count, low, high = parts(start, width)
+        for i, (_, _, a, z) in list(state.items()):
+            mine = np.flatnonzero(part // BINS == i)
+            ends = np.cumsum(count[mine])
+            x, y = mine[np.searchsorted(ends, a, side="right")], mine[np.searchsorted(ends, z, side="right")]
+            if x == y:
+                before = int(ends[mine == x][0] - count[x])
+                state[i] = (low[x], high[x], a - before, z - before)
+            else:
+                medians[i] = (high[x] + low[y]) / 2
+                del state[i]
+    return medians
+
+
+def _examples(identifier: Identifier, own: np.ndarray, kind: np.ndarray, n: np.ndarray, h: np.ndarray):
+    """Features and truth of passages as they are, with their letters shuffled, and as if their own language weren't there."""
     plain, mixed = kind == 0, kind == 1
-    chosen, x = before.features(n[plain], h[plain])
-    xs, ys = [x, before.features(n[mixed], h[mixed])[1]], [chosen == own[plain], np.zeros(mixed.sum(), bool)]
-    if len(taught.languages) > 1:       # as if their own language weren't there
+    chosen, x = identifier.features(n[plain], h[plain])
+    xs, ys = [x, identifier.features(n[mixed], h[mixed])[1]], [chosen == own[plain], np.zeros(mixed.sum(), bool)]
+    if h.shape[1] > 1:
         without = h[plain].copy()
         without[np.arange(len(without)), own[plain]] = np.inf
-        xs.append(before.features(n[plain], without)[1])
+        xs.append(identifier.features(n[plain], without)[1])
         ys.append(np.zeros(len(without), bool))
-    x, y = np.concatenate(xs), np.concatenate(ys).astype(float)
-    trust = None
-    if 0 < y.sum() < len(y):
-        trust = Logistic().fit(x, y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y))
+    return np.concatenate(xs), np.concatenate(ys).astype(float)
+
+
+def _summed(seen: DataFrame, identifier: Identifier):
+    """A function that adds up an array of the examples of a batch over all rows (a row a task comes to the driver)."""
+    n_lang = len(identifier.usual)
+
+    def total(job):
+        def run(batches):
+            import pyarrow as pa
+            sums = None
+            for b in batches:
+                if b.num_rows:
+                    h = b.column("h").flatten().to_numpy().reshape(-1, n_lang)
+                    part = job(*_examples(identifier, *(b.column(c).to_numpy() for c in ("own", "kind", "n")), h))
+                    sums = part if sums is None else sums + part
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f8").tobytes()], pa.binary())], names=["sums"])
+        found = seen.mapInArrow(run, "sums binary").toArrow()
+        return sum(np.frombuffer(x, "<f8") for x in found.column("sums").to_pylist())
+    return total
+
+
+def _calibrated(languages: list[str], models: CharModels, seen: DataFrame) -> Identifier:
+    """``models`` with the calibration of models of ``languages`` on passages that those haven't seen."""
+    middle = _medians(seen, len(languages))
+    if not middle:
+        return Identifier(models, *_usual(models, {}), None)
+    spread = _medians(seen, len(languages), np.array([middle.get(i, 0.0) for i in range(len(languages))]))
+    known = {languages[i]: (m, max(1e-3, 1.4826 * spread[i])) for i, m in middle.items()}
+    usual = np.array([known.get(x, np.median(list(known.values()), axis=0)) for x in languages]).T
+    trust = Logistic().fit_sums(_summed(seen, Identifier(None, *usual)))
     return Identifier(models, *_usual(models, known), trust)
 
 

@@ -124,6 +124,58 @@ def test_labels_and_order_of_rows_play_no_part(spark):
     assert max(abs(x[2] - y[2]) for x, y in zip(a, b)) < 1e-9
 
 
+def test_every_passage_teaches_however_many_there_are(spark):
+    """1.5 million characters of a language; each text has a letter of its own."""
+    texts = [chr(0x4E00 + i) + " " + "the cat sat on the mat " * 42 + str(i) for i in range(1500)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    models = L.train(docs).models
+    assert len(models.keys[0]) == len({c for c in plain("".join(texts))})
+
+
+def test_order_does_not_depend_on_the_size(models, monkeypatch):
+    tests = ["The cat, 12 on le tapis", "été zzz", "a"]
+    n, h = models.entropies(tests, LETTERS)
+    monkeypatch.setattr(L, "MAX_CELLS", 8)
+    found = Counter(w for lang, texts in TEXTS.items() for w in windows(texts, lang))
+    grams = sorted({g for _, g in found})
+    again = L.CharModels(sorted(TEXTS), np.array(grams, np.uint32), np.array([[found[lang, g] for lang in sorted(TEXTS)] for g in grams]))
+    assert again.order == L.ORDER
+    m, g = again.entropies(tests, LETTERS)
+    assert n.tolist() == m.tolist() and np.allclose(h, g, atol=1e-6)
+
+
+def test_windows_of_large_and_small_alphabets():
+    rng = np.random.default_rng(3)
+    for size in (30, 9000):
+        codes, at, _ = L._sequence(["".join(chr(0x4E00 + int(i)) for i in rng.integers(0, size, 20000))], LETTERS)
+        grams, count = L._distinct_windows(codes, at)
+        want = Counter(tuple(int(codes[a - i]) for i in range(L.ORDER - 1, -1, -1)) for a in at)
+        assert dict(zip(map(tuple, grams.astype(int).tolist()), count.tolist())) == want
+
+
+def test_medians_and_fit_over_rows(spark, monkeypatch):
+    """As numpy finds them from all rows at once."""
+    monkeypatch.setattr(L, "BINS", 4)
+    rng = np.random.default_rng(8)
+    own, kind = rng.integers(0, 3, 600), rng.integers(0, 2, 600)
+    e = np.where(own == 2, 1.5, rng.gamma(2.0, 1.0, 600).round(2))
+    h = rng.gamma(2.0, 1.0, (600, 4))
+    n = rng.integers(1, 900, 600)
+    seen = spark.createDataFrame([(int(o), int(k), int(c), float(x), list(map(float, y))) for o, k, c, x, y in zip(own, kind, n, e, h)],
+                                 L.ENTROPIES).repartition(3)
+    got = L._medians(seen, 4)
+    want = {i: np.median(e[(own == i) & (kind == 0)]) for i in range(3)}
+    assert got == want
+    centre = np.array([want.get(i, 0.0) for i in range(4)])
+    assert L._medians(seen, 4, centre) == {i: np.median(np.abs(e - centre[own])[(own == i) & (kind == 0)]) for i in range(3)}
+    known = L.Identifier(None, np.array([1.0, 2.0, 1.5, 2.0]), np.array([1.0, 0.5, 2.0, 1.0]))
+    x, y = L._examples(known, own, kind, n, h)
+    plain_fit = L.Logistic().fit(x, y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y))
+    rows_fit = L.Logistic().fit_sums(L._summed(seen, known))
+    assert np.allclose(plain_fit.coef, rows_fit.coef, atol=1e-6) and np.allclose(plain_fit.spread, rows_fit.spread)
+    assert L.Logistic().fit_sums(L._summed(seen.where("false"), known)) is None
+
+
 def test_edge_documents(spark, edge_docs, no_docs):
     known = L.train(edge_docs)
     got = L.identify(edge_docs, known)
