@@ -41,7 +41,7 @@ from flightperf.llm.linear import Logistic, sigmoid
 ORDER = 5
 PASSAGE = 1000              # characters
 MAX_CELLS = 24_000_000      # (place, language) cells that are looked up at once
-WINDOW_CHARS = 2_000_000    # characters whose windows are counted at once
+WINDOW_CHARS = 4_000_000    # characters whose windows are counted at once
 BINS = 1024                 # parts that a range is cut into where a median is sought
 SEGMENT = 1_000_000
 CALIBRATE = 5               # one passage in so many calibrates
@@ -49,6 +49,11 @@ LENGTHS = (15, 40, 120, 400, PASSAGE)
 REJECT = 0.5
 UNKNOWN = "und"
 MULTIPLIER = 0x9E3779B97F4A7C15
+POWERS = [pow(MULTIPLIER, i, 2 ** 64) for i in range(ORDER)]
+INVERSE = pow(MULTIPLIER, -1, 2 ** 64)
+BLOCKS = 64                 # parts that the windows of a language are added up in
+HELD = 500_000              # windows of a block that are held before equal ones are added up
+COUNTS = "lang string, block int, grams binary, count binary, taught binary"
 
 
 # --- characters -------------------------------------------------------------------------
@@ -197,23 +202,35 @@ class CharModels:
         return at, keys[at] == wanted
 
     def log_probabilities(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log probability of the character at each place in every language."""
+        """Log probability of the character at each place (in ascending order) in every language."""
         step = max(1, MAX_CELLS // len(self.languages))
         if len(at) > step:
-            return np.concatenate([self.log_probabilities(codes, at[i:i + step]) for i in range(0, len(at), step)])
-        hashes = [_spread(h) for h in _hash_levels([codes[at - i] for i in range(self.order)])]
-        before = _hash_levels([codes[at - i] for i in range(1, self.order)]) if self.order > 1 else []
-        out = np.zeros((len(at), len(self.languages)), np.float32)
-        todo = np.arange(len(at))
-        for n in range(self.order, 0, -1):
-            place, known = self._find(self.keys[n - 1], self.heads[n - 1], hashes[n - 1][todo])
-            out[todo[known]] += self.logp[n - 1][place[known]]
-            todo = todo[~known]
+            parts = (at[i:i + step] for i in range(0, len(at), step))
+            return np.concatenate([self.log_probabilities(codes[x[0] - ORDER + 1:x[-1] + 1], x - x[0] + ORDER - 1) for x in parts])
+        # the hash of the ORDER characters up to each place; a level below has one term less
+        plain = codes.astype(np.uint64) + np.uint64(1)
+        key = plain[ORDER - 1:].copy()
+        for i in range(1, ORDER):
+            key += plain[ORDER - 1 - i:len(plain) - i] * np.uint64(POWERS[i])
+        key = key[at - (ORDER - 1)]
+        place, known = self._find(self.keys[-1], self.heads[-1], _spread(key))
+        out = np.take(self.logp[-1], place, axis=0)
+        todo = np.flatnonzero(~known)
+        out[todo] = 0
+        for n in range(ORDER, 0, -1):
+            if n < ORDER:
+                place, known = self._find(self.keys[n - 1], self.heads[n - 1], _spread(key))
+                out[todo[known]] += self.logp[n - 1][place[known]]
+                todo, key = todo[~known], key[~known]
+            else:
+                key = key[todo]
             if not len(todo):
                 return out
-            if n > 1:       # the context hands over, where it is known
-                place, known = self._find(self.contexts[n - 2], self.context_heads[n - 2], _spread(before[n - 2][todo]))
+            if n > 1:       # the context (the characters but the last) hands over, where it is known
+                before = (key - plain[at[todo]]) * np.uint64(INVERSE)
+                place, known = self._find(self.contexts[n - 2], self.context_heads[n - 2], _spread(before))
                 out[todo[known]] += self.logw[n - 2][place[known]]
+                key -= plain[at[todo] - (n - 1)] * np.uint64(POWERS[n - 1])
             else:
                 out[todo] += self.start + self.unseen
         return out
@@ -302,49 +319,110 @@ def _passages(calibrating: bool):
     return run
 
 
-def _distinct_windows(codes: np.ndarray, at: np.ndarray):
-    """Distinct windows that end at these places, one row of big-endian code points each, and how often they occur."""
-    grams = np.stack([codes[at - i] for i in range(ORDER - 1, -1, -1)], axis=1)
-    alphabet = np.unique(codes)
-    packed = _packed(grams, alphabet)
-    if packed is None:
-        raw = np.ascontiguousarray(grams.astype(">u4")).view(f"S{4 * ORDER}").ravel()
-        distinct, count = np.unique(raw, return_counts=True)
-        return np.frombuffer(distinct.tobytes(), ">u4").reshape(-1, ORDER), count
-    distinct, count = np.unique(packed, return_counts=True)
+def _distinct_windows(codes: np.ndarray, at: np.ndarray, marked: np.ndarray):
+    """Distinct windows that end at these places, in order, one row of big-endian code points each; their places, and
+    those of them that are marked."""
+    alphabet = np.flatnonzero(np.bincount(codes))
     bits = len(alphabet).bit_length()
-    low = np.uint64((1 << bits) - 1)
-    return np.stack([alphabet[(distinct >> np.uint64(bits * i)) & low] for i in range(ORDER - 1, -1, -1)], axis=1).astype(">u4"), count
+    if bits * ORDER > 63:
+        grams = np.stack([codes[at - i] for i in range(ORDER - 1, -1, -1)], axis=1).astype(">u4")
+        distinct, back, count = np.unique(_cells(grams), return_inverse=True, return_counts=True)
+        return _rows(distinct.tobytes()), count, np.bincount(back, marked, len(distinct)).astype(np.int64)
+    # a window is one number, with its mark in the last bit
+    number = np.zeros(int(alphabet[-1]) + 1, np.uint64)
+    number[alphabet] = np.arange(len(alphabet))
+    ids = number[codes]
+    packed = ids[ORDER - 1:].copy()
+    for i in range(1, ORDER):
+        packed |= ids[ORDER - 1 - i:len(ids) - i] << np.uint64(bits * i)
+    packed = (packed[at - (ORDER - 1)] << np.uint64(1)) | marked.astype(np.uint64)
+    found, n = np.unique(packed, return_counts=True)
+    whole = found >> np.uint64(1)
+    first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
+    count, taught = np.add.reduceat(n, first), np.add.reduceat(np.where(found & np.uint64(1), n, 0), first)
+    low, distinct = np.uint64((1 << bits) - 1), whole[first]
+    return np.stack([alphabet[(distinct >> np.uint64(bits * i)) & low] for i in range(ORDER - 1, -1, -1)], axis=1).astype(">u4"), count, taught
+
+
+def _cells(grams: np.ndarray) -> np.ndarray:
+    """Rows of big-endian code points as one value each, which sorts as the row does."""
+    return np.ascontiguousarray(grams).view(f"S{4 * ORDER}").ravel()
+
+
+def _rows(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, ">u4").reshape(-1, ORDER)
 
 
 def _windows(batches):
-    """(lang, passage, part) -> (lang, gram, count, taught): windows of ORDER code points, as bytes, with
-    their places in all passages and in those that don't calibrate."""
+    """(lang, passage, part) -> (lang, block, grams, count, taught): windows of ORDER code points in order, with their places
+    in all passages and in those that don't calibrate; a row for each block of windows."""
     import pyarrow as pa
     letters = per_process("letters", _letters)
     held, size = {}, {}
 
-    def counted(key):
-        codes, at, _ = _sequence(held.pop(key), letters)
-        size.pop(key)
+    def counted(lang):
+        texts, teach = zip(*held.pop(lang))
+        size.pop(lang)
+        codes, at, of = _sequence(texts, letters)
         if len(at):
-            grams, count = _distinct_windows(codes, at)
-            raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * ORDER), len(grams), [None, pa.py_buffer(grams.tobytes())])
+            grams, count, taught = _distinct_windows(codes, at, np.array(teach)[of])
+            # windows with the same beginning stay together
+            block = _spread(_hash_levels([grams[:, 0], grams[:, 1], grams[:, 2]])[-1]) >> np.uint64(32)
+            block = (block % np.uint64(BLOCKS)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            grams, count, taught, block = grams[order], count[order].astype("<i8"), taught[order].astype("<i8"), block[order]
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            cuts = list(zip(first, [*first[1:], len(block)]))
             yield pa.RecordBatch.from_arrays([
-                pa.array([key[0]] * len(grams), pa.string()), raw.cast(pa.binary()), pa.array(count), pa.array(count * key[1])],
-                names=["lang", "gram", "count", "taught"])
+                pa.array([lang] * len(first), pa.string()), pa.array(block[first]),
+                *(pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (grams, count, taught))],
+                names=["lang", "block", "grams", "count", "taught"])
 
     for b in batches:
         for lang, text, part in zip(b.column("lang").to_pylist(), b.column("passage").to_pylist(), b.column("part").to_pylist()):
-            key = lang, part > 0
-            held.setdefault(key, []).append(text)
-            size[key] = size.get(key, 0) + len(text)
-            if size[key] >= WINDOW_CHARS:
-                yield from counted(key)
-        while sum(size.values()) > 2 * WINDOW_CHARS:
+            held.setdefault(lang, []).append((text, part > 0))
+            size[lang] = size.get(lang, 0) + len(text)
+            if size[lang] >= WINDOW_CHARS:
+                yield from counted(lang)
+        while sum(size.values()) > 4 * WINDOW_CHARS:
             yield from counted(max(size, key=size.get))
-    for key in list(held):
-        yield from counted(key)
+    for lang in list(held):
+        yield from counted(lang)
+
+
+def _added(batches):
+    """(lang, block, grams, count, taught) in order of lang and block -> a row for each lang and block."""
+    import pyarrow as pa
+    held, parts, size, limit = None, [], 0, HELD
+
+    def added():
+        grams, count, taught = (np.concatenate(x) for x in zip(*parts))
+        distinct, back = np.unique(grams, return_inverse=True)
+        sums = [np.zeros(len(distinct), np.int64) for _ in range(2)]
+        np.add.at(sums[0], back, count)
+        np.add.at(sums[1], back, taught)
+        return distinct, *sums
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([held[0]], pa.string()), pa.array([held[1]], pa.int32()),
+                                           *(pa.array([x.tobytes()], pa.binary()) for x in added())],
+                                          names=["lang", "block", "grams", "count", "taught"])
+
+    for b in batches:
+        for lang, block, *raw in zip(b.column("lang").to_pylist(), b.column("block").to_pylist(),
+                                     *(b.column(c).to_pylist() for c in ("grams", "count", "taught"))):
+            if (lang, block) != held:
+                if held is not None:
+                    yield row()
+                held, parts, size, limit = (lang, block), [], 0, HELD
+            parts.append((_cells(_rows(raw[0])), np.frombuffer(raw[1], "<i8"), np.frombuffer(raw[2], "<i8")))
+            size += len(parts[-1][1])
+            if size > limit:
+                parts = [added()]
+                size = len(parts[0][1])
+                limit = HELD + 2 * size
+    if held is not None:
+        yield row()
 
 
 ENTROPIES = "own int, kind int, n long, e double, h array<double>"
@@ -392,9 +470,9 @@ def train(docs: DataFrame, rows: Column | None = None) -> Identifier:
     def passages(calibrating):
         return known.mapInArrow(_passages(calibrating), "lang string, passage string, part int").distinct()
 
-    # (a row a distinct window and language)
-    grams = (passages(False).mapInArrow(_windows, "lang string, gram binary, count long, taught long")
-             .groupBy("lang", "gram").agg(F.sum("count").alias("count"), F.sum("taught").alias("taught")).toArrow())
+    # (the distinct windows of each language)
+    grams = (passages(False).mapInArrow(_windows, COUNTS).repartition("lang", "block").sortWithinPartitions("lang", "block")
+             .mapInArrow(_added, COUNTS).toArrow())
     if not grams.num_rows:
         return Identifier(None)
     taught, models = _models(grams, "taught"), _models(grams, "count")
@@ -406,19 +484,22 @@ def train(docs: DataFrame, rows: Column | None = None) -> Identifier:
         return _calibrated(taught.languages, models, seen)
 
 
-def _models(grams, counted: str) -> CharModels | None:
-    """Models of the grams with a count in this column."""
-    grams = grams.filter(np.asarray(grams.column(counted)) > 0)
-    if not grams.num_rows:
+def _models(blocks, counted: str) -> CharModels | None:
+    """Models of the windows (in blocks) with a count in this column."""
+    grams, counts, langs = [], [], []
+    for lang, raw, count in zip(*(blocks.column(c).to_pylist() for c in ("lang", "grams", counted))):
+        count = np.frombuffer(count, "<i8")
+        if count.any():
+            grams.append(_rows(raw)[count > 0].astype(np.uint32))
+            counts.append(count[count > 0])
+            langs.append(lang)
+    if not langs:
         return None
-    coded = grams.column("lang").combine_chunks().dictionary_encode()
-    languages, place = np.unique(np.array(coded.dictionary.to_pylist(), object), return_inverse=True)
-    column = place[coded.indices.to_numpy()]
-    raw = np.frombuffer(b"".join(grams.column("gram").to_pylist()), ">u4").reshape(-1, ORDER).astype(np.uint32)
-    distinct, back = _unique_rows(raw)
-    counts = np.zeros((len(distinct), len(languages)))
-    counts[back, column] = grams.column(counted).to_numpy()
-    return CharModels(languages.tolist(), distinct, counts)
+    languages, column = np.unique(np.array(langs, object), return_inverse=True)
+    distinct, back = _unique_rows(np.concatenate(grams))
+    out = np.zeros((len(distinct), len(languages)))
+    out[back, np.repeat(column, [len(c) for c in counts])] = np.concatenate(counts)
+    return CharModels(languages.tolist(), distinct, out)
 
 
 def _usual(models: CharModels, known: dict):

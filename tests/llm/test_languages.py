@@ -124,10 +124,11 @@ def test_labels_and_order_of_rows_play_no_part(spark):
     assert max(abs(x[2] - y[2]) for x, y in zip(a, b)) < 1e-9
 
 
-def test_every_passage_teaches_however_many_there_are(spark):
+def test_every_passage_teaches_however_many_there_are(spark, monkeypatch):
     """1.5 million characters of a language; each text has a letter of its own."""
     texts = [chr(0x4E00 + i) + " " + "the cat sat on the mat " * 42 + str(i) for i in range(1500)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(L, "HELD", 50)      # equal windows are added up many times
     models = L.train(docs).models
     assert len(models.keys[0]) == len({c for c in plain("".join(texts))})
 
@@ -148,9 +149,12 @@ def test_windows_of_large_and_small_alphabets():
     rng = np.random.default_rng(3)
     for size in (30, 9000):
         codes, at, _ = L._sequence(["".join(chr(0x4E00 + int(i)) for i in rng.integers(0, size, 20000))], LETTERS)
-        grams, count = L._distinct_windows(codes, at)
+        marked = rng.random(len(at)) < .3
+        grams, count, some = L._distinct_windows(codes, at, marked)
         want = Counter(tuple(int(codes[a - i]) for i in range(L.ORDER - 1, -1, -1)) for a in at)
         assert dict(zip(map(tuple, grams.astype(int).tolist()), count.tolist())) == want
+        want = Counter(tuple(int(codes[a - i]) for i in range(L.ORDER - 1, -1, -1)) for a in at[marked])
+        assert +Counter(dict(zip(map(tuple, grams.astype(int).tolist()), some.tolist()))) == want
 
 
 def test_medians_and_fit_over_rows(spark, monkeypatch):
