@@ -298,8 +298,11 @@ class Identifier:
 # --- training ---------------------------------------------------------------------------
 
 def _passages(calibrating: bool):
-    """(lang, text) -> all passages (lang, passage, part), or those that calibrate (``part`` 0)."""
+    """(lang, text) -> all passages (lang, passage, part), or those that calibrate (``part`` 0). Passages are
+    compressed, as they are shuffled next."""
     def run(batches):
+        import zlib
+
         import pyarrow as pa
         import xxhash
         for b in batches:
@@ -308,17 +311,23 @@ def _passages(calibrating: bool):
                 rows = []
                 for cut in range(0, len(text), PASSAGE):
                     passage = text[cut:cut + PASSAGE]
-                    h = xxhash.xxh64_intdigest(passage.encode("utf-8", "surrogatepass"))
+                    raw = passage.encode("utf-8", "surrogatepass")
+                    h = xxhash.xxh64_intdigest(raw)
                     part = int(xxhash.xxh64_intdigest(h.to_bytes(8, "little")) % CALIBRATE)
                     if part == 0 or not calibrating:
-                        rows.append((lang, passage, part))
+                        rows.append((lang, zlib.compress(raw, 1), part))
                 if rows:
                     lang_, passage_, part_ = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(passage_, pa.string()),
+                    yield pa.RecordBatch.from_arrays([pa.array(lang_, pa.string()), pa.array(passage_, pa.binary()),
                                                       pa.array(part_, pa.int32())], names=["lang", "passage", "part"])
     return run
 
 
+def _unpacked(passage: bytes) -> str:
+    import zlib
+    return zlib.decompress(passage).decode("utf-8", "surrogatepass")
+
+
 def _distinct_windows(codes: np.ndarray, at: np.ndarray, marked: np.ndarray):
     """Distinct windows that end at these places, in order, one row of big-endian code points each; their places, and
     those of them that are marked."""
@@ -380,6 +389,7 @@ def _windows(batches):
 
     for b in batches:
         for lang, text, part in zip(b.column("lang").to_pylist(), b.column("passage").to_pylist(), b.column("part").to_pylist()):
+            text = _unpacked(text)
             held.setdefault(lang, []).append((text, part > 0))
             size[lang] = size.get(lang, 0) + len(text)
             if size[lang] >= WINDOW_CHARS:
@@ -444,6 +454,7 @@ def _entropy_rows(shared):
             for lang, passage in zip(b.column("lang").to_pylist(), b.column("passage").to_pylist()):
                 if lang not in number:
                     continue
+                passage = _unpacked(passage)
                 rng = np.random.default_rng(zlib.crc32(passage.encode("utf-8", "surrogatepass")))
                 for size in LENGTHS:
                     if size < len(passage) or size == LENGTHS[-1]:
@@ -468,7 +479,7 @@ def train(docs: DataFrame, rows: Column | None = None) -> Identifier:
         "lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
 
     def passages(calibrating):
-        return known.mapInArrow(_passages(calibrating), "lang string, passage string, part int").distinct()
+        return known.mapInArrow(_passages(calibrating), "lang string, passage binary, part int").distinct()
 
     # (the distinct windows of each language)
     grams = (passages(False).mapInArrow(_windows, COUNTS).repartition("lang", "block").sortWithinPartitions("lang", "block")
