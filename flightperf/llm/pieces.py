@@ -165,23 +165,41 @@ def _broadcast(docs: DataFrame, model_file: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())   # a vocabulary file: of fixed size
 
 
+def _encoded(model: PieceModel, batch, keys: tuple[str, ...]):
+    """A batch of (keys..., text) -> keys, ids, n_ids, score."""
+    ids = [model.encode(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+    scores = [model.score(np.frombuffer(x, "<i4")) for x in ids]
+    lens = np.array([len(x) // 4 for x in ids], dtype=np.int32)
+    cut = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    flat = np.frombuffer(b"".join(ids), "<i4")
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(lens),
+         pa.array(scores, pa.float64())], names=[*keys, "ids", "n_ids", "score"])
+
+
+def _decoded(model: PieceModel, batch, at: int):
+    """A batch with ids in column ``at`` -> the same with the texts of the ids at its end."""
+    texts = []
+    for x in batch.column(at):
+        texts.append(model.decode(x.values.to_numpy().tolist()) if x.is_valid else "")
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+
+
+def _picked(docs: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, T.StructType]:
+    """The rows that are encoded and the schema of what they become."""
+    picked = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
+    return picked, picked.select(*keys).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "integer").add("score", "double")
+
+
 def encode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keys..., text) -> keys, ids array<int>, n_ids, score of the segmentation."""
     spec = _broadcast(docs, model_file)
-    picked = docs.select(*keys, F.coalesce("text", F.lit("")).alias("text"))
-    schema = picked.select(*keys).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", "integer").add("score", "double")
+    picked, schema = _picked(docs, keys)
 
     def run(batches):
         model = _model(spec)
         for b in small_batches(batches):
-            ids = [model.encode(x.as_py()) for x in b.column(b.num_columns - 1)]
-            scores = [model.score(np.frombuffer(x, "<i4")) for x in ids]
-            lens = np.array([len(x) // 4 for x in ids], dtype=np.int32)
-            cut = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)), pa.array(lens),
-                 pa.array(scores, pa.float64())], names=[*keys, "ids", "n_ids", "score"])
+            yield _encoded(model, b, keys)
 
     return picked.mapInArrow(run, schema)
 
@@ -196,14 +214,21 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     def run(batches):
         model = _model(spec)
         for b in small_batches(batches):
-            texts = []
-            for x in b.column(at):
-                texts.append(model.decode(x.values.to_numpy().tolist()) if x.is_valid else "")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+            yield _decoded(model, b, at)
 
     return rows.mapInArrow(run, schema)
 
 
 def encode_and_decode(docs: DataFrame, model_file: str, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``encode`` followed by ``decode``: keys, ids, n_ids, score, decoded."""
-    return decode(encode(docs, model_file, keys), model_file)
+    """``encode`` followed by ``decode``: keys, ids, n_ids, score, decoded. Both take a batch in turn in one
+    Python worker: in two steps each task would hold two workers, each with a model and a cache of its own."""
+    spec = _broadcast(docs, model_file)
+    picked, schema = _picked(docs, keys)
+    at = len(keys)
+
+    def run(batches):
+        model = _model(spec)
+        for b in small_batches(batches):
+            yield _decoded(model, _encoded(model, b, keys), at)
+
+    return picked.mapInArrow(run, schema.add("decoded", "string"))

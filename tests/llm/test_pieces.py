@@ -74,6 +74,16 @@ def test_edges(edge_docs, no_docs):
     assert P.encode_and_decode(no_docs, MODEL).count() == 0
 
 
+def test_a_task_needs_one_python_worker(edge_docs):
+    """Encoding and decoding share a worker and its model; the rows are those of the two steps."""
+    keys = ("doc_id", "lang", "source")
+    rows = P.encode_and_decode(edge_docs, MODEL, keys)
+    steps = P.decode(P.encode(edge_docs, MODEL, keys), MODEL)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert rows.schema == steps.schema
+    assert sorted(map(repr, rows.collect())) == sorted(map(repr, steps.collect()))
+
+
 def test_long_word_is_solved_whole(model):
     word = "antidisestablishment" * 500
     ids = memoryview(model.encode(word)).cast("i").tolist()
